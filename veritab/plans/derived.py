@@ -17,8 +17,8 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-AS_OF = datetime(2024, 1, 20)
-AS_OF_S = 1705708800  # the same moment in epoch seconds
+AS_OF = datetime(2024, 1, 3)
+AS_OF_S = 1704240000  # the same moment in epoch seconds
 
 LAYERS = ["stg", "ods", "dwd", "dws", "fct", "dim"]
 SERVICES = ["shop", "finance", "growth", "logistics", "superset", "wh"]

@@ -190,7 +190,7 @@ def v2_user_predicate(spark, root):
     return _run(spark, root, [Rule("big_orders", O, "custom", CUSTOM[0].definition)])
 
 
-DAY = "DATE '2024-01-20'"
+DAY = "DATE '2024-01-03'"
 BASE = (
     f"SELECT table_id, quantile_cont(n, 0.5) AS median_rows, quantile_cont(n, 0.9) AS p90_rows FROM snaps WHERE day < {DAY}"
     f" AND day >= {DAY} - 30 GROUP BY 1"

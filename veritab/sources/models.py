@@ -44,40 +44,47 @@ def manifest_nodes(manifests: DataFrame, default_project: str = "dbt", types: li
     def pick(*options):
         return F.coalesce(*[_empty_to_null(o) if not isinstance(o, str) else F.lit(o) for o in options])
 
-    n = F.col("node")
-    nodes = (
-        head.select("service", F.explode("nodes").alias("unique_id", "node"))
-        .filter(n["resource_type"].isin([t for t in types if t != "source"]))
-        .select(
-            "service", "unique_id", n["resource_type"].alias("resource_type"),
+    no_parents = F.array().cast("array<string>")
+
+    def node(e):
+        n = e["value"]
+        parents = F.filter(
+            F.coalesce(n["depends_on"]["nodes"], no_parents), lambda p: ~F.startswith(p, F.lit("test."))
+        )
+        return F.struct(
+            e["key"].alias("unique_id"),
+            n["resource_type"].alias("resource_type"),
             pick(n["database"], "unknown").alias("database"),
             pick(n["schema"], "default").alias("schema_name"),
             pick(n["alias"], n["name"]).alias("name"),
             F.lit("dbt_model").alias("asset_type"),
             n["description"].alias("description"),
             n["columns"].alias("columns"),
-            F.filter(
-                F.coalesce(n["depends_on"]["nodes"], F.array().cast("array<string>")),
-                lambda d: ~F.startswith(d, F.lit("test.")),
-            ).alias("depends_on"),
+            parents.alias("depends_on"),
             pick(n["raw_code"], n["compiled_code"]).alias("raw_code"),
         )
-    )
-    sources = (
-        head.select("service", F.explode("sources").alias("unique_id", "node"))
-        .select(
-            "service", "unique_id", F.lit("source").alias("resource_type"),
+
+    def source(e):
+        n = e["value"]
+        return F.struct(
+            e["key"].alias("unique_id"),
+            F.lit("source").alias("resource_type"),
             pick(n["database"], n["source_name"], "unknown").alias("database"),
             pick(n["schema"], n["source_name"], "default").alias("schema_name"),
             pick(n["identifier"], n["name"]).alias("name"),
             F.lit("table").alias("asset_type"),
             n["description"].alias("description"),
             n["columns"].alias("columns"),
-            F.array().cast("array<string>").alias("depends_on"),
+            no_parents.alias("depends_on"),
             F.lit(None).cast("string").alias("raw_code"),
         )
-    )
-    rows = nodes.unionByName(sources) if "source" in types else nodes
+
+    kept = F.filter(F.map_entries("nodes"), lambda e: e["value"]["resource_type"].isin([t for t in types if t != "source"]))
+    rows = F.coalesce(F.transform(kept, node), F.array())
+    if "source" in types:
+        rows = F.concat(rows, F.coalesce(F.transform(F.map_entries("sources"), source), F.array()))
+    # Both maps of a document are exploded together, so it is parsed once.
+    rows = head.select("service", F.inline(rows))
     return rows.filter(F.col("name").isNotNull()).withColumn(
         "fqn", F.concat_ws(".", "service", "database", "schema_name", "name")
     )
