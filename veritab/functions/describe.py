@@ -141,14 +141,14 @@ def type_hint(data_type: Column) -> Column:
     return _lookup(F.trim(F.substring_index(data_type, "(", 1)), TYPE_HINTS)
 
 
-def column_description(table_name: Column) -> Column:
-    """Struct <description, confidence, rationale, origin> for a catalog column row.
+def describe_columns(columns: DataFrame, table_name: Column) -> DataFrame:
+    """Catalog columns with ``inferred``: <description, confidence, rationale, origin>.
 
     Order: confident PII class, sample values, column name, data type, template.
-    Reads the columns name, data_type, sample_values, pii_class, pii_confidence
-    and pii_source of the row.
+    The rule results become columns first, so each pattern list runs once per row
+    although several branches read its result.
     """
-    name, dtype, samples = F.col("name"), F.col("data_type"), F.col("sample_values")
+    name, dtype = F.col("name"), F.col("data_type")
 
     def result(description, confidence, rationale, origin="rules"):
         return F.struct(
@@ -158,19 +158,18 @@ def column_description(table_name: Column) -> Column:
             F.lit(origin).alias("origin"),
         )
 
-    pii = F.when(F.col("pii_class") != "none", _lookup(F.col("pii_class"), PII_HINTS)).otherwise("")
+    pii, values, named, hint = F.col("_pii"), F.col("_values"), F.col("_named"), F.col("_hint")
+    n = F.size("sample_values").cast("string")
     from_pii = result(
         F.concat(pii, F.lit(" (PII 分类由 "), F.coalesce(F.col("pii_source"), F.lit("unknown")), F.lit(" 推断)")),
         F.greatest(F.lit(0.85), F.col("pii_confidence")),
         F.concat(F.lit("pii_class="), F.col("pii_class")),
     )
-    values, n = value_rule(samples), F.size(samples).cast("string")
     from_values = result(
         F.concat(values["meaning"], F.lit(" (基于 "), n, F.lit(" 个样本值)")),
         values["confidence"],
         F.concat(F.lit("value_pattern_matched,samples="), n),
     )
-    named, hint = name_rule(name), type_hint(dtype)
     from_name = result(
         F.when(
             (hint != "") & ~F.contains(named["meaning"], hint), F.concat(named["meaning"], F.lit(", "), hint)
@@ -187,43 +186,57 @@ def column_description(table_name: Column) -> Column:
         F.lit("no_rule_match,fallback_to_template"),
         "llm",
     )
-    return (
+    ruled = columns.withColumns(
+        {
+            "_pii": F.when(F.col("pii_class") != "none", _lookup(F.col("pii_class"), PII_HINTS)).otherwise(""),
+            "_values": value_rule(F.col("sample_values")),
+            "_named": name_rule(name),
+            "_hint": type_hint(dtype),
+        }
+    )
+    chosen = (
         F.when((pii != "") & (F.col("pii_confidence") >= 0.7), from_pii)
         .when(values.isNotNull(), from_values)
         .when(named.isNotNull(), from_name)
         .when(hint != "", from_type)
         .otherwise(template)
     )
+    # A one-element explode is a fence: a filter on the result stays above it
+    # instead of being pushed down as a second copy of all rules.
+    return ruled.withColumn("inferred", F.explode(F.array(chosen))).drop("_pii", "_values", "_named", "_hint")
 
 
 def value_pattern_scan(df: DataFrame, text: str) -> DataFrame:
     """Words of a text column that match each value pattern, over the whole table.
 
-    One pass, no explode: words are counted inside each row and summed map-side.
+    Words are stripped of surrounding punctuation. One pass, no explode: a
+    single joint pattern picks the few candidate words of a row, only those are
+    tried against each pattern, and counts are summed map-side.
     """
-    words = F.filter(
-        F.transform(F.split(F.col(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[(\[<\"']+|[)\]>\"',;:.!?]+$", "")),
-        lambda w: w != "",
+    opening, closing = r"[(\[<\"']", r"[)\]>\"',;:.!?]"
+    joint = "|".join(
+        "(?:" + p.replace("^", f"^{opening}*", 1).removesuffix("$") + (f"{closing}*$)" if p.endswith("$") else ")")
+        for p, _, _ in VALUE_PATTERNS
     )
-    counted = df.select(words.alias("w"))
+    candidates = F.filter(F.split(F.col(text), r"\s+"), lambda w: w.rlike(joint))
+    words = F.transform(candidates, lambda w: F.regexp_replace(w, f"^{opening}+|{closing}+$", ""))
 
-    def hits(pattern):
-        return F.size(F.filter(F.col("w"), lambda w: w.rlike(pattern)))
+    def matching(pattern):
+        return F.size(F.filter("w", lambda w: w.rlike(pattern)))
 
+    found = df.select(words.alias("w")).select(
+        *[matching(pattern).alias(f"h{i}") for i, (pattern, _, _) in enumerate(VALUE_PATTERNS)]
+    )
     sums = []
-    for i, (pattern, _, _) in enumerate(VALUE_PATTERNS):
-        sums += [F.sum(hits(pattern)).alias(f"w{i}"), F.count_if(hits(pattern) > 0).alias(f"r{i}")]
+    for i in range(len(VALUE_PATTERNS)):
+        sums += [F.sum(f"h{i}").alias(f"w{i}"), F.count_if(F.col(f"h{i}") > 0).alias(f"r{i}")]
     rows = F.array(
         *[
-            F.struct(
-                F.lit(meaning).alias("meaning"),
-                F.col(f"w{i}").alias("words"),
-                F.col(f"r{i}").alias("rows_hit"),
-            )
+            F.struct(F.lit(meaning).alias("meaning"), F.col(f"w{i}").alias("words"), F.col(f"r{i}").alias("rows_hit"))
             for i, (_, meaning, _) in enumerate(VALUE_PATTERNS)
         ]
     )
-    return counted.agg(*sums).select(F.inline(rows))
+    return found.agg(*sums).select(F.inline(rows))
 
 
 def truncate(text: Column, n: int) -> Column:

@@ -62,6 +62,11 @@ def hide_nested(text: Column) -> Column:
     return F.aggregate(pieces, zero, step)["out"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def show_hidden(text: Column) -> Column:
     """Undo hide_nested."""
     return F.translate(text, _HIDDEN, _ASCII)
@@ -106,56 +111,57 @@ def statement_sources(sql: Column) -> Column:
     text = blank_literals(strip_comments(sql))
     pattern = rf"(?i)\b(?:from|join|into|update)\s+((?:{_NAME}\.){{0,3}}{_NAME})"
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    target = write_target(sql)
-    return F.array_sort(F.filter(refs, lambda r: target.isNull() | (r != target)))
+    return _let(
+        write_target(sql), lambda target: F.array_sort(F.filter(refs, lambda r: target.isNull() | (r != target)))
+    )
 
 
 def safety_verdict(sql: Column) -> Column:
     """Struct <allowed, reason>: one statement, no forbidden word, SELECT only."""
-    raw = F.regexp_replace(F.regexp_replace(strip_comments(sql), r"^\s+|\s+$", ""), r";+$", "")
-    parts = F.filter(F.split(raw, ";"), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != "")
-    outer = F.lower(hide_nested(raw))
-    head = F.regexp_extract(outer, r"^\s*([a-z]+)", 1)
-    combined = outer.rlike(r"\b(union|intersect|except)\b")
-    reason = (
-        F.when(F.size(parts) > 1, F.format_string("multiple statements detected (%d)", F.size(parts)))
-        .when(
-            raw.rlike(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b"),
-            F.lit("DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)"),
+    bare = F.regexp_replace(F.regexp_replace(strip_comments(sql), r"^\s+|\s+$", ""), r";+$", "")
+
+    def judge(raw, outer):
+        n = F.size(F.filter(F.split(raw, ";"), lambda p: p.rlike(r"\S")))
+        head = F.regexp_extract(outer, r"^\s*([a-z]+)", 1)
+        reason = (
+            F.when(n > 1, F.format_string("multiple statements detected (%d)", n))
+            .when(
+                raw.rlike(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b"),
+                F.lit("DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)"),
+            )
+            .when(n == 0, "empty statement")
+            .when(outer.rlike(r"\b(union|intersect|except)\b"), "only SELECT allowed, got set operation")
+            .when(~head.isin("select", "with"), F.concat(F.lit("only SELECT allowed, got "), head))
+            .otherwise("")
         )
-        .when(F.size(parts) == 0, "empty statement")
-        .when(combined, "only SELECT allowed, got set operation")
-        .when(~head.isin("select", "with"), F.concat(F.lit("only SELECT allowed, got "), head))
-        .otherwise("")
-    )
-    return F.struct((reason == "").alias("allowed"), reason.alias("reason"))
+        return _let(reason, lambda r: F.struct((r == "").alias("allowed"), r.alias("reason")))
+
+    return _let(bare, lambda raw: _let(F.lower(hide_nested(raw)), lambda outer: judge(raw, outer)))
 
 
 def clamp_limit(sql: Column, max_rows: int = DEFAULT_ROWS) -> Column:
     """Struct <sql, note>: outer LIMIT appended when absent, cut when above max."""
     cap = max(1, min(MAX_ROWS, int(max_rows)))
-    raw = F.regexp_replace(F.regexp_replace(sql, r"^\s+|\s+$", ""), r";+$", "")
-    outer = hide_nested(raw)
-    tail = r"(?i)\blimit\s+(\d+)\s*$"
-    found = F.regexp_extract(outer, tail, 1)
-    n = found.cast("bigint")
-    rest = F.substring(raw, F.lit(1), F.length(F.regexp_replace(outer, r"(?i)\s*\blimit\s+\d+\s*$", "")))
-    return (
-        F.when(
-            found == "",
-            F.struct(F.concat(raw, F.lit(f" LIMIT {cap}")).alias("sql"), F.lit("injected LIMIT").alias("note")),
+    bare = F.regexp_replace(F.regexp_replace(sql, r"^\s+|\s+$", ""), r";+$", "")
+
+    def row(text, note):
+        return F.struct(text.alias("sql"), note.alias("note"))
+
+    def cut(raw, outer):
+        found = F.regexp_extract(outer, r"(?i)\blimit\s+(\d+)\s*$", 1)
+        n = found.cast("bigint")
+        rest = F.substring(raw, F.lit(1), F.length(F.regexp_replace(outer, r"(?i)\s*\blimit\s+\d+\s*$", "")))
+        limit = F.lit(f" LIMIT {cap}")
+        return (
+            F.when(found == "", row(F.concat(raw, limit), F.lit("injected LIMIT")))
+            .when(
+                n > cap,
+                row(F.concat(rest, limit), F.concat(F.lit("clamped LIMIT "), n.cast("string"), F.lit(f" -> {cap}"))),
+            )
+            .otherwise(row(raw, F.concat(F.lit("LIMIT "), n.cast("string"), F.lit(" ok"))))
         )
-        .when(
-            n > cap,
-            F.struct(
-                F.concat(rest, F.lit(f" LIMIT {cap}")).alias("sql"),
-                F.concat(F.lit("clamped LIMIT "), n.cast("string"), F.lit(f" -> {cap}")).alias("note"),
-            ),
-        )
-        .otherwise(
-            F.struct(raw.alias("sql"), F.concat(F.lit("LIMIT "), n.cast("string"), F.lit(" ok")).alias("note"))
-        )
-    )
+
+    return _let(bare, lambda raw: _let(hide_nested(raw), lambda outer: cut(raw, outer)))
 
 
 def unregistered_tables(queries: DataFrame, assets: DataFrame) -> DataFrame:
@@ -220,21 +226,25 @@ def pii_verdict(queries: DataFrame, columns: DataFrame, allow_pii: bool = False)
 def transform_kind(item: Column) -> Column:
     """Class of one select item: aggregation, window, cast, direct, arithmetic,
     function, derivation or expression. Any call that is no aggregate is a function."""
-    body = F.regexp_replace(item, r"^\s+|\s+$", "")
-    outer = F.lower(hide_nested(body))
-    call = F.regexp_extract(outer, r"^([a-z_]\w*)\s*\([^()]*\)$", 1)
     compare = r"[<>=!]|\|\||\b(and|or|not|is|in|like|between)\b"
-    return (
-        F.when(outer.rlike(r"\)\s*over\s*[(\w]"), "window")
-        .when(outer.rlike(r"^(try_)?cast\s*\([^()]*\)$") | outer.rlike(r"^[\w.\"`]+::\w+(\([^()]*\))?$"), "cast")
-        .when(outer.rlike(r"^case\b.*\bend$"), "derivation")
-        .when(outer.rlike(r"^[a-z_\"`][\w\"`]*(\.[a-z_\"`][\w\"`]*)*$"), "direct")
-        .when((call != "") & call.isin(AGGREGATES), "aggregation")
-        .when(call != "", "function")
-        .when(outer.rlike(compare), "expression")
-        .when(outer.rlike(r"[\w)\"`]\s*[-+*/%]") | outer.rlike(r"^-\s*[a-z_(]"), "arithmetic")
-        .otherwise("expression")
-    )
+
+    def kind(outer):
+        call = F.regexp_extract(outer, r"^([a-z_]\w*)\s*\([^()]*\)$", 1)
+        return (
+            F.when(outer.rlike(r"\)\s*over\s*[(\w]"), "window")
+            .when(
+                outer.rlike(r"^(try_)?cast\s*\([^()]*\)$") | outer.rlike(r"^[\w.\"`]+::\w+(\([^()]*\))?$"), "cast"
+            )
+            .when(outer.rlike(r"^case\b.*\bend$"), "derivation")
+            .when(outer.rlike(r"^[a-z_\"`][\w\"`]*(\.[a-z_\"`][\w\"`]*)*$"), "direct")
+            .when((call != "") & call.isin(AGGREGATES), "aggregation")
+            .when(call != "", "function")
+            .when(outer.rlike(compare), "expression")
+            .when(outer.rlike(r"[\w)\"`]\s*[-+*/%]") | outer.rlike(r"^-\s*[a-z_(]"), "arithmetic")
+            .otherwise("expression")
+        )
+
+    return _let(F.lower(hide_nested(F.regexp_replace(item, r"^\s+|\s+$", ""))), kind)
 
 
 # Words that end an expression and name nothing.
@@ -249,8 +259,10 @@ def select_items(sql: Column) -> Column:
     pieces = F.filter(F.split(listing, ","), lambda p: F.trim(p) != "")
 
     def item(piece):
-        p = F.regexp_replace(piece, r"^\s+|\s+$", "")
-        alias = F.regexp_extract(p, rf"(?i)\s+as\s+[\"`]?({_NAME})[\"`]?$", 1)
+        alias = F.regexp_extract(piece, rf"(?i)\s+as\s+[\"`]?({_NAME})[\"`]?$", 1)
+        return _let(alias, lambda a: named(piece, a))
+
+    def named(p, alias):
         bare = F.regexp_extract(p, rf"({_NAME})[\"`]?$", 1)
         implied = p.rlike(rf"[\w)\"`']\s+[\"`]?{_NAME}[\"`]?$") & ~F.lower(bare).isin(_NOT_IMPLIED)
         body = (
@@ -262,7 +274,8 @@ def select_items(sql: Column) -> Column:
             show_hidden(body).alias("body"), F.when(alias != "", alias).otherwise(bare).alias("name")
         )
 
-    return F.transform(pieces, item)
+    trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.transform(trimmed, item)
 
 
 # Words that can follow a table name without being its alias.
@@ -285,11 +298,17 @@ def alias_map(sql: Column) -> Column:
         alias = F.when((F.size(words) == 1) | F.lower(last).isin(_NOT_ALIAS), table).otherwise(last)
         return F.struct(alias.alias("key"), table.alias("value"))
 
-    entries = F.transform(found, entry)
-    # First entry of a key wins; map_from_entries rejects repeats.
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    first = F.transform(keys, lambda k: F.filter(entries, lambda e: e["key"] == k)[0])
-    return F.map_from_entries(first)
+    return _first_entries(F.transform(found, entry))
+
+
+def _first_entries(entries: Column) -> Column:
+    """Map of <key, value> structs; the first entry of a key wins."""
+
+    def keep_first(es):
+        keys = F.array_distinct(F.transform(es, lambda e: e["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.filter(es, lambda e: e["key"] == k)[0]))
+
+    return _let(entries, keep_first)
 
 
 def select_column_refs(df: DataFrame, sql: str = "sql") -> DataFrame:
@@ -389,9 +408,7 @@ def commented_columns(text: Column) -> Column:
         note = F.trim(F.regexp_extract(line, r"--\s*([^\n]+)", 1))
         return F.struct(name.alias("key"), F.substring(note, 1, 512).alias("value"))
 
-    entries = F.filter(F.transform(found, entry), lambda e: e["value"] != "")
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.filter(entries, lambda e: e["key"] == k)[0]))
+    return _first_entries(F.filter(F.transform(found, entry), lambda e: e["value"] != ""))
 
 
 def model_fqn(path: Column, project: str, label: str = "shop", base: str = "models") -> Column:

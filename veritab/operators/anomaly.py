@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.operators.adjacent import one_row
 from veritab.operators.coverage import history_baseline
 from veritab.operators.lineage import unowned
 
@@ -73,18 +74,32 @@ def null_spike(profiles: DataFrame) -> DataFrame:
     )
 
 
-def pii_escalation(columns: DataFrame, as_of) -> DataFrame:
-    """Tables that got PII columns in the last seven days."""
+def new_pii_columns(columns: DataFrame, as_of) -> DataFrame:
+    """PII columns created in the last seven days, one row each."""
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(RECENT_DAYS))
-    fresh = columns.filter((F.col("pii_class") != "none") & (F.col("created_at") >= since))
-    return (
-        fresh.groupBy("table_id")
+    fresh = (F.col("pii_class") != "none") & (F.col("created_at") >= since)
+    return columns.filter(fresh).select("table_id", "name", "pii_class")
+
+
+def pii_escalation(columns: DataFrame, as_of) -> DataFrame:
+    """Tables that got PII columns in the last seven days.
+
+    A finding tells how many and shows the first ten by name; ``new_pii_columns``
+    has all of them as rows, however wide the table is.
+    """
+    fresh = new_pii_columns(columns, as_of)
+    w = Window.partitionBy("table_id").orderBy("name")
+    shown = (
+        fresh.withColumn("i", F.row_number().over(w))
+        .filter(F.col("i") <= 10)
+        .groupBy("table_id")
         .agg(F.array_sort(F.collect_list(F.struct("name", "pii_class"))).alias("new_pii_columns"))
-        .select(
-            "table_id", F.lit("pii_escalation").alias("kind"), F.lit("high").alias("severity"),
-            F.to_json(F.struct("new_pii_columns")).alias("details"),
-            F.lit(ACTION_PII).alias("suggested_action"),
-        )
+    )
+    counts = fresh.groupBy("table_id").agg(F.count("*").alias("n"))
+    return counts.join(shown, "table_id").select(
+        "table_id", F.lit("pii_escalation").alias("kind"), F.lit("high").alias("severity"),
+        F.to_json(F.struct("n", "new_pii_columns")).alias("details"),
+        F.lit(ACTION_PII).alias("suggested_action"),
     )
 
 
@@ -171,13 +186,12 @@ def digest(failed: DataFrame, suggestions: DataFrame, assets: DataFrame, as_of,
     )
 
     def counted(df, order, kind, sample):
-        """Count, and the first five by name; min-by on top-k keeps the rows on the executors."""
+        """Count, and the first five by name."""
         n = df.agg(F.count("*").alias("n"))
         top = df.orderBy("fqn").limit(5).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fqn", sample.alias("s")))), lambda s: s["s"]), ", ").alias("sample")
         )
-        # Two one-row aggregates.
-        return n.crossJoin(top).filter(F.col("n") > 0).select(
+        return one_row(n, top).filter(F.col("n") > 0).select(
             F.lit(order).alias("o"), F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "sample"
         )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.pii import HIGH_RISK
+from veritab.operators.adjacent import one_row
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -152,8 +153,7 @@ def quality_dashboard(assets: DataFrame, rules: DataFrame, results: DataFrame, s
         F.count_if(F.col("status") == "pending").alias("pending_anomalies"),
         F.count_if(F.col("severity") == "critical").alias("critical_anomalies"),
     )
-    # Four one-row aggregates side by side.
-    return health.crossJoin(rule_counts).crossJoin(failing).crossJoin(insight)
+    return one_row(health, rule_counts, failing, insight)
 
 
 def newest_insights(suggestions: DataFrame, n: int = 20) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators.adjacent import one_row
 from veritab.session import materialize
 
 UP, DOWN, CENTER = "up", "down", "center"
@@ -146,12 +147,12 @@ def impact_summary(walk: Walk, owners: DataFrame, asset_terms: DataFrame, terms:
     sides = walk.nodes.agg(
         F.count_if(F.col("side") == UP).alias("upstream_count"), F.count_if(F.col("side") == DOWN).alias("downstream_count")
     )
-    # One-row aggregates side by side.
-    return (
-        sides.crossJoin(affected_owners(walk, owners).agg(F.count("*").alias("owners")))
-        .crossJoin(affected_terms(walk, asset_terms, terms).agg(F.count("*").alias("terms")))
-        .crossJoin(walk.upstream_edges.agg(F.count("*").alias("upstream_edges")))
-        .crossJoin(walk.downstream_edges.agg(F.count("*").alias("downstream_edges")))
+    return one_row(
+        sides,
+        affected_owners(walk, owners).agg(F.count("*").alias("owners")),
+        affected_terms(walk, asset_terms, terms).agg(F.count("*").alias("terms")),
+        walk.upstream_edges.agg(F.count("*").alias("upstream_edges")),
+        walk.downstream_edges.agg(F.count("*").alias("downstream_edges")),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import describe, names, sqltext
@@ -293,16 +293,11 @@ def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float
     # A whole-token hit (0.6) is also a contained hit, so it never decides the score.
     hits = text_grams.join(keyed, "gram").filter(F.contains("text", "phrase"))
     scored = hits.groupBy("table_id", F.col("id").alias("term_id"), "term").agg(F.max("score").alias("confidence"))
-    ranked = scored.groupBy("table_id").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "term", "term_id", "confidence"))),
-            1, best,
-        ).alias("top")
-    )
+    w = Window.partitionBy("table_id").orderBy(F.desc("confidence"), "term", "term_id")
     return (
-        ranked.select("table_id", F.explode("top").alias("t"))
-        .select("table_id", F.col("t.term_id").alias("term_id"), F.col("t.term").alias("term"), F.col("t.confidence").alias("confidence"))
-        .filter(F.col("confidence") >= min_confidence)
+        scored.withColumn("rank", F.row_number().over(w))
+        .filter((F.col("rank") <= best) & (F.col("confidence") >= min_confidence))
+        .select("table_id", "term_id", "term", "confidence")
     )
 
 

@@ -24,6 +24,12 @@ def _empty(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c).cast("string") == "")
 
 
+def _short(c: str) -> Column:
+    """A value as text; long texts are told apart by their SHA-256, to shuffle less."""
+    text = F.col(c).cast("string")
+    return F.when(F.length(text) > 64, F.concat(F.lit("\0"), F.sha2(text, 256))).otherwise(text)
+
+
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: rows, null-or-empty ratio (3 dp) and distinct values as text.
 
@@ -34,9 +40,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """
     if exact:
         pairs = df.select(
-            F.inline(
-                F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])
-            )
+            F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _short(c).alias("value")) for c in df.columns]))
         )
         counted = pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
         stats = counted.groupBy("column_name").agg(

@@ -61,6 +61,16 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input has too few splits.
+
+    A file with one row group is one task. On large inputs there are more splits
+    than cores, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Expressions both engines read alike, with the list lookups filled in per engine.
 def _asset_exprs(e):
     return {
@@ -240,7 +250,7 @@ def suggestions(spark, root):
         F.lit("pii_class"), F.lit("phone"),
         F.lit("user_email"), F.concat(F.lit(" User"), F.col("id") % 5, F.lit("@Example.com ")),
         F.lit("team"), F.lit("data-shop"),
-        F.lit("term_id"), F.when(F.col("id") % 2 == 0, "ring").otherwise("nothing"),
+        F.lit("term_id"), F.when(F.col("id") % 4 == 1, "ring").otherwise("nothing"),
     )
     return df.withColumn("payload", payload)
 
@@ -347,7 +357,7 @@ def versions_of(events):
 
 def eval_cases(spark, root):
     """Gold cases from documents, with the document text as the output to score."""
-    return load(spark, root, "documents").selectExpr(
+    return spread(load(spark, root, "documents")).selectExpr(
         "cast(doc_id as string) as id", "concat('skill_', lang) as skill", "text as pred_text", "text as pred_sql",
         "array(source, lang) as passed_guards", "n_chars as latency_ms",
         "named_struct("

@@ -110,11 +110,11 @@ def j13_column_lineage_of_table(spark, root):
 
 
 @_q("j13_column_lineage_of_column", oracle(
-    f"SELECT * FROM ({_OF}) WHERE (direction = 'upstream' AND downstream_column = 's4_email') OR (direction = 'downstream' AND"
-    " upstream_column = 's4_email')", "cedges", "cols", "assets"))
+    f"SELECT * FROM ({_OF}) WHERE (direction = 'upstream' AND downstream_column = 's5_phone') OR (direction = 'downstream' AND"
+    " upstream_column = 's5_phone')", "cedges", "cols", "assets"))
 def j13_column_lineage_of_column(spark, root):
     return lineage.column_lineage_of(
-        d.column_edges(spark, root), d.assets(spark, root), d.columns(spark, root), 100, "s4_email").select(*_OF_COLS)
+        d.column_edges(spark, root), d.assets(spark, root), d.columns(spark, root), 100, "s5_phone").select(*_OF_COLS)
 
 
 def _sql_case(kind, low, high, ttype, expr, description):

@@ -36,12 +36,12 @@ LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 
 @_q("q1_profile_lineitem", _profile_sql("lineitem", LINEITEM))
 def q1_profile_lineitem(spark, root):
-    return quality.profile(load(spark, root, "lineitem"))
+    return quality.profile(d.spread(load(spark, root, "lineitem")))
 
 
 @_q("q1_profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 def q1_profile_documents(spark, root):
-    return quality.profile(load(spark, root, "documents"))
+    return quality.profile(d.spread(load(spark, root, "documents")))
 
 
 @_q("q1_sample_values",
@@ -240,13 +240,21 @@ PIIESC = (
 
 
 @_q("q10_pii_escalation", oracle(
-    "SELECT table_id, 'pii_escalation' AS kind, 'high' AS severity, string_agg(concat(name, '=', pii_class), ',' ORDER BY name)"
-    f" AS listed FROM cols WHERE pii_class <> 'none' AND created_s >= {AS_OF_S} - 7 * 86400 GROUP BY 1", "cols"))
+    "SELECT table_id, 'pii_escalation' AS kind, 'high' AS severity, string_agg(concat(name, '=', pii_class), ',' ORDER BY name) FILTER (WHERE i <= 10)"
+    " AS listed, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY name) AS i FROM cols WHERE pii_class <> 'none'"
+    f" AND created_s >= {AS_OF_S} - 7 * 86400) GROUP BY 1", "cols"))
 def q10_pii_escalation(spark, root):
     out = anomaly.pii_escalation(d.columns(spark, root), AS_OF)
     listed = F.from_json("details", "new_pii_columns array<struct<name: string, pii_class: string>>")["new_pii_columns"]
     text = F.array_join(F.transform(listed, lambda c: F.concat(c["name"], F.lit("="), c["pii_class"])), ",")
-    return out.select("table_id", "kind", "severity", text.alias("listed"))
+    return out.select(
+        "table_id", "kind", "severity", text.alias("listed"), F.get_json_object("details", "$.n").cast("bigint").alias("n"))
+
+
+@_q("q10_new_pii_columns", oracle(
+    f"SELECT table_id, name, pii_class FROM cols WHERE pii_class <> 'none' AND created_s >= {AS_OF_S} - 7 * 86400", "cols"))
+def q10_new_pii_columns(spark, root):
+    return anomaly.new_pii_columns(d.columns(spark, root), AS_OF)
 
 
 GAP = (

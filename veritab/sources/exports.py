@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import sqltext
+from veritab.operators.adjacent import adjacent_value
 
 # Service and database candidates of a BI dataset, in order.
 WAREHOUSE_SERVICES = ["ch-shop_dw", "clickhouse-prod", "dbt-shop_dw"]
 DATABASE_ALIASES = ["shop", "shop_dw"]
+# Ordinals of one DAG that are ordered together.
+TASKS_PER_BUCKET = 1_000_000
 
 
 def dashboard_charts(dashboards: DataFrame) -> DataFrame:
@@ -197,9 +200,9 @@ def resolve_edges(edges: DataFrame, assets: DataFrame) -> DataFrame:
 
 def task_chain(tasks: DataFrame, stage: int = 1) -> DataFrame:
     """Each task to the next task of the same DAG <dag_id, ordinal, task_id>."""
-    w = Window.partitionBy("dag_id").orderBy("ordinal")
+    bucket = F.floor(F.col("ordinal") / TASKS_PER_BUCKET)
     return (
-        tasks.withColumn("next_task", F.lead("task_id").over(w))
+        adjacent_value(tasks, "dag_id", bucket, ["ordinal"], "task_id", "next_task", forward=True)
         .filter(F.col("next_task").isNotNull() & (F.col("next_task") != F.col("task_id")))
         .select(
             "dag_id", F.col("task_id").alias("upstream_task"), F.col("next_task").alias("downstream_task"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.operators.adjacent import one_row
+
 # Recognised file formats, and those kept when no filter is given.
 FORMATS = ["parquet", "csv", "json", "orc", "avro"]
 DEFAULT_FORMATS = ["parquet", "csv", "json"]
@@ -123,8 +125,7 @@ def table_stats(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
             F.max("modificationTime").alias("last_modified"),
         )
     )
-    # Both sides are one-row aggregates.
-    return df.agg(F.count("*").alias("row_count")).crossJoin(listing)
+    return one_row(df.agg(F.count("*").alias("row_count")), listing)
 
 
 def first_rows(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:

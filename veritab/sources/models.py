@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions import sqltext
+from veritab.session import materialize
 
 # Resource types taken from a manifest.
 RESOURCE_TYPES = ["model", "seed", "snapshot", "source"]
@@ -102,7 +103,14 @@ def node_columns(nodes: DataFrame) -> DataFrame:
 
 
 def dependency_edges(nodes: DataFrame) -> DataFrame:
-    """Dependency edges of manifest nodes; unresolved parents are dropped."""
+    """Dependency edges of manifest nodes; unresolved parents are dropped.
+
+    The nodes are read from both ends, so they are written out once instead of
+    parsing every document twice.
+    """
+    nodes = materialize(
+        nodes.select("service", "unique_id", "resource_type", "fqn", "depends_on", "raw_code"), "manifest-nodes"
+    )
     down = nodes.filter(F.col("resource_type") != "source").select(
         "service", F.col("unique_id").alias("job_id"), F.col("fqn").alias("downstream_fqn"),
         F.substring(sqltext.plain_sql(F.col("raw_code")), 1, 8190).alias("sql"),

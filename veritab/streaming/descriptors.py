@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veritab.operators.adjacent import adjacent_value
+
 _ORDER = ["mtime", "seq"]
 
 
-def changes(versions: DataFrame, bucket: str = "1 day") -> DataFrame:
+def changes(versions: DataFrame, bucket: str = "day") -> DataFrame:
     """Versions <id, seq, mtime, sha> whose sha differs from the one before.
 
     The first version of an id gives no row, and an (id, sha) is reported once,
-    at its first change. An id with very many versions is cut into time buckets:
-    the previous sha is looked up inside a bucket, and only the first version of
-    a bucket looks at the last sha of the bucket before.
+    at its first change. An id with very many versions is cut into time buckets.
     """
-    rows = versions.withColumn("_b", F.window("mtime", bucket)["start"])
-    inside = Window.partitionBy("id", "_b").orderBy(*_ORDER)
-    local = rows.withColumn("prev", F.lag("sha").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    last = rows.groupBy("id", "_b").agg(F.max_by("sha", F.struct(*_ORDER)).alias("last_sha"))
-    before = last.withColumn("before", F.lag("last_sha").over(Window.partitionBy("id").orderBy("_b"))).drop("last_sha")
-    full = local.join(before, ["id", "_b"]).withColumn(
-        "prev", F.when(F.col("_first"), F.col("before")).otherwise(F.col("prev"))
-    )
+    full = adjacent_value(versions, "id", F.date_trunc(bucket, "mtime"), _ORDER, "sha", "prev")
     changed = full.filter(F.col("prev").isNotNull() & (F.col("prev") != F.col("sha")))
     return (
         changed.groupBy("id", "sha")
