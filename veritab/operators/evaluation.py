@@ -119,7 +119,10 @@ def issue_patterns(results: DataFrame, k: int = 5) -> DataFrame:
 
 def gate(reports: DataFrame, baseline: DataFrame | None = None, min_mean: float = MIN_MEAN,
          min_pass_rate: float = MIN_PASS_RATE, max_drop: float = MAX_DROP) -> DataFrame:
-    """Per skill: passed and the reasons against it, compared to a baseline report."""
+    """Per skill: passed and the reasons against it, compared to a baseline report.
+
+    Numbers in reasons are rounded half-even from the exact binary value.
+    """
     base = (
         baseline.select("skill", F.col("avg_score").alias("baseline_avg"))
         if baseline is not None
@@ -131,15 +134,20 @@ def gate(reports: DataFrame, baseline: DataFrame | None = None, min_mean: float
         F.array(
             F.when(
                 F.col("avg_score") < min_mean,
-                F.format_string(f"avg_score %.3f < min_avg_score {min_mean:.3f}", "avg_score"),
+                F.concat(F.lit("avg_score "), F.format_number("avg_score", 3), F.lit(f" < min_avg_score {min_mean:.3f}")),
             ),
             F.when(
                 rate < min_pass_rate,
-                F.format_string(f"pass_rate %.2f%% < min_pass_rate {min_pass_rate * 100:.2f}%%", rate * 100),
+                F.concat(
+                    F.lit("pass_rate "), F.format_number(rate * 100, 2), F.lit(f"% < min_pass_rate {min_pass_rate:.2%}")
+                ),
             ),
             F.when(
                 delta < -max_drop,
-                F.format_string(f"regress %+.3f < -{max_drop:.3f} (vs baseline %.3f)", delta, F.col("baseline_avg")),
+                F.concat(
+                    F.lit("regress "), F.format_number(delta, 3), F.lit(f" < -{max_drop:.3f} (vs baseline "),
+                    F.format_number("baseline_avg", 3), F.lit(")"),
+                ),
             ),
         )
     )

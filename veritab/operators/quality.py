@@ -148,7 +148,7 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
         n = metric("rows", F.count(F.lit(1)))
         empty = metric(f"empty:{column}", F.count_if(_empty(column)))
         ratio = F.when(n > 0, empty / n).otherwise(0.0)
-        text = F.format_string(f"null_ratio=%.3f limit {limit}", ratio)
+        text = F.concat(F.lit("null_ratio="), F.format_number(ratio, 3), F.lit(f" limit {limit}"))
         return ratio <= limit, F.round(ratio, 4), _number(limit), text
     if rule.rule_type == "distinct":
         column = d.get("column")

@@ -199,7 +199,7 @@ def _run_stream(spark, root):
         "map('k', get_json_object(props, '$.k')) as runFacets", "cast(null as map<string,string>) as jobFacets")
     path = scratch_path(spark, "run-events")
     run_events.ingest(rows, path, scratch_path(spark, "run-events-checkpoint")).awaitTermination()
-    return spark.read.parquet(path)
+    return run_events.stored(spark, path)
 
 
 _REASON = (
@@ -211,8 +211,7 @@ _REASON = (
     f"SELECT event_type, event_s, job_namespace, job_name, run_id, {_REASON} AS reason, {_REASON} = '' AS accepted FROM runs", "runs"))
 def t1_ingest_run_events(spark, root):
     return _run_stream(spark, root).select(
-        "event_type", F.unix_timestamp("event_time").alias("event_s"), "job_namespace", "job_name", "run_id", "reason",
-        F.col("accepted").cast("boolean").alias("accepted"))
+        "event_type", F.unix_timestamp("event_time").alias("event_s"), "job_namespace", "job_name", "run_id", "reason", "accepted")
 
 
 @_q("t2_run_documents", oracle(

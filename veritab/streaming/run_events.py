@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -69,6 +69,12 @@ def ingest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """Ingested events with a boolean ``accepted``; filtering on it prunes the folders."""
+    events = spark.read.parquet(path)
+    return events.withColumn("accepted", F.col("accepted").cast("boolean"))
+
+
 def to_documents(rows: DataFrame) -> DataFrame:
     """Stored events as run-event JSON texts."""
     doc = run_event_document(
