@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.adjacent import one_row
-from veritab.session import materialize
+from veritab.session import materialize, materialize_counted
 
 UP, DOWN, CENTER = "up", "down", "center"
 
@@ -87,8 +87,8 @@ def neighbourhood(edges: DataFrame, center, depth: int = 3) -> Walk:
             .join(_union(levels).select("id"), "id", "left_anti")
             .select("id", F.when(F.col("o") == 0, UP).otherwise(DOWN).alias("side"), F.lit(level).alias("level"))
         )
-        new = materialize(fresh, f"walk-{level}")
-        if new.isEmpty():
+        new, count = materialize_counted(fresh, f"walk-{level}")
+        if not count:
             break
         levels.append(new)
     return _finish(edges, levels, depth, (UP, DOWN))
@@ -109,8 +109,8 @@ def impact(edges: DataFrame, center, direction: str = "both", depth: int = 3) ->
                 .join(_union(levels).select("id"), "id", "left_anti")
                 .select("id", F.lit(side).alias("side"), F.lit(level).alias("level"))
             )
-            frontier = materialize(fresh, f"impact-{side}-{level}")
-            if frontier.isEmpty():
+            frontier, count = materialize_counted(fresh, f"impact-{side}-{level}")
+            if not count:
                 break
             levels.append(frontier)
     return _finish(edges, levels, depth, sides)
@@ -179,8 +179,8 @@ def hop_distance(edges: DataFrame, center) -> DataFrame:
             .join(_union(levels).select("id"), "id", "left_anti")
             .select("id", F.lit(len(levels)).alias("distance"))
         )
-        new = materialize(fresh, f"hops-{len(levels)}")
-        if new.isEmpty():
+        new, count = materialize_counted(fresh, f"hops-{len(levels)}")
+        if not count:
             return _union(levels)
         levels.append(new)
 

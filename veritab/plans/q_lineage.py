@@ -10,6 +10,7 @@ from veritab.plans import derived as d
 from veritab.plans.derived import LAYERS, load, oracle, pick
 from veritab.plans.q_sources import _MODEL_EDGES, _bi, _jobs, _models, _tasks, _warehouse
 from veritab.plans.registry import QUERIES
+from veritab.session import materialize
 from veritab.sources import exports
 
 
@@ -203,8 +204,14 @@ def g9_stage_assembly(spark, root):
     return out.groupBy("stage", "stage_label").agg(F.count("*").alias("n"))
 
 
-@_q("a14_stage_coverage",
-    "SELECT '1,3,5,6' AS covered_stages, '2,4' AS missing_stages, 66.7 AS coverage_pct FROM (SELECT count(*) FROM part)")
+_COVERED = (
+    f"WITH found AS (SELECT DISTINCT stage FROM ({_ASSEMBLED}) WHERE n > 0 UNION SELECT 6 FROM orders WHERE o_orderstatus <> 'P')"
+    " SELECT (SELECT string_agg(stage, ',' ORDER BY stage) FROM found) AS covered_stages, (SELECT string_agg(s, ',' ORDER BY s) FROM"
+    " range(1, 7) r(s) WHERE s NOT IN (FROM found)) AS missing_stages, (SELECT round(100 * count(*) / 6, 1) FROM found) AS coverage_pct"
+)
+
+
+@_q("a14_stage_coverage", oracle(_COVERED, "sql_log"))
 def a14_stage_coverage(spark, root):
     return coverage.stage_coverage(assembly.assemble(_stages(spark, root)))
 
@@ -248,8 +255,13 @@ def _touched(depth):
     )
 
 
+def _stored_edges(spark, root):
+    """The edge table, written out: walks read it once per level."""
+    return materialize(d.edges(spark, root), "edges")
+
+
 def _walk(spark, root, depth=3):
-    e = d.edges(spark, root)
+    e = _stored_edges(spark, root)
     return graph.neighbourhood(e, _center(e), depth)
 
 
@@ -269,7 +281,7 @@ def g1_neighbourhood_edges(spark, root):
 
 
 def _impact(spark, root, direction="both", depth=3):
-    e = d.edges(spark, root)
+    e = _stored_edges(spark, root)
     return graph.impact(e, _center(e), direction, depth)
 
 
@@ -487,9 +499,7 @@ def x28_output_datasets(spark, root):
     ends = d.edges(spark, root).select(F.col("downstream_id").alias("id"))
     tables = d.assets(spark, root).withColumn("ol_namespace", F.lit(None).cast("string")).join(ends, "id", "left_semi")
     out = documents.dataset_documents(tables, documents.column_lineage_fields(_facet_edges(spark, root)))
-    doc = out.select("id", F.to_json("dataset").alias("j"))
-    get = lambda p: F.get_json_object("j", p)
-    n = F.size(F.map_keys(F.from_json(F.coalesce(get("$.facets.columnLineage.fields"), F.lit("{}")), "map<string,string>")))
-    return doc.select(
-        "id", get("$.namespace").alias("namespace"), get("$.name").alias("name"),
-        get("$.facets.documentation.description").alias("documentation"), n.alias("n_fields"))
+    fields = F.map_keys("dataset.facets.columnLineage.fields")
+    return out.select(
+        "id", "dataset.namespace", "dataset.name", F.col("dataset.facets.documentation.description").alias("documentation"),
+        F.when(fields.isNull(), 0).otherwise(F.size(fields)).alias("n_fields"))
