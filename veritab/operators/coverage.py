@@ -17,16 +17,32 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def column_edge_stats(column_edges: DataFrame, assets: DataFrame) -> DataFrame:
-    """Edge counts in total, by transform type and by component, and covered tables."""
-    kinds = column_edges.groupBy("transform_type", "component").agg(F.count("*").alias("n"))
-    by_type = kinds.groupBy(F.lit("transform_type").alias("metric"), F.col("transform_type").alias("key")).agg(F.sum("n").alias("n"))
-    by_component = kinds.groupBy(F.lit("component").alias("metric"), F.col("component").alias("key")).agg(F.sum("n").alias("n"))
-    edges = kinds.select(F.lit("edges").alias("metric"), F.lit("all").alias("key"), "n").groupBy("metric", "key").agg(F.sum("n").alias("n"))
-    covered = column_edges.agg(F.count_distinct("downstream_id").alias("n")).select(
-        F.lit("tables_with_lineage").alias("metric"), F.lit("all").alias("key"), "n"
+    """Edge counts in total, by transform type and by component, and covered tables.
+
+    One pass over the edges: they are counted per (type, component, table)
+    first, and all figures are sums over those counts.
+    """
+    counted = column_edges.groupBy("transform_type", "component", "downstream_id").agg(F.count("*").alias("n"))
+    table = F.col("downstream_id").cast("string")
+
+    def figure(metric, key, n, distinct):
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), n.alias("n"), distinct.alias("table"))
+
+    none, everything = F.lit(None).cast("string"), F.lit("all")
+    figures = F.array(
+        figure("transform_type", F.col("transform_type"), F.col("n"), none),
+        figure("component", F.col("component"), F.col("n"), none),
+        figure("edges", everything, F.col("n"), none),
+        figure("tables_with_lineage", everything, F.lit(0).cast("bigint"), table),
+    )
+    sums = (
+        counted.select(F.inline(figures))
+        .groupBy("metric", "key")
+        .agg(F.sum("n").alias("rows"), F.count_distinct("table").alias("tables"))
+        .select("metric", "key", F.when(F.col("metric") == "tables_with_lineage", F.col("tables")).otherwise(F.col("rows")).alias("n"))
     )
     tables = assets.agg(F.count("*").alias("n")).select(F.lit("tables").alias("metric"), F.lit("all").alias("key"), "n")
-    return by_type.unionByName(by_component).unionByName(edges).unionByName(covered).unionByName(tables)
+    return sums.unionByName(tables)
 
 
 def column_edge_counts(columns: DataFrame, column_edges: DataFrame) -> DataFrame:

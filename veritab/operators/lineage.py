@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import describe, names, sqltext
+from veritab.session import materialize
 
 
 def resolve_references(refs: DataFrame, assets: DataFrame, service: str, database: str, schema: str) -> DataFrame:
@@ -160,7 +161,10 @@ def similar_name_groups(assets: DataFrame, min_similarity: float = 0.4) -> DataF
     ``direction`` says which side feeds the other; 'input_order' means that the
     lower table id of each pair is upstream.
     """
-    groups = name_groups(assets).withColumn("gid", F.concat_ws("|", F.array_join("tokens", " "), "layer"))
+    # Groups are read from both sides and for the token ranks, so they are written out once.
+    groups = materialize(
+        name_groups(assets).withColumn("gid", F.concat_ws("|", F.array_join("tokens", " "), "layer")), "name-groups"
+    )
     token_sets = groups.select("tokens").distinct()
     frequency = token_sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
@@ -228,10 +232,14 @@ def similar_tables(assets: DataFrame, focus: DataFrame, min_similarity: float =
         names.name_layer(F.col("fqn")).alias("layer"),
     )
     chosen = member.join(focus.select("id"), "id", "left_semi")
-    both = groups.select("left_tokens", "left_layer", "right_tokens", "right_layer", "similarity", "confidence").union(
-        groups.filter(
-            (F.col("left_tokens") != F.col("right_tokens")) | (F.col("left_layer") != F.col("right_layer"))
-        ).select("right_tokens", "right_layer", "left_tokens", "left_layer", "similarity", "confidence")
+
+    def seen_from(a, b):
+        sides = [F.col(f"{a}_{c}").alias(f"left_{c}") for c in ("tokens", "layer")]
+        return F.struct(*sides, *[F.col(f"{b}_{c}").alias(f"right_{c}") for c in ("tokens", "layer")], "confidence")
+
+    # Each pair of groups is seen from both ends; a group paired with itself once.
+    both = groups.select(F.explode(F.array_distinct(F.array(seen_from("left", "right"), seen_from("right", "left"))))).select(
+        "col.*"
     )
     me = chosen.select(
         F.col("id").alias("my_id"), F.col("fqn").alias("my_fqn"),

@@ -72,12 +72,16 @@ def _focus(spark, root):
     return a.groupBy(names.name_layer(F.col("fqn")).alias("l")).agg(F.min_by("id", "fqn").alias("id")).select("id")
 
 
-@_q("j7_similar_tables", oracle(
+_SIMILAR = (
     _GROUPS.split(" g AS (")[0].rstrip().rstrip(",") + ", focus AS (SELECT arg_min(id, fqn) AS id FROM toks GROUP BY layer), p AS (SELECT a.id AS a, b.id AS b, "
     + _DIRECTION.format(a="a.layer", b="b.layer") + " AS dir, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))"
     " AS sim FROM toks a JOIN toks b ON a.id < b.id WHERE len(a.tokens) > 0 AND len(b.tokens) > 0 AND (a.id IN (FROM focus) OR b.id IN (FROM focus)))"
     " SELECT CASE WHEN dir = 'backward' THEN b ELSE a END AS upstream_id, CASE WHEN dir = 'backward' THEN a ELSE b END AS downstream_id,"
-    " round(least(0.9, 0.4 + sim), 3) AS confidence FROM p WHERE sim >= 0.4", "assets"))
+    " round(least(0.9, 0.4 + sim), 3) AS confidence FROM p WHERE sim >= 0.4"
+)
+
+
+@_q("j7_similar_tables", oracle(_SIMILAR, "assets"))
 def j7_similar_tables(spark, root):
     out = lineage.similar_tables(d.assets(spark, root), _focus(spark, root))
     return out.select("upstream_id", "downstream_id", "confidence")
@@ -163,7 +167,11 @@ def g7_bulk_inference(spark, root):
         d.assets(spark, root), d.columns(spark, root), d.sql_edges(spark, root), d.column_edges(spark, root))["counts"]
 
 
-@_q("g7_bulk_with_similar_names")
+@_q("g7_bulk_with_similar_names", oracle(
+    f"SELECT source, transform_type, count(*) AS n FROM (SELECT 'sqlglot' AS source, transform_type FROM ({SQL_EDGES}) UNION ALL SELECT"
+    f" 'lineage_to_column', 'direct' FROM ({MATCHED}) UNION ALL SELECT 'lineage_to_column', 'direct' FROM ({_SIMILAR}) s JOIN cols u ON u.table_id ="
+    " s.upstream_id JOIN cols c ON c.table_id = s.downstream_id AND c.name = u.name WHERE (s.upstream_id, s.downstream_id) NOT IN"
+    " (SELECT (upstream_id, downstream_id) FROM edges)) GROUP BY 1, 2", "edges", "cols", "assets"))
 def g7_bulk_with_similar_names(spark, root):
     out = assembly.bulk_column_inference(
         d.assets(spark, root), d.columns(spark, root), d.sql_edges(spark, root), d.column_edges(spark, root),

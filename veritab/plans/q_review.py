@@ -49,7 +49,7 @@ def p1_decisions(spark, root):
     f"WITH o AS (SELECT * FROM ({DECIDED}) WHERE outcome = 'applied') SELECT s.id, CASE WHEN o.action = 'approve' THEN 'approved' WHEN o.action = 'reject'"
     " THEN 'rejected' ELSE s.status END AS status, o.actor AS reviewed_by FROM sugg s LEFT JOIN o ON o.id = s.id", "sugg"))
 def p1_reviewed(spark, root):
-    out = review.reviewed(d.suggestions(spark, root), _outcomes(spark, root).drop_duplicates(["id", "seq", "outcome"]))
+    out = review.reviewed(d.suggestions(spark, root), _outcomes(spark, root))
     return out.select("id", "status", "reviewed_by")
 
 
