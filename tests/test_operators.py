@@ -234,6 +234,26 @@ def test_csv_header_and_listing(spark, tmp_path):
         files.list_files(spark, str(tmp_path), stage=3)
 
 
+def test_csv_header_of_any_length(spark, tmp_path):
+    names = [f"column_{i}" for i in range(20_000)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + "1,2\n")
+    (tmp_path / "bare.csv").write_text("only")
+    out = files.csv_header_columns(spark, str(tmp_path))
+    assert out.filter("path like '%wide%'").count() == 20_000
+    assert rows(out.filter("path like '%bare%'"), "ordinal", "name") == [(0, "only")]
+
+
+def test_catalog_schemas(spark):
+    from veritab import catalog
+
+    for entity in catalog.entities():
+        frame = catalog.empty(spark, entity)
+        assert catalog.conform(frame.limit(0), entity).schema == frame.schema
+        assert set(catalog.KEYS.get(entity, [])) <= set(frame.columns)
+    got = catalog.conform(spark.createDataFrame([(7, "x")], "table_id int, tag_id string"), "asset_tags")
+    assert rows(got) == [("7", "x")]
+
+
 def test_manifest_file(spark, tmp_path):
     doc = {
         "metadata": {"project_name": "Shop DW"},

@@ -12,8 +12,8 @@ FORMATS = ["parquet", "csv", "json", "orc", "avro"]
 DEFAULT_FORMATS = ["parquet", "csv", "json"]
 # Stages a file asset can belong to.
 FILE_STAGES = (1, 2, 4)
-# Bytes of a CSV file read for its header.
-HEADER_BYTES = 64 * 1024
+# Bytes read at a time while looking for the end of a header.
+HEADER_CHUNK = 64 * 1024
 
 
 def file_format(key: Column) -> Column:
@@ -54,28 +54,39 @@ def list_files(
     )
 
 
+def _read_headers(batches):
+    """First line of each file of <path>; only the bytes up to its end are read."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        lines = []
+        for path in batch["path"]:
+            # Hadoop writes local paths with one slash.
+            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+            system, name = fs.FileSystem.from_uri(uri)
+            head = b""
+            with system.open_input_stream(name) as stream:
+                while b"\n" not in head and (chunk := stream.read(HEADER_CHUNK)):
+                    head += chunk
+            lines.append(head.split(b"\n", 1)[0].decode("utf-8").rstrip("\r"))
+        yield pd.DataFrame({"path": batch["path"], "header": lines})
+
+
 def csv_header_columns(spark: SparkSession, root: str) -> DataFrame:
     """Columns of each CSV file by its header: path, ordinal, name, type, nullable.
 
-    A header is one line, so only the first bytes of the content are decoded.
+    Spark lists the files and spreads them over tasks; a task opens each of its
+    files and stops after the first line, whatever the size of the file.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(root)
-    )
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    line = F.regexp_replace(F.substring_index(head, "\n", 1), "\r", "")
-    return (
-        files.select("path", F.posexplode(F.split(line, ",")).alias("ordinal", "raw"))
-        .select(
-            "path",
-            "ordinal",
-            F.trim(F.regexp_replace("raw", '^"|"$', "")).alias("name"),
-            F.lit("string").alias("data_type"),
-            F.lit(True).alias("nullable"),
-        )
+    paths = list_files(spark, root, ["csv"]).select("path")
+    headers = paths.mapInPandas(_read_headers, "path string, header string")
+    return headers.select("path", F.posexplode(F.split("header", ",")).alias("ordinal", "raw")).select(
+        "path",
+        "ordinal",
+        F.trim(F.regexp_replace("raw", '^"|"$', "")).alias("name"),
+        F.lit("string").alias("data_type"),
+        F.lit(True).alias("nullable"),
     )
 
 

@@ -113,7 +113,7 @@ def dependency_edges(nodes: DataFrame) -> DataFrame:
     )
     down = nodes.filter(F.col("resource_type") != "source").select(
         "service", F.col("unique_id").alias("job_id"), F.col("fqn").alias("downstream_fqn"),
-        F.substring(sqltext.plain_sql(F.col("raw_code")), 1, 8190).alias("sql"),
+        sqltext.plain_sql(F.col("raw_code")).alias("sql"),
         F.explode("depends_on").alias("parent"),
     )
     up = nodes.select("service", F.col("unique_id").alias("parent"), F.col("fqn").alias("upstream_fqn"))
