@@ -185,6 +185,71 @@ def edge_inserts(approved: DataFrame, assets: DataFrame, edges: DataFrame) -> Da
     return one.join(edges.select(*key), key, "left_anti").withColumn("source", F.lit("ai_inferred"))
 
 
+def sync_notes(approved: DataFrame, assets: DataFrame, columns: DataFrame, terms: DataFrame) -> DataFrame:
+    """What each approved row does to its target: <id, note>.
+
+    Each kind joins only what it needs, so rows of other kinds never meet in a
+    join as null keys.
+    """
+
+    def says(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def blank(c):
+        return F.coalesce(c, F.lit("")) == ""
+
+    def noted(df, *branches, otherwise):
+        chain = F.when(*branches[0])
+        for cond, text in branches[1:]:
+            chain = chain.when(cond, text)
+        return df.select("id", chain.otherwise(otherwise).alias("note"))
+
+    table = assets.select(F.col("id").alias("target_id"), F.lit(True).alias("known"))
+    text = F.coalesce("payload.description", F.lit(""))
+    described = noted(
+        _approved(approved, "description", "table").join(table, "target_id", "left"),
+        (F.col("known").isNull(), "table missing"),
+        otherwise=says("table.description <- ", F.length(text).cast("string"), " chars"),
+    )
+    classed = noted(
+        _approved(approved, "pii_class", "column")
+        .withColumn("column_id", F.col("payload.column_id"))
+        .join(columns.select(F.col("id").alias("column_id"), F.lit(True).alias("known")), "column_id", "left"),
+        (F.col("known").isNull(), "column missing"),
+        otherwise=says("column.pii_class <- ", F.coalesce("payload.pii_class", F.lit("None"))),
+    )
+    email = F.lower(F.trim(F.coalesce("payload.user_email", F.lit(""))))
+    owned = noted(
+        _approved(approved, "owner", "table").join(table, "target_id", "left"),
+        (F.col("known").isNull(), "table missing"),
+        (email == "", "missing user_email"),
+        otherwise=says("asset_owners.upsert <- ", email),
+    )
+    termed = noted(
+        _approved(approved, "glossary", "table")
+        .withColumn("term_id", F.col("payload.term_id"))
+        .join(terms.select(F.col("id").alias("term_id"), F.col("name").alias("term")), "term_id", "left"),
+        (blank(F.col("term_id")), "missing term_id"),
+        (F.col("term").isNull(), "term missing"),
+        otherwise=says("asset_terms.upsert <- ", F.col("term")),
+    )
+    up, down = F.lower(F.coalesce("payload.upstream_fqn", F.lit(""))), F.lower(F.coalesce("payload.downstream_fqn", F.lit("")))
+    names = assets.select("fqn")
+    linked = noted(
+        _approved(approved, "lineage", "table")
+        .withColumns({"up": up, "down": down})
+        .join(names.select(F.col("fqn").alias("up"), F.lit(True).alias("up_known")), "up", "left")
+        .join(names.select(F.col("fqn").alias("down"), F.lit(True).alias("down_known")), "down", "left"),
+        ((F.col("up") == "") | (F.col("down") == ""), "missing fqn"),
+        (F.col("up_known").isNull() | F.col("down_known").isNull(), "upstream or downstream missing"),
+        otherwise=says("table_lineage.upsert <- ", F.col("up"), " -> ", F.col("down")),
+    )
+    pair = F.concat_ws("/", "suggestion_type", "target_type")
+    handled = ["description/table", "pii_class/column", "owner/table", "glossary/table", "lineage/table"]
+    other = approved.filter(~pair.isin(handled)).select("id", F.lit("(no sync handler for this type yet)").alias("note"))
+    return described.unionByName(classed).unionByName(owned).unionByName(termed).unionByName(linked).unionByName(other)
+
+
 def rule_owners(assets: DataFrame) -> DataFrame:
     """Owner of every table by service and layer, confidence 0.6."""
     team = team_of(F.col("fqn"))

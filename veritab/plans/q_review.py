@@ -82,6 +82,17 @@ def p2_column_updates(spark, root):
     return review.column_updates(_approved(spark, root), d.columns(spark, root))
 
 
+@_q("p2_sync_notes", oracle(
+    "SELECT s.id, CASE suggestion_type WHEN 'description' THEN CASE WHEN a.id IS NULL THEN 'table missing' ELSE concat('table.description <- ',"
+    " length(concat('text ', s.id)), ' chars') END WHEN 'pii_class' THEN CASE WHEN c.id IS NULL THEN 'column missing' ELSE 'column.pii_class <- phone' END"
+    " WHEN 'owner' THEN CASE WHEN a.id IS NULL THEN 'table missing' ELSE concat('asset_owners.upsert <- user', s.id % 5, '@example.com') END WHEN 'glossary'"
+    " THEN CASE WHEN s.id % 4 = 1 AND EXISTS (SELECT 1 FROM terms WHERE id = 'ring') THEN 'asset_terms.upsert <- ring' ELSE 'term missing' END WHEN 'lineage'"
+    f" THEN 'missing fqn' ELSE '(no sync handler for this type yet)' END AS note FROM ({_APP}) s LEFT JOIN assets a ON a.id = s.target_id LEFT JOIN cols c ON"
+    " c.id = concat(s.target_id, ':', s.id % 10)", "sugg", "assets", "cols", "terms"))
+def p2_sync_notes(spark, root):
+    return review.sync_notes(_approved(spark, root), d.assets(spark, root), d.columns(spark, root), d.terms(spark, root))
+
+
 def _owners(spark, root):
     """Existing owners; one in five has an address that proposals use."""
     mail = "case when table_id % 5 = 0 then 'user0@example.com' else user_email end"
