@@ -3,7 +3,7 @@
 import itertools
 import json
 import random
-from collections import defaultdict, deque
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest

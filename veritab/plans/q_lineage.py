@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veritab.functions import describe, documents, names
 from veritab.operators import assembly, coverage, graph, lineage, listing
 from veritab.plans import derived as d
-from veritab.plans.derived import LAYERS, load, oracle, pick
+from veritab.plans.derived import oracle
 from veritab.plans.q_sources import _MODEL_EDGES, _bi, _jobs, _models, _tasks, _warehouse
 from veritab.plans.registry import QUERIES
 from veritab.session import materialize

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritab.functions import names
-from veritab.operators import coverage, evaluation, feedback, graph, listing, lineage
+from veritab.operators import coverage, evaluation, feedback, lineage, listing
 from veritab.plans import derived as d
-from veritab.plans.derived import AS_OF_S, load, oracle
+from veritab.plans.derived import oracle
 from veritab.plans.registry import QUERIES
 
 

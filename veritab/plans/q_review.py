@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritab.functions import describe
-from veritab.operators import coverage, feedback, review
+from veritab.operators import coverage, review
 from veritab.plans import derived as d
 from veritab.plans.derived import RUN_TYPES, load, oracle, pick
 from veritab.plans.q_listing import SHOTS
