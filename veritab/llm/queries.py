@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import decontaminate, packing, pii, quality, simhash_dedup
+from veritab.llm import decontaminate, packing, pii, quality, simhash_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op2_quality_rules(spark, root):
     return quality.assess(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def op4_suffix_array_dedup(spark, root):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, root, "documents")))
+
+
 @query
 def op5_simhash_near_dedup(spark, root):
     return simhash_dedup.near_duplicates(table(spark, root, "documents"), shingle=3, radius=3)
