@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import decontaminate, packing, pii, quality, simhash_dedup, suffix_dedup
+from veritab.llm import decontaminate, html_text, licenses, packing, pii, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,11 +21,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, root):
+    return toxicity.score(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @query
 def op2_quality_rules(spark, root):
     return quality.assess(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def op3_license_scans(spark, root):
+    return licenses.scan(table(spark, root, "documents"))
+
+
 @query
 def op4_suffix_array_dedup(spark, root):
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, root, "documents")))
@@ -36,6 +46,16 @@ def op5_simhash_near_dedup(spark, root):
     return simhash_dedup.near_duplicates(table(spark, root, "documents"), shingle=3, radius=3)
 
 
+@query
+def op6_token_counts(spark, root):
+    return token_counts.section_tokens(table(spark, root, "documents"))
+
+
+@query
+def op7_html_extraction(spark, root):
+    return html_text.extract(table(spark, root, "pages"))
+
+
 @query
 def op8_benchmark_decontamination(spark, root):
     return decontaminate.matches(table(spark, root, "documents"), table(spark, root, "benchmark"))
