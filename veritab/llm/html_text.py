@@ -3,7 +3,8 @@
 The standard library's parser streams a page's events into lines, one for each block of text. Every line has
 a ratio of its characters to the tags in it; the ratios are smoothed with a Gaussian and split into two
 clusters by a threshold. The lines of the upper cluster mark the content region, which is then taken whole: the
-article or main element that holds most of the marked text, or else the stretch from the first marked line to the last.
+article or main element that holds most of the marked text, or else the stretch from the first marked line to the last
+and what else lies in the same containers.
 """
 
 from __future__ import annotations
@@ -30,29 +31,31 @@ OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
                           "related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary "
                           "contentinfo search alert".split())
 LANDMARKS = frozenset(("article", "main"))
+CONTAINERS = frozenset("article blockquote body center div main section td".split())
 #: Elements that a start tag of the key closes when they are still open.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, landmark) of each block; ``landmark`` numbers the article or main element around it."""
+    """Collects (text, tags, landmark, container) of each block, with the numbers of the article or main element
+    and of the container around it; 0: none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, is it content, landmark
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, is it content, landmark, container
         self.text: list[str] = []
         self.tags = 0
-        self.landmarks = 0
+        self.landmarks = self.containers = 0
 
-    def inside(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (True, 0)
+    def inside(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (True, 0, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.inside()[1]))
+            self.lines.append((text, self.tags, *self.inside()[1:]))
             self.tags = 0
         self.text.clear()
 
@@ -67,18 +70,21 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        content, landmark = self.inside()
+        content, landmark, container = self.inside()
         if content and self.is_outside(tag, attrs, landmark):
             self.end_line()
             content = False
         if content and tag in LANDMARKS and not landmark:
             self.landmarks += 1
             landmark = self.landmarks
-        self.open.append((tag, content, landmark))
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
+        self.open.append((tag, content, landmark, container))
 
     def closable(self, tag: str) -> bool:
         """Is ``tag`` open with only inline elements inside it?"""
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name == tag:
                 return True
             if name in BLOCKS or name in OUTSIDE:
@@ -110,10 +116,10 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
         self.tags += 1
-        if tag in BLOCKS or at >= 0 and (any(t in BLOCKS for t, _, _ in self.open[at:])
+        if tag in BLOCKS or at >= 0 and (any(t in BLOCKS for t, *_ in self.open[at:])
                                          or self.open[at][1] != (at == 0 or self.open[at - 1][1])):
             self.end_line()
-        if at >= 0 and (tag in BLOCKS or tag in OUTSIDE or not any(t in BLOCKS for t, _, _ in self.open[at:])):
+        if at >= 0 and (tag in BLOCKS or tag in OUTSIDE or not any(t in BLOCKS for t, *_ in self.open[at:])):
             del self.open[at:]
 
     def handle_data(self, data: str) -> None:
@@ -121,7 +127,7 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
+def lines_of(html: str) -> list[tuple[str, int, int, int]]:
     parser = Lines()
     try:
         parser.feed(html)
@@ -161,10 +167,10 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not lines:
         return ""
-    length = np.array([len(t) for t, _, _ in lines], float)
-    marked = smoothed(length / np.array([max(1, tags) for _, tags, _ in lines]))
+    length = np.array([len(line[0]) for line in lines], float)
+    marked = smoothed(length / np.array([max(1, line[1]) for line in lines]))
     marked = marked >= cluster_threshold(marked)
-    landmark = np.array([n for _, _, n in lines])
+    landmark, container = np.array([line[2] for line in lines]), np.array([line[3] for line in lines])
     share = np.bincount(landmark, weights=length * marked)
     best = int(share.argmax())
     if not best and len(share) > 1 and share[1:].max() > 0:
@@ -173,7 +179,7 @@ def main_text(html: str | None) -> str:
         chosen = np.flatnonzero(landmark == best)
     else:
         at = np.flatnonzero(marked)
-        chosen = np.arange(at[0], at[-1] + 1)
+        chosen = np.union1d(np.arange(at[0], at[-1] + 1), np.flatnonzero(np.isin(container, container[at])))
     return "\n\n".join(lines[i][0] for i in chosen)
 
 
