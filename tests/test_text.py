@@ -109,6 +109,31 @@ def test_column_refs_follow_aliases(spark):
     assert got == {("x", "direct", "up", "a"), ("y", "aggregation", "up", "b"), ("y", "aggregation", "v", "c")}
 
 
+def test_column_refs_of_all_branches(spark):
+    df = spark.createDataFrame([("SELECT u.a AS x FROM up u, v w UNION ALL SELECT w.b FROM (SELECT 1) s, v w",)], "sql string")
+    got = {tuple(r) for r in sqltext.select_column_refs(df).select("downstream_col", "upstream_table", "upstream_col").collect()}
+    assert got == {("x", "up", "a"), ("x", "v", "b")}
+
+
+@pytest.mark.parametrize("sql,words", [
+    ("SELECT e.email, f(phone) AS ssn FROM email e, ssn WHERE 'address' = \"ID\" -- dob", {"select", "email", "phone", "where", "id"}),
+    ("SELECT name FROM a.name n JOIN b ON n.id = b.id", {"select", "name", "on", "id"}),
+])
+def test_words_that_can_be_columns(spark, sql, words):
+    assert set(lit(spark, sqltext.referenced_words, sql)) == words
+
+
+def test_ref_with_two_arguments(spark):
+    text = "select * from {{ ref('p', \"m\") }} {# kept #} join {{ source(s, t) }} {{ other() }} {%- if a > '}' %}x{% endif %}{"
+    assert lit(spark, sqltext.plain_sql, text) == "select * from m {# kept #} join t {{ other() }} x{"
+
+
+def test_long_texts(spark):
+    literal = "SELECT '" + "x''y" * 20_000 + "' AS a, b FROM t /* " + "c" * 50_000 + " */ WHERE " + "(" * 30 + "a" + ")" * 30
+    assert lit(spark, sqltext.safety_verdict, literal)["allowed"] is True
+    assert lit(spark, sqltext.table_references, literal) == ["t"]
+
+
 def test_plain_sql(spark):
     text = "{{ config(materialized='table') }}\nselect * from {{ ref('a') }} join {{ source('s','t') }}{% if x %} where d={{ var('v') }}{% endif %}"
     assert lit(spark, sqltext.plain_sql, text) == "select * from a join t where d='v'"

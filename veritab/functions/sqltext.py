@@ -1,9 +1,10 @@
 """Screens and extraction over a table of query texts.
 
-Works on text with column expressions; it is no parser. Supported are single
-statements with one outer SELECT list. Contents of parentheses and of string
-literals are moved out of the ASCII range first (same length), so patterns only
-see the outer level, at any nesting depth, and the text can be restored.
+Works on text with column expressions; it is no parser. One lexical pass cuts a
+text into literals, quoted names, comments and the rest, and all screens look at
+what is outside of the former. Contents of parentheses and of string literals are
+moved out of the ASCII range (same length), so patterns only see the outer level,
+at any nesting depth, and the text can be restored.
 """
 
 from __future__ import annotations
@@ -38,8 +39,56 @@ AGGREGATES = [
 
 _ASCII = "".join(chr(c) for c in range(0x20, 0x7F))
 _HIDDEN = "".join(chr(0xE000 + c) for c in range(0x20, 0x7F))
+# The same without the marks that quote names.
+_INNER = "".join(c for c in _ASCII if c not in "\"`")
+_INNER_HIDDEN = "".join(chr(0xE000 + ord(c)) for c in _INNER)
 _NAME = r"[a-zA-Z_]\w*"
 
+# One part of a table name, plain (hyphens allowed) or quoted, and a whole name.
+_PART = r"(?:[\p{L}_][\p{L}\p{N}_$]*(?:-[\p{L}\p{N}_$]+)*|\"[^\"]*\"|`[^`]*`)"
+_TABLE = rf"{_PART}(?:\s*\.\s*{_PART})*"
+
+# Literal, quoted name, comment, or a run of anything else; what is left open runs to the end.
+_LEX = r"""'[^']*(?:'|$)|"[^"]*(?:"|$)|`[^`]*(?:`|$)|--[^\n]*|/\*[\s\S]*?(?:\*/|$)|[^'"`/-]+|[/-]"""
+_LEX_ESCAPES = _LEX.replace("'[^']*(?:'|$)", r"'(?:[^'\\]++|\\[\s\S])*+(?:'|$)")
+
+
+def _pieces(sql: Column, escapes: bool = False) -> Column:
+    return F.regexp_extract_all(sql, F.lit(_LEX_ESCAPES if escapes else _LEX), F.lit(0))
+
+
+def _is_comment(piece: Column) -> Column:
+    return F.startswith(piece, F.lit("--")) | F.startswith(piece, F.lit("/*"))
+
+
+def strip_comments(sql: Column) -> Column:
+    """The text with a space for each comment; marks inside literals and quoted names are no comments."""
+    return F.array_join(F.transform(_pieces(sql), lambda p: F.when(_is_comment(p), F.lit(" ")).otherwise(p)), "")
+
+
+def outside(sql: Column, escapes: bool = False) -> Column:
+    """The text with '' for each literal, a space for each comment, and the contents of quoted names
+    moved out of ASCII, so that no pattern for words, commas or parentheses finds anything in them."""
+
+    def plain(p):
+        return (
+            F.when(F.startswith(p, F.lit("'")), F.lit("''"))
+            .when(_is_comment(p), F.lit(" "))
+            .when(p.rlike("^[\"`]"), F.translate(p, _INNER, _INNER_HIDDEN))
+            .otherwise(p)
+        )
+
+    return F.array_join(F.transform(_pieces(sql, escapes), plain), "")
+
+
+def statements(sql: Column) -> Column:
+    """The statements of a text, as ``outside`` gives them; empty ones are left out."""
+    return F.filter(F.split(outside(sql), ";"), lambda p: p.rlike(r"\S"))
+
+
+def _clean_name(name: Column) -> Column:
+    return show_hidden(F.regexp_replace(name, r"[\"`\s]", ""))
+
 
 def hide_nested(text: Column) -> Column:
     """Same-length text with parenthesised and quoted contents moved out of ASCII."""
@@ -72,20 +121,63 @@ def show_hidden(text: Column) -> Column:
     return F.translate(text, _HIDDEN, _ASCII)
 
 
-def strip_comments(sql: Column) -> Column:
-    """Remove block and line comments."""
-    return F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", ""), r"--[^\n]*", "")
+# Words that end a list of tables, and words that can follow a table name without being its alias.
+_LIST_ENDS = "where|group|order|having|limit|union|intersect|except|window|qualify|select|set|values|fetch|offset|returning"
+_NOT_ALIAS = [
+    "on", "where", "join", "left", "right", "inner", "outer", "full", "cross", "group", "order", "limit", "having", "union",
+    "using", "set", "values", "select", "as", "lateral", "natural", "semi", "anti", "asof", "global", "any", "all", "final",
+    "intersect", "except", "window", "qualify", "fetch", "offset", "returning", "sample", "prewhere", "settings", "format", "from",
+    "into", "update", "table", "only",
+]
+# Calls that hold the word from without a table after it.
+_FROM_CALLS = r"(?i)\b(?:extract|trim|substring|overlay|position)\s*\([^()]*\)"
+
+
+def _levels(text: Column) -> Column:
+    """Contents of all parentheses, innermost first, and the text around them, each without parentheses."""
+    deepest = F.aggregate(
+        F.regexp_extract_all(text, F.lit("[()]"), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")),
+        lambda acc, p: _let(F.greatest(F.lit(0), acc["depth"] + F.when(p == "(", 1).otherwise(-1)),
+                            lambda n: F.struct(n.alias("depth"), F.greatest(acc["most"], n).alias("most"))))["most"]
+    zero = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+
+    def inner(acc, _):
+        return _let(F.regexp_replace(acc["text"], _FROM_CALLS, " \ue000 "), lambda t: F.struct(
+            F.regexp_replace(t, r"\([^()]*\)", " \ue000 ").alias("text"),
+            F.concat(acc["found"], F.regexp_extract_all(t, F.lit(r"\(([^()]*)\)"), F.lit(1))).alias("found")))
 
+    turns = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
+    return _let(F.aggregate(turns, zero, inner), lambda acc: F.concat(F.array(acc["text"]), F.reverse(acc["found"])))
 
-def blank_literals(sql: Column) -> Column:
-    """Replace string literals with ''."""
-    return F.regexp_replace(sql, r"'[^']*'", "''")
+
+def _named_tables(text: Column, words: str = "join|into|update") -> Column:
+    """<table, alias> at every place of a text from ``outside`` that names one: after from and the given
+    words, and after each comma of a list of tables."""
+    after = rf"(?is)(?<!distinct\s)\bfrom\b(.*?)(?=\b(?:{_LIST_ENDS}|from)\b|;|$)"
+    single = rf"(?i)\b(?:{words})\s+((?:(?:table|only|lateral)\s+)?{_TABLE}(?:\s+as\s+{_PART}|\s+{_PART})?)"
+
+    def of_level(level):
+        lists = F.flatten(F.transform(F.regexp_extract_all(level, F.lit(after), F.lit(1)), lambda r: F.split(r, ",")))
+        return F.concat(lists, F.regexp_extract_all(level, F.lit(single), F.lit(1)))
+
+    def entry(piece):
+        start = rf"(?is)^\s*(?:(?:table|only|lateral)\s+)?({_TABLE})(?:\s+as\s+({_PART})|\s+({_PART}))?"
+        alias = F.concat(F.regexp_extract(piece, start, 2), F.regexp_extract(piece, start, 3))
+        return F.struct(
+            F.regexp_extract(piece, start, 1).alias("table"),
+            F.when((alias != "") & ~F.lower(alias).isin(_NOT_ALIAS), alias).alias("alias"))
+
+    named = _let(_levels(text), lambda ls: F.transform(F.flatten(F.transform(ls, of_level)), entry))
+    # A table function is no table; keywords name nothing.
+    return F.transform(
+        F.filter(named, lambda e: (e["table"] != "") & ~F.lower(e["table"]).isin(_NOT_ALIAS)),
+        lambda e: F.struct(_clean_name(e["table"]).alias("table"), _clean_name(e["alias"]).alias("alias")))
 
 
 def table_references(sql: Column) -> Column:
-    """Distinct table names after from / join / into / update, in order."""
-    pattern = rf"(?i)\b(?:from|join|into|update)\s+((?:{_NAME}\.){{0,2}}{_NAME})"
-    return F.array_distinct(F.regexp_extract_all(sql, F.lit(pattern), F.lit(1)))
+    """Distinct table names after from / join / into / update and in lists of tables, of any number of
+    parts, quoted or not; literals and comments name nothing."""
+    return F.array_distinct(F.transform(_let(outside(sql), lambda t: _named_tables(t)), lambda e: e["table"]))
 
 
 def task_table_evidence(text: Column) -> Column:
@@ -95,36 +187,41 @@ def task_table_evidence(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, "^[\"`]+|[\"`]+$", "")))
 
 
-def write_target(sql: Column) -> Column:
-    """Target of INSERT INTO / CREATE TABLE AS, else null; comments stripped first."""
-    text = strip_comments(sql)
-    name = rf"((?:{_NAME}\.){{0,3}}{_NAME})"
-    insert = F.regexp_extract(text, rf"(?i)\binsert\s+(?:into|overwrite)\s+(?:table\s+)?{name}", 1)
+def write_target(statement: Column) -> Column:
+    """Target of INSERT INTO / CREATE TABLE AS of one statement, else null."""
+    text = outside(statement)
+    insert = F.regexp_extract(text, rf"(?i)\binsert\s+(?:into|overwrite)\s+(?:table\s+)?({_TABLE})", 1)
     create = F.regexp_extract(
-        text, rf"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?{name}", 1
+        text, rf"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?({_TABLE})", 1
     )
-    return F.when(insert != "", insert).when(create != "", create)
+    return _clean_name(F.when(insert != "", insert).when(create != "", create))
 
 
-def statement_sources(sql: Column) -> Column:
-    """Sorted distinct tables a statement reads; the write target is left out."""
-    text = blank_literals(strip_comments(sql))
-    pattern = rf"(?i)\b(?:from|join|into|update)\s+((?:{_NAME}\.){{0,3}}{_NAME})"
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+def statement_sources(statement: Column) -> Column:
+    """Sorted distinct tables one statement reads; the write target is left out."""
+    refs = table_references(statement)
     return _let(
-        write_target(sql), lambda target: F.array_sort(F.filter(refs, lambda r: target.isNull() | (r != target)))
+        write_target(statement), lambda target: F.array_sort(F.filter(refs, lambda r: target.isNull() | (r != target)))
     )
 
 
-def safety_verdict(sql: Column) -> Column:
-    """Struct <allowed, reason>: one statement, no forbidden word, SELECT only."""
-    bare = F.regexp_replace(F.regexp_replace(strip_comments(sql), r"^\s+|\s+$", ""), r";+$", "")
+def _verdict(sql: Column, escapes: bool) -> Column:
+    """Reason against a text read with or without backslash escapes; empty if there is none."""
+    open_end = F.exists(
+        _pieces(sql, escapes),
+        lambda p: (p.rlike("^['\"`]") & (~p.rlike("['\"`]$") | (F.length(p) < 2)))
+        | (F.startswith(p, F.lit("/*")) & (~F.endswith(p, F.lit("*/")) | (F.length(p) < 4))))
+    # Some engines run what stands in such comments.
+    executed = F.exists(_pieces(sql, escapes), lambda p: p.rlike(r"^/\*[!+M]*!"))
+    bare = F.regexp_replace(F.regexp_replace(outside(sql, escapes), r"^\s+|\s+$", ""), r";+$", "")
 
     def judge(raw, outer):
         n = F.size(F.filter(F.split(raw, ";"), lambda p: p.rlike(r"\S")))
-        head = F.regexp_extract(outer, r"^\s*([a-z]+)", 1)
-        reason = (
-            F.when(n > 1, F.format_string("multiple statements detected (%d)", n))
+        head = F.regexp_extract(outer, r"^[\s(]*([a-z]+)", 1)
+        return (
+            F.when(open_end, "a quote or comment is left open")
+            .when(executed, "executable comment")
+            .when(n > 1, F.format_string("multiple statements detected (%d)", n))
             .when(
                 raw.rlike(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b"),
                 F.lit("DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)"),
@@ -134,32 +231,50 @@ def safety_verdict(sql: Column) -> Column:
             .when(~head.isin("select", "with"), F.concat(F.lit("only SELECT allowed, got "), head))
             .otherwise("")
         )
-        return _let(reason, lambda r: F.struct((r == "").alias("allowed"), r.alias("reason")))
 
     return _let(bare, lambda raw: _let(F.lower(hide_nested(raw)), lambda outer: judge(raw, outer)))
 
 
+def safety_verdict(sql: Column) -> Column:
+    """Struct <allowed, reason>: one statement, no forbidden word, SELECT only.
+
+    Words and semicolons count outside of literals, quoted names and comments. Engines differ on
+    whether a backslash escapes a quote, so a text that has one before a quote must pass both readings.
+    """
+    plain = _verdict(sql, False)
+    reason = F.when(sql.rlike(r"\\'"), _let(plain, lambda r: F.when(r != "", r).otherwise(_verdict(sql, True)))).otherwise(plain)
+    return _let(reason, lambda r: F.struct((r == "").alias("allowed"), r.alias("reason")))
+
+
 def clamp_limit(sql: Column, max_rows: int = DEFAULT_ROWS) -> Column:
-    """Struct <sql, note>: outer LIMIT appended when absent, cut when above max."""
+    """Struct <sql, note>: the text without comments, with an outer row limit of at most ``max_rows``.
+
+    LIMIT n, LIMIT n OFFSET m, LIMIT m, n and FETCH FIRST n ROWS are limits; the number of rows is
+    cut when above the maximum and the rest stays. A text without any gets LIMIT at its end.
+    """
     cap = max(1, min(MAX_ROWS, int(max_rows)))
-    bare = F.regexp_replace(F.regexp_replace(sql, r"^\s+|\s+$", ""), r";+$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip_comments(sql), r"^\s+|\s+$", ""), r"[;\s]+$", "")
+    # Head, what comes before the number of rows, the number, what comes after it.
+    forms = [
+        r"(?is)^(.*?)\s*\b(limit\s+)(\d+)(\s+offset\s+\d+(?:\s+rows?)?)?$",
+        r"(?is)^(.*?)\s*\b(limit\s+\d+\s*,\s*)(\d+)()$",
+        r"(?is)^(.*?)\s*\b((?:offset\s+\d+\s+rows?\s+)?fetch\s+(?:first|next)\s+)(\d+)(\s+rows?\s+(?:only|with\s+ties))$",
+    ]
 
     def row(text, note):
         return F.struct(text.alias("sql"), note.alias("note"))
 
     def cut(raw, outer):
-        found = F.regexp_extract(outer, r"(?i)\blimit\s+(\d+)\s*$", 1)
-        n = found.cast("bigint")
-        rest = F.substring(raw, F.lit(1), F.length(F.regexp_replace(outer, r"(?i)\s*\blimit\s+\d+\s*$", "")))
-        limit = F.lit(f" LIMIT {cap}")
-        return (
-            F.when(found == "", row(F.concat(raw, limit), F.lit("injected LIMIT")))
-            .when(
-                n > cap,
-                row(F.concat(rest, limit), F.concat(F.lit("clamped LIMIT "), n.cast("string"), F.lit(f" -> {cap}"))),
-            )
-            .otherwise(row(raw, F.concat(F.lit("LIMIT "), n.cast("string"), F.lit(" ok"))))
-        )
+        out = row(F.concat(raw, F.lit(f" LIMIT {cap}")), F.lit("injected LIMIT"))
+        for form in reversed(forms):
+            word, number, tail = (F.regexp_extract(outer, form, i) for i in (2, 3, 4))
+            n = number.cast("decimal(38,0)")
+            rest = F.substring(raw, F.lit(1), F.length(F.regexp_extract(outer, form, 1)))
+            short = F.concat(rest, F.lit(" "), F.upper(word), F.lit(str(cap)), F.upper(tail))
+            kept = F.when(n > cap, row(short, F.concat(F.lit("clamped LIMIT "), number, F.lit(f" -> {cap}")))).otherwise(
+                row(raw, F.concat(F.lit("LIMIT "), number, F.lit(" ok"))))
+            out = F.when(outer.rlike(form), kept).otherwise(out)
+        return out
 
     return _let(bare, lambda raw: _let(hide_nested(raw), lambda outer: cut(raw, outer)))
 
@@ -170,7 +285,7 @@ def unregistered_tables(queries: DataFrame, assets: DataFrame) -> DataFrame:
     A reference is known by full name, by table name, or by its last part.
     """
     refs = queries.select(
-        "query_id", F.explode(table_references(blank_literals(strip_comments(F.col("sql"))))).alias("ref")
+        "query_id", F.explode(table_references(F.col("sql"))).alias("ref")
     ).withColumn("key", F.lower("ref"))
     known = (
         assets.select(F.lower("fqn").alias("known"))
@@ -189,9 +304,13 @@ def unregistered_tables(queries: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def referenced_words(sql: Column) -> Column:
-    """Distinct lower-case identifiers of a text, literals and comments left out."""
-    text = F.lower(blank_literals(strip_comments(sql)))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-z_]\w*)"), F.lit(1)))
+    """Distinct lower-case names that can be columns: those that stand neither where a table or an alias does, nor
+    before a dot or a parenthesis; quoted names count, literals and comments do not."""
+    item = rf"{_TABLE}(?:\s+(?:as\s+)?(?!(?:{'|'.join(_NOT_ALIAS)})\b){_PART})?"
+    text = F.regexp_replace(F.lower(outside(sql)), rf"\b(?:from|join|into|update)\s+{item}(?:\s*,\s*{item})*", " ")
+    text = F.regexp_replace(text, rf"\bas\s+{_PART}", " ")
+    word = r"(?:(?<![\p{L}\p{N}_$])[\p{L}_][\p{L}\p{N}_$]*+|\"[^\"]*\"|`[^`]*`)(?!\s*[(.])"
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.lower(_clean_name(w))))
 
 
 def pii_verdict(queries: DataFrame, columns: DataFrame, allow_pii: bool = False) -> DataFrame:
@@ -252,11 +371,10 @@ _NOT_IMPLIED = ["end", "null", "true", "false"]
 
 
 def select_items(sql: Column) -> Column:
-    """Array of <body, name> for the outer SELECT list of the last SELECT at top level."""
+    """Array of <body, name> for the outer SELECT list, and for those of further UNION branches; an item
+    of a later branch has the name that the first gives its place."""
     text = F.regexp_replace(strip_comments(sql), r"[;\s]+$", "")
-    outer = hide_nested(text)
-    listing = F.regexp_extract(outer, r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\s+from\s", 1)
-    pieces = F.filter(F.split(listing, ","), lambda p: F.trim(p) != "")
+    branches = F.split(hide_nested(text), r"(?i)\b(?:union(?:\s+(?:all|distinct))?|intersect|except)\b")
 
     def item(piece):
         alias = F.regexp_extract(piece, rf"(?i)\s+as\s+[\"`]?({_NAME})[\"`]?$", 1)
@@ -274,31 +392,26 @@ def select_items(sql: Column) -> Column:
             show_hidden(body).alias("body"), F.when(alias != "", alias).otherwise(bare).alias("name")
         )
 
-    trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.transform(trimmed, item)
+    def items(branch):
+        listing = F.regexp_extract(branch, r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\s+from\s", 1)
+        pieces = F.filter(F.split(listing, ","), lambda p: F.trim(p) != "")
+        return F.transform(F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), item)
 
+    def renamed(lists):
+        return F.flatten(F.transform(lists, lambda own: F.transform(own, lambda x, i: F.struct(
+            x["body"].alias("body"), F.coalesce(F.get(lists[0], i)["name"], x["name"]).alias("name")))))
 
-# Words that can follow a table name without being its alias.
-_NOT_ALIAS = [
-    "on", "where", "join", "left", "right", "inner", "outer", "full", "cross", "group", "order",
-    "limit", "having", "union", "using", "set", "values", "select", "as", "lateral", "natural",
-]
+    return _let(F.transform(branches, items), renamed)
 
 
 def alias_map(sql: Column) -> Column:
-    """Map alias (or table name) -> table short name over FROM and JOIN items."""
-    text = blank_literals(strip_comments(sql))
-    seg = rf"(?i)\b(?:from|join)\s+((?:{_NAME}\.){{0,3}}{_NAME}(?:\s+as\s+{_NAME}|\s+{_NAME})?)"
-    found = F.regexp_extract_all(text, F.lit(seg), F.lit(1))
+    """Map alias (or table name) -> table short name over all tables that are read."""
 
-    def entry(s):
-        words = F.split(s, r"\s+")
-        table = F.substring_index(words[0], ".", -1)
-        last = F.element_at(words, -1)
-        alias = F.when((F.size(words) == 1) | F.lower(last).isin(_NOT_ALIAS), table).otherwise(last)
-        return F.struct(alias.alias("key"), table.alias("value"))
+    def entry(e):
+        table = F.substring_index(e["table"], ".", -1)
+        return F.struct(F.coalesce(e["alias"], table).alias("key"), table.alias("value"))
 
-    return _first_entries(F.transform(found, entry))
+    return _first_entries(F.transform(_let(outside(sql), lambda t: _named_tables(t, "join")), entry))
 
 
 def _first_entries(entries: Column) -> Column:
@@ -321,35 +434,51 @@ def select_column_refs(df: DataFrame, sql: str = "sql") -> DataFrame:
         "_item", F.explode(select_items(F.col(sql)))
     )
     refs = F.array_distinct(
-        F.regexp_extract_all(blank_literals(F.col("_item.body")), F.lit(rf"\b({_NAME}\.{_NAME})\b"), F.lit(1))
+        F.regexp_extract_all(outside(F.col("_item.body")), F.lit(rf"\b({_NAME}\.{_NAME})\b"), F.lit(1))
     )
     out = items.withColumn("_ref", F.explode(refs))
     qualifier = F.substring_index("_ref", ".", 1)
     return out.select(
         *df.columns,
         F.col("_item.name").alias("downstream_col"),
-        F.substring("_item.body", 1, 2000).alias("transform_expression"),
+        F.col("_item.body").alias("transform_expression"),
         transform_kind(F.col("_item.body")).alias("transform_type"),
         F.coalesce(F.try_element_at("_alias", qualifier), qualifier).alias("upstream_table"),
         F.substring_index("_ref", ".", -1).alias("upstream_col"),
     )
 
 
+# Tags that leave nothing in the plain text.
+_SILENT = ["config"]
+_SILENT_BLOCKS = ["for", "endfor", "if", "endif", "else", "endmacro"]
+
+
 def plain_sql(template: Column) -> Column:
-    """Turn a templated model text into plain SQL."""
-    q = r"['\"]?"
-    text = F.regexp_replace(template, rf"\{{\{{\s*ref\(\s*{q}(\w+){q}\s*\)\s*\}}\}}", "$1")
-    text = F.regexp_replace(
-        text, rf"\{{\{{\s*source\(\s*{q}(\w+){q}\s*,\s*{q}(\w+){q}\s*\)\s*\}}\}}", "$2"
-    )
-    text = F.regexp_replace(text, r"\{\{\s*this\s*\}\}", "_this_")
-    text = F.regexp_replace(text, rf"\{{\{{\s*var\(\s*{q}(\w+){q}\s*\)\s*\}}\}}", "'$1'")
-    text = F.regexp_replace(text, r"\{%\s*(?:endfor|endif|endmacro|else)\s*%\}", "")
-    text = F.regexp_replace(text, r"\{%\s*for\s+\w+\s+in\s+[^%]+%\}", "")
-    text = F.regexp_replace(text, r"\{%\s*if\s+[^%]+%\}", "")
-    text = F.regexp_replace(text, r"\{\{\s*config\([^)]*\)\s*\}\}", "")
-    text = F.regexp_replace(text, r"\n\s*\n+", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Turn a templated model text into plain SQL.
+
+    The text is cut into tags and what is between them. A ref or source tag becomes the name of its last
+    argument, a var tag its name as a literal, this a placeholder; config and the block tags of loops,
+    conditions and macros vanish; any other tag stays.
+    """
+    pieces = F.regexp_extract_all(template, F.lit(r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}|[^{]+|\{"), F.lit(0))
+
+    def told(piece):
+        inner = F.regexp_extract(piece, r"(?s)^\{[{%]-?\s*(.*?)\s*-?[}%]\}$", 1)
+        kind = F.regexp_extract(inner, r"^(\w+)", 1)
+        call = F.regexp_extract(inner, r"(?s)^\w+\s*\((.*)\)$", 1)
+        quoted = F.regexp_extract_all(call, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
+        arguments = F.when(F.size(quoted) > 0, quoted).otherwise(F.regexp_extract_all(call, F.lit(r"(\w+)"), F.lit(1)))
+        return _let(arguments, lambda args: (
+            F.when(F.startswith(piece, F.lit("{%")), F.when(kind.isin(_SILENT_BLOCKS), F.lit("")).otherwise(piece))
+            .when(~F.startswith(piece, F.lit("{{")), piece)
+            .when(kind.isin(_SILENT), F.lit(""))
+            .when(inner == "this", F.lit("_this_"))
+            .when(kind.isin("ref", "source") & (F.size(args) > 0), F.try_element_at(args, F.lit(-1)))
+            .when((kind == "var") & (F.size(args) > 0), F.concat(F.lit("'"), F.get(args, F.lit(0)), F.lit("'")))
+            .otherwise(piece)))
+
+    text = F.array_join(F.transform(pieces, told), "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
 def model_refs(text: Column) -> Column:
@@ -386,7 +515,7 @@ def model_sources(text: Column) -> Column:
 def model_header(text: Column) -> Column:
     """Text of the '-- @description:' line, else null."""
     found = F.trim(F.regexp_extract(text, r"(?im)^--\s*@description\s*:\s*(.+)$", 1))
-    return F.when(found != "", F.substring(found, 1, 1024))
+    return F.when(found != "", found)
 
 
 def model_tags(text: Column) -> Column:
@@ -406,7 +535,7 @@ def commented_columns(text: Column) -> Column:
     def entry(line):
         name = F.regexp_extract(line, r"(?i)^AS\s+[\"']?([a-zA-Z_]\w*)", 1)
         note = F.trim(F.regexp_extract(line, r"--\s*([^\n]+)", 1))
-        return F.struct(name.alias("key"), F.substring(note, 1, 512).alias("value"))
+        return F.struct(name.alias("key"), note.alias("value"))
 
     return _first_entries(F.filter(F.transform(found, entry), lambda e: e["value"] != ""))
 

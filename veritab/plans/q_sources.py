@@ -197,7 +197,7 @@ def x24_model_text(spark, root):
 
 @_q("x23_plain_sql",
     "SELECT p_partkey AS id, concat('-- @description: ', p_name, ' model', chr(10), chr(10), 'select a.id AS id_', p_size, ', -- key of ', p_name,"
-    " chr(10), ' a.v as v from base_', p_size, ' a join {{ ref(\"pkg\", \"dim_', p_partkey % 7, '\") }} b on a.id = b.id join t', p_partkey,"
+    " chr(10), ' a.v as v from base_', p_size, ' a join dim_', p_partkey % 7, ' b on a.id = b.id join t', p_partkey,"
     " ' c where d = ''day'' and n in _this_', chr(10), chr(10), 'limit 5') AS plain FROM part")
 def x23_plain_sql(spark, root):
     return load(spark, root, "part").select("p_partkey", F.expr(MODEL_TEXT).alias("t")).select(
@@ -374,6 +374,18 @@ def _jobs(spark, root):
         "case when query_id % 4 = 0 then 'load_ch' else 'preprocess' end as subtype")
 
 
+_TWO = ("concat('INSERT INTO a_', p_partkey, ' SELECT x FROM b_', p_partkey, ' -- from z', chr(10), '; insert into `c`.d_', p_size,"
+        " ' select '';'' as s from w.e.f.g_', p_partkey, ', \"H i\" h where k in (select k from j)')")
+
+
+@_q("j15_two_statements",
+    "SELECT concat('b_', p_partkey) AS upstream_fqn, concat('a_', p_partkey) AS downstream_fqn, p_partkey AS job_id FROM part UNION ALL"
+    " SELECT unnest([concat('w.e.f.g_', p_partkey), 'h i', 'j']), concat('c.d_', p_size), p_partkey FROM part")
+def j15_two_statements(spark, root):
+    jobs = load(spark, root, "part").selectExpr("p_partkey as path", f"{_TWO} as sql", "1 as stage", "'x' as subtype")
+    return exports.job_edges(jobs).select("upstream_fqn", "downstream_fqn", "job_id")
+
+
 @_q("j15_job_edges", oracle(
     "SELECT concat('src.', tname) AS upstream_fqn, concat('sink_', p_size) AS downstream_fqn, 'flink_sql' AS transform_type, CASE WHEN"
     " query_id % 4 = 0 THEN 'load_ch' ELSE 'preprocess' END AS transform_subtype, CASE WHEN query_id % 4 = 0 THEN 5 ELSE 1 END AS pipeline_stage,"
@@ -427,11 +439,11 @@ def w1_task_chain(spark, root):
 
 
 @_q("j1_resolve_references", oracle(
-    "WITH refs AS (SELECT query_id, CASE query_id % 10 WHEN 1 THEN concat(sname, '.', tname) WHEN 6 THEN concat('src.', tname) ELSE tname END AS ref,"
-    " query_id AS k FROM sql_log WHERE query_id % 10 <> 9) SELECT query_id, ref, f.fqn, a.id AS table_id FROM (SELECT *, lower(CASE WHEN ref LIKE '%.%'"
-    " THEN concat('shop-brand2.d1.', ref) ELSE concat('shop-brand2.d1.economy.', ref) END) AS fqn FROM refs) f LEFT JOIN assets a ON a.fqn = f.fqn",
+    "WITH one AS (SELECT query_id, unnest(CASE query_id % 10 WHEN 1 THEN [concat(sname, '.', tname)] WHEN 5 THEN [tname, concat('missing_', p_size)]"
+    " WHEN 6 THEN [concat('sink_', p_size), concat('src.', tname)] WHEN 7 THEN [tname, 'x'] WHEN 9 THEN [] ELSE [tname] END) AS ref FROM sql_log)"
+    " SELECT query_id, ref, f.fqn, a.id AS table_id FROM (SELECT *, lower(CASE WHEN ref LIKE '%.%' THEN concat('shop-brand2.d1.', ref) ELSE"
+    " concat('shop-brand2.d1.economy.', ref) END) AS fqn FROM one) f LEFT JOIN assets a ON a.fqn = f.fqn",
     "sql_log", "assets"))
 def j1_resolve_references(spark, root):
     refs = d.sql_log(spark, root).select("query_id", F.explode(sqltext.table_references(F.col("sql"))).alias("ref"))
-    known = refs.filter("ref not like 'missing%' and ref not like 'sink%' and ref not in ('x', 'fake_table')")
-    return lineage.resolve_references(known, d.assets(spark, root), "shop-brand2", "d1", "economy")
+    return lineage.resolve_references(refs, d.assets(spark, root), "shop-brand2", "d1", "economy")

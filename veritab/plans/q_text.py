@@ -165,7 +165,7 @@ def x11_split_names(spark, root):
 
 @_q("x13_table_references", oracle(
     "SELECT query_id, string_agg(r, ',' ORDER BY r) AS refs FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(sql,"
-    " '(?i)\\b(?:from|join|into|update)\\s+((?:[a-zA-Z_]\\w*\\.){0,2}[a-zA-Z_]\\w*)', 1))) AS r FROM sql_log) GROUP BY 1", "sql_log"))
+    " '(?i)\\b(?:from|join|into|update)\\s+((?:[a-zA-Z_]\\w*\\.){0,2}[a-zA-Z_]\\w*)', 1))) AS r FROM sql_log) WHERE r <> 'fake_table' GROUP BY 1", "sql_log"))
 def x13_table_references(spark, root):
     refs = F.array_sort(sqltext.table_references(F.col("sql")))
     return d.sql_log(spark, root).select("query_id", F.array_join(refs, ",").alias("refs")).filter("refs <> ''")
@@ -224,7 +224,8 @@ def x18_safety(spark, root):
 
 
 @_q("x19_limits", oracle(
-    "SELECT query_id, CASE query_id % 10 WHEN 1 THEN replace(sql, 'limit 50000', 'LIMIT 1000') WHEN 5 THEN sql WHEN 8 THEN concat(rtrim(sql, ';'), ' LIMIT 1000')"
+    "SELECT query_id, CASE query_id % 10 WHEN 1 THEN replace(sql, 'limit 50000', 'LIMIT 1000') WHEN 4 THEN concat('SELECT a FROM ', tname, ' LIMIT 1000') WHEN 5 THEN"
+    " replace(sql, '/* update */ ', '') WHEN 8 THEN concat(rtrim(sql, ';'), ' LIMIT 1000')"
     " ELSE concat(sql, ' LIMIT 1000') END AS sql, CASE query_id % 10 WHEN 1 THEN 'clamped LIMIT 50000 -> 1000' WHEN 5 THEN 'LIMIT 20 ok' ELSE 'injected LIMIT' END"
     " AS note FROM sql_log", "sql_log"))
 def x19_limits(spark, root):
@@ -242,6 +243,55 @@ def x20_registered_tables(spark, root):
     return out.select("query_id", "allowed", F.array_join("missing", ",").alias("missing"))
 
 
+# Texts that only a look at literals, quoted names and comments tells apart; @ stands for a table of the
+# catalog, # for its full name. With each: is it allowed, what a limit makes of it, and tables not in the catalog.
+HARD_TEXTS = [
+    ("SELECT '--', 1; DROP TABLE @", False, None, ""),
+    ("SELECT '/*' ; DROP TABLE @; SELECT '*/'", False, None, ""),
+    ("SELECT 1/**/; DROP/**/TABLE @", False, None, ""),
+    ("SELECT a FROM @ WHERE b = 'open", False, None, ""),
+    ("SELECT '\\' ; DROP TABLE @; -- '", False, None, ""),
+    ("SELECT 'please delete me' AS a FROM @", True, "SELECT 'please delete me' AS a FROM @ LIMIT 1000", ""),
+    ("SELECT ';' AS a, 'it''s' AS \"drop\" FROM @", True, "SELECT ';' AS a, 'it''s' AS \"drop\" FROM @ LIMIT 1000", ""),
+    ("SELECT a FROM @ -- note", True, "SELECT a FROM @ LIMIT 1000", ""),
+    ("SELECT a FROM @ LIMIT 50000 OFFSET 5", True, "SELECT a FROM @ LIMIT 1000 OFFSET 5", ""),
+    ("SELECT a FROM @ LIMIT 5, 50000 /* end */", True, "SELECT a FROM @ LIMIT 5, 1000", ""),
+    ("SELECT a FROM @ OFFSET 2 ROWS FETCH NEXT 50000 ROWS ONLY", True, "SELECT a FROM @ OFFSET 2 ROWS FETCH NEXT 1000 ROWS ONLY", ""),
+    ("SELECT a FROM # u", True, "SELECT a FROM # u LIMIT 1000", ""),
+    ("SELECT a FROM `secret`.`t t`", True, "SELECT a FROM `secret`.`t t` LIMIT 1000", "secret.t t"),
+    ("SELECT a FROM \"secret\"", True, "SELECT a FROM \"secret\" LIMIT 1000", "secret"),
+    ("SELECT f(a, b) x, y FROM @, secret s, (SELECT k, extract(year FROM d) FROM deep.er, @ o) q JOIN z-1.w ON q.a = s.b, last_one WHERE 1 = 1",
+     True, "SELECT f(a, b) x, y FROM @, secret s, (SELECT k, extract(year FROM d) FROM deep.er, @ o) q JOIN z-1.w ON q.a = s.b, last_one WHERE 1 = 1"
+     " LIMIT 1000", "deep.er,last_one,secret,z-1.w"),
+]
+
+
+def _hard(which, engine="spark"):
+    def text(v):
+        if v is None:
+            return "NULL"
+        quoted = v.replace("\\", "\\\\") if engine == "spark" else v
+        mark = "\\'" if engine == "spark" else "''"
+        return "'" + quoted.replace("'", mark) + "'"
+
+    if which == 1:
+        return "CASE query_id % 15 " + " ".join(f"WHEN {i} THEN {str(t[1]).lower()}" for i, t in enumerate(HARD_TEXTS)) + " END"
+    cases = " ".join(f"WHEN {i} THEN {text(t[which])}" for i, t in enumerate(HARD_TEXTS))
+    return f"replace(replace(CASE query_id % 15 {cases} END, '@', name), '#', fqn)"
+
+
+@_q("x18_hard_texts", oracle(
+    f"SELECT query_id, {_hard(1)} AS allowed, {_hard(2, 'duck')} AS sql, {_hard(3, 'duck')} AS missing FROM (SELECT id AS query_id, name, fqn FROM assets)",
+    "assets"))
+def x18_hard_texts(spark, root):
+    assets = d.assets(spark, root)
+    texts = assets.selectExpr("id as query_id", "name", "fqn").select("query_id", F.expr(_hard(0)).alias("sql"))
+    missing = sqltext.unregistered_tables(texts, assets).select("query_id", F.array_join("missing", ",").alias("missing"))
+    allowed = sqltext.safety_verdict(F.col("sql"))["allowed"]
+    limited = F.when(allowed, sqltext.clamp_limit(F.col("sql"))["sql"])
+    return texts.select("query_id", allowed.alias("allowed"), limited.alias("sql")).join(missing, "query_id")
+
+
 @_q("x21_pii_columns", oracle(
     "SELECT l.query_id, count(c.id) = 0 AS allowed, coalesce(max(CASE WHEN c.id IS NOT NULL THEN concat(l.cname, '(', c.pii_class, ')') END), '') AS pii_columns, count(c.id) AS n_columns"
     " FROM sql_log l LEFT JOIN cols c ON c.name = l.cname AND c.pii_class <> 'none' AND l.query_id % 10 IN (0, 5, 8) GROUP BY 1", "sql_log", "cols"))

@@ -137,19 +137,22 @@ def merge_declarations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def job_edges(jobs: DataFrame) -> DataFrame:
-    """Source x sink edges of one-statement jobs <path, sql, stage, subtype>.
+    """Source x sink edges of jobs <path, sql, stage, subtype>, statement by statement.
 
-    A statement names a few tables, so the product per job is small. The sink
-    counts among the sources in the text; self edges are dropped.
+    A statement names a few tables, so the product per statement is small. The sink
+    counts among the sources in the text; self edges are dropped. An edge that several statements
+    of a path make is one, with the least stage and subtype.
     """
-    rows = jobs.select(
+    one = jobs.select("path", "stage", "subtype", F.explode(sqltext.statements(F.col("sql"))).alias("statement"))
+    rows = one.select(
         "path", "stage", "subtype",
-        F.lower(sqltext.write_target(F.col("sql"))).alias("downstream_fqn"),
-        F.explode(sqltext.statement_sources(F.col("sql"))).alias("src"),
+        F.lower(sqltext.write_target(F.col("statement"))).alias("downstream_fqn"),
+        F.explode(sqltext.statement_sources(F.col("statement"))).alias("src"),
     ).withColumn("upstream_fqn", F.lower("src"))
     return (
         rows.filter(F.col("downstream_fqn").isNotNull() & (F.col("upstream_fqn") != F.col("downstream_fqn")))
-        .dropDuplicates(["upstream_fqn", "downstream_fqn", "path"])
+        .groupBy("upstream_fqn", "downstream_fqn", "path").agg(F.min(F.struct("stage", "subtype")).alias("first"))
+        .select("upstream_fqn", "downstream_fqn", "path", "first.*")
         .select(
             "upstream_fqn", "downstream_fqn",
             F.lit("flink_sql").alias("transform_type"),
