@@ -370,17 +370,14 @@ def test_drop_outranked(spark):
     assert rows(lineage.drop_outranked(c, e), "upstream_column_id") == [("c",)]
 
 
-def test_facets_of_a_large_table_come_in_parts(spark):
+def test_a_document_for_each_column(spark):
     e = spark.createDataFrame(
         [(1, f"c{i % 3}", "ns", f"t{i}", "f", "direct", None, None) for i in range(500)],
         "downstream_id long, downstream_col string, upstream_namespace string, upstream_name string, upstream_col string, transform_type string, description string, transform_expression string")
-    whole = documents.column_lineage_fields(e)
-    parts = documents.column_lineage_fields(e, per_part=50)
-    flat = lambda f: rows(f.select("downstream_col", F.explode("inputFields").alias("i")).select("downstream_col", "i.*"))
-    assert whole.select("part").distinct().count() == 1 and parts.select("part").distinct().count() == 10
-    assert flat(whole) == flat(parts) and len(flat(whole)) == 500
-    t = spark.createDataFrame([(1, "s.d.c.t", "t", None, None)], "id long, fqn string, name string, description string, ol_namespace string")
-    assert documents.dataset_documents(t, parts).count() == 10
+    fields = documents.column_lineage_fields(e)
+    assert fields.select(F.explode("inputFields")).count() == 500
+    t = spark.createDataFrame([(1, "s.d.c.t", "t", None, None), (2, "s.d.c.u", "u", None, None)], "id long, fqn string, name string, description string, ol_namespace string")
+    assert rows(documents.dataset_documents(t, fields), "id", "column") == [(1, "c0"), (1, "c1"), (1, "c2"), (2, None)]
 
 
 def test_registry_refuses_downgrade():

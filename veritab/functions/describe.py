@@ -239,12 +239,6 @@ def value_pattern_scan(df: DataFrame, text: str) -> DataFrame:
     return found.agg(*sums).select(F.inline(rows))
 
 
-def truncate(text: Column, n: int) -> Column:
-    """At most n characters, an ellipsis of three dots counted in; null becomes ''."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 3), F.lit("...")))
-
-
 def _fill(template: str, values: dict[str, Column]) -> Column:
     parts = []
     for literal, field, _, _ in Formatter().parse(template):
@@ -264,8 +258,8 @@ def edge_description() -> Column:
     """
     component = F.when(F.coalesce(F.col("component"), F.lit("")) == "", "sql").otherwise(F.col("component"))
     ttype, subtype = F.col("transform_type"), F.coalesce(F.col("transform_subtype"), F.lit(""))
-    expr = truncate(F.col("transform_expression"), 100)
-    glimpse = truncate(F.replace(F.coalesce(F.col("sql"), F.lit("")), F.lit("\n"), F.lit(" ")), 80)
+    expr = F.coalesce("transform_expression", F.lit(""))
+    glimpse = F.replace(F.coalesce(F.col("sql"), F.lit("")), F.lit("\n"), F.lit(" "))
     job, up, down = F.coalesce(F.col("job_id"), F.lit("")), F.col("upstream_fqn"), F.col("downstream_fqn")
     shown_columns = F.when(expr != "", expr).otherwise("(all)")
     common = {
@@ -320,7 +314,7 @@ def propagated_description(edge_text: Column) -> Column:
     """Text a column edge inherits from its table edge."""
     return F.concat(
         F.lit("["), F.col("transform_type"), F.lit("] "), edge_text, F.lit(" (列 "),
-        F.substring(F.coalesce(F.col("transform_expression"), F.lit("")), 1, 60), F.lit(")"),
+        F.coalesce(F.col("transform_expression"), F.lit("")), F.lit(")"),
     )
 
 
@@ -328,7 +322,7 @@ def column_edge_description(
     ttype: Column, expr: Column, up: Column, up_type: Column, down: Column, down_type: Column
 ) -> Column:
     """Description of a column edge by its transform type."""
-    e60, e80, arrow = F.substring(expr, 1, 60), F.substring(expr, 1, 80), F.lit(" → ")
+    arrow = F.lit(" → ")
     types = F.concat(up_type, arrow, down_type)
 
     def say(*parts):
@@ -336,14 +330,14 @@ def column_edge_description(
 
     return (
         F.when(ttype == "direct", say("原样透传 ", up, " (类型 ", types, ")"))
-        .when(ttype == "cast", say("由 ", up, " 转换类型至 ", down_type, " (", e60, ")"))
+        .when(ttype == "cast", say("由 ", up, " 转换类型至 ", down_type, " (", expr, ")"))
         .when(ttype == "rename", say("重命名 ", up, " → ", down))
-        .when(ttype == "aggregation", say("聚合表达式 ", e80, " 生成 ", down))
-        .when(ttype == "window", say("窗口函数 ", e80, " → ", down))
-        .when(ttype == "arithmetic", say("算术运算 ", e60, " → ", down))
-        .when(ttype == "function", say("函数调用 ", e60, " → ", down, " (", types, ")"))
-        .when(ttype == "expression", say("派生表达式 ", e80, " → ", down))
-        .when(ttype == "derivation", say("由上游 ", up, " 派生 ", down, " (", e60, ")"))
+        .when(ttype == "aggregation", say("聚合表达式 ", expr, " 生成 ", down))
+        .when(ttype == "window", say("窗口函数 ", expr, " → ", down))
+        .when(ttype == "arithmetic", say("算术运算 ", expr, " → ", down))
+        .when(ttype == "function", say("函数调用 ", expr, " → ", down, " (", types, ")"))
+        .when(ttype == "expression", say("派生表达式 ", expr, " → ", down))
+        .when(ttype == "derivation", say("由上游 ", up, " 派生 ", down, " (", expr, ")"))
         .when(ttype == "passthrough", say("透传 ", up))
         .otherwise(say(up, " → ", down, " (", ttype, ")"))
     )

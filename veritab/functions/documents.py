@@ -39,25 +39,8 @@ def dataset_namespace(fqn: Column, explicit: Column) -> Column:
     return F.coalesce(explicit, F.concat(parts[0], F.lit("://"), F.coalesce(F.get(parts, F.lit(1)), F.lit("default"))))
 
 
-# Column edges of one table that go into one document.
-EDGES_PER_PART = 100_000
-
-
-def in_parts(column_edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
-    """Number the column edges of each downstream table into parts of about ``per_part``.
-
-    A table with very many edges is told in several documents, which a reader of
-    run events adds up; no document, and no task, has to hold all of them.
-    """
-    sizes = column_edges.groupBy("downstream_id").agg(
-        F.ceil(F.count("*") / per_part).cast("bigint").alias("n_parts")
-    )
-    spot = F.xxhash64("upstream_namespace", "upstream_name", "upstream_col", "downstream_col")
-    return column_edges.join(sizes, "downstream_id").withColumn("part", F.pmod(spot, F.col("n_parts"))).drop("n_parts")
-
-
-def column_lineage_fields(column_edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
-    """One row per downstream column (and part): its distinct inputs and transformations.
+def column_lineage_fields(column_edges: DataFrame) -> DataFrame:
+    """One row per downstream column: its distinct inputs and transformations.
 
     Input rows carry downstream_id, downstream_col, upstream_name,
     upstream_namespace, upstream_col, transform_type, description and
@@ -76,16 +59,17 @@ def column_lineage_fields(column_edges: DataFrame, per_part: int = EDGES_PER_PAR
         F.coalesce("transform_expression", F.lit("")).alias("expression"),
         F.lit(False).alias("masking"),
     )
-    return in_parts(column_edges, per_part).groupBy("downstream_id", "part", "downstream_col").agg(
+    return column_edges.groupBy("downstream_id", "downstream_col").agg(
         F.array_sort(F.collect_set(field)).alias("inputFields"),
         F.array_sort(F.collect_set(transformation)).alias("transformations"),
     )
 
 
 def dataset_documents(assets: DataFrame, fields: DataFrame | None, producer: str = PRODUCER) -> DataFrame:
-    """Dataset rows <id, part, dataset> with documentation and, for outputs, column lineage.
+    """Dataset rows <id, column, dataset> with documentation and, for outputs, column lineage.
 
-    A table has one row per part of its fields, and one if it has no fields.
+    A table has one document for each column with lineage, whatever their number, which a reader of run
+    events adds up; a table without any has one document, with a null column.
     """
     documentation = F.struct(
         F.lit(producer).alias("_producer"), F.coalesce("description", F.lit("")).alias("description")
@@ -97,22 +81,18 @@ def dataset_documents(assets: DataFrame, fields: DataFrame | None, producer: str
         documentation.alias("documentation"),
     )
     if fields is None:
-        base = base.withColumn("part", F.lit(0).cast("bigint"))
+        base = base.withColumn("column", F.lit(None).cast("string"))
         facets = F.struct("documentation")
     else:
-        per_table = fields.groupBy("downstream_id", "part").agg(
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("downstream_col", F.struct("inputFields", "transformations"))))
-            ).alias("fields")
-        )
-        base = base.join(per_table, base.id == per_table.downstream_id, "left").withColumn(
-            "part", F.coalesce("part", F.lit(0).cast("bigint"))
-        )
+        each = fields.select(
+            "downstream_id", F.col("downstream_col").alias("column"),
+            F.create_map("downstream_col", F.struct("inputFields", "transformations")).alias("fields"))
+        base = base.join(each, base.id == each.downstream_id, "left")
         lineage = F.when(
             F.col("fields").isNotNull(), F.struct(F.lit(producer).alias("_producer"), F.col("fields"))
         )
         facets = F.struct("documentation", lineage.alias("columnLineage"))
-    return base.select("id", "part", F.struct("namespace", "name", facets.alias("facets")).alias("dataset"))
+    return base.select("id", "column", F.struct("namespace", "name", facets.alias("facets")).alias("dataset"))
 
 
 def run_event_document(
@@ -150,7 +130,7 @@ def model_reply(content: Column) -> Column:
     readable = F.try_parse_json(body).isNotNull() & (braces != "")
     parsed = F.from_json(body, "description string, confidence double, tier string")
     fallback = F.struct(
-        F.substring(body, 1, 200).alias("description"),
+        body.alias("description"),
         F.lit(0.4).alias("confidence"),
         F.lit("normal").alias("tier"),
     )

@@ -28,7 +28,8 @@ def adjacent_value(df: DataFrame, key: str, bucket: Column, order: list[str], va
     edges = rows.groupBy(key, "_b").agg(pick(value, F.struct(*order)).alias("_v"))
     edges = edges.withColumn("_far", step("_v").over(across)).drop("_v")
     return (
-        local.join(edges, [key, "_b"])
+        local.join(edges, local[key].eqNullSafe(edges[key]) & local["_b"].eqNullSafe(edges["_b"]))
+        .drop(edges[key], edges["_b"])
         .withColumn(out, F.when(F.col("_has").isNotNull(), F.col("_near")).otherwise(F.col("_far")))
         .drop("_b", "_near", "_has", "_far")
     )

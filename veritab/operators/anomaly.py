@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.adjacent import one_row
@@ -48,25 +48,19 @@ def volume_drift(snapshots: DataFrame, as_of) -> DataFrame:
 
 
 def null_spike(profiles: DataFrame) -> DataFrame:
-    """Tables with declared-not-null columns above 10 % nulls; the first ten are listed.
+    """Tables with declared-not-null columns above 10 % nulls, and all those columns.
 
-    Input: <table_id, name, ordinal, nullable, null_ratio>.
+    Input: <table_id, name, ordinal, nullable, null_ratio>. A finding holds as many
+    columns as its table has at most.
     """
     bad = profiles.filter(~F.col("nullable") & (F.col("null_ratio") > NULL_LIMIT))
-    w = Window.partitionBy("table_id").orderBy("ordinal", "name")
-    listed = (
-        bad.withColumn("i", F.row_number().over(w))
-        .filter(F.col("i") <= 10)
-        .groupBy("table_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("i", F.col("name").alias("column"), F.round("null_ratio", 4).alias("null_ratio")))
-            ).alias("l")
-        )
+    listed = bad.groupBy("table_id").agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct(
+            "ordinal", F.col("name").alias("column"), F.round("null_ratio", 4).alias("null_ratio")))).alias("l"),
     )
-    counts = bad.groupBy("table_id").agg(F.count("*").alias("n"))
     shown = F.transform("l", lambda s: F.struct(s["column"].alias("column"), s["null_ratio"].alias("null_ratio")))
-    return counts.join(listed, "table_id").select(
+    return listed.select(
         "table_id", F.lit("null_spike").alias("kind"),
         F.when(F.col("n") >= 3, "high").otherwise("medium").alias("severity"),
         F.to_json(F.struct(shown.alias("affected_columns"))).alias("details"),
@@ -82,21 +76,11 @@ def new_pii_columns(columns: DataFrame, as_of) -> DataFrame:
 
 
 def pii_escalation(columns: DataFrame, as_of) -> DataFrame:
-    """Tables that got PII columns in the last seven days.
-
-    A finding tells how many and shows the first ten by name; ``new_pii_columns``
-    has all of them as rows, however wide the table is.
-    """
-    fresh = new_pii_columns(columns, as_of)
-    w = Window.partitionBy("table_id").orderBy("name")
-    shown = (
-        fresh.withColumn("i", F.row_number().over(w))
-        .filter(F.col("i") <= 10)
-        .groupBy("table_id")
-        .agg(F.array_sort(F.collect_list(F.struct("name", "pii_class"))).alias("new_pii_columns"))
-    )
-    counts = fresh.groupBy("table_id").agg(F.count("*").alias("n"))
-    return counts.join(shown, "table_id").select(
+    """Tables that got PII columns in the last seven days, with all of these columns by name;
+    ``new_pii_columns`` has them as rows."""
+    found = new_pii_columns(columns, as_of).groupBy("table_id").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("name", "pii_class"))).alias("new_pii_columns"))
+    return found.select(
         "table_id", F.lit("pii_escalation").alias("kind"), F.lit("high").alias("severity"),
         F.to_json(F.struct("n", "new_pii_columns")).alias("details"),
         F.lit(ACTION_PII).alias("suggested_action"),
@@ -161,46 +145,46 @@ def average_health(scores: DataFrame) -> DataFrame:
 
 
 def digest(failed: DataFrame, suggestions: DataFrame, assets: DataFrame, as_of, days: int = 7,
-           max_findings: int = 20, service: str = "") -> DataFrame:
+           newest: int | None = None, sample: int = 5, service: str = "") -> DataFrame:
     """Findings digest: failed rules, suggestion backlog, undescribed critical and unhealthy tables.
 
-    ``failed`` is lineage.failed_results. Rows: <kind, severity, n, sample>.
+    ``failed`` is lineage.failed_results. Rows: <kind, severity, n, sample>. Every failure has a row, or the
+    ``newest`` ones if that is given; the row ``quality_failed_total`` counts them all. The other kinds have one row
+    with a full count and the names of the first ``sample`` tables.
     """
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
     mine = assets.filter(F.startswith("fqn", F.lit(service + "."))) if service else assets
     active = mine.filter(F.col("status") == "active")
-    quality = (
-        failed.orderBy(F.desc("created_at"), "rule_id")
-        .limit(max_findings)
-        .select(
-            F.lit(1).alias("o"), F.lit("quality_failed").alias("kind"), "severity", F.lit(1).cast("bigint").alias("n"),
-            F.concat_ws(" | ", "table_fqn", "rule", "message").alias("sample"),
-        )
+    listed = failed if newest is None else failed.orderBy(F.desc("created_at"), "rule_id", "message").limit(newest)
+    quality = listed.select(
+        F.lit("quality_failed").alias("kind"), "severity", F.lit(1).cast("bigint").alias("n"),
+        F.concat_ws(" | ", "table_fqn", "rule", "message").alias("sample"),
     )
+    total = failed.agg(F.count("*").alias("n")).filter(F.col("n") > 0).select(
+        F.lit("quality_failed_total").alias("kind"), F.lit("warning").alias("severity"), "n", F.lit("").alias("sample"))
     backlog = suggestions.filter((F.col("status") == "pending") & (F.col("created_at") >= since)).agg(
         F.count("*").alias("n"), F.min("created_at").alias("oldest")
     )
     backlog = backlog.filter(F.col("n") > 0).select(
-        F.lit(2).alias("o"), F.lit("pending_suggestions").alias("kind"), F.lit("info").alias("severity"), "n",
+        F.lit("pending_suggestions").alias("kind"), F.lit("info").alias("severity"), "n",
         F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("sample"),
     )
 
-    def counted(df, order, kind, sample):
-        """Count, and the first five by name."""
+    def counted(df, kind, text):
+        """Count, and the first few by name."""
         n = df.agg(F.count("*").alias("n"))
-        top = df.orderBy("fqn").limit(5).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fqn", sample.alias("s")))), lambda s: s["s"]), ", ").alias("sample")
+        top = df.orderBy("fqn").limit(sample).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fqn", text.alias("s")))), lambda s: s["s"]), ", ").alias("sample")
         )
         return one_row(n, top).filter(F.col("n") > 0).select(
-            F.lit(order).alias("o"), F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "sample"
+            F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "sample"
         )
 
     undescribed = counted(
-        active.filter((F.col("tier") == "critical") & F.col("description").isNull()), 3, "critical_no_description", F.col("fqn")
+        active.filter((F.col("tier") == "critical") & F.col("description").isNull()), "critical_no_description", F.col("fqn")
     )
     unhealthy = counted(
-        active.filter(F.col("health_score") < 60), 4, "low_health",
+        active.filter(F.col("health_score") < 60), "low_health",
         F.concat("fqn", F.lit("="), F.col("health_score").cast("string")),
     )
-    rows = quality.unionByName(backlog).unionByName(undescribed).unionByName(unhealthy)
-    return rows.orderBy("o", "sample").limit(max_findings).drop("o")
+    return quality.unionByName(total).unionByName(backlog).unionByName(undescribed).unionByName(unhealthy)

@@ -106,8 +106,8 @@ def report(results: DataFrame) -> DataFrame:
 
 
 def issue_patterns(results: DataFrame, k: int = 5) -> DataFrame:
-    """The k most frequent issue heads (text before ':', 60 characters)."""
-    head = F.substring(F.trim(F.substring_index("issue", ":", 1)), 1, 60)
+    """The k most frequent issue heads, the texts before ':'."""
+    head = F.trim(F.substring_index("issue", ":", 1))
     return (
         results.select(F.explode("issues").alias("issue"))
         .groupBy(head.alias("pattern"))

@@ -186,8 +186,8 @@ def search(q: str, limit: int, assets: DataFrame, owners: DataFrame, tags: DataF
            suggestions: DataFrame, cases: DataFrame) -> DataFrame:
     """Search hits of six kinds: <kind, id, title, score>, best first.
 
-    Every kind keeps max(3, limit // 4) hits by its own order before the merge;
-    ties are broken by (kind, id).
+    Every kind keeps its best max(3, limit // 4) hits, of equal scores those first by its own order;
+    ties in the whole are broken by (kind, id).
     """
     per = max(3, limit // 4)
 
@@ -197,11 +197,12 @@ def search(q: str, limit: int, assets: DataFrame, owners: DataFrame, tags: DataF
             cond = cond | _contains(f, q)
         return (
             df.filter(cond)
-            .orderBy(*order)
+            .withColumn("_score", search_score(scored, q))
+            .orderBy(F.desc("_score"), *order)
             .limit(per)
             .select(
                 F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), title.alias("title"),
-                search_score(scored, q).alias("score"),
+                F.col("_score").alias("score"),
             )
         )
 

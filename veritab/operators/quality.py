@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ def _empty(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c).cast("string") == "")
 
 
-def _short(c: str) -> Column:
-    """A value as text; long texts are told apart by their SHA-256, to shuffle less."""
+def _told(c: str) -> Column:
+    """SHA-256 of a value as text, so that any value shuffles alike; null and empty stay as they are."""
     text = F.col(c).cast("string")
-    return F.when(F.length(text) > 64, F.concat(F.lit("\0"), F.sha2(text, 256))).otherwise(text)
+    return F.when(text != "", F.unhex(F.sha2(text, 256))).otherwise(text.cast("binary"))
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -40,12 +42,12 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """
     if exact:
         pairs = df.select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _short(c).alias("value")) for c in df.columns]))
+            F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _told(c).alias("value")) for c in df.columns]))
         )
         counted = pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
         stats = counted.groupBy("column_name").agg(
             F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("value").isNull() | (F.col("value") == ""), F.col("n")).otherwise(0)).alias("empty"),
+            F.sum(F.when(F.col("value").isNull() | (F.octet_length("value") == 0), F.col("n")).otherwise(0)).alias("empty"),
             F.count("value").alias("distinct_count"),
         )
     else:
@@ -123,7 +125,12 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
         limit = int(d.get("threshold_minutes") or 60)
         if not usable(column):
             return _constant(f"bad col: {column}")
-        last = metric(f"max:{column}", F.max(column).cast("timestamp"))
+        kind = df.schema[column].dataType.simpleString()
+        if kind not in ("timestamp", "timestamp_ntz", "date", "string"):
+            return _constant(f"no time col: {column}", limit)
+        # A text that is no time counts as none, and stops no other rule.
+        time = F.try_to_timestamp(column) if kind == "string" else F.col(column)
+        last = metric(f"max:{column}", F.max(time).cast("timestamp"))
         age = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(last)) / 60)
         text = F.concat(F.lit(f"last {column} "), age.cast("string"), F.lit(f"m ago (limit {limit}m)"))
         return (
@@ -169,40 +176,66 @@ def _result(rule: Rule, status: str, passed, observed, threshold, message) -> Co
         passed.alias("passed"),
         observed.alias("observed"),
         threshold.alias("threshold"),
-        F.substring(message, 1, 1024).alias("message"),
+        message.alias("message"),
     )
 
 
-def _custom_result(spark: SparkSession, rule: Rule) -> DataFrame:
-    """Rows returned by a user query; it passes on none. The query is screened first."""
+def _custom_results(spark: SparkSession, rules: list[Rule]) -> list[Column]:
+    """Results of user queries; one passes if it returns no rows.
+
+    All texts are screened by one job. Then each query that may run is counted on its own, as it has its
+    own sources and its errors must stop no other rule; only its count comes back.
+    """
+    texts = [(i, r.definition.get("sql") or None) for i, r in enumerate(rules)]
+    screened = spark.createDataFrame(texts, "i int, sql string").select("i", safety_verdict(F.col("sql"))["reason"].alias("reason"))
+    reasons = {r.i: r.reason for r in screened.collect()}
+    out = []
+    for i, rule in enumerate(rules):
+        if not texts[i][1]:
+            out.append(_result(rule, "checked", *_constant("missing sql", 0)))
+        elif reasons[i]:
+            out.append(_result(rule, "checked", *_constant(f"sql: {reasons[i]}", 0)))
+        else:
+            try:
+                n = spark.sql(texts[i][1]).count()
+            except (PySparkException, Py4JJavaError) as error:
+                out.append(_result(rule, "checked", *_constant(f"sql: {str(error).splitlines()[0]}", 0)))
+            else:
+                out.append(_result(rule, "checked", F.lit(n == 0), _number(n), _number(0), F.lit(f"custom check returned {n} rows")))
+    return out
+
+
+def rules_of(table: DataFrame, table_fqn: str | None = None, rule_ids: list[str] | None = None) -> list[Rule]:
+    """Enabled rules of a rule table <id, table_fqn, rule_type, definition (JSON), enabled>, of one table or by id if asked."""
+    chosen = table.filter(F.col("enabled"))
+    if table_fqn is not None:
+        chosen = chosen.filter(F.col("table_fqn") == table_fqn)
+    if rule_ids is not None:
+        chosen = chosen.filter(F.col("id").cast("string").isin(rule_ids))
+    rows = chosen.select(F.col("id").cast("string").alias("id"), "table_fqn", "rule_type", "definition").orderBy("id").collect()
+    return [Rule(r.id, r.table_fqn, r.rule_type, _definition(r.definition)) for r in rows]
 
-    def failed(message):
-        return spark.range(1).select(_result(rule, "checked", *_constant(message, 0)).alias("r")).select("r.*")
 
-    text = rule.definition.get("sql")
-    if not text:
-        return failed("missing sql")
-    verdict = spark.range(1).select(safety_verdict(F.lit(text)).alias("v")).first()["v"]
-    if not verdict["allowed"]:
-        return failed(f"sql: {verdict['reason']}")
+def _definition(text: str | None) -> dict:
+    """A rule's definition; one that is no JSON object is empty, so its rule fails by itself."""
     try:
-        n = spark.sql(text).agg(F.count(F.lit(1)).alias("n"))
-    except (AnalysisException, ParseException) as error:
-        return failed(f"sql: {str(error).splitlines()[0][:200]}")
-    text = F.concat(F.lit("custom check returned "), F.col("n").cast("string"), F.lit(" rows"))
-    row = _result(rule, "checked", F.col("n") == 0, F.col("n").cast("double"), F.lit(0.0), text)
-    return n.select(row.alias("r")).select("r.*")
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
 
 
 def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rule], as_of: datetime) -> DataFrame:
     """Result rows of all enabled rules.
 
     The rules of one table share a single aggregate over one scan of it; custom
-    queries run on their own. A rule that cannot run gives a failed or skipped row.
+    queries run on their own. A rule that cannot run gives a failed or skipped row
+    and stops no other.
     """
     by_table: dict[str, list[Rule]] = {}
     parts: list[DataFrame] = []
     notes: list[Column] = []
+    custom: list[Rule] = []
     for rule in rules:
         if not rule.enabled:
             continue
@@ -212,7 +245,7 @@ def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rul
         elif len(rule.table_fqn.split(".")) != 4:
             notes.append(_result(rule, "checked", *_constant("bad fqn")))
         elif rule.rule_type == "custom":
-            parts.append(_custom_result(spark, rule))
+            custom.append(rule)
         else:
             by_table.setdefault(rule.table_fqn, []).append(rule)
     for fqn, group in by_table.items():
@@ -221,6 +254,8 @@ def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rul
         metrics.setdefault("rows", F.count(F.lit(1)))
         one = tables[fqn].agg(*[e.alias(n) for n, e in metrics.items()])
         parts.append(one.select(F.inline(F.array(*[_result(r, "checked", *c) for r, c in checks]))))
+    if custom:
+        notes += _custom_results(spark, custom)
     if notes:
         parts.append(spark.range(1).select(F.inline(F.array(*notes))))
     if not parts:

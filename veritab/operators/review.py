@@ -47,13 +47,14 @@ def decide(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Only a pending suggestion moves, and only by its first decision. That one is
     found by a partial aggregate, so many decisions on one id do not pile up.
+    Of decisions with one ``seq`` the least by action and actor is the first.
     """
-    first = decisions.groupBy("id").agg(F.min("seq").alias("first_seq"))
+    first = decisions.groupBy("id").agg(F.min(F.struct("seq", "action", "actor")).alias("first_decision"))
     state = suggestions.select("id", F.col("status").alias("old_status"))
     first_state = first.join(state, "id", "left")
     outcome = (
         F.when(F.col("old_status").isNull(), "missing")
-        .when((F.col("old_status") == "pending") & (F.col("seq") == F.col("first_seq")), "applied")
+        .when((F.col("old_status") == "pending") & (F.struct("seq", "action", "actor") == F.col("first_decision")), "applied")
         .otherwise("conflict")
     )
     status = F.when(F.col("action") == "approve", "approved").otherwise("rejected")
@@ -61,7 +62,7 @@ def decide(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
         decisions.join(first_state, "id", "left")
         .withColumn("outcome", outcome)
         .withColumn("new_status", F.when(F.col("outcome") == "applied", status).otherwise(F.col("old_status")))
-        .drop("first_seq")
+        .drop("first_decision")
     )
 
 
@@ -109,7 +110,7 @@ def table_updates(approved: DataFrame, assets: DataFrame) -> DataFrame:
     )
     return rows.join(assets.select(F.col("id").alias("target_id"), "description", "tier"), "target_id").select(
         F.col("target_id").alias("id"),
-        F.when(F.coalesce("d", F.lit("")) != "", F.substring("d", 1, 2048)).otherwise(F.col("description")).alias("description"),
+        F.when(F.coalesce("d", F.lit("")) != "", F.col("d")).otherwise(F.col("description")).alias("description"),
         F.when(F.col("t").isin(TIERS), F.col("t")).otherwise(F.col("tier")).alias("tier"),
     )
 

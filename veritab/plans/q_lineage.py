@@ -500,14 +500,17 @@ def x28_column_facets(spark, root):
 
 
 @_q("x28_output_datasets", oracle(
-    "SELECT a.id, concat(a.service, '://', a.database) AS namespace, a.name, coalesce(a.description, '') AS documentation, (SELECT count(DISTINCT"
-    " x.upstream_col) FROM cedges x WHERE x.downstream_id = a.id) AS n_fields FROM assets a WHERE a.id IN (SELECT downstream_id FROM edges)",
+    "SELECT a.id, concat(a.service, '://', a.database) AS namespace, a.name, coalesce(a.description, '') AS documentation, c.col AS column, coalesce(c.inputs, '') AS inputs FROM assets a"
+    " LEFT JOIN (SELECT x.downstream_id, x.upstream_col AS col, string_agg(DISTINCT concat(u.service, '://', u.database, '/', u.name, '.', x.upstream_col), ','"
+    " ORDER BY concat(u.service, '://', u.database, '/', u.name, '.', x.upstream_col)) AS inputs FROM cedges x JOIN assets u ON u.id = x.upstream_id GROUP BY 1, 2) c"
+    " ON c.downstream_id = a.id WHERE a.id IN (SELECT downstream_id FROM edges)",
     "assets", "edges", "cedges"))
 def x28_output_datasets(spark, root):
     ends = d.edges(spark, root).select(F.col("downstream_id").alias("id"))
     tables = d.assets(spark, root).withColumn("ol_namespace", F.lit(None).cast("string")).join(ends, "id", "left_semi")
     out = documents.dataset_documents(tables, documents.column_lineage_fields(_facet_edges(spark, root)))
-    fields = F.map_keys("dataset.facets.columnLineage.fields")
+    inputs = F.try_element_at("dataset.facets.columnLineage.fields", F.col("column"))["inputFields"]
+    text = F.array_sort(F.transform(inputs, lambda f: F.concat(f["namespace"], F.lit("/"), f["name"], F.lit("."), f["field"])))
     return out.select(
         "id", "dataset.namespace", "dataset.name", F.col("dataset.facets.documentation.description").alias("documentation"),
-        F.when(fields.isNull(), 0).otherwise(F.size(fields)).alias("n_fields"))
+        "column", F.coalesce(F.array_join(text, ","), F.lit("")).alias("inputs"))

@@ -131,14 +131,14 @@ _UC = (
 SEARCH = (
     "SELECT * FROM ("
     "(SELECT 'asset' AS kind, CAST(id AS VARCHAR) AS id, fqn AS title, " + _score("fqn") + " AS score FROM assets WHERE lower(fqn) LIKE '%ring%'"
-    " OR lower(name) LIKE '%ring%' OR lower(description) LIKE '%ring%' ORDER BY fqn LIMIT 10)"
+    " OR lower(name) LIKE '%ring%' OR lower(description) LIKE '%ring%' ORDER BY 4 DESC, fqn LIMIT 10)"
     " UNION ALL (SELECT 'owner', CAST(id AS VARCHAR), coalesce(user_name, user_email), " + _score("user_email")
-    + " FROM owners WHERE lower(user_email) LIKE '%ring%' OR lower(user_name) LIKE '%ring%' OR lower(team) LIKE '%ring%' ORDER BY owners.id LIMIT 10)"
-    " UNION ALL (SELECT 'tag', id, name, " + _score("name") + " FROM tags WHERE lower(name) LIKE '%ring%' OR lower(description) LIKE '%ring%' ORDER BY id LIMIT 10)"
-    " UNION ALL (SELECT 'glossary', id, name, " + _score("name") + " FROM terms WHERE lower(name) LIKE '%ring%' OR lower(definition) LIKE '%ring%' ORDER BY id LIMIT 10)"
+    + " FROM owners WHERE lower(user_email) LIKE '%ring%' OR lower(user_name) LIKE '%ring%' OR lower(team) LIKE '%ring%' ORDER BY 4 DESC, owners.id LIMIT 10)"
+    " UNION ALL (SELECT 'tag', id, name, " + _score("name") + " FROM tags WHERE lower(name) LIKE '%ring%' OR lower(description) LIKE '%ring%' ORDER BY 4 DESC, id LIMIT 10)"
+    " UNION ALL (SELECT 'glossary', id, name, " + _score("name") + " FROM terms WHERE lower(name) LIKE '%ring%' OR lower(definition) LIKE '%ring%' ORDER BY 4 DESC, id LIMIT 10)"
     " UNION ALL (SELECT 'suggestion', CAST(id AS VARCHAR), concat(suggestion_type, ' (', skill, ')'), " + _score("concat(skill, ' ', suggestion_type)")
     + " FROM sugg WHERE lower(skill) LIKE '%ring%' OR lower(suggestion_type) LIKE '%ring%' OR CAST(target_id AS VARCHAR) LIKE '%ring%'"
-    " ORDER BY created_s DESC, sugg.id LIMIT 10)"
+    " ORDER BY 4 DESC, created_s DESC, sugg.id LIMIT 10)"
     f" UNION ALL (SELECT 'use_case', id, id, {_score('concat_ws(chr(32), id, description, owner)')} FROM ({_UC})"
     " WHERE lower(concat_ws(' ', id, description, owner)) LIKE '%ring%' ORDER BY 4 DESC, id LIMIT 10)) ORDER BY score DESC, kind, id LIMIT 40"
 )

@@ -36,12 +36,12 @@ LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 
 @_q("q1_profile_lineitem", _profile_sql("lineitem", LINEITEM))
 def q1_profile_lineitem(spark, root):
-    return quality.profile(d.spread(load(spark, root, "lineitem")))
+    return quality.profile(load(spark, root, "lineitem"))
 
 
 @_q("q1_profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 def q1_profile_documents(spark, root):
-    return quality.profile(d.spread(load(spark, root, "documents")))
+    return quality.profile(load(spark, root, "documents"))
 
 
 @_q("q1_sample_values",
@@ -223,10 +223,9 @@ NULLSPIKE = (
 
 
 @_q("q9_null_spike", oracle(
-    "WITH bad AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ordinal, name) AS i FROM cols"
-    " WHERE NOT nullable AND null_ratio > 0.10) SELECT table_id, 'null_spike' AS kind,"
+    "WITH bad AS (SELECT * FROM cols WHERE NOT nullable AND null_ratio > 0.10) SELECT table_id, 'null_spike' AS kind,"
     " CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS severity,"
-    " string_agg(name, ',' ORDER BY i) FILTER (WHERE i <= 10) AS listed FROM bad GROUP BY 1", "cols"))
+    " string_agg(name, ',' ORDER BY ordinal, name) AS listed FROM bad GROUP BY 1", "cols"))
 def q9_null_spike(spark, root):
     out = anomaly.null_spike(d.columns(spark, root))
     listed = F.from_json("details", "affected_columns array<struct<column: string, null_ratio: double>>")
@@ -240,8 +239,8 @@ PIIESC = (
 
 
 @_q("q10_pii_escalation", oracle(
-    "SELECT table_id, 'pii_escalation' AS kind, 'high' AS severity, string_agg(concat(name, '=', pii_class), ',' ORDER BY name) FILTER (WHERE i <= 10)"
-    " AS listed, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY name) AS i FROM cols WHERE pii_class <> 'none'"
+    "SELECT table_id, 'pii_escalation' AS kind, 'high' AS severity, string_agg(concat(name, '=', pii_class), ',' ORDER BY name)"
+    " AS listed, count(*) AS n FROM (SELECT * FROM cols WHERE pii_class <> 'none'"
     f" AND created_s >= {AS_OF_S} - 7 * 86400) GROUP BY 1", "cols"))
 def q10_pii_escalation(spark, root):
     out = anomaly.pii_escalation(d.columns(spark, root), AS_OF)
@@ -324,9 +323,10 @@ def j12_failed_results(spark, root):
 
 
 @_q("q14_digest", oracle(
-    f"WITH failed AS ({FAILED} AND r.created_s >= {SINCE_S} ORDER BY r.created_s DESC, r.rule_id, r.message LIMIT 6),"
+    f"WITH failed AS ({FAILED} AND r.created_s >= {SINCE_S}),"
     f" act AS (SELECT * FROM assets WHERE status = 'active')"
     " SELECT 'quality_failed' AS kind, severity, 1 AS n, concat_ws(' | ', table_fqn, rule, message) AS sample FROM failed"
+    " UNION ALL SELECT 'quality_failed_total', 'warning', count(*), '' FROM failed HAVING count(*) > 0"
     " UNION ALL SELECT 'pending_suggestions', 'info', count(*), strftime(make_timestamp(min(created_s) * 1000000), '%Y-%m-%d %H:%M:%S') FROM sugg"
     f" WHERE status = 'pending' AND created_s >= {UNTIL_S} - 30 * 86400 HAVING count(*) > 0"
     " UNION ALL SELECT 'critical_no_description', 'warning', (SELECT count(*) FROM act WHERE tier = 'critical' AND description IS NULL),"
@@ -337,6 +337,4 @@ def j12_failed_results(spark, root):
 def q14_digest(spark, root):
     a = d.assets(spark, root)
     failed = lineage.failed_results(d.results(spark, root), d.rules(spark, root), a, SINCE)
-    # The newest six failures of the feed; equal times are settled by rule and message.
-    newest = failed.orderBy(F.desc("created_at"), "rule_id", "message").limit(6)
-    return anomaly.digest(newest, d.suggestions(spark, root), a, UNTIL, days=30)
+    return anomaly.digest(failed, d.suggestions(spark, root), a, UNTIL, days=30)

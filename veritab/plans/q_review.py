@@ -193,21 +193,30 @@ def p5_combine(spark, root):
 # Streams: the events file is the stream; every run goes to a fresh folder. ------
 
 
+BATCHES = 4
+
+
 def _event_stream(spark, root):
-    schema = spark.read.parquet(f"{root}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream of a few files in time order, one for each micro-batch."""
+    events = load(spark, root, "events")
+    path = scratch_path(spark, "event-files")
+    ends = events.select(F.unix_micros("ts").alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    step = (ends.hi - ends.lo) // BATCHES + 1
+    for i in range(BATCHES):
+        part = F.unix_micros("ts").between(ends.lo + i * step, ends.lo + (i + 1) * step - 1)
+        events.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _run_stream(spark, root):
     kinds = " ".join(f"when '{k}' then '{v}'" for k, v in RUN_TYPES.items())
     rows = _event_stream(spark, root).selectExpr(
-        f"case event_type {kinds} end as eventType", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as eventTime", "'feed' as producer",
-        "cast(null as string) as schemaURL", "named_struct('namespace', concat('ns_', user_id % 3), 'name', concat('job_', user_id)) as job",
+        f"case event_type {kinds} end as eventType", "case when event_id % 13 = 0 then concat('at ', event_id) else date_format(ts, 'yyyy-MM-dd HH:mm:ss') end as eventTime",
+        "'feed' as producer", "cast(null as string) as schemaURL", "named_struct('namespace', concat('ns_', user_id % 3), 'name', concat('job_', user_id)) as job",
         "named_struct('runId', case when value < 2 then null else concat('run_', event_id) end) as run",
         "array(named_struct('namespace', concat('ns_', user_id % 3), 'name', concat('in_', get_json_object(props, '$.k')))) as inputs",
         "cast(null as array<struct<namespace: string, name: string>>) as outputs",
-        "map('k', get_json_object(props, '$.k')) as runFacets", "cast(null as map<string,string>) as jobFacets")
+        "map('k', get_json_object(props, '$.k')) as runFacets", "map('owner', concat('o', user_id)) as jobFacets")
     path = scratch_path(spark, "run-events")
     run_events.ingest(rows, path, scratch_path(spark, "run-events-checkpoint")).awaitTermination()
     return run_events.stored(spark, path)
@@ -219,10 +228,13 @@ _REASON = (
 
 
 @_q("t1_ingest_run_events", oracle(
-    f"SELECT event_type, event_s, job_namespace, job_name, run_id, {_REASON} AS reason, {_REASON} = '' AS accepted FROM runs", "runs"))
+    "SELECT event_type, CASE WHEN event_id % 13 <> 0 THEN event_s END AS event_s, job_namespace, job_name, run_id, owner, r AS reason, r = '' AS accepted"
+    f" FROM (SELECT *, concat('o', substring(job_name, 5)) AS owner, CASE WHEN {_REASON} <> '' THEN {_REASON} WHEN event_id % 13 = 0 THEN"
+    " concat('invalid eventTime: at ', event_id) ELSE '' END AS r FROM runs)", "runs"))
 def t1_ingest_run_events(spark, root):
     return _run_stream(spark, root).select(
-        "event_type", F.unix_timestamp("event_time").alias("event_s"), "job_namespace", "job_name", "run_id", "reason", "accepted")
+        "event_type", F.unix_timestamp("event_time").alias("event_s"), "job_namespace", "job_name", "run_id",
+        F.col("job_facets")["owner"].alias("owner"), "reason", "accepted")
 
 
 @_q("t2_run_documents", oracle(
@@ -258,5 +270,14 @@ def t3_descriptor_stream(spark, root):
 def t4_feedback_stream(spark, root):
     path = scratch_path(spark, "feedback")
     stream = d.feedback_of(_event_stream(spark, root))
-    feedback_stream.collect_feedback(stream, f"{path}/rows", f"{path}/shots", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/shots/0").drop("note")
+    query = feedback_stream.update_shots(stream, f"{path}/shots", f"{path}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/shots/{query.lastProgress['batchId']}").drop("note")
+
+
+@_q("t4_feedback_rows", oracle("SELECT seq, skill, case_key, accepted FROM fb", "fb"))
+def t4_feedback_rows(spark, root):
+    path = scratch_path(spark, "feedback")
+    stream = d.feedback_of(_event_stream(spark, root))
+    feedback_stream.append_feedback(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("seq", "skill", "case_key", "accepted")

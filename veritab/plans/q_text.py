@@ -51,7 +51,7 @@ _DOCS, _DOCW = _scan_sql("documents")
 
 @_q("x2_value_scan_documents", f"WITH t AS {_DOCW} {_DOCS}")
 def x2_value_scan_documents(spark, root):
-    return describe.value_pattern_scan(d.spread(load(spark, root, "documents")), "text")
+    return describe.value_pattern_scan(load(spark, root, "documents"), "text")
 
 
 _TALK, _TALKW = _scan_sql("conversations")
@@ -59,7 +59,7 @@ _TALK, _TALKW = _scan_sql("conversations")
 
 @_q("x2_value_scan_conversations", f"WITH t AS {_TALKW} {_TALK}")
 def x2_value_scan_conversations(spark, root):
-    return describe.value_pattern_scan(d.spread(load(spark, root, "conversations")), "text")
+    return describe.value_pattern_scan(load(spark, root, "conversations"), "text")
 
 
 _HINT = "CASE trim(split_part({c}, '(', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in describe.TYPE_HINTS.items()) + " ELSE '' END"
@@ -334,7 +334,7 @@ def _replies(spark, root):
 
 
 @_q("x29_model_replies",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN substring(regexp_replace(replace(replace(text, '{', ''), '}', ''), '^\\s+|\\s+$', '', 'g'), 1, 200)"
+    "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(replace(replace(text, '{', ''), '}', ''), '^\\s+|\\s+$', '', 'g')"
     " WHEN 3 THEN concat('{', lang, ' ', source, '}') ELSE concat('about ', source) END AS description, CASE WHEN doc_id % 4 < 2 THEN CAST(doc_id % 10 AS DOUBLE) / 10"
     " ELSE 0.4 END AS confidence, CASE WHEN doc_id % 4 < 2 THEN 'critical' ELSE 'normal' END AS tier FROM documents")
 def x29_model_replies(spark, root):

@@ -108,7 +108,7 @@ def bi_edges(charts: DataFrame, datasets: DataFrame, resolved: DataFrame, servic
     )
     return (
         chart_edges.unionByName(dataset_edges)
-        .dropDuplicates(["upstream_fqn", "downstream_fqn", "transform_type"])
+        .groupBy("upstream_fqn", "downstream_fqn", "transform_type").agg(F.min("transform_subtype").alias("transform_subtype"))
         .withColumn("confidence", F.lit(0.95))
         .withColumn("source", F.col("transform_type"))
     )

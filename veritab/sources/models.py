@@ -113,16 +113,16 @@ def dependency_edges(nodes: DataFrame) -> DataFrame:
     )
     down = nodes.filter(F.col("resource_type") != "source").select(
         "service", F.col("unique_id").alias("job_id"), F.col("fqn").alias("downstream_fqn"),
-        sqltext.plain_sql(F.col("raw_code")).alias("sql"),
-        F.explode("depends_on").alias("parent"),
+        "raw_code", F.explode("depends_on").alias("parent"),
     )
     up = nodes.select("service", F.col("unique_id").alias("parent"), F.col("fqn").alias("upstream_fqn"))
     up = up.distinct()  # a parent is declared by every manifest that uses it
     return (
+        # Of several nodes with one edge the least by id; only its text is rewritten.
         down.join(up, ["service", "parent"])
-        .dropDuplicates(["upstream_fqn", "downstream_fqn"])
+        .groupBy("upstream_fqn", "downstream_fqn").agg(F.min(F.struct("job_id", "raw_code")).alias("first"))
         .select(
-            "upstream_fqn", "downstream_fqn", "job_id", "sql",
+            "upstream_fqn", "downstream_fqn", "first.job_id", sqltext.plain_sql(F.col("first.raw_code")).alias("sql"),
             F.lit("dbt_model").alias("transform_type"),
             F.lit("ref").alias("transform_subtype"),
             F.lit("dbt_model").alias("component"),

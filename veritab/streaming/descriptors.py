@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veritab.operators.adjacent import adjacent_value
 
 _ORDER = ["mtime", "seq"]
 
 
-def changes(versions: DataFrame, bucket: str = "day") -> DataFrame:
+def changes(versions: DataFrame, bucket: str = "hour") -> DataFrame:
     """Versions <id, seq, mtime, sha> whose sha differs from the one before.
 
     The first version of an id gives no row, and an (id, sha) is reported once,
@@ -26,31 +30,41 @@ def changes(versions: DataFrame, bucket: str = "day") -> DataFrame:
     )
 
 
+def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes of one id in one batch; the state holds its newest version and the shas told so far."""
+    at, sha, told = (state.get[0], state.get[2], set(state.get[3])) if state.exists else (None, None, set())
+    seq = state.get[1] if state.exists else None
+    rows = pd.concat(list(parts)).sort_values(["time", "seq"], kind="stable")
+    out = []
+    for r in rows.itertuples(index=False):
+        if at is not None and (r.time, r.seq) <= (at, seq):
+            continue  # older than what is known, or seen before
+        if sha is not None and r.sha != sha and r.sha not in told:
+            told.add(r.sha)
+            out.append((key[0], r.sha, r.time, r.seq, sha))
+        at, seq, sha = int(r.time), int(r.seq), r.sha
+    if at is not None:
+        state.update((at, seq, sha, sorted(told)))
+    yield pd.DataFrame(out, columns=["id", "sha", "time", "seq", "prev_sha"])
+
+
 def watch(versions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Stream form of ``changes``: appends new changes to ``path``.
+    """Stream form of ``changes``: appends new changes to ``path``, exactly once.
 
-    Files arrive in time order across batches. The last version per id is kept
-    as a small table per batch; a replayed batch reads the same state and writes
-    the same folder, so the output is exactly-once.
+    The newest version and the shas told are state of each id and belong to the query's checkpoint, so a
+    batch works on its own rows only. A version that is not newer than its id's newest is passed over, as
+    is one without an id, a sha or a time.
     """
-    spark = versions.sparkSession
-    state_root = f"{path}-state"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("id", "seq", "mtime", "sha")
-        known = spark.read.schema(rows.schema).parquet(f"{state_root}/{epoch - 1}") if epoch > 0 else rows.limit(0)
-        found = changes(known.unionByName(rows))
-        # A change whose sha was reported in an earlier batch is not new.
-        if epoch > 0:
-            told = spark.read.schema(found.schema).parquet(*[f"{path}/batch={e}" for e in range(epoch)])
-            found = found.join(told.select("id", "sha"), ["id", "sha"], "left_anti")
-        found.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-        newest = known.unionByName(rows).groupBy("id").agg(F.max(F.struct("mtime", "seq", "sha")).alias("v"))
-        newest.select("id", "v.seq", "v.mtime", "v.sha").write.mode("overwrite").parquet(f"{state_root}/{epoch}")
-
+    rows = versions.where("id is not null and sha is not null and mtime is not null").select(
+        "id", "seq", F.unix_micros("mtime").alias("time"), "sha")
+    found = rows.groupBy("id").applyInPandasWithState(
+        _step, "id string, sha string, time long, seq long, prev_sha string",
+        "time long, seq long, sha string, told array<string>", "append", GroupStateTimeout.NoTimeout)
     return (
-        versions.writeStream.foreachBatch(step)
+        found.withColumn("mtime", F.timestamp_micros("time")).drop("time").writeStream.format("parquet")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -1,26 +1,32 @@
-"""Feedback stream: append every row, then recompute the few-shot examples."""
+"""Feedback streams: every row is appended, and the few-shot examples follow."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from veritab.operators.feedback import few_shots
+from veritab.operators.feedback import by_case, shots_of
 
 
-def collect_feedback(feedback: DataFrame, path: str, shots_path: str, checkpoint: str, k: int = 5) -> StreamingQuery:
-    """Each batch is written to its own folder (so a replay overwrites itself);
-    the examples of batch n are at ``shots_path/n``."""
-    spark = feedback.sparkSession
+def append_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append all rows to ``path``, exactly once."""
+    return (
+        feedback.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+
+
+def update_shots(feedback: DataFrame, path: str, checkpoint: str, k: int = 5) -> StreamingQuery:
+    """The examples after batch n at ``path/n``.
+
+    The state is one row per (skill, case) and belongs to the query's checkpoint; a batch reads its own
+    rows only, and a replayed batch overwrites its folder.
+    """
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-        stored = spark.read.schema(batch.schema).parquet(*[f"{path}/batch={e}" for e in range(epoch + 1)])
-        few_shots(stored, k).write.mode("overwrite").parquet(f"{shots_path}/{epoch}")
+    def step(cases: DataFrame, epoch: int) -> None:
+        shots_of(cases, k).write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return (
-        feedback.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        by_case(feedback).writeStream.outputMode("complete").foreachBatch(step)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -11,7 +11,7 @@ from veritab.functions.documents import run_event_document
 # Run event types.
 EVENT_TYPES = ["START", "RUNNING", "COMPLETE", "FAIL", "ABORT"]
 
-_DATASETS = "array<struct<namespace: string, name: string>>"
+_DATASETS = "array<struct<namespace: string, name: string, facets: map<string,string>>>"
 RUN_EVENT_SCHEMA = (
     "eventType string, eventTime string, producer string, schemaURL string, "
     "job struct<namespace: string, name: string>, run struct<runId: string>, "
@@ -27,25 +27,29 @@ def checked(events: DataFrame, now: Column | None = None) -> DataFrame:
     """Event rows with ``reason``; '' means the event is accepted.
 
     Works on batch and streaming frames of the run-event schema. ``now`` stands
-    in for a missing event time.
+    in for a missing event time; one that is no time is a reason. Facets of the run, the job and the
+    datasets are kept.
     """
     kind = F.upper(F.coalesce("eventType", F.lit("")))
+    time = F.try_to_timestamp("eventTime")
     whole = _filled(F.col("job.namespace")) & _filled(F.col("job.name")) & _filled(F.col("run.runId"))
     reason = (
         F.when(~kind.isin(EVENT_TYPES), F.concat(F.lit("invalid eventType: "), kind))
         .when(~whole, "missing required: job.namespace, job.name, run.runId")
+        .when(_filled(F.col("eventTime")) & time.isNull(), F.concat(F.lit("invalid eventTime: "), "eventTime"))
         .otherwise("")
     )
-    empty = F.array().cast(_DATASETS)
+    none = {c: F.array().cast(events.schema[c].dataType) for c in ("inputs", "outputs")}
     return events.select(
         kind.alias("event_type"),
-        F.coalesce(F.to_timestamp("eventTime"), now if now is not None else F.current_timestamp()).alias("event_time"),
+        F.when(_filled(F.col("eventTime")), time).otherwise(now if now is not None else F.current_timestamp()).alias("event_time"),
         F.col("job.namespace").alias("job_namespace"),
         F.col("job.name").alias("job_name"),
         F.col("run.runId").alias("run_id"),
-        F.coalesce("inputs", empty).alias("inputs"),
-        F.coalesce("outputs", empty).alias("outputs"),
+        F.coalesce("inputs", none["inputs"]).alias("inputs"),
+        F.coalesce("outputs", none["outputs"]).alias("outputs"),
         F.coalesce("runFacets", F.create_map().cast("map<string,string>")).alias("facets"),
+        F.coalesce("jobFacets", F.create_map().cast("map<string,string>")).alias("job_facets"),
         F.coalesce("producer", F.lit("external")).alias("producer"),
         "schemaURL",
         reason.alias("reason"),
