@@ -66,15 +66,19 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 
 def coverage_matrix(assets: DataFrame, columns: DataFrame, edges: DataFrame, column_edges: DataFrame) -> DataFrame:
-    """Column-lineage coverage per table; a table without table edges counts as covered."""
-    per_column = column_edge_counts(columns, column_edges)
-    per_table = per_column.groupBy("table_id").agg(
-        F.count("*").alias("n_columns"),
-        F.count_if((F.col("n_upstream") > 0) | (F.col("n_downstream") > 0)).alias("n_with"),
-    )
+    """Column-lineage coverage per table; a table without table edges counts as covered.
+
+    Edge ends are reduced to distinct columns and counted per table, so the columns are only
+    counted and everything meets at the size of the tables.
+    """
+    ends = column_edges.select(F.inline(F.array(
+        F.struct(F.col("downstream_id").alias("table_id"), F.col("downstream_column_id").alias("column_id")),
+        F.struct(F.col("upstream_id").alias("table_id"), F.col("upstream_column_id").alias("column_id")))))
+    with_edges = ends.distinct().groupBy("table_id").agg(F.count("*").alias("n_with"))
     base = (
         assets.select(F.col("id").alias("table_id"), F.col("fqn").alias("table_fqn"), "tier")
-        .join(per_table, "table_id", "left")
+        .join(columns.groupBy("table_id").agg(F.count("*").alias("n_columns")), "table_id", "left")
+        .join(with_edges, "table_id", "left")
         .join(edge_counts(edges), "table_id", "left")
         .fillna(0, ["n_columns", "n_with", "n_table_edges"])
     )

@@ -165,7 +165,11 @@ def first_edges(walk: Walk, n: int = 50) -> DataFrame:
 
 
 def hop_distance(edges: DataFrame, center) -> DataFrame:
-    """Undirected hops from a table to every table that can be reached: <id, distance>."""
+    """Undirected hops from a table to every table that can be reached: <id, distance>.
+
+    A neighbour of a table n hops away is n - 1, n or n + 1 hops away, so only the last two levels
+    tell what is new, and a hop costs no more for the hops before it.
+    """
     both = edges.select(F.col("upstream_id").alias("a"), F.col("downstream_id").alias("b")).union(
         edges.select("downstream_id", "upstream_id")
     )
@@ -176,7 +180,7 @@ def hop_distance(edges: DataFrame, center) -> DataFrame:
         frontier = levels[-1].select(F.col("id").alias("a"))
         fresh = (
             links.join(frontier, "a", "left_semi").select(F.col("b").alias("id")).distinct()
-            .join(_union(levels).select("id"), "id", "left_anti")
+            .join(_union(levels[-2:]).select("id"), "id", "left_anti")
             .select("id", F.lit(len(levels)).alias("distance"))
         )
         new, count = materialize_counted(fresh, f"hops-{len(levels)}")

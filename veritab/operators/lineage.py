@@ -22,15 +22,17 @@ def name_match_edges(edges: DataFrame, columns: DataFrame, min_confidence: float
     pairs = edges.filter(F.col("sql").isNull()).select(
         "upstream_id", "downstream_id", F.col("job_id").alias("edge_job"), "component", "pipeline_stage"
     )
-    up = columns.select(
-        F.col("table_id").alias("upstream_id"), F.col("name").alias("column_name"),
-        F.col("id").alias("upstream_column_id"), F.col("data_type").alias("up_type"),
-    )
-    down = columns.select(
-        F.col("table_id").alias("downstream_id"), F.col("name").alias("column_name"),
-        F.col("id").alias("downstream_column_id"),
+    # Edges meet the columns of a table as one array, so only equal names become rows.
+    listed = columns.groupBy("table_id").agg(F.collect_list(F.struct("name", "id", "data_type")).alias("cols"))
+    up = listed.select(F.col("table_id").alias("upstream_id"), F.col("cols").alias("up_cols"))
+    down = listed.select(F.col("table_id").alias("downstream_id"), F.col("cols").alias("down_cols"))
+    named = lambda side: F.filter(side, lambda c: c["name"] == F.col("column_name"))
+    joined = (
+        pairs.join(up, "upstream_id").join(down, "downstream_id")
+        .withColumn("column_name", F.explode(F.array_intersect("up_cols.name", "down_cols.name")))
+        .withColumn("u", F.explode(named("up_cols"))).withColumn("v", F.explode(named("down_cols")))
+        .withColumns({"upstream_column_id": F.col("u.id"), "up_type": F.col("u.data_type"), "downstream_column_id": F.col("v.id")})
     )
-    joined = pairs.join(up, "upstream_id").join(down, ["downstream_id", "column_name"])
     out = joined.select(
         "upstream_id", "downstream_id", "upstream_column_id", "downstream_column_id",
         F.col("column_name").alias("upstream_col"), F.col("column_name").alias("downstream_col"),
@@ -165,7 +167,37 @@ def similar_name_groups(assets: DataFrame, min_similarity: float = 0.4) -> DataF
     groups = materialize(
         name_groups(assets).withColumn("gid", F.concat_ws("|", F.array_join("tokens", " "), "layer")), "name-groups"
     )
-    token_sets = groups.select("tokens").distinct()
+    set_pairs = _similar_sets(groups.select("tokens").distinct(), None, min_similarity)
+    left = groups.select(*[F.col(c).alias(f"left_{c}") for c in groups.columns])
+    right = groups.select(*[F.col(c).alias(f"right_{c}") for c in groups.columns])
+    same = F.col("left_gid") == F.col("right_gid")
+    ordered = (F.col("left_tokens") != F.col("right_tokens")) | (F.col("left_layer") <= F.col("right_layer"))
+    pairs = (
+        set_pairs.filter(F.col("left_tokens") <= F.col("right_tokens"))
+        .join(left, "left_tokens").join(right, "right_tokens").filter(ordered)
+        .withColumn(
+            "table_pairs",
+            F.when(same, F.expr("left_members * (left_members - 1) div 2")).otherwise(
+                F.col("left_members") * F.col("right_members")
+            ),
+        )
+        .filter(F.col("table_pairs") > 0)
+    )
+    return pairs.select(
+        F.array_join("left_tokens", " ").alias("left_tokens"), "left_layer",
+        F.array_join("right_tokens", " ").alias("right_tokens"), "right_layer",
+        F.col("left_members"), F.col("right_members"), "table_pairs",
+        F.col("similarity"),
+        F.round(F.least(F.lit(0.9), F.lit(0.4) + F.col("similarity")), 3).alias("confidence"),
+        names.layer_direction(F.col("left_layer"), F.col("right_layer")).alias("direction"),
+    )
+
+
+def _similar_sets(token_sets: DataFrame, focus: DataFrame | None, min_similarity: float) -> DataFrame:
+    """Pairs <left_tokens, right_tokens, similarity> of similar token sets, in both orders.
+
+    With ``focus``, some of the sets, only pairs with one of them on the left are built.
+    """
     frequency = token_sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
         token_sets.select("tokens", F.explode("tokens").alias("token"))
@@ -182,77 +214,41 @@ def similar_name_groups(assets: DataFrame, min_similarity: float = 0.4) -> DataF
         .select("tokens", "mine", "other", F.explode(F.slice("order", F.lit(1), n - needed + 1)).alias("t"))
         .select("tokens", "mine", "other", F.col("t.token").alias("token"))
     )
-    a = prefix.select(F.col("tokens").alias("left_tokens"), "mine", "other", "token")
+    mine = prefix if focus is None else prefix.join(focus.select("tokens"), "tokens", "left_semi")
+    a = mine.select(F.col("tokens").alias("left_tokens"), "mine", "other", "token")
     b = prefix.select(
         F.col("tokens").alias("right_tokens"), F.col("other").alias("mine"), F.col("mine").alias("other"), "token"
     )
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     either = F.size(F.array_union("left_tokens", "right_tokens"))
-    set_pairs = (
+    return (
         a.join(b, ["token", "mine", "other"])
-        .filter(F.col("left_tokens") <= F.col("right_tokens"))
         .select("left_tokens", "right_tokens")
         .distinct()
         .withColumn("similarity", shared / either)
         .filter(F.col("similarity") >= min_similarity)
     )
-    left = groups.select(*[F.col(c).alias(f"left_{c}") for c in groups.columns])
-    right = groups.select(*[F.col(c).alias(f"right_{c}") for c in groups.columns])
-    same = F.col("left_gid") == F.col("right_gid")
-    ordered = (F.col("left_tokens") != F.col("right_tokens")) | (F.col("left_layer") <= F.col("right_layer"))
-    pairs = (
-        set_pairs.join(left, "left_tokens").join(right, "right_tokens").filter(ordered)
-        .withColumn(
-            "table_pairs",
-            F.when(same, F.expr("left_members * (left_members - 1) div 2")).otherwise(
-                F.col("left_members") * F.col("right_members")
-            ),
-        )
-        .filter(F.col("table_pairs") > 0)
-    )
-    return pairs.select(
-        F.array_join("left_tokens", " ").alias("left_tokens"), "left_layer",
-        F.array_join("right_tokens", " ").alias("right_tokens"), "right_layer",
-        F.col("left_members"), F.col("right_members"), "table_pairs",
-        F.col("similarity"),
-        F.round(F.least(F.lit(0.9), F.lit(0.4) + F.col("similarity")), 3).alias("confidence"),
-        names.layer_direction(F.col("left_layer"), F.col("right_layer")).alias("direction"),
-    )
 
 
 def similar_tables(assets: DataFrame, focus: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     """Table edges between the tables of ``focus`` <id> and all similarly named tables.
 
-    The expanded form of similar_name_groups for a chosen set of tables; its size
-    is the number of focus tables times their matches.
+    Only the names of the focus tables are compared with all names, so the work and the result
+    follow the number of focus tables times their matches.
     """
-    groups = similar_name_groups(assets, min_similarity)
-    member = assets.select(
-        "id", "fqn", F.array_join(names.name_tokens(F.col("fqn")), " ").alias("tokens"),
-        names.name_layer(F.col("fqn")).alias("layer"),
-    )
+    member = materialize(assets.select(
+        "id", "fqn", names.name_tokens(F.col("fqn")).alias("tokens"), names.name_layer(F.col("fqn")).alias("layer"),
+    ).filter(F.size("tokens") > 0), "named-tables")
     chosen = member.join(focus.select("id"), "id", "left_semi")
-
-    def seen_from(a, b):
-        sides = [F.col(f"{a}_{c}").alias(f"left_{c}") for c in ("tokens", "layer")]
-        return F.struct(*sides, *[F.col(f"{b}_{c}").alias(f"right_{c}") for c in ("tokens", "layer")], "confidence")
-
-    # Each pair of groups is seen from both ends; a group paired with itself once.
-    both = groups.select(F.explode(F.array_distinct(F.array(seen_from("left", "right"), seen_from("right", "left"))))).select(
-        "col.*"
-    )
+    sets = _similar_sets(member.select("tokens").distinct(), chosen.select("tokens").distinct(), min_similarity)
     me = chosen.select(
-        F.col("id").alias("my_id"), F.col("fqn").alias("my_fqn"),
-        F.col("tokens").alias("left_tokens"), F.col("layer").alias("left_layer"),
-    )
+        F.col("id").alias("my_id"), F.col("tokens").alias("left_tokens"), F.col("layer").alias("left_layer"))
     other = member.select(
-        F.col("id").alias("other_id"), F.col("fqn").alias("other_fqn"),
-        F.col("tokens").alias("right_tokens"), F.col("layer").alias("right_layer"),
-    )
+        F.col("id").alias("other_id"), F.col("tokens").alias("right_tokens"), F.col("layer").alias("right_layer"))
     pairs = (
-        me.join(both, ["left_tokens", "left_layer"])
-        .join(other, ["right_tokens", "right_layer"])
+        sets.join(me, "left_tokens").join(other, "right_tokens")
         .filter(F.col("my_id") != F.col("other_id"))
+        .withColumn("confidence", F.round(F.least(F.lit(0.9), F.lit(0.4) + F.col("similarity")), 3))
     )
     first, second = F.least("my_id", "other_id"), F.greatest("my_id", "other_id")
     mine_first = F.col("my_id") < F.col("other_id")
@@ -269,23 +265,20 @@ def similar_tables(assets: DataFrame, focus: DataFrame, min_similarity: float =
     ).distinct()
 
 
+# Letters of a phrase that are its key: the most of these that it has.
+_KEY_LETTERS = (6, 3, 2, 1)
+
+
 def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float = 0.55, best: int = 3) -> DataFrame:
     """Terms contained in a table's name and description, best three per table.
 
     Scores: term name 0.7, synonym 0.65, whole token 0.6. Containment is an
-    equi-join on three-letter pieces: a phrase can only be contained in a text
-    that contains the phrase's first three letters, and the join is followed by
-    the exact test. Phrases of one or two letters join on all of themselves.
+    equi-join on the first letters of a phrase: a phrase can only be contained in a text
+    that contains them, and the join is followed by the exact test. Only (table, letters) pairs
+    that some phrase starts with go on; a text meets its candidates once, as one row.
     """
     text = F.concat_ws(" ", F.lower("fqn"), F.lower(F.coalesce("description", F.lit(""))))
     base = assets.select(F.col("id").alias("table_id"), text.alias("text"))
-
-    def grams(c, n):
-        last = F.greatest(F.length(c) - n + 1, F.lit(0))
-        return F.when(
-            F.length(c) >= n, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-
     phrases = (
         terms.select("id", F.col("name").alias("term"), F.lower("name").alias("phrase"), F.lit(0.7).alias("score"))
         .union(
@@ -295,12 +288,18 @@ def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float
         )
         .filter(F.col("phrase") != "")
     )
-    keyed = phrases.withColumn("gram", F.substring("phrase", 1, 3))
-    sizes = F.array_distinct(F.flatten(F.array(grams(F.col("text"), 3), grams(F.col("text"), 2), grams(F.col("text"), 1))))
-    text_grams = base.select("table_id", "text", F.explode(sizes).alias("gram")).filter(F.col("gram").isNotNull())
+    letters = F.greatest(*[F.when(F.length("phrase") >= n, n).otherwise(0) for n in _KEY_LETTERS])
+    keyed = phrases.withColumn("key", F.substring("phrase", F.lit(1), letters))
+
+    # All overlapping runs of n letters, one pattern each.
+    runs = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _KEY_LETTERS]
+    found = base.select("table_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
+    candidates = found.join(keyed, "key").groupBy("table_id").agg(
+        F.collect_list(F.struct(F.col("id").alias("term_id"), "term", "phrase", "score")).alias("candidates"))
     # A whole-token hit (0.6) is also a contained hit, so it never decides the score.
-    hits = text_grams.join(keyed, "gram").filter(F.contains("text", "phrase"))
-    scored = hits.groupBy("table_id", F.col("id").alias("term_id"), "term").agg(F.max("score").alias("confidence"))
+    hits = base.join(candidates, "table_id").select(
+        "table_id", F.explode(F.filter("candidates", lambda c: F.contains(F.col("text"), c["phrase"]))).alias("c"))
+    scored = hits.groupBy("table_id", "c.term_id", "c.term").agg(F.max("c.score").alias("confidence"))
     w = Window.partitionBy("table_id").orderBy(F.desc("confidence"), "term", "term_id")
     return (
         scored.withColumn("rank", F.row_number().over(w))

@@ -97,6 +97,20 @@ def j8_glossary_matches(spark, root):
     return lineage.glossary_matches(d.assets(spark, root), d.terms(spark, root)).select("table_id", "term", "confidence")
 
 
+@_q("j8_document_terms", oracle(
+    "WITH t AS (SELECT doc_id AS table_id, concat_ws(' ', source, lower(text)) AS txt FROM documents), v AS (SELECT DISTINCT lower(lang) AS w FROM documents"
+    " UNION SELECT DISTINCT lower(split_part(text, ' ', 2)) FROM documents WHERE doc_id % 100 = 3),"
+    " s AS (SELECT table_id, w, 0.7 AS c FROM t, v WHERE w <> '' AND contains(txt, w))"
+    " SELECT table_id, w AS term, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY w) AS r FROM s) WHERE r <= 3"))
+def j8_document_terms(spark, root):
+    docs = d.load(spark, root, "documents")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("fqn"), F.col("text").alias("description"))
+    words = docs.select(F.lower("lang").alias("w")).union(
+        docs.where("doc_id % 100 = 3").select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))))).distinct()
+    terms = words.where("w <> ''").select(F.col("w").alias("id"), F.col("w").alias("name"), F.lit(None).cast("array<string>").alias("synonyms"))
+    return lineage.glossary_matches(texts, terms).select("table_id", "term", "confidence")
+
+
 _SIDE = (
     "SELECT x.upstream_id, x.downstream_id, '{dir}' AS direction, u.name AS upstream_column, u.data_type AS upstream_data_type, v.name AS"
     " downstream_column, v.data_type AS downstream_data_type, a.fqn AS upstream_fqn, b.fqn AS downstream_fqn, x.transform_type FROM cedges x"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,9 +33,9 @@ def build_session(master: str | None = None, app: str = "veritab", **conf) -> Sp
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    that names none gets a temporary folder; a cluster without one is an error,
-    because a folder on one machine is lost with that machine.
+    The cluster names it in ``spark.checkpoint.dir``, and so should every session. Only a
+    local-mode session that names none gets a temporary folder, removed when Python ends; a cluster
+    without one is an error, because a folder on one machine is lost with that machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -43,6 +45,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="veritab-")
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
     return _LOCAL_SCRATCH[app]
 
 
