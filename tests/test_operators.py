@@ -424,3 +424,51 @@ def test_run_events_accept_and_reject(spark, tmp_path):
     assert out.filter("not accepted").count() == 3
     doc = json.loads(run_events.to_documents(out.filter("accepted")).first()["document"])
     assert doc["run"] == {"runId": "r"} and doc["eventTime"] == "2024-01-01T00:00:00.000000Z"
+
+
+def test_csv_headers_of_odd_files(spark, tmp_path):
+    from veritab.sources import files
+    (tmp_path / "a.csv").write_bytes(b"\n\r\n \na,\"b,c\", d\r\n1,2,3\n")
+    (tmp_path / "b.csv").write_bytes("größe,x\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b"\xef\xbb\xbfid")
+    got = rows(files.csv_header_columns(spark, str(tmp_path)), "path", "ordinal", "name")
+    assert [(p[-5], i, n) for p, i, n in got] == [("a", 0, "a"), ("a", 1, "b,c"), ("a", 2, "d"), ("b", 0, "größe"), ("b", 1, "x"), ("d", 0, "id")]
+
+
+def test_neighbours_of_rows_without_order(spark):
+    from veritab.operators.adjacent import adjacent_value
+    df = spark.createDataFrame([("k", None, "a"), ("k", 1, "b"), (None, 2, "c"), (None, 3, "d")], "k string, o long, v string")
+    got = adjacent_value(df, "k", F.floor(F.col("o") / 2), ["o"], "v", "prev")
+    assert {r.v: r.prev for r in got.collect()} == {"a": None, "b": "a", "c": None, "d": "c"}
+
+
+def test_wide_findings_and_full_digest(spark):
+    from veritab.operators import anomaly
+    wide = spark.createDataFrame([(1, f"c{i:02d}", i, False, 0.5, "email", datetime(2024, 1, 2)) for i in range(25)],
+                                 "table_id long, name string, ordinal long, nullable boolean, null_ratio double, pii_class string, created_at timestamp")
+    for found, field in ((anomaly.null_spike(wide), "affected_columns"), (anomaly.pii_escalation(wide, datetime(2024, 1, 3)), "new_pii_columns")):
+        assert len(json.loads(found.first()["details"])[field]) == 25
+    failed = spark.createDataFrame([(f"r{i}", "high", "s.d.c.t", "x" * 5000, "m", datetime(2024, 1, 2)) for i in range(100)],
+                                   "rule_id string, severity string, table_fqn string, rule string, message string, created_at timestamp")
+    sugg = spark.createDataFrame([("pending", datetime(2024, 1, 2))], "status string, created_at timestamp")
+    assets = spark.createDataFrame([("s.d.c.t", "active", "critical", None, 10.0)], "fqn string, status string, tier string, description string, health_score double")
+    got = anomaly.digest(failed, sugg, assets, datetime(2024, 1, 3)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    assert {r["kind"]: (r["n"], r["c"]) for r in got.collect()} == {
+        "quality_failed": (100, 100), "quality_failed_total": (100, 1), "pending_suggestions": (1, 1), "critical_no_description": (1, 1), "low_health": (1, 1)}
+
+
+def test_bad_event_times_are_rejected(spark):
+    good = ("START", "2024-01-01T00:00:00Z", None, None, ("n", "j"), ("r",), [("n", "d", {"k": "v"})], None, None, {"o": "1"})
+    df = spark.createDataFrame([good, ("START", "yesterday", *good[2:]), ("START", None, *good[2:])], run_events.RUN_EVENT_SCHEMA)
+    got = run_events.checked(df, F.lit(datetime(2024, 5, 5))).collect()
+    assert [r.reason for r in got] == ["", "invalid eventTime: yesterday", ""]
+    assert got[1].event_time is None and got[2].event_time == datetime(2024, 5, 5)
+    assert got[0].job_facets == {"o": "1"} and got[0].inputs[0].facets == {"k": "v"}
+
+
+def test_long_glossary_texts(spark):
+    text = "x" * 30_000 + " Gross Margin " + "y" * 30_000
+    assets = spark.createDataFrame([(i, "s.d.c.t", text) for i in range(20)], "id long, fqn string, description string")
+    terms = spark.createDataFrame([("g", "gross margin", ["gm", "m"]), ("h", "net", None)], "id string, name string, synonyms array<string>")
+    assert rows(lineage.glossary_matches(assets, terms), "table_id", "term_id", "confidence") == [(i, "g", 0.7) for i in range(20)]

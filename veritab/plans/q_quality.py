@@ -11,6 +11,8 @@ from veritab.operators.quality import Rule
 from veritab.plans import derived as d
 from veritab.plans.derived import AS_OF, AS_OF_S, load, oracle
 from veritab.plans.registry import QUERIES
+from veritab.session import scratch_path
+from veritab.sources import sinks
 
 RULES_AS_OF = datetime(2001, 8, 2)
 RULES_AS_OF_S = 996710400
@@ -177,6 +179,35 @@ def q7_rule_set(spark, root):
     return _run(spark, root, FRESH + VOLUME + NULLS + DISTINCT + OTHER)
 
 
+# Rules as a table holds them; some can only fail, and none of them stops another.
+_STORED = [
+    ("stored_rows", O, "volume", '{"min": 1}'), ("stored_text_time", O, "freshness", '{"column": "o_orderpriority"}'),
+    ("stored_number_time", O, "freshness", '{"column": "o_totalprice"}'), ("stored_broken", O, "volume", "{min: "),
+    ("stored_divides", O, "custom", '{"sql": "SELECT o_custkey / (o_orderkey - o_orderkey) FROM governed_orders WHERE 1 / (o_orderkey - o_orderkey) > 0"}'),
+    ("stored_casts", O, "custom", '{"sql": "SELECT 1 FROM governed_orders WHERE CAST(o_orderpriority AS int) > 0"}'),
+    ("stored_unknown", O, "custom", '{"sql": "SELECT * FROM no_such_table"}'),
+    ("stored_drop", O, "custom", """{"sql": "SELECT \'--\', 1; DROP TABLE governed_orders"}"""),
+    ("stored_ok", O, "custom", '{"sql": "SELECT * FROM governed_orders WHERE o_totalprice < 0"}'),
+    ("stored_absent", "wh.db.default.absent", "volume", "{}"),
+]
+
+
+@_q("q7_stored_rules",
+    "SELECT 'stored_rows' AS rule_id, 'checked' AS status, count(*) >= 1 AS passed, CAST(count(*) AS DOUBLE) AS observed FROM orders UNION ALL SELECT"
+    " 'stored_ok', 'checked', count(*) = 0, CAST(count(*) AS DOUBLE) FROM orders WHERE o_totalprice < 0 UNION ALL SELECT 'stored_broken', 'checked', true,"
+    " CAST(count(*) AS DOUBLE) FROM orders UNION ALL SELECT unnest(['stored_text_time', 'stored_number_time', 'stored_divides', 'stored_casts',"
+    " 'stored_unknown', 'stored_drop']), 'checked', false, NULL UNION ALL SELECT 'stored_absent', 'skipped', NULL, NULL")
+def q7_stored_rules(spark, root):
+    orders = load(spark, root, "orders")
+    orders.createOrReplaceTempView("governed_orders")
+    stored = spark.createDataFrame([(*r, True) for r in _STORED] + [("stored_off", O, "volume", "{}", False)],
+                                   "id string, table_fqn string, rule_type string, definition string, enabled boolean")
+    results = quality.run_rules(spark, {O: orders}, quality.rules_of(stored), AS_OF)
+    path = scratch_path(spark, "rule-results")
+    sinks.append_rows(results, path)
+    return spark.read.parquet(path).select("rule_id", "status", "passed", "observed")
+
+
 @_q("q7_rule_summary",
     "SELECT count(*) AS rules_checked, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE status = 'checked'"
     " AND NOT coalesce(passed, false)) AS failed FROM (" + U.join(VOLUME_SQL + NULLS_SQL + OTHER_SQL) + ")")

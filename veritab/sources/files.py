@@ -55,22 +55,32 @@ def list_files(
 
 
 def _read_headers(batches):
-    """First line of each file of <path>; only the bytes up to its end are read."""
+    """Names in the first line that is not blank, of each file of <path>; only the bytes up to its end are read.
+
+    Names may be quoted and hold commas. Bytes that are no UTF-8 are read as Latin-1.
+    """
+    import csv
+
     import pandas as pd
     from pyarrow import fs
 
     for batch in batches:
-        lines = []
+        names = []
         for path in batch["path"]:
             # Hadoop writes local paths with one slash.
             uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
             system, name = fs.FileSystem.from_uri(uri)
             head = b""
             with system.open_input_stream(name) as stream:
-                while b"\n" not in head and (chunk := stream.read(HEADER_CHUNK)):
+                while b"\n" not in head.lstrip() and (chunk := stream.read(HEADER_CHUNK)):
                     head += chunk
-            lines.append(head.split(b"\n", 1)[0].decode("utf-8").rstrip("\r"))
-        yield pd.DataFrame({"path": batch["path"], "header": lines})
+            line = head.removeprefix(b"\xef\xbb\xbf").lstrip().split(b"\n", 1)[0].rstrip(b"\r")
+            try:
+                text = line.decode("utf-8")
+            except UnicodeDecodeError:
+                text = line.decode("latin-1")
+            names.append(next(csv.reader([text], skipinitialspace=True), []))
+        yield pd.DataFrame({"path": batch["path"], "names": names})
 
 
 def csv_header_columns(spark: SparkSession, root: str) -> DataFrame:
@@ -80,11 +90,11 @@ def csv_header_columns(spark: SparkSession, root: str) -> DataFrame:
     files and stops after the first line, whatever the size of the file.
     """
     paths = list_files(spark, root, ["csv"]).select("path")
-    headers = paths.mapInPandas(_read_headers, "path string, header string")
-    return headers.select("path", F.posexplode(F.split("header", ",")).alias("ordinal", "raw")).select(
+    headers = paths.mapInPandas(_read_headers, "path string, names array<string>")
+    return headers.select("path", F.posexplode("names").alias("ordinal", "raw")).select(
         "path",
         "ordinal",
-        F.trim(F.regexp_replace("raw", '^"|"$', "")).alias("name"),
+        F.trim("raw").alias("name"),
         F.lit("string").alias("data_type"),
         F.lit(True).alias("nullable"),
     )
