@@ -39,8 +39,8 @@ def dataset_namespace(fqn: Column, explicit: Column) -> Column:
     return F.coalesce(explicit, F.concat(parts[0], F.lit("://"), F.coalesce(F.get(parts, F.lit(1)), F.lit("default"))))
 
 
-def column_lineage_fields(column_edges: DataFrame) -> DataFrame:
-    """One row per downstream column: its distinct inputs and transformations.
+def column_lineage_fields(column_edges: DataFrame, by: tuple[str, ...] = ("downstream_id",)) -> DataFrame:
+    """One row per downstream column (and what else ``by`` names): its distinct inputs and transformations.
 
     Input rows carry downstream_id, downstream_col, upstream_name,
     upstream_namespace, upstream_col, transform_type, description and
@@ -59,7 +59,7 @@ def column_lineage_fields(column_edges: DataFrame) -> DataFrame:
         F.coalesce("transform_expression", F.lit("")).alias("expression"),
         F.lit(False).alias("masking"),
     )
-    return column_edges.groupBy("downstream_id", "downstream_col").agg(
+    return column_edges.groupBy(*by, "downstream_col").agg(
         F.array_sort(F.collect_set(field)).alias("inputFields"),
         F.array_sort(F.collect_set(transformation)).alias("transformations"),
     )
@@ -95,6 +95,37 @@ def dataset_documents(assets: DataFrame, fields: DataFrame | None, producer: str
     return base.select("id", "column", F.struct("namespace", "name", facets.alias("facets")).alias("dataset"))
 
 
+def lineage_events(edges: DataFrame, assets: DataFrame, column_edges: DataFrame, since, event_type: str, event_time,
+                   namespace: str, name: str, run_id: str, producer: str = PRODUCER) -> DataFrame:
+    """Run events of one run, composed from the table edges created at or after ``since``:
+    <upstream_id, downstream_id, document>.
+
+    A run is told in one event per edge, which a reader adds up by its run id, so no document and no task
+    holds the lineage of many tables. The input is the upstream table; the output is the downstream
+    table with the column lineage that comes from that input.
+    """
+    recent = edges.filter(F.col("created_at") >= F.lit(since).cast("timestamp")).select("upstream_id", "downstream_id").distinct()
+    pair = ("upstream_id", "downstream_id")
+    # As many entries as the downstream table has columns.
+    fields = column_lineage_fields(column_edges.join(recent, list(pair), "left_semi"), pair).groupBy(*pair).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("downstream_col", F.struct("inputFields", "transformations"))))).alias("fields"))
+    documentation = F.struct(F.lit(producer).alias("_producer"), F.coalesce("description", F.lit("")).alias("description"))
+    told = assets.select("id", dataset_namespace(F.col("fqn"), F.col("ol_namespace")).alias("namespace"), "name",
+                         documentation.alias("documentation"))
+    up = told.select(F.col("id").alias("upstream_id"), F.struct(
+        "namespace", "name", F.struct("documentation").alias("facets")).alias("input"))
+    down = told.select(F.col("id").alias("downstream_id"), *[F.col(c).alias(f"d_{c}") for c in ("namespace", "name", "documentation")])
+    lineage = F.when(F.col("fields").isNotNull(), F.struct(F.lit(producer).alias("_producer"), F.col("fields")))
+    output = F.struct(
+        F.col("d_namespace").alias("namespace"), F.col("d_name").alias("name"),
+        F.struct(F.col("d_documentation").alias("documentation"), lineage.alias("columnLineage")).alias("facets"))
+    document = run_event_document(
+        F.lit(event_type), F.lit(event_time).cast("timestamp"), F.lit(namespace), F.lit(name), F.lit(run_id),
+        F.array("input"), F.array(output), F.create_map(F.lit("processing_engine"), F.struct(F.lit(producer).alias("name"))), F.lit(producer))
+    return recent.join(fields, list(pair), "left").join(up, "upstream_id").join(down, "downstream_id").select(
+        *pair, document.alias("document"))
+
+
 def run_event_document(
     event_type: Column, event_time: Column, namespace: Column, name: Column, run_id: Column,
     inputs: Column, outputs: Column, facets: Column, producer: Column,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from veritab.functions import describe, documents, names
 from veritab.operators import assembly, coverage, graph, lineage, listing
 from veritab.plans import derived as d
-from veritab.plans.derived import oracle
+from veritab.plans.derived import AS_OF, oracle
 from veritab.plans.q_sources import _MODEL_EDGES, _bi, _jobs, _models, _tasks, _warehouse
 from veritab.plans.registry import QUERIES
 from veritab.session import materialize
@@ -513,6 +515,30 @@ def x28_column_facets(spark, root):
         F.size("transformations").alias("n_transformations"))
 
 
+@_q("x28_run_events", oracle(
+    "WITH recent AS (SELECT * FROM edges WHERE created_s >= 1704240000 - 9000), f AS (SELECT DISTINCT downstream_id, upstream_id, upstream_col AS col FROM cedges),"
+    " g AS (SELECT upstream_id, downstream_id, string_agg(col, ',' ORDER BY col) AS cols FROM f GROUP BY 1, 2)"
+    " SELECT r.upstream_id, r.downstream_id, 'COMPLETE' AS event_type, '2024-01-03T00:00:00.000000Z' AS event_time, 'run-1' AS run_id, 'ns/nightly' AS job,"
+    " concat(u.service, '://', u.database, '/', u.name) AS input, concat(v.service, '://', v.database, '/', v.name) AS output,"
+    " coalesce(v.description, '') AS documentation, coalesce(g.cols, '') AS cols FROM recent r JOIN assets u ON u.id = r.upstream_id JOIN assets v ON"
+    " v.id = r.downstream_id LEFT JOIN g ON g.upstream_id = r.upstream_id AND g.downstream_id = r.downstream_id", "edges", "assets", "cedges"))
+def x28_run_events(spark, root):
+    assets = d.assets(spark, root).withColumn("ol_namespace", F.lit(None).cast("string"))
+    events = documents.lineage_events(
+        d.edges(spark, root), assets, _facet_edges(spark, root), AS_OF - timedelta(seconds=9000), "COMPLETE", AS_OF, "ns", "nightly", "run-1")
+    dataset = ("array<struct<namespace: string, name: string, facets: struct<documentation: struct<description: string>,"
+               " columnLineage: struct<fields: map<string, struct<inputFields: array<struct<name: string>>>>>>>>")
+    doc = F.from_json("document", f"eventType string, eventTime string, job struct<namespace: string, name: string>, run struct<runId: string>,"
+                                  f" inputs {dataset}, outputs {dataset}")
+    place = lambda x: F.concat(x["namespace"], F.lit("/"), x["name"])
+    e = events.select("upstream_id", "downstream_id", doc.alias("d")).withColumn("i", F.col("d.inputs")[0]).withColumn("o", F.col("d.outputs")[0])
+    cols = F.array_join(F.array_sort(F.map_keys("o.facets.columnLineage.fields")), ",")
+    return e.select(
+        "upstream_id", "downstream_id", F.col("d.eventType").alias("event_type"), F.col("d.eventTime").alias("event_time"),
+        F.col("d.run.runId").alias("run_id"), place(F.col("d.job")).alias("job"), place(F.col("i")).alias("input"), place(F.col("o")).alias("output"),
+        F.col("o.facets.documentation.description").alias("documentation"), F.coalesce(cols, F.lit("")).alias("cols"))
+
+
 @_q("x28_output_datasets", oracle(
     "SELECT a.id, concat(a.service, '://', a.database) AS namespace, a.name, coalesce(a.description, '') AS documentation, c.col AS column, coalesce(c.inputs, '') AS inputs FROM assets a"
     " LEFT JOIN (SELECT x.downstream_id, x.upstream_col AS col, string_agg(DISTINCT concat(u.service, '://', u.database, '/', u.name, '.', x.upstream_col), ','"
