@@ -249,6 +249,30 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+# Texts of table edges that no template covers, by transform type, and of all others.
+GENERIC_EDGES = {
+    "copy": "由 {up} 复制到 {down}",
+    "aggregation": "{up} 聚合到 {down} ({expr})",
+    "expression": "{up} 派生 {down} ({expr})",
+    "derivation": "由 {up} 派生 {down}",
+}
+GENERIC_EDGE = "{up} → {down} ({component}/{kind})"
+# Texts of column edges by transform type, and of all others.
+COLUMN_EDGES = {
+    "direct": "原样透传 {up} (类型 {up_type} → {down_type})",
+    "cast": "由 {up} 转换类型至 {down_type} ({expr})",
+    "rename": "重命名 {up} → {down}",
+    "aggregation": "聚合表达式 {expr} 生成 {down}",
+    "window": "窗口函数 {expr} → {down}",
+    "arithmetic": "算术运算 {expr} → {down}",
+    "function": "函数调用 {expr} → {down} ({up_type} → {down_type})",
+    "expression": "派生表达式 {expr} → {down}",
+    "derivation": "由上游 {up} 派生 {down} ({expr})",
+    "passthrough": "透传 {up}",
+}
+COLUMN_EDGE = "{up} → {down} ({kind})"
+
+
 def edge_description() -> Column:
     """Struct <description, confidence, rationale> of a table edge row.
 
@@ -290,19 +314,11 @@ def edge_description() -> Column:
             chain = F.when(hit, found) if chain is None else chain.when(hit, found)
         return chain
 
-    generic = (
-        F.when(ttype == "copy", F.concat(F.lit("由 "), up, F.lit(" 复制到 "), down))
-        .when(
-            ttype == "aggregation",
-            F.concat(up, F.lit(" 聚合到 "), down, F.lit(" ("), F.when(expr != "", expr).otherwise("aggregation"), F.lit(")")),
-        )
-        .when(
-            ttype == "expression",
-            F.concat(up, F.lit(" 派生 "), down, F.lit(" ("), F.when(expr != "", expr).otherwise("expression"), F.lit(")")),
-        )
-        .when(ttype == "derivation", F.concat(F.lit("由 "), up, F.lit(" 派生 "), down))
-        .otherwise(F.concat(up, F.lit(" → "), down, F.lit(" ("), component, F.lit("/"), ttype, F.lit(")")))
-    )
+    plain = {"up": up, "down": down, "component": component, "kind": ttype,
+             "expr": F.when(expr != "", expr).otherwise(ttype)}
+    generic = _fill(GENERIC_EDGE, plain)
+    for kind, template in GENERIC_EDGES.items():
+        generic = F.when(ttype == kind, _fill(template, plain)).otherwise(generic)
     return F.coalesce(
         templated(ttype, by_type, 0.9),
         templated(subtype, by_subtype, 0.8),
@@ -322,25 +338,11 @@ def column_edge_description(
     ttype: Column, expr: Column, up: Column, up_type: Column, down: Column, down_type: Column
 ) -> Column:
     """Description of a column edge by its transform type."""
-    arrow = F.lit(" → ")
-    types = F.concat(up_type, arrow, down_type)
-
-    def say(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    return (
-        F.when(ttype == "direct", say("原样透传 ", up, " (类型 ", types, ")"))
-        .when(ttype == "cast", say("由 ", up, " 转换类型至 ", down_type, " (", expr, ")"))
-        .when(ttype == "rename", say("重命名 ", up, " → ", down))
-        .when(ttype == "aggregation", say("聚合表达式 ", expr, " 生成 ", down))
-        .when(ttype == "window", say("窗口函数 ", expr, " → ", down))
-        .when(ttype == "arithmetic", say("算术运算 ", expr, " → ", down))
-        .when(ttype == "function", say("函数调用 ", expr, " → ", down, " (", types, ")"))
-        .when(ttype == "expression", say("派生表达式 ", expr, " → ", down))
-        .when(ttype == "derivation", say("由上游 ", up, " 派生 ", down, " (", expr, ")"))
-        .when(ttype == "passthrough", say("透传 ", up))
-        .otherwise(say(up, " → ", down, " (", ttype, ")"))
-    )
+    values = {"up": up, "down": down, "up_type": up_type, "down_type": down_type, "expr": expr, "kind": ttype}
+    out = _fill(COLUMN_EDGE, values)
+    for kind, template in COLUMN_EDGES.items():
+        out = F.when(ttype == kind, _fill(template, values)).otherwise(out)
+    return out
 
 
 def sample_preview(samples: Column) -> Column:

@@ -190,7 +190,7 @@ def sync_notes(approved: DataFrame, assets: DataFrame, columns: DataFrame, terms
     """What each approved row does to its target: <id, note>.
 
     Each kind joins only what it needs, so rows of other kinds never meet in a
-    join as null keys.
+    join as null keys. The texts are fixed values that readers of the notes match.
     """
 
     def says(*parts):
