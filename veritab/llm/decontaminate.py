@@ -71,7 +71,7 @@ def _items(benchmark: DataFrame, shingle: int) -> DataFrame:
                        F.least(F.size("words"), F.lit(shingle)).alias("n"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 12, least: float = 0.8) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 16, least: float = 0.8) -> DataFrame:
     """One row for each document and item with a window of similarity ``least`` or more.
 
     Columns: doc_id, item_id, start (first word of the best window, the earliest of equals), length
@@ -173,7 +173,7 @@ def _similarity(pairs: DataFrame, sizes: list[int]) -> Column:
     return _bind(texts, ratio)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 12, least: float = 0.8) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 16, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns; equal rows share their fate."""
     h = unused(docs, "text_hash")
     tagged = docs.withColumn(h, F.xxhash64("text"))
