@@ -88,21 +88,37 @@ def report(results: DataFrame) -> DataFrame:
     """Per skill: cases, passed, mean score (4 dp), median latency.
 
     The median is the element at n // 2 of the sorted latencies. Equal latencies
-    are counted map-side first, so the running count is over distinct
-    milliseconds and a skill with a third of all cases stays small.
+    are counted map-side first. Then the ranges of a skill are cumulated (an eighth of an octave each,
+    some hundreds at most), and only the distinct latencies of the range that holds the median are.
     """
     summary = results.groupBy("skill").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("score") >= PASS_SCORE).alias("passed"),
         F.round(F.avg("score"), 4).alias("avg_score"),
     )
-    counted = results.groupBy("skill", "latency_ms").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("skill").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("upto", F.sum("n").over(w)).join(summary.select("skill", "total"), "skill")
+    latency = F.col("latency_ms").cast("double")
+    place = F.floor(8 * F.signum(latency) * F.log2(F.abs(latency) + 1))
+    counted = results.filter(F.col("latency_ms").isNotNull()).groupBy("skill", place.alias("range"), "latency_ms").agg(
+        F.count("*").alias("n"))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nulls = results.groupBy("skill").agg(F.count_if(F.col("latency_ms").isNull()).alias("without"))
+    # Cases without a latency come first, as nulls sort.
+    middle = summary.select("skill", (F.floor(F.col("total") / 2)).alias("rank")).join(nulls, "skill").select(
+        "skill", (F.col("rank") - F.col("without")).alias("rank"))
+    ranges = (
+        counted.groupBy("skill", "range").agg(F.sum("n").alias("n"))
+        .withColumn("upto", F.sum("n").over(whole.partitionBy("skill").orderBy("range")))
+        .join(middle.filter(F.col("rank") >= 0), "skill")
+        .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        .select("skill", "range", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    )
     p50 = (
-        running.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("skill").agg(F.min("latency_ms").alias("p50_latency"))
+        counted.join(ranges, ["skill", "range"])
+        .withColumn("upto", F.sum("n").over(whole.partitionBy("skill", "range").orderBy("latency_ms")))
+        .filter(F.col("upto") > F.col("rank"))
+        .groupBy("skill").agg(F.min("latency_ms").alias("p50_latency"))
     )
-    return summary.join(p50, "skill")
+    return summary.join(p50, "skill", "left")
 
 
 def issue_patterns(results: DataFrame, k: int = 5) -> DataFrame:

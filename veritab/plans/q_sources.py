@@ -124,7 +124,8 @@ def _manifests(spark, root):
         "named_struct('database', cast(null as string), 'schema', 'raw', 'source_name', 'feed', 'name', concat('t_', l_suppkey),"
         " 'identifier', cast(null as string), 'description', '', 'columns', cast(null as map<string, struct<data_type: string, description: string>>))"
     )
-    return load(spark, root, "lineitem").selectExpr(
+    # Thin rows are dealt out before each becomes a document.
+    return load(spark, root, "lineitem").repartition("l_orderkey").selectExpr(
         "to_json(named_struct('metadata', named_struct('project_name', concat('Shop ', l_returnflag)),"
         f" 'nodes', map(concat('model.p', l_partkey), {node}), 'sources', map(concat('source.s', l_suppkey), {source}))) as value")
 
