@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from veritab.functions import describe, documents, names
+from veritab.functions import describe, documents
 from veritab.operators import assembly, coverage, graph, lineage, listing
 from veritab.plans import derived as d
 from veritab.plans.derived import AS_OF, oracle
@@ -69,13 +69,12 @@ def j7_similar_name_groups(spark, root):
 
 
 def _focus(spark, root):
-    """The tables of the smallest full name of every layer."""
-    a = d.assets(spark, root)
-    return a.groupBy(names.name_layer(F.col("fqn")).alias("l")).agg(F.min_by("id", "fqn").alias("id")).select("id")
+    """The tables that have rules."""
+    return d.rules(spark, root).select(F.col("table_id").alias("id")).distinct()
 
 
 _SIMILAR = (
-    _GROUPS.split(" g AS (")[0].rstrip().rstrip(",") + ", focus AS (SELECT arg_min(id, fqn) AS id FROM toks GROUP BY layer), p AS (SELECT a.id AS a, b.id AS b, "
+    _GROUPS.split(" g AS (")[0].rstrip().rstrip(",") + ", focus AS (SELECT DISTINCT s_suppkey AS id FROM supplier), p AS (SELECT a.id AS a, b.id AS b, "
     + _DIRECTION.format(a="a.layer", b="b.layer") + " AS dir, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))"
     " AS sim FROM toks a JOIN toks b ON a.id < b.id WHERE len(a.tokens) > 0 AND len(b.tokens) > 0 AND (a.id IN (FROM focus) OR b.id IN (FROM focus)))"
     " SELECT CASE WHEN dir = 'backward' THEN b ELSE a END AS upstream_id, CASE WHEN dir = 'backward' THEN a ELSE b END AS downstream_id,"
