@@ -130,9 +130,10 @@ def name_rule(name: Column) -> Column:
     return _first_match(F.lower(name), NAME_PATTERNS)
 
 
-def value_rule(samples: Column) -> Column:
-    """Meaning and confidence of the first matching value among five samples."""
-    hits = F.transform(F.slice(samples, 1, 5), lambda s: _first_match(s, VALUE_PATTERNS))
+def value_rule(samples: Column, read: int = 5) -> Column:
+    """Meaning and confidence of the first matching value among the first ``read`` samples;
+    ``value_pattern_scan`` reads a whole table."""
+    hits = F.transform(F.slice(samples, 1, read), lambda s: _first_match(s, VALUE_PATTERNS))
     return F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))
 
 
@@ -345,21 +346,21 @@ def column_edge_description(
     return out
 
 
-def sample_preview(samples: Column) -> Column:
-    """First five values as text, each cut to 40 characters with an ellipsis."""
+def sample_preview(samples: Column, values: int = 5, width: int = 40) -> Column:
+    """First values as text, each cut to ``width`` characters with an ellipsis; for display only."""
     shown = F.transform(
-        F.slice(samples, 1, 5),
+        F.slice(samples, 1, values),
         lambda s: F.when(s.isNull(), "null")
-        .when(F.length(s) > 40, F.concat(F.substring(s, 1, 40), F.lit("…")))
+        .when(F.length(s) > width, F.concat(F.substring(s, 1, width), F.lit("…")))
         .otherwise(s),
     )
     text = F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
     return F.when(samples.isNull() | (F.size(samples) == 0), "(无样本)").otherwise(text)
 
 
-def row_preview(columns: list[str]) -> Column:
-    """One table row as '{ a=1, b=x }' over the first eight columns."""
+def row_preview(columns: list[str], shown: int = 8) -> Column:
+    """One table row as '{ a=1, b=x }' over the first columns; for display only."""
     cells = [
-        F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns[:8]
+        F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns[:shown]
     ]
     return F.concat(F.lit("{ "), F.concat_ws(", ", *cells), F.lit(" }"))

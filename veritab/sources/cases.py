@@ -18,7 +18,7 @@ def parse_cases(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.trim(F.col(column))
     kept = lines.filter((text != "") & ~F.startswith(text, F.lit("#"))).select(text.alias("line"))
     checked = F.when(F.try_parse_json("line").isNotNull(), F.col("line")).otherwise(
-        F.raise_error(F.concat(F.lit("invalid json: "), F.substring("line", 1, 80)))
+        F.raise_error(F.concat(F.lit("invalid json: "), F.col("line")))
     )
     return kept.select(F.from_json(checked, CASE_SCHEMA).alias("c")).select("c.*")
 
