@@ -314,7 +314,9 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, bucket_rows: i
     each = content.select("cid", "doc_id", "copies", F.explode("anchors").alias("x")).select("cid", "doc_id", "copies", "x.*")
     spread = materialize(each.groupBy("kh", "sh").agg(
         F.count("*").alias("places"), F.min(F.struct("cid", "pos", "doc_id")).alias("m")), "anchor-contexts")
-    often = spread.groupBy("kh").agg(F.count("*").alias("contexts"), F.sum("places").alias("total")).where("total > 1")
+    # Written down on its own, so that the join with it can split an anchor of very many contexts.
+    often = materialize(spread.groupBy("kh").agg(F.count("*").alias("contexts"), F.sum("places").alias("total")).where("total > 1"),
+                        "repeated-hashes")
     repeated = materialize(spread.join(often, "kh").select("kh", "sh", "places", "contexts", "m.*"), "repeated-anchors")
 
     # A context that stands in several places is repeated as a whole.
