@@ -267,7 +267,9 @@ def _split_hot(contexts: DataFrame, group_rows: int) -> tuple[DataFrame, DataFra
             "cid binary, pos long, gid long, lo int, hi int, sh long, left binary, right binary",
             "cid", "pos", "lo", "hi", "left", "right"), "halves")
         same = ["gid", "lo", "hi", "sh"]
-        places = half.groupBy(*same).agg(F.count("*").alias("places"), F.min(F.struct("cid", "pos")).alias("m"))
+        # Written down on its own, so that the join can split a span that stands in very many places.
+        places = materialize(half.groupBy(*same).agg(F.count("*").alias("places"), F.min(F.struct("cid", "pos")).alias("m")),
+                             "halves-places")
         told = materialize(half.join(places, same), "halves-told")
         s = F.col("pos") - F.least(F.octet_length("left"), F.col("hi"))
         e = F.col("pos") + F.least(F.octet_length("right"), T - F.col("lo"))
