@@ -26,28 +26,33 @@ def _empty(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c).cast("string") == "")
 
 
-def _told(c: str) -> Column:
-    """SHA-256 of a value as text, so that any value shuffles alike; null and empty stay as they are."""
-    text = F.col(c).cast("string")
-    return F.when(text != "", F.unhex(F.sha2(text, 256))).otherwise(text.cast("binary"))
+def _told(df: DataFrame, c: str) -> list[Column]:
+    """A value in 128 hashed bits, so that any value is two numbers; null stays null, empty text is 0, 0."""
+    kind = df.schema[c].dataType.simpleString()
+    # Values of a type are as distinct as their texts; maps have no hash of their own.
+    value = F.col(c).cast("string") if "map<" in kind else F.col(c)
+    empty = value == "" if kind == "string" or "map<" in kind else F.lit(False)
+    seeds = (value,), (F.lit(1), value)
+    return [F.when(empty, F.lit(0).cast("long")).when(value.isNotNull(), F.xxhash64(*seed)).alias(name)
+            for name, seed in zip(("value", "more"), seeds)]
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: rows, null-or-empty ratio (3 dp) and distinct values as text.
 
-    Exact: the table is turned into (column, value) pairs that are counted
+    Exact: the table is turned into (column, hashed value) pairs that are counted
     map-side, so a frequent value is one row per task before the shuffle and
     all columns share one exchange. ``exact=False`` sketches the distinct count
     in a single pass without that exchange.
     """
     if exact:
         pairs = df.select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _told(c).alias("value")) for c in df.columns]))
+            F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *_told(df, c)) for c in df.columns]))
         )
-        counted = pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+        counted = pairs.groupBy("column_name", "value", "more").agg(F.count("*").alias("n"))
         stats = counted.groupBy("column_name").agg(
             F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("value").isNull() | (F.octet_length("value") == 0), F.col("n")).otherwise(0)).alias("empty"),
+            F.sum(F.when(F.col("value").isNull() | ((F.col("value") == 0) & (F.col("more") == 0)), F.col("n")).otherwise(0)).alias("empty"),
             F.count("value").alias("distinct_count"),
         )
     else:
