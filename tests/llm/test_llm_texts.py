@@ -140,6 +140,40 @@ def test_matching_statistics():
             assert ends == set(machine.ends[state])
 
 
+def test_short_template_before_words_of_a_longer_one(spark):
+    short, long = licenses.TEMPLATES["apache-2.0"]
+    gpl2, gpl3 = licenses.TEMPLATES["gpl-2.0"][1], licenses.TEMPLATES["gpl-3.0"][1]
+    texts = [short + ". The software is free", "x " + short + " the License; you may go", long, gpl3, gpl2 + " more",
+             "the GNU General Public License, version 2", "Licensed under the Apache (tm) License, Version 2.0 the y",
+             gpl2.replace("version 2", "version 3")]
+    got = [r for r in sorted(licenses.scan(docs_of(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    named = [{s.split(":")[0] for s in r.spans.split(",")} for r in got]
+    assert got[0].spans == "apache-2.0:0:8" and got[1].spans == "apache-2.0:1:9"
+    assert "apache-2.0" in got[0].labels.split(",") and got[0].score == got[1].score == 1
+    assert named == [{"apache-2.0"}] * 3 + [{"gpl-3.0"}, {"gpl-2.0"}, {"gpl-2.0"}, {"apache-2.0"}, {"gpl-2.0"}]
+    inner = {"a": ["one two three four five six"], "b": ["two three four five"], "c": ["four five"]}
+    r, = licenses.scan(docs_of(spark, ["x one two three four five six y"]), inner).collect()
+    assert r.spans == "a:1:7,b:2:6,c:4:6"
+
+
+def test_matches_of_each_template():
+    import random
+    rng = random.Random(4)
+    templates = {str(i): [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))] for i in range(5)}
+    machine = licenses.Automaton.of(templates)
+    seqs = [t[0].split() for t in templates.values()]
+    for _ in range(100):
+        words = [rng.choice("abcd") for _ in range(20)]
+        want = []
+        for t, s in enumerate(seqs):
+            for i in range(20):
+                for k in range(len(s)):
+                    n = next((n for n in range(min(20 - i, len(s) - k)) if words[i + n] != s[k + n]), min(20 - i, len(s) - k))
+                    if n >= min(4, len(s)) and not (i and k and words[i - 1] == s[k - 1]):
+                        want.append((i, n, t, k))
+        assert sorted(machine.matches(words)) == sorted(want)
+
+
 # --- tokens
 
 def test_sections_add_up(spark):

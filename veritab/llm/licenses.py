@@ -1,9 +1,9 @@
 """License texts in files: matching statistics against a generalised suffix automaton, chained into spans.
 
 The automaton holds the tokens of all templates. A file is streamed through it once; at every token
-the state tells the longest run of tokens, ending there, that stands in some template. Long runs
-that do not extend are matches, and matches that follow one another in a template and in the file are chained. The
-tokens of a template that its best chain covers give its score.
+the state tells the longest run of tokens, ending there, that stands in some template, and its links the shorter
+runs that stand in others. Long runs that do not extend in their template are matches, and matches that follow one
+another in a template and in the file are chained. The tokens of a template that its best chain covers give its score.
 """
 
 from __future__ import annotations
@@ -95,6 +95,7 @@ class Automaton:
     vocabulary: dict[str, int]
     labels: list[str]
     sizes: list[int]
+    tokens: list[list[int]] = field(default_factory=list)  # of each template
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
@@ -107,7 +108,8 @@ class Automaton:
         for _, words in named:
             for w in words:
                 vocabulary.setdefault(w, len(vocabulary))
-        out = cls(vocabulary, [label for label, _ in named], [len(words) for _, words in named])
+        out = cls(vocabulary, [label for label, _ in named], [len(words) for _, words in named],
+                  [[vocabulary[w] for w in words] for _, words in named])
         own: list[list[tuple[int, int]]] = [[]]
         for t, (_, words) in enumerate(named):
             last = 0
@@ -174,17 +176,26 @@ class Automaton:
                 size += 1
                 yield at, size, state
 
-    def matches(self, words: list[str], least: int = LEAST) -> list[tuple[int, int, int]]:
-        """(start, length, state) of the matches that cannot be extended to the right, ``least`` tokens or longer."""
-        out: list[tuple[int, int, int]] = []
-        held = None
+    def matches(self, words: list[str], least: int = LEAST) -> list[tuple[int, int, int, int]]:
+        """(start, length, template, first token there) of the matches with each template that extend neither way,
+        ``least`` tokens or longer, or the whole of a shorter template."""
+        out: list[tuple[int, int, int, int]] = []
+        least_of = [min(least, n) for n in self.sizes]
+        floor = min((n for n in least_of if n), default=least)
         for at, size, state in self.statistics(words):
-            if held and (at != held[0] + 1 or size != held[1] + 1):
-                out.append(held)
-            held = (at, size, state)
-        if held:
-            out.append(held)
-        return [(at - size + 1, size, state) for at, size, state in out if size >= least]
+            if size < floor:
+                continue
+            follows = self.vocabulary.get(words[at + 1]) if at + 1 < len(words) else None
+            longer: set[tuple[int, int]] = set()  # ends of longer runs
+            while state and size >= floor:
+                for t, end in self.ends[state]:
+                    if (t, end) not in longer and size >= least_of[t] and (
+                            follows is None or end + 1 == self.sizes[t] or self.tokens[t][end + 1] != follows):
+                        out.append((at - size + 1, size, t, end - size + 1))
+                longer.update(self.ends[state])
+                state = self.link[state]
+                size = self.length[state]
+        return out
 
 
 @dataclass
@@ -193,6 +204,7 @@ class Span:
     start: int  # first word in the file
     end: int  # word after the last
     covered: float  # share of the template
+    words: int  # of the template that are covered
 
 
 def chains(automaton: Automaton, words: list[str], least: int = LEAST, gap: int = GAP) -> list[Span]:
@@ -201,10 +213,8 @@ def chains(automaton: Automaton, words: list[str], least: int = LEAST, gap: int
     Templates shorter than ``least`` count as matches when they stand whole.
     """
     by_template: dict[int, list[tuple[int, int, int]]] = {}
-    for start, size, state in automaton.matches(words, min(least, min(automaton.sizes, default=least))):
-        for t, end in automaton.ends[state]:
-            if size >= min(least, automaton.sizes[t]):
-                by_template.setdefault(t, []).append((start, end - size + 1, size))
+    for start, size, t, at in automaton.matches(words, least):
+        by_template.setdefault(t, []).append((start, at, size))
     out: list[Span] = []
     for t, found in sorted(by_template.items()):
         # Best chain to each match: tokens covered, then where it starts.
@@ -222,11 +232,19 @@ def chains(automaton: Automaton, words: list[str], least: int = LEAST, gap: int
                     top, link = (best[j][0] + size - shared, best[j][1], s + size), j
             best.append(top)
             used.add(link)
-        out += [Span(automaton.labels[t], first, end, min(1.0, covered / automaton.sizes[t]))
+        out += [Span(automaton.labels[t], first, end, min(1.0, covered / automaton.sizes[t]), covered)
                 for i, (covered, first, end) in enumerate(best) if i not in used]
     return out
 
 
+def told(found: list[Span], covered: float) -> list[Span]:
+    """Chains that cover ``covered`` of their template. One with words missing does not count inside one of more words:
+    the notice of version 3 is not that of version 2 with an error."""
+    enough = [s for s in found if s.covered >= covered]
+    return [s for s in enough if s.covered == 1 or not any(
+        o.words > s.words and o.start <= s.start and s.end <= o.end for o in enough)]
+
+
 def base_places(words: list[str], phrases: dict[tuple[str, ...], str]) -> list[tuple[int, str]]:
     """(start, label) of every place of every phrase."""
     lasts: dict[str, list[tuple[tuple[str, ...], str]]] = {}
@@ -248,8 +266,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
          covered: float = COVERED) -> DataFrame:
     """Base places, labels, score and spans for each row of ``docs``.
 
-    ``spans`` lists label:first word:word after the last of every chain that covers ``covered`` of its template;
-    their labels join those of the base. ``score`` is the best share of a template, over all chains.
+    ``spans`` lists label:first word:word after the last of every chain that covers ``covered`` of its template, but
+    for incomplete ones inside a chain of more words; their labels join those of the base. ``score`` is the best share of a template, over all chains.
     Null and empty texts have no words, no labels and score 0. Rows are scanned one by one, so repeated rows get equal
     results; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
@@ -262,7 +280,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
         words = words_of(text)
         places = base_places(words, phrases_)
         found = chains(machine, words)
-        named = [s for s in found if s.covered >= covered]
+        named = told(found, covered)
         base = {label for _, label in places}
         return (doc_id, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None,
                 ",".join(sorted(base)), ",".join(sorted(base | {s.label for s in named})),
