@@ -239,6 +239,33 @@ def test_odd_pages(spark):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} of the text, long enough to stand out from the rest of the page.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-navbar", "social-policy", "search-results", "ad-free", "page-with-comments",
+                                  "layout-sidebar", "sidebar", "content__no-banner"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "{}"])
+def test_wrappers_named_after_what_they_hold(name, inner):
+    want = html_text.main_text(f"<article>{ARTICLE}</article>")
+    assert want.startswith("Title\n\nParagraph 0") and want.endswith("page.")
+    page = (f"<body><nav><a>one</a><a>two</a></nav><div class='{name}'><div class='ad'>buy</div>" + inner.format(ARTICLE)
+            + "<div class='site-nav'><a>x</a></div></div><div class='footer-links'><a>y</a></div></body>")
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(page.replace("<body>", "<body><form action='x.aspx'>").replace("</body>", "</form></body>")) == want
+
+
+def test_doubtful_elements_beside_the_text():
+    f = html_text.main_text
+    want = f(f"<article>{ARTICLE}</article>")
+    comments = "<div id=comments>" + "<article><p>A reader has something to say at some length, as readers do.</p></article>" * 40 + "</div>"
+    assert f(f"<article>{ARTICLE}</article>{comments}") == want
+    assert f(f"<form><div class=with-sidebar><article>{ARTICLE}</article>{comments}</div></form>") == want
+    assert f(f"<div>{ARTICLE}</div>{comments}") == want
+    assert f(f"<div>{ARTICLE}</div><div class='sidebar-left'><article>Teaser of a piece</article></div>") == want
+    assert f("<article>Short.</article><div class='ad'>" + "many words to buy " * 20 + "</div>") == "Short."
+    assert f(f"<div>{ARTICLE}</div><div hidden>{ARTICLE}{ARTICLE}</div>") == want
+
+
 # --- personal data
 
 def spans_brute(text):

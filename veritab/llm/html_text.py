@@ -4,7 +4,8 @@ The standard library's parser streams a page's events into lines, one for each b
 a ratio of its characters to the tags in it; the ratios are smoothed with a Gaussian and split into two
 clusters by a threshold. The lines of the upper cluster mark the content region, which is then taken whole: the
 article or main element that holds most of the marked text, or else the stretch from the first marked line to the last
-and what else lies in the same containers.
+and what else lies in the same containers. Elements that only their name, a form or an attribute tells to be no content are
+dropped after the whole page is read, and kept if they hold its landmark or most of its text.
 """
 
 from __future__ import annotations
@@ -23,13 +24,19 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td "
                    "tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never content, and the words in a class, id or role that tell the same of any element.
-OUTSIDE = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg math "
+#: Elements that are never content, and the words that as class, id or role tell the same of an element that has not the page's
+#: text in it; so do names that end in such a word, places left off, but for those with a word of HOLDS: "has-sidebar" has one.
+OUTSIDE = frozenset("head nav footer aside script style noscript template button select option textarea iframe svg math "
                     "object audio video canvas dialog menu title".split())
 OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
                           "footer menu nav navbar navigation newsletter notice notices pagination popup promo promoted reader-comments "
                           "related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary "
                           "contentinfo search alert".split())
+HOLDS = frozenset("has have no not non with without hide show free".split())
+PLACES = frozenset("area bar block bottom box container inner item items left links list middle outer panel right section slot top "
+                   "unit wrap wrapper".split())
+#: Words for what readers add, which may be more than the page's own text.
+READERS = frozenset("comment comments disqus reader-comments respond".split())
 LANDMARKS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article blockquote body center div main section td".split())
 #: Elements that a start tag of the key closes when they are still open.
@@ -38,19 +45,21 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, landmark, container) of each block, with the numbers of the article or main element
-    and of the container around it; 0: none."""
+    """Collects (text, tags, landmark, container, doubt) of each block, with the numbers of the article or main element,
+    of the container and of the doubtful element around it; 0: none. ``doubts`` has of each doubtful element the one around it
+    and why it is one: form, name, readers or hidden."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, is it content, landmark, container
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, can it be content, landmark, container, doubt
+        self.doubts: list[tuple[int, str]] = [(0, "")]
         self.text: list[str] = []
         self.tags = 0
         self.landmarks = self.containers = 0
 
-    def inside(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (True, 0, 0)
+    def inside(self) -> tuple[bool, int, int, int]:
+        return self.open[-1][1:] if self.open else (True, 0, 0, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -70,17 +79,22 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        content, landmark, container = self.inside()
-        if content and self.is_outside(tag, attrs, landmark):
+        content, landmark, container, doubt = self.inside()
+        if content and (tag in OUTSIDE or tag == "header" and not landmark):
             self.end_line()
             content = False
+        why = self.doubtful(tag, attrs) if content else ""
+        if why:
+            self.end_line()
+            self.doubts.append((doubt, why))
+            doubt = len(self.doubts) - 1
         if content and tag in LANDMARKS and not landmark:
             self.landmarks += 1
             landmark = self.landmarks
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
-        self.open.append((tag, content, landmark, container))
+        self.open.append((tag, content, landmark, container, doubt))
 
     def closable(self, tag: str) -> bool:
         """Is ``tag`` open with only inline elements inside it?"""
@@ -92,21 +106,24 @@ class Lines(HTMLParser):
         return False
 
     @staticmethod
-    def is_outside(tag: str, attrs: list, landmark: int) -> bool:
-        if tag in OUTSIDE or tag == "header" and not landmark:
-            return True
+    def doubtful(tag: str, attrs: list) -> str:
+        """Why an element may be no content; empty if nothing tells so."""
         if tag in ("html", "body", "main", "article"):
-            return False
+            return ""
+        why = "form" if tag == "form" else ""
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and name in ("class", "id", "role"):
-                words = value.lower().replace("_", "-").split()
-                if any(w in OUTSIDE_WORDS or not OUTSIDE_WORDS.isdisjoint(w.split("-")) for w in words):
-                    return True
+                return "hidden"
             if value and name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return "hidden"
+            if value and name in ("class", "id", "role"):
+                for w in value.lower().replace("_", "-").split():
+                    parts = [p for p in w.split("-") if p]
+                    while len(parts) > 1 and parts[-1] in PLACES:
+                        parts.pop()
+                    if w in OUTSIDE_WORDS or parts and parts[-1] in OUTSIDE_WORDS and HOLDS.isdisjoint(parts):
+                        why = "readers" if w in READERS or parts[-1] in READERS else why or "name"
+        return why
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -117,7 +134,8 @@ class Lines(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
         self.tags += 1
         if tag in BLOCKS or at >= 0 and (any(t in BLOCKS for t, *_ in self.open[at:])
-                                         or self.open[at][1] != (at == 0 or self.open[at - 1][1])):
+                                         or self.open[at][1] != (at == 0 or self.open[at - 1][1])
+                                         or self.open[at][4] != (at and self.open[at - 1][4])):
             self.end_line()
         if at >= 0 and (tag in BLOCKS or tag in OUTSIDE or not any(t in BLOCKS for t, *_ in self.open[at:])):
             del self.open[at:]
@@ -127,7 +145,8 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, int]]:
+def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
+    """Lines that may be content; the last column is the number of doubtful elements around each."""
     parser = Lines()
     try:
         parser.feed(html)
@@ -137,7 +156,58 @@ def lines_of(html: str) -> list[tuple[str, int, int, int]]:
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
     parser.end_line()
-    return parser.lines
+    if len(parser.doubts) == 1:
+        return parser.lines
+    depth, dropped = judged(parser.lines, parser.doubts)
+    out, tags = [], 0
+    for text, own, landmark, container, doubt in parser.lines:
+        tags += own  # those of dropped lines count for the next one
+        if not dropped[doubt]:
+            out.append((text, tags, landmark, container, depth[doubt]))
+            tags = 0
+    return out
+
+
+def judged(lines: list[tuple[str, int, int, int, int]], doubts: list[tuple[int, str]]) -> tuple[list[int], list[bool]]:
+    """How deep each doubtful element lies in others, itself included, and whether it is dropped.
+
+    One is kept that holds the page's landmark: of those in the fewest doubtful elements the one with most text, if that is
+    more than the text in no doubtful element. One is also kept that holds more than half of the text; but for a
+    form, no landmark may then stand outside of it. What readers add and what is hidden is kept only for a landmark with more than
+    half of the page's text. What lies in a dropped element is dropped.
+    """
+    depth, size = [0] * len(doubts), [0] * len(doubts)
+    for d in range(1, len(doubts)):
+        depth[d] = depth[doubts[d][0]] + 1
+    marks: dict[int, list[int]] = {}  # landmark: depth, characters, doubtful element around it
+    plain = 0
+    for text, _, landmark, _, doubt in lines:
+        size[doubt] += len(text)
+        plain += len(text) * (not doubt)
+        if landmark:
+            mark = marks.setdefault(landmark, [depth[doubt], 0, doubt])
+            mark[1] += len(text)
+            if depth[doubt] < mark[0]:
+                mark[0], mark[2] = depth[doubt], doubt
+    for d in range(len(doubts) - 1, 0, -1):
+        size[doubts[d][0]] += size[d]
+    total = size[0]
+    least = min((m[0] for m in marks.values()), default=0)
+    first = max((m for m in marks.values() if m[0] == least), key=lambda m: m[1], default=None)
+    holds = set()
+    at = first[2] if first and first[1] > plain else 0
+    while at:
+        holds.add(at)
+        at = doubts[at][0]
+    dropped = [False] * len(doubts)
+    for d in range(1, len(doubts)):
+        around, why = doubts[d]
+        if why in ("readers", "hidden"):
+            kept = d in holds and 2 * first[1] > total
+        else:
+            kept = d in holds or 2 * size[d] > total and (why == "form" or not first or first[0] >= depth[d])
+        dropped[d] = dropped[around] or not kept
+    return depth, dropped
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
@@ -172,9 +242,10 @@ def main_text(html: str | None) -> str:
     marked = marked >= cluster_threshold(marked)
     landmark, container = np.array([line[2] for line in lines]), np.array([line[3] for line in lines])
     share = np.bincount(landmark, weights=length * marked)
-    best = int(share.argmax())
-    if not best and len(share) > 1 and share[1:].max() > 0:
-        best = int(share[1:].argmax()) + 1  # an element made for content goes before what lies around it
+    depth = np.full(len(share), len(lines))
+    np.minimum.at(depth, landmark, [line[4] for line in lines])
+    # An element made for content goes before what lies around it, and before one in more doubtful elements.
+    best = min((b for b in range(1, len(share)) if share[b] > 0), key=lambda b: (depth[b], -share[b]), default=0)
     if best:
         chosen = np.flatnonzero(landmark == best)
     else:
