@@ -191,6 +191,35 @@ def test_leaks(spark):
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(rows)
 
 
+def test_copied_items_hide_nothing(spark):
+    import random
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = [["".join(rng.choices(letters, k=6)) for _ in range(55)] for _ in range(300)]
+    bench = [(i, " ".join(w)) for i, w in enumerate(some)]
+    copies = [(1000 + i, bench[0][1] + "!") for i in range(150)]
+    edited = some[0][:27] + ["changed"] + some[0][28:]
+    mixed = some[1][:50] + some[2][50:]  # foreign shingles that another text holds
+    docs = docs_of(spark, [" ".join(edited), "before it " + " ".join(mixed) + " and on", bench[3][1], "none of all this"])
+    schema = "item_id long, text string"
+    alone = decontaminate.matches(docs, spark.createDataFrame(bench, schema)).collect()
+    got = decontaminate.matches(docs, spark.createDataFrame(bench + copies, schema)).collect()
+    same = {0, *(i for i, _ in copies)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, i) for i in same} | {(1, 1), (2, 3)}
+    assert {(r.doc_id, r.item_id) for r in alone} == {(0, 0), (1, 1), (2, 3)}
+    # Copies change no similarity; 46 of 56 shingles are common.
+    told = {(r.doc_id, r.item_id): r.similarity for r in alone}
+    assert all(abs(r.similarity - told[r.doc_id, 0 if r.item_id in same else r.item_id]) < 1e-9 for r in got)
+    assert abs(told[0, 0] - 46 / 56) < 1e-9
+    assert decontaminate.drop_contaminated(docs, spark.createDataFrame(bench + copies, schema)).count() == 1
+
+
+def test_windows_between_offsets(spark):
+    laid = spark.createDataFrame([([(4, 0), (4, 3), (4, 9), (5, 10)],)], "laid array<struct<length: int, start: int>>")
+    got, = laid.select(decontaminate._between(F.col("laid")).alias("x")).collect()
+    assert [(r.start, r.length) for r in got.x] == [(0, 4), (1, 4), (2, 4), (3, 4), (9, 4), (10, 5)]
+
+
 def test_main_path_has_no_python(spark):
     docs, items = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     plan = decontaminate.matches(docs, items)._jdf.queryExecution().toString()

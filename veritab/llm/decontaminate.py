@@ -2,9 +2,9 @@
 exact weighted-shingle similarity.
 
 DataFrame functions only. Windows as long as an item are laid where a document shares a five-word
-shingle with some item, at the offset the shingle has there: a window without a shared shingle
-has similarity 0, so no window that could be verified is left out. Fingerprints of windows and
-items are cut into ``radius + 1`` blocks; two within ``radius`` bits have a block in common, so
+shingle with some item, at the offset the shingle has there, and between two such offsets less than
+a window apart; a window without a shared shingle has similarity 0. Items of equal words are one text. Fingerprints of windows and
+texts are cut into ``radius + 1`` blocks; two within ``radius`` bits have a block in common, so
 that joining on blocks finds all of them. What is within the radius is verified on its shingles.
 """
 
@@ -64,38 +64,45 @@ def blocks(fp: Column, radius: int) -> Column:
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def _items(benchmark: DataFrame, shingle: int) -> DataFrame:
-    """Items with their words, and the shingle length that fits them (shorter items: all their words)."""
-    rows = benchmark.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0").distinct()
-    return rows.select("item_id", "words", F.size("words").alias("length"),
-                       F.least(F.size("words"), F.lit(shingle)).alias("n"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Items with their words and the key of these, which items of equal words share."""
+    rows = benchmark.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
+    return rows.select("item_id", "words", F.sha2(F.array_join("words", " "), 256).alias("text_id")).distinct()
+
+
+def _texts(items: DataFrame, shingle: int) -> DataFrame:
+    """Different texts, and the shingle length that fits them (shorter ones: all their words)."""
+    return items.groupBy("text_id").agg(F.first("words").alias("words")).select(
+        "text_id", "words", F.size("words").alias("length"), F.least(F.size("words"), F.lit(shingle)).alias("n"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 16, least: float = 0.8) -> DataFrame:
     """One row for each document and item with a window of similarity ``least`` or more.
 
     Columns: doc_id, item_id, start (first word of the best window, the earliest of equals), length
-    (its words), distance (bits between the fingerprints), similarity. Similarity is the weighted
-    Jaccard of shingle multisets; a shingle weighs 1 + ln(items / items that hold it), one that the
-    item lacks as much as one that a single item holds. Null, blank and short texts match nothing;
+    (its words), distance (bits between the fingerprints), similarity. Similarity is the Jaccard
+    index of shingle multisets, plain or weighted, whichever is more; a shingle weighs 1 + ln(texts /
+    texts that hold it), texts being the different word sequences of the items, and one that no text holds
+    as much as one that a single text holds. Null, blank and short texts match nothing;
     items without words match nothing; repeated rows and items of equal text give the row of each
     id once; empty tables give none. Columns other than doc_id, text and item_id, text are not read.
     """
-    return _matches(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), benchmark, shingle, radius, least).select(
-        "doc_id", "item_id", "start", "length", "distance", "similarity").groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("start", "length", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("m")
-    ).select("doc_id", "item_id", "m.*")
+    items = materialize(_items(benchmark), "items")
+    best = F.max_by(F.struct("start", "length", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("m")
+    found = _matches(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), items, shingle, radius, least)
+    return (found.groupBy("doc_id", "text_id").agg(best).select("doc_id", "text_id", "m.*")
+            .join(items.select("item_id", "text_id"), "text_id").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*"))
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
-    items = materialize(_items(benchmark, shingle), "items")
-    # Shingle lengths in use: the asked one, and shorter ones where items are that short.
-    sizes = sorted(r.n for r in items.select("n").distinct().collect()) or [shingle]
+def _matches(docs: DataFrame, items: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    texts = materialize(_texts(items, shingle), "item-texts")
+    # Shingle lengths in use: the asked one, and shorter ones where texts are that short.
+    sizes = sorted(r.n for r in texts.select("n").distinct().collect()) or [shingle]
 
     # Where does a document share a shingle with an item?
     posted, count = materialize_counted(
-        _union(items.where(F.col("n") == n).select("item_id", "length", F.posexplode(shingle_hashes(F.col("words"), n)).alias("at", "hash"))
-               for n in sizes), "item-shingles")
+        _union(texts.where(F.col("n") == n).select("length", F.posexplode(shingle_hashes(F.col("words"), n)).alias("at", "hash"))
+               for n in sizes).distinct(), "item-shingles")
     side = F.broadcast(posted) if count <= BROADCAST_SHINGLES else posted
     bound = docs.select("doc_id", "h", words(F.col("text")).alias("words")).where(F.size("words") >= min(sizes))
     found = _union(
@@ -105,28 +112,41 @@ def _matches(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, l
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("length")))
     laid = materialize(
         found.join(side, "hash").select("doc_id", "h", start.alias("start"), "length").distinct()
-        .groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "length")).alias("laid")), "windows")
+        .groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("length", "start"))).alias("laid"))
+        .withColumn("laid", _between(F.col("laid"))), "windows")
 
     # Words of the windows and their fingerprints.
-    texts = docs.join(laid, (docs.h == laid.h) & docs.doc_id.eqNullSafe(laid.doc_id)).select(
+    bodies = docs.join(laid, (docs.h == laid.h) & docs.doc_id.eqNullSafe(laid.doc_id)).select(
         docs.doc_id, docs.h, words(F.col("text")).alias("words"), "laid")
-    window = texts.select("doc_id", "h", F.explode(F.transform("laid", lambda x: F.struct(
+    window = bodies.select("doc_id", "h", F.explode(F.transform("laid", lambda x: F.struct(
         x["start"].alias("start"), x["length"].alias("length"), F.slice("words", x["start"] + 1, x["length"]).alias("w")))).alias("x"))
     window = materialize(
         window.select("doc_id", "h", "x.start", "x.length", F.col("x.w").alias("words")).distinct()
         .withColumn("fp", simhash(F.col("words"))), "window-fingerprints")
 
     # Multi-index join: fingerprints of windows and items of one length that share a block.
-    printed = items.withColumn("fp", simhash(F.col("words")))
+    printed = texts.withColumn("fp", simhash(F.col("words")))
     left = window.select("length", "fp").distinct().select("length", "fp", F.explode(blocks(F.col("fp"), radius)).alias("k"))
-    right = printed.select("item_id", "length", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("k"))
+    right = printed.select("text_id", "length", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("k"))
     near = (left.join(right, ["length", "k"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-            .select("length", "fp", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct())
+            .select("length", "fp", "text_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct())
 
     # Exact similarity of what is left.
-    pairs = window.join(near, ["length", "fp"]).join(_weighted(items, sizes), ["item_id", "length"])
-    return pairs.withColumn("similarity", _similarity(pairs, sizes)).where(F.col("similarity") >= least)
+    weighted, known = _weighted(texts, sizes)
+    pairs = window.join(near, ["length", "fp"]).join(weighted, ["text_id", "length"])
+    return _similar(pairs, known, sizes, least)
+
+
+def _between(laid: Column) -> Column:
+    """The sorted windows, and those between two of one length that are less than it apart."""
+    def filled(x: Column, i: Column) -> Column:
+        after = F.get(laid, i + 1)
+        to = F.when((after["length"] == x["length"]) & (after["start"] - x["start"] < x["length"]), after["start"] - 1)
+        return F.transform(F.sequence(x["start"], F.coalesce(to, x["start"])),
+                           lambda at: F.struct(at.alias("start"), x["length"].alias("length")))
+
+    return F.flatten(F.transform(laid, filled))
 
 
 def _union(frames) -> DataFrame:
@@ -136,48 +156,69 @@ def _union(frames) -> DataFrame:
     return out
 
 
-def _weighted(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Items with their distinct shingles, how often each occurs, and its weight."""
-    rows = _union(items.where(F.col("n") == n).select("item_id", "length", "n", F.explode(shingle_texts(F.col("words"), n)).alias("s"))
-                  for n in sizes).groupBy("item_id", "length", "n", "s").agg(F.count("*").alias("times"))
-    total = items.agg(F.countDistinct("item_id").alias("items"))
-    held = rows.groupBy("s").agg(F.countDistinct("item_id").alias("held"))
+def _weighted(texts: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Texts with their distinct shingles, how often each occurs, and its weight; and what the shingles of several texts
+    weigh less than those of one."""
+    rows = _union(texts.where(F.col("n") == n).select("text_id", "length", "n", F.explode(shingle_texts(F.col("words"), n)).alias("s"))
+                  for n in sizes).groupBy("text_id", "length", "n", "s").agg(F.count("*").alias("times"))
+    held = rows.groupBy("s").agg(F.log(F.count("*")).alias("less"))
+    known, count = materialize_counted(held.where("less > 0"), "shared-shingles")
+    side = F.broadcast(known) if count <= BROADCAST_SHINGLES else known
+    total = texts.agg((1 + F.log(F.count("*"))).alias("rarest"))
     # The total is one row.
-    return (rows.join(held, "s").join(F.broadcast(total), F.lit(True))
-            .withColumn("weight", 1 + F.log(F.col("items") / F.col("held")))
-            .groupBy("item_id", "length", "n")
-            .agg(F.collect_list(F.struct("s", "times", "weight")).alias("shingles"),
-                 F.max(1 + F.log(F.col("items").cast("double"))).alias("rarest")))
+    return (rows.join(side, "s", "left").join(F.broadcast(total), F.lit(True))
+            .withColumn("weight", F.col("rarest") - F.coalesce("less", F.lit(0.0)))
+            .groupBy("text_id", "length", "n")
+            .agg(F.collect_list(F.struct("s", "times", "weight")).alias("shingles"), F.max("rarest").alias("rarest"))), side
 
 
-def _similarity(pairs: DataFrame, sizes: list[int]) -> Column:
-    texts = None
+def _similar(pairs: DataFrame, known: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """Pairs of windows and texts of similarity ``least`` or more."""
+    own = None
     for n in sizes:
-        own = shingle_texts(F.col("words"), n)
-        texts = F.when(F.col("n") == n, own) if texts is None else texts.when(F.col("n") == n, own)
+        of_n = shingle_texts(F.col("words"), n)
+        own = F.when(F.col("n") == n, of_n) if own is None else own.when(F.col("n") == n, of_n)
 
-    def ratio(ws: Column) -> Column:
+    def parts(ws: Column) -> Column:
         met = F.transform("shingles", lambda x: F.struct(
             x["times"].alias("times"), x["weight"].alias("weight"),
             F.size(F.filter(ws, lambda s: s == x["s"])).alias("seen")))
 
         def of(m: Column) -> Column:
             zero = F.lit(0.0)
-            common = F.aggregate(m, zero, lambda a, x: a + x["weight"] * F.least(x["times"], x["seen"]))
-            either = F.aggregate(m, zero, lambda a, x: a + x["weight"] * F.greatest(x["times"], x["seen"]))
-            seen = F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x["seen"])
-            return common / (either + F.col("rarest") * (F.size(ws) - seen))
+            return F.struct(
+                F.aggregate(m, zero, lambda a, x: a + x["weight"] * F.least(x["times"], x["seen"])).alias("common"),
+                F.aggregate(m, zero, lambda a, x: a + x["weight"] * F.greatest(x["times"], x["seen"])).alias("either"),
+                F.aggregate(m, zero, lambda a, x: a + F.least(x["times"], x["seen"])).alias("shared"),
+                F.aggregate(m, zero, lambda a, x: a + F.greatest(x["times"], x["seen"])).alias("all"),
+                F.filter(ws, lambda s: ~F.array_contains(F.col("shingles.s"), s)).alias("foreign"))
 
         return _bind(met, of)
 
-    return _bind(texts, ratio)
+    key = ["doc_id", "h", "start", "length", "text_id"]
+
+    def enough(p: Column) -> Column:
+        # No shingle weighs less than 1, so that the others cannot reach it.
+        return (p["shared"] / (p["all"] + F.size(p["foreign"])) >= least) | (p["common"] / (p["either"] + F.size(p["foreign"])) >= least)
+
+    # A filter on columns would be pushed below them and work them out anew for each of its terms.
+    scored = pairs.select(*key, "distance", "rarest", F.inline(F.filter(F.transform(F.array(own), parts), enough)))
+    each = scored.select(*key, "distance", "rarest", "common", "either", (F.col("shared") / (F.col("all") + F.size("foreign"))).alias("plain"),
+                         F.explode_outer("foreign").alias("f"))
+    each = each.withColumn("s", F.coalesce("f", "text_id")).join(known, "s", "left")
+    weight = F.when(F.col("f").isNotNull(), F.col("rarest") - F.coalesce("less", F.lit(0.0))).otherwise(0.0)
+    return (each.groupBy(*key).agg(F.min("distance").alias("distance"), F.max("plain").alias("plain"), F.max("common").alias("common"),
+                                   F.max("either").alias("either"), F.sum(weight).alias("rest"))
+            .withColumn("similarity", F.greatest("plain", F.col("common") / (F.col("either") + F.col("rest"))))
+            .where(F.col("similarity") >= least).select(*key, "distance", "similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 16, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns; equal rows share their fate."""
     h = unused(docs, "text_hash")
     tagged = docs.withColumn(h, F.xxhash64("text"))
-    found = _matches(tagged.select("doc_id", "text", F.col(h).alias("h")), benchmark, shingle, radius, least)
+    items = materialize(_items(benchmark), "items")
+    found = _matches(tagged.select("doc_id", "text", F.col(h).alias("h")), items, shingle, radius, least)
     found = found.select(F.col("doc_id").alias(unused(tagged, "leak_id")), F.col("h").alias(unused(tagged, "leak_hash"))).distinct()
     same = (F.col(h) == found[found.columns[1]]) & tagged["doc_id"].eqNullSafe(found[found.columns[0]])
     return tagged.join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
