@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import decontaminate, html_text, licenses, packing, pii, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
+from veritab.llm import decontaminate, fingerprints, html_text, licenses, packing, pii, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op9_pii(spark, root):
 @query
 def op10_best_fit_packing(spark, root):
     return packing.pack(table(spark, root, "documents"))
+
+
+@query
+def op13_document_fingerprints(spark, root):
+    return fingerprints.fingerprints(table(spark, root, "documents"))
