@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import decontaminate, fingerprints, html_text, licenses, packing, pii, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
+from veritab.llm import (conversations, decontaminate, fingerprints, html_text, licenses, packing, pii, quality, simhash_dedup, suffix_dedup,
+                         token_counts, toxicity, vector_codes)
+from veritab.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -71,6 +72,16 @@ def op10_best_fit_packing(spark, root):
     return packing.pack(table(spark, root, "documents"))
 
 
+@query
+def op11_vector_code_compression(spark, root):
+    return vector_codes.compress(table(spark, root, "embeddings"))
+
+
+@query
+def op12_conversation_repair(spark, root):
+    return conversations.repair(table(spark, root, "conversations"))
+
+
 @query
 def op13_document_fingerprints(spark, root):
     return fingerprints.fingerprints(table(spark, root, "documents"))
