@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.functions import describe, documents, names, pii, sqltext
+from veritab.functions import describe, documents, names, pii, sqlread, sqltext
 
 
 def one(spark, expr, **values):
@@ -195,3 +195,30 @@ def test_sample_preview(spark):
     df = spark.createDataFrame([(["a", None, "x" * 41, "b", "c", "d"],), (None,)], "s array<string>")
     got = [r[0] for r in df.select(describe.sample_preview(F.col("s"))).collect()]
     assert got == ["[a, null, " + "x" * 40 + "…, b, c]", "(无样本)"]
+
+
+@pytest.mark.parametrize("sql, n", [
+    ("SELECT 'a''b', \"c\" FROM t -- note\nWHERE x", 1), ("SELECT 'a\\b' FROM t", 1), ("SELECT a$b, $1 FROM t", 1),
+    ("SELECT 'a\\' FROM t", 2), ("SELECT 1 # x", 2), ("SELECT $a$ ' $a$", 2), ("SELECT q'{'}'", 2), ("", 1)])
+def test_views_of_a_text(spark, sql, n):
+    seen = lit(spark, sqlread.views, sql)
+    assert len({v["text"] for v in seen}) == n
+
+
+def test_texts_with_many_escapes(spark):
+    sql = "SELECT '" + "\\'" * 200_000 + "' FROM t"
+    # The even number of quotes closes for readers without escapes as well; what stands between them differs.
+    assert lit(spark, lambda c: F.size(sqlread.views(c)), sql) > 1
+    assert "t" in lit(spark, sqltext.table_references, sql)
+
+
+@pytest.mark.parametrize("text, refs, sources, tags, header", [
+    ("-- @Description : the model\n{{ config(materialized='table', tags=['a', \"b\"]) }} select * from {{ ref('x') }} join {{ref(\"p\", 'y')}} {{ ref('x') }}"
+     " join {{ source('raw', 't') }} {% if ref('z') %}", [("x", "x"), ("p", "y")], [("raw", "t")], ["a", "b"], "the model"),
+    ("select 1 -- @description: no\n{{ config(alias='q') }}{{ source('one') }} {{ ref(a, b, c) }}", [], [], [], None),
+    ("", [], [], [], None)])
+def test_model_tags(spark, text, refs, sources, tags, header):
+    assert [tuple(r) for r in lit(spark, sqltext.model_refs, text)] == refs
+    assert [tuple(r) for r in lit(spark, sqltext.model_sources, text)] == sources
+    assert lit(spark, sqltext.model_tags, text) == tags
+    assert lit(spark, sqltext.model_header, text) == header

@@ -1,8 +1,8 @@
 """Screens and extraction over a table of query texts.
 
-Works on text with column expressions; it is no parser. One lexical pass cuts a
-text into literals, quoted names, comments and the rest, and all screens look at
-what is outside of the former. Contents of parentheses and of string literals are
+Works on text with column expressions; it is no parser. Texts are cut into literals,
+quoted names, comments and the rest under the readings of several engines (``sqlread``);
+screens and extractors look at what is outside of the former in any of them. Contents of parentheses and of string literals are
 moved out of the ASCII range (same length), so patterns only see the outer level,
 at any nesting depth, and the text can be restored.
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.sqlread import over_views, strip_comments, view, views
+
 # Statements and keywords a screened query may not hold.
 FORBIDDEN = [
     "insert", "update", "delete", "drop", "truncate", "alter", "create", "grant", "revoke",
@@ -39,46 +41,15 @@ AGGREGATES = [
 
 _ASCII = "".join(chr(c) for c in range(0x20, 0x7F))
 _HIDDEN = "".join(chr(0xE000 + c) for c in range(0x20, 0x7F))
-# The same without the marks that quote names.
-_INNER = "".join(c for c in _ASCII if c not in "\"`")
-_INNER_HIDDEN = "".join(chr(0xE000 + ord(c)) for c in _INNER)
 _NAME = r"[a-zA-Z_]\w*"
 
 # One part of a table name, plain (hyphens allowed) or quoted, and a whole name.
 _PART = r"(?:[\p{L}_][\p{L}\p{N}_$]*(?:-[\p{L}\p{N}_$]+)*|\"[^\"]*\"|`[^`]*`)"
 _TABLE = rf"{_PART}(?:\s*\.\s*{_PART})*"
 
-# Literal, quoted name, comment, or a run of anything else; what is left open runs to the end.
-_LEX = r"""'[^']*(?:'|$)|"[^"]*(?:"|$)|`[^`]*(?:`|$)|--[^\n]*|/\*[\s\S]*?(?:\*/|$)|[^'"`/-]+|[/-]"""
-_LEX_ESCAPES = _LEX.replace("'[^']*(?:'|$)", r"'(?:[^'\\]++|\\[\s\S])*+(?:'|$)")
-
-
-def _pieces(sql: Column, escapes: bool = False) -> Column:
-    return F.regexp_extract_all(sql, F.lit(_LEX_ESCAPES if escapes else _LEX), F.lit(0))
-
-
-def _is_comment(piece: Column) -> Column:
-    return F.startswith(piece, F.lit("--")) | F.startswith(piece, F.lit("/*"))
-
-
-def strip_comments(sql: Column) -> Column:
-    """The text with a space for each comment; marks inside literals and quoted names are no comments."""
-    return F.array_join(F.transform(_pieces(sql), lambda p: F.when(_is_comment(p), F.lit(" ")).otherwise(p)), "")
-
-
-def outside(sql: Column, escapes: bool = False) -> Column:
-    """The text with '' for each literal, a space for each comment, and the contents of quoted names
-    moved out of ASCII, so that no pattern for words, commas or parentheses finds anything in them."""
-
-    def plain(p):
-        return (
-            F.when(F.startswith(p, F.lit("'")), F.lit("''"))
-            .when(_is_comment(p), F.lit(" "))
-            .when(p.rlike("^[\"`]"), F.translate(p, _INNER, _INNER_HIDDEN))
-            .otherwise(p)
-        )
-
-    return F.array_join(F.transform(_pieces(sql, escapes), plain), "")
+def outside(sql: Column) -> Column:
+    """The text of the standard view: no literals, no comments, quoted names hidden."""
+    return view(sql)["text"]
 
 
 def statements(sql: Column) -> Column:
@@ -127,8 +98,11 @@ _NOT_ALIAS = [
     "on", "where", "join", "left", "right", "inner", "outer", "full", "cross", "group", "order", "limit", "having", "union",
     "using", "set", "values", "select", "as", "lateral", "natural", "semi", "anti", "asof", "global", "any", "all", "final",
     "intersect", "except", "window", "qualify", "fetch", "offset", "returning", "sample", "prewhere", "settings", "format", "from",
-    "into", "update", "table", "only",
+    "into", "update", "table", "only", "tablesample", "pivot", "unpivot", "when", "matched", "for", "default", "end", "with", "outfile",
+    "dumpfile",
 ]
+# Functions that make rows of their arguments and read nothing.
+_ROW_MAKERS = ["unnest", "explode", "explode_outer", "posexplode", "inline", "generate_series", "range", "numbers", "sequence", "flatten", "values", "arrayjoin"]
 # Calls that hold the word from without a table after it.
 _FROM_CALLS = r"(?i)\b(?:extract|trim|substring|overlay|position)\s*\([^()]*\)"
 
@@ -150,51 +124,70 @@ def _levels(text: Column) -> Column:
     return _let(F.aggregate(turns, zero, inner), lambda acc: F.concat(F.array(acc["text"]), F.reverse(acc["found"])))
 
 
-def _named_tables(text: Column, words: str = "join|into|update") -> Column:
+def _named_tables(text: Column, words: str = "join|into|update|using") -> Column:
     """<table, alias> at every place of a text from ``outside`` that names one: after from and the given
     words, and after each comma of a list of tables."""
     after = rf"(?is)(?<!distinct\s)\bfrom\b(.*?)(?=\b(?:{_LIST_ENDS}|from)\b|;|$)"
-    single = rf"(?i)\b(?:{words})\s+((?:(?:table|only|lateral)\s+)?{_TABLE}(?:\s+as\s+{_PART}|\s+{_PART})?)"
+    alias_of = rf"(?:\s+as\s+{_PART}|\s+(?!(?:{'|'.join(_NOT_ALIAS)})\b){_PART})?"
+    single = rf"(?i)\b(?:{words})\s+(?:(?:table|only|lateral)\s+)?{_TABLE}(?:\s*\ue000)?{alias_of}"
 
     def of_level(level):
         lists = F.flatten(F.transform(F.regexp_extract_all(level, F.lit(after), F.lit(1)), lambda r: F.split(r, ",")))
-        return F.concat(lists, F.regexp_extract_all(level, F.lit(single), F.lit(1)))
+        return F.concat(lists, F.regexp_extract_all(level, F.lit(single), F.lit(0)))
 
     def entry(piece):
-        start = rf"(?is)^\s*(?:(?:table|only|lateral)\s+)?({_TABLE})(?:\s+as\s+({_PART})|\s+({_PART}))?"
-        alias = F.concat(F.regexp_extract(piece, start, 2), F.regexp_extract(piece, start, 3))
+        start = rf"(?is)^\s*(?:(into|update)\s+|(?:join|using)\s+)?(?:(?:table|only|lateral)\s+)?({_TABLE})(\s*\ue000)?(?:\s+as\s+({_PART})|\s+({_PART}))?"
+        alias = F.concat(F.regexp_extract(piece, start, 4), F.regexp_extract(piece, start, 5))
+        # Behind into and update stand columns in parentheses.
+        call = (F.regexp_extract(piece, start, 3) != "") & (F.regexp_extract(piece, start, 1) == "")
         return F.struct(
-            F.regexp_extract(piece, start, 1).alias("table"),
+            F.regexp_extract(piece, start, 2).alias("table"), call.alias("call"),
             F.when((alias != "") & ~F.lower(alias).isin(_NOT_ALIAS), alias).alias("alias"))
 
     named = _let(_levels(text), lambda ls: F.transform(F.flatten(F.transform(ls, of_level)), entry))
-    # A table function is no table; keywords name nothing.
+    # Functions that make rows of their arguments, and keywords, name no table.
     return F.transform(
-        F.filter(named, lambda e: (e["table"] != "") & ~F.lower(e["table"]).isin(_NOT_ALIAS)),
-        lambda e: F.struct(_clean_name(e["table"]).alias("table"), _clean_name(e["alias"]).alias("alias")))
+        F.filter(named, lambda e: (e["table"] != "") & ~F.lower(e["table"]).isin(_NOT_ALIAS) & ~(e["call"] & F.lower(e["table"]).isin(_ROW_MAKERS))),
+        lambda e: F.struct(F.concat(_clean_name(e["table"]), F.when(e["call"], "()").otherwise("")).alias("table"), _clean_name(e["alias"]).alias("alias")))
 
 
 def table_references(sql: Column) -> Column:
-    """Distinct table names after from / join / into / update and in lists of tables, of any number of
-    parts, quoted or not; literals and comments name nothing."""
-    return F.array_distinct(F.transform(_let(outside(sql), lambda t: _named_tables(t)), lambda e: e["table"]))
+    """Distinct table names after from / join / into / update / using and in lists of tables, of any number of
+    parts, quoted or not; literals and comments name nothing. A table function is told as its name with ().
+    Where engines read a text differently, the names of all readings count."""
+    return over_views(sql, lambda text: F.transform(_named_tables(text), lambda e: e["table"]))
+
+
+# Words that a table name stands behind in the text of a task.
+_BEFORE_TABLES = ["from", "join", "into", "update", "table"]
 
 
 def task_table_evidence(text: Column) -> Column:
-    """Distinct table names in task text; also after the word table."""
-    pattern = r"(?i)\b(?:from|join|into|update|table)\s+([a-zA-Z_][\w.\"`]*)"
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, "^[\"`]+|[\"`]+$", "")))
+    """Distinct table names in task text: words behind from, join, into, update or table, anywhere in it.
+
+    Task text is code around SQL, so that literals and comments count as evidence here.
+    """
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\w.\"`]+|[^\s\w.\"`]"), F.lit(0))
+
+    def names(ws):
+        at = F.filter(F.transform(ws, lambda w, i: F.when(
+            (i > 0) & F.lower(F.get(ws, i - 1)).isin(_BEFORE_TABLES) & w.rlike("^[a-zA-Z_]"), w)), lambda w: w.isNotNull())
+        return F.transform(at, lambda w: F.regexp_replace(w, "^[\"`]+|[\"`]+$", ""))
+
+    return F.array_distinct(_let(words, names))
 
 
 def write_target(statement: Column) -> Column:
-    """Target of INSERT INTO / CREATE TABLE AS of one statement, else null."""
-    text = outside(statement)
-    insert = F.regexp_extract(text, rf"(?i)\binsert\s+(?:into|overwrite)\s+(?:table\s+)?({_TABLE})", 1)
-    create = F.regexp_extract(
-        text, rf"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?({_TABLE})", 1
-    )
-    return _clean_name(F.when(insert != "", insert).when(create != "", create))
+    """Target of INSERT INTO / CREATE TABLE AS / MERGE INTO of one statement, else null."""
+
+    def of_text(text):
+        insert = F.regexp_extract(text, rf"(?i)\b(?:insert\s+(?:into|overwrite)|merge\s+into)\s+(?:table\s+)?({_TABLE})", 1)
+        create = F.regexp_extract(
+            text, rf"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?({_TABLE})", 1
+        )
+        return F.when(insert != "", insert).when(create != "", create)
+
+    return _clean_name(F.get(F.filter(F.transform(views(statement), lambda v: of_text(v["text"])), lambda t: t.isNotNull()), F.lit(0)))
 
 
 def statement_sources(statement: Column) -> Column:
@@ -205,27 +198,25 @@ def statement_sources(statement: Column) -> Column:
     )
 
 
-def _verdict(sql: Column, escapes: bool) -> Column:
-    """Reason against a text read with or without backslash escapes; empty if there is none."""
-    open_end = F.exists(
-        _pieces(sql, escapes),
-        lambda p: (p.rlike("^['\"`]") & (~p.rlike("['\"`]$") | (F.length(p) < 2)))
-        | (F.startswith(p, F.lit("/*")) & (~F.endswith(p, F.lit("*/")) | (F.length(p) < 4))))
-    # Some engines run what stands in such comments.
-    executed = F.exists(_pieces(sql, escapes), lambda p: p.rlike(r"^/\*[!+M]*!"))
-    bare = F.regexp_replace(F.regexp_replace(outside(sql, escapes), r"^\s+|\s+$", ""), r";+$", "")
+# A file written by a query.
+_WRITES_FILE = r"(?i)\binto\s+(?:outfile|dumpfile)\b"
+
+
+def _verdict(seen: Column) -> Column:
+    """Reason against one view of a text; empty if there is none."""
+    bare = F.regexp_replace(F.regexp_replace(seen["text"], r"^\s+|\s+$", ""), r"[;\s]+$", "")
 
     def judge(raw, outer):
         n = F.size(F.filter(F.split(raw, ";"), lambda p: p.rlike(r"\S")))
         head = F.regexp_extract(outer, r"^[\s(]*([a-z]+)", 1)
         return (
-            F.when(open_end, "a quote or comment is left open")
-            .when(executed, "executable comment")
+            F.when(seen["fault"] != "", seen["fault"])
             .when(n > 1, F.format_string("multiple statements detected (%d)", n))
             .when(
                 raw.rlike(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b"),
                 F.lit("DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)"),
             )
+            .when(raw.rlike(_WRITES_FILE), "writes a file")
             .when(n == 0, "empty statement")
             .when(outer.rlike(r"\b(union|intersect|except)\b"), "only SELECT allowed, got set operation")
             .when(~head.isin("select", "with"), F.concat(F.lit("only SELECT allowed, got "), head))
@@ -238,19 +229,21 @@ def _verdict(sql: Column, escapes: bool) -> Column:
 def safety_verdict(sql: Column) -> Column:
     """Struct <allowed, reason>: one statement, no forbidden word, SELECT only.
 
-    Words and semicolons count outside of literals, quoted names and comments. Engines differ on
-    whether a backslash escapes a quote, so a text that has one before a quote must pass both readings.
+    Words and semicolons count outside of literals, quoted names and comments. Engines differ on what these are; a text
+    has to pass under every reading, and the reason is that of the first one it fails.
     """
-    plain = _verdict(sql, False)
-    reason = F.when(sql.rlike(r"\\'"), _let(plain, lambda r: F.when(r != "", r).otherwise(_verdict(sql, True)))).otherwise(plain)
+    reasons = F.filter(F.transform(views(sql), _verdict), lambda r: r != "")
+    reason = F.when(sql.isNull(), "empty statement").otherwise(F.coalesce(F.get(reasons, F.lit(0)), F.lit("")))
     return _let(reason, lambda r: F.struct((r == "").alias("allowed"), r.alias("reason")))
 
 
 def clamp_limit(sql: Column, max_rows: int = DEFAULT_ROWS) -> Column:
     """Struct <sql, note>: the text without comments, with an outer row limit of at most ``max_rows``.
 
-    LIMIT n, LIMIT n OFFSET m, LIMIT m, n and FETCH FIRST n ROWS are limits; the number of rows is
-    cut when above the maximum and the rest stays. A text without any gets LIMIT at its end.
+    LIMIT n, LIMIT n OFFSET m, LIMIT m, n, FETCH FIRST n ROWS and SELECT TOP n are limits; the number of rows is
+    cut when above the maximum and the rest stays. LIMIT ALL becomes the maximum. LIMIT n BY columns holds for each value of the
+    columns: a text that has it still gets a limit. A text without any gets LIMIT at its end. Limits in any other form (an
+    expression, a parameter, a share of the rows) are refused, as are texts that engines read differently or leave open: no text, and a note.
     """
     cap = max(1, min(MAX_ROWS, int(max_rows)))
     bare = F.regexp_replace(F.regexp_replace(strip_comments(sql), r"^\s+|\s+$", ""), r"[;\s]+$", "")
@@ -259,24 +252,46 @@ def clamp_limit(sql: Column, max_rows: int = DEFAULT_ROWS) -> Column:
         r"(?is)^(.*?)\s*\b(limit\s+)(\d+)(\s+offset\s+\d+(?:\s+rows?)?)?$",
         r"(?is)^(.*?)\s*\b(limit\s+\d+\s*,\s*)(\d+)()$",
         r"(?is)^(.*?)\s*\b((?:offset\s+\d+\s+rows?\s+)?fetch\s+(?:first|next)\s+)(\d+)(\s+rows?\s+(?:only|with\s+ties))$",
+        r"(?is)^(.*?)\s*\b(limit\s+)(all)(\s+offset\s+\d+(?:\s+rows?)?)?$",
+        r"(?is)^(\s*select(?:\s+(?:distinct|all))?)\s+(top\s+)(\d+)(\s+(?!percent\b|with\s+ties\b)(?:(?!\b(?:limit|fetch|top)\b).)*+)$",
     ]
+    by = r"(?is)\blimit\s+\d+(?:\s+offset\s+\d+|\s*,\s*\d+)?\s+by\b"
+    # A limit that no form takes. Names in quotes and the inside of parentheses are hidden by then.
+    unread = rf"(?is)\b(?:limit|fetch\s+(?:first|next))\b|^\s*select(?:\s+(?:distinct|all))?\s+top\b\s*[^,.]"
 
     def row(text, note):
         return F.struct(text.alias("sql"), note.alias("note"))
 
     def cut(raw, outer):
-        out = row(F.concat(raw, F.lit(f" LIMIT {cap}")), F.lit("injected LIMIT"))
+        refused = row(F.lit(None).cast("string"), F.lit("refused: a limit in a form that is not known"))
+        plain = F.regexp_replace(outer, by, " ")
+        out = F.when(plain.rlike(unread), refused).otherwise(row(F.concat(raw, F.lit(f" LIMIT {cap}")), F.lit("injected LIMIT")))
         for form in reversed(forms):
             word, number, tail = (F.regexp_extract(outer, form, i) for i in (2, 3, 4))
-            n = number.cast("decimal(38,0)")
+            every = F.lower(number) == "all"
+            n = number.try_cast("decimal(38,0)")
+            # More digits than any number of rows has are above every maximum.
+            above = every | F.coalesce(n > cap, F.lit(True))
             rest = F.substring(raw, F.lit(1), F.length(F.regexp_extract(outer, form, 1)))
-            short = F.concat(rest, F.lit(" "), F.upper(word), F.lit(str(cap)), F.upper(tail))
-            kept = F.when(n > cap, row(short, F.concat(F.lit("clamped LIMIT "), number, F.lit(f" -> {cap}")))).otherwise(
+            end = F.substring(raw, F.length(raw) - F.length(tail) + 1, F.length(tail))
+            short = F.concat(rest, F.lit(" "), F.upper(word), F.lit(str(cap)), F.when(F.lower(F.trim(word)) == "top", end).otherwise(F.upper(tail)))
+            kept = F.when(above, row(short, F.concat(F.lit("clamped LIMIT "), F.upper(number), F.lit(f" -> {cap}")))).otherwise(
                 row(raw, F.concat(F.lit("LIMIT "), number, F.lit(" ok"))))
-            out = F.when(outer.rlike(form), kept).otherwise(out)
+            # What stands before a limit must hold no other one.
+            again = F.regexp_replace(F.regexp_extract(outer, form, 1), by, " ").rlike(unread)
+            out = F.when(outer.rlike(form), F.when(again, refused).otherwise(kept)).otherwise(out)
         return out
 
-    return _let(bare, lambda raw: _let(hide_nested(raw), lambda outer: cut(raw, outer)))
+    def refused(seen):
+        faults = F.filter(F.transform(seen, lambda v: v["fault"]), lambda f: f != "")
+        unlike = F.size(F.array_distinct(F.transform(seen, lambda v: v["text"]))) > 1
+        return F.when(seen.isNull(), "no text").when(unlike, "engines read this text differently").otherwise(F.get(faults, F.lit(0)))
+
+    why = _let(views(sql), refused)
+    limited = _let(bare, lambda raw: _let(hide_nested(raw), lambda outer: cut(raw, outer)))
+    both = F.struct(why.alias("why"), limited.alias("limited"))
+    return _let(both, lambda b: F.when(b["why"].isNotNull(), row(F.lit(None).cast("string"), F.concat(F.lit("refused: "), b["why"]))).otherwise(
+        b["limited"]))
 
 
 def unregistered_tables(queries: DataFrame, assets: DataFrame) -> DataFrame:
@@ -307,10 +322,14 @@ def referenced_words(sql: Column) -> Column:
     """Distinct lower-case names that can be columns: those that stand neither where a table or an alias does, nor
     before a dot or a parenthesis; quoted names count, literals and comments do not."""
     item = rf"{_TABLE}(?:\s+(?:as\s+)?(?!(?:{'|'.join(_NOT_ALIAS)})\b){_PART})?"
-    text = F.regexp_replace(F.lower(outside(sql)), rf"\b(?:from|join|into|update)\s+{item}(?:\s*,\s*{item})*", " ")
-    text = F.regexp_replace(text, rf"\bas\s+{_PART}", " ")
-    word = r"(?:(?<![\p{L}\p{N}_$])[\p{L}_][\p{L}\p{N}_$]*+|\"[^\"]*\"|`[^`]*`)(?!\s*[(.])"
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.lower(_clean_name(w))))
+
+    def of_text(seen):
+        text = F.regexp_replace(F.lower(seen), rf"\b(?:from|join|into|update)\s+{item}(?:\s*,\s*{item})*", " ")
+        text = F.regexp_replace(text, rf"\bas\s+{_PART}", " ")
+        word = r"(?:(?<![\p{L}\p{N}_$])[\p{L}_][\p{L}\p{N}_$]*+|\"[^\"]*\"|`[^`]*`)(?!\s*[(.])"
+        return F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.lower(_clean_name(w)))
+
+    return over_views(sql, of_text)
 
 
 def pii_verdict(queries: DataFrame, columns: DataFrame, allow_pii: bool = False) -> DataFrame:
@@ -453,6 +472,21 @@ _SILENT = ["config"]
 _SILENT_BLOCKS = ["for", "endfor", "if", "endif", "else", "endmacro"]
 
 
+_TAGS = r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}|[^{]+|\{"
+
+
+def _tag(piece: Column) -> Column:
+    """Struct <kind, call, inner, args> of a tag: its first word, what its call holds, all it holds, and the call's arguments.
+
+    Arguments are the quoted texts, or the words where none is quoted.
+    """
+    inner = F.regexp_extract(piece, r"(?s)^\{[{%]-?\s*(.*?)\s*-?[}%]\}$", 1)
+    call = F.regexp_extract(inner, r"(?s)^\w+\s*\((.*)\)$", 1)
+    quoted = F.regexp_extract_all(call, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
+    arguments = F.when(F.size(quoted) > 0, quoted).otherwise(F.regexp_extract_all(call, F.lit(r"(\w+)"), F.lit(1)))
+    return F.struct(F.regexp_extract(inner, r"^(\w+)", 1).alias("kind"), call.alias("call"), inner.alias("inner"), arguments.alias("args"))
+
+
 def plain_sql(template: Column) -> Column:
     """Turn a templated model text into plain SQL.
 
@@ -460,70 +494,62 @@ def plain_sql(template: Column) -> Column:
     argument, a var tag its name as a literal, this a placeholder; config and the block tags of loops,
     conditions and macros vanish; any other tag stays.
     """
-    pieces = F.regexp_extract_all(template, F.lit(r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}|[^{]+|\{"), F.lit(0))
-
     def told(piece):
-        inner = F.regexp_extract(piece, r"(?s)^\{[{%]-?\s*(.*?)\s*-?[}%]\}$", 1)
-        kind = F.regexp_extract(inner, r"^(\w+)", 1)
-        call = F.regexp_extract(inner, r"(?s)^\w+\s*\((.*)\)$", 1)
-        quoted = F.regexp_extract_all(call, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-        arguments = F.when(F.size(quoted) > 0, quoted).otherwise(F.regexp_extract_all(call, F.lit(r"(\w+)"), F.lit(1)))
-        return _let(arguments, lambda args: (
-            F.when(F.startswith(piece, F.lit("{%")), F.when(kind.isin(_SILENT_BLOCKS), F.lit("")).otherwise(piece))
+        return _let(_tag(piece), lambda tag: (
+            F.when(F.startswith(piece, F.lit("{%")), F.when(tag["kind"].isin(_SILENT_BLOCKS), F.lit("")).otherwise(piece))
             .when(~F.startswith(piece, F.lit("{{")), piece)
-            .when(kind.isin(_SILENT), F.lit(""))
-            .when(inner == "this", F.lit("_this_"))
-            .when(kind.isin("ref", "source") & (F.size(args) > 0), F.try_element_at(args, F.lit(-1)))
-            .when((kind == "var") & (F.size(args) > 0), F.concat(F.lit("'"), F.get(args, F.lit(0)), F.lit("'")))
+            .when(tag["kind"].isin(_SILENT), F.lit(""))
+            .when(tag["inner"] == "this", F.lit("_this_"))
+            .when(tag["kind"].isin("ref", "source") & (F.size(tag["args"]) > 0), F.try_element_at(tag["args"], F.lit(-1)))
+            .when((tag["kind"] == "var") & (F.size(tag["args"]) > 0), F.concat(F.lit("'"), F.get(tag["args"], F.lit(0)), F.lit("'")))
             .otherwise(piece)))
 
-    text = F.array_join(F.transform(pieces, told), "")
+    text = F.array_join(F.transform(F.regexp_extract_all(template, F.lit(_TAGS), F.lit(0)), told), "")
     return F.regexp_replace(F.regexp_replace(text, r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
-def model_refs(text: Column) -> Column:
-    """Distinct <package, name> of ref() calls, in order."""
-    q = r"['\"]"
-    body = rf"[^'\"]+"
-    calls = F.regexp_extract_all(
-        text,
-        F.lit(rf"(\{{\{{\s*ref\(\s*{q}{body}{q}(?:\s*,\s*{q}{body}{q})?\s*\)\s*\}}\}})"),
-        F.lit(1),
-    )
+def _calls(text: Column, kind: str) -> Column:
+    """Tags of the text that are one call of the given kind, in order."""
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(_TAGS), F.lit(0)), lambda p: F.startswith(p, F.lit("{{")))
+    return F.filter(F.transform(pieces, _tag), lambda tag: (tag["kind"] == kind) & (tag["call"] != ""))
 
-    def pair(call):
-        args = F.regexp_extract_all(call, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-        return F.struct(args[0].alias("package"), F.element_at(args, -1).alias("name"))
 
-    return F.array_distinct(F.transform(calls, pair))
+def model_refs(text: Column) -> Column:
+    """Distinct <package, name> of ref() calls, in order; a call with one argument names its package by it."""
+    named = F.filter(_calls(text, "ref"), lambda tag: F.size(tag["args"]).between(1, 2))
+    return F.array_distinct(F.transform(named, lambda tag: F.struct(
+        F.get(tag["args"], F.lit(0)).alias("package"), F.try_element_at(tag["args"], F.lit(-1)).alias("name"))))
 
 
 def model_sources(text: Column) -> Column:
     """Distinct <source_name, name> of source() calls, in order."""
-    q = r"['\"]"
-    calls = F.regexp_extract_all(
-        text, F.lit(rf"(\{{\{{\s*source\(\s*{q}[^'\"]+{q}\s*,\s*{q}[^'\"]+{q}\s*\)\s*\}}\}})"), F.lit(1)
-    )
+    named = F.filter(_calls(text, "source"), lambda tag: F.size(tag["args"]) == 2)
+    return F.array_distinct(F.transform(named, lambda tag: F.struct(
+        F.get(tag["args"], F.lit(0)).alias("source_name"), F.get(tag["args"], F.lit(1)).alias("name"))))
 
-    def pair(call):
-        args = F.regexp_extract_all(call, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-        return F.struct(args[0].alias("source_name"), args[1].alias("name"))
 
-    return F.array_distinct(F.transform(calls, pair))
+# The line that describes a model.
+_HEADER = "@description:"
 
 
 def model_header(text: Column) -> Column:
-    """Text of the '-- @description:' line, else null."""
-    found = F.trim(F.regexp_extract(text, r"(?im)^--\s*@description\s*:\s*(.+)$", 1))
-    return F.when(found != "", found)
+    """What follows the mark of a description in a comment of its own line, else null."""
+    def told(line):
+        body = F.ltrim(F.substring(line, F.lit(3), F.length(line)))
+        mark, value = F.regexp_replace(F.lower(F.substring_index(body, ":", 1)), r"\s+$", ""), F.substring(body, F.locate(":", body) + 1, F.length(body))
+        return F.when(F.startswith(line, F.lit("--")) & F.contains(body, F.lit(":")) & (F.concat(mark, F.lit(":")) == _HEADER), F.trim(value))
+
+    found = F.filter(F.transform(F.split(text, "\n"), told), lambda t: t.isNotNull())
+    return F.when(F.get(found, F.lit(0)) != "", F.get(found, F.lit(0)))
 
 
 def model_tags(text: Column) -> Column:
-    """Tags of the config() call."""
-    config = F.regexp_extract(text, r"\{\{\s*config\(([^)]+)\)\s*\}\}", 1)
-    inner = F.regexp_extract(config, r"tags\s*=\s*\[([^\]]+)\]", 1)
-    tags = F.transform(F.split(inner, ","), lambda t: F.regexp_replace(t, r"^[\s'\"]+|[\s'\"]+$", ""))
-    return F.filter(tags, lambda t: t != "")
+    """Tags listed in the first config() call."""
+    call = F.get(_calls(text, "config"), F.lit(0))["call"]
+    after = F.substring(call, F.locate("tags", call) + 4, F.length(call))
+    listed = F.when(after.rlike(r"^\s*=\s*\["), F.substring_index(F.substring(after, F.locate("[", after) + 1, F.length(after)), "]", 1))
+    tags = F.transform(F.split(listed, ","), lambda t: F.regexp_replace(t, r"^[\s'\"]+|[\s'\"]+$", ""))
+    return F.filter(F.when(F.locate("tags", call) > 0, tags).otherwise(F.array().cast("array<string>")), lambda t: t != "")
 
 
 def commented_columns(text: Column) -> Column:

@@ -292,6 +292,88 @@ def x18_hard_texts(spark, root):
     return texts.select("query_id", allowed.alias("allowed"), limited.alias("sql")).join(missing, "query_id")
 
 
+# Texts that engines read differently; @ stands for a table of the catalog. With each: the reason against it, and
+# the tables that any reading shows.
+READ_TEXTS = [
+    ("SELECT \"a\\\" , \"; DROP TABLE @; -- \"", "multiple statements detected (2)", ""),
+    ("SELECT `a\\` , `; DROP TABLE @; -- `", "multiple statements detected (2)", ""),
+    ("SELECT $$'$$; DROP TABLE @; SELECT $$'$$", "multiple statements detected (3)", ""),
+    ("SELECT $q$ ; $q$, b FROM @", "multiple statements detected (2)", "@"),
+    ("SELECT 1 # '\n; DROP TABLE x # '", "multiple statements detected (2)", ""),
+    ("SELECT q'[']' FROM @; DROP TABLE x --'", "multiple statements detected (2)", "@"),
+    ("SELECT a FROM @ --1; DROP TABLE x", "multiple statements detected (2)", "@"),
+    ("SELECT a FROM @ -- x\r; DROP TABLE y", "multiple statements detected (2)", "@"),
+    ("SELECT 1 /* /* */ ' */ ; DROP TABLE @; -- '", "comment in a comment", ""),
+    ("SELECT 1 /*!50000 ; DROP TABLE @ */", "executable comment", ""),
+    ("SELECT 'abc\\' FROM @", "a quote or comment is left open", "@"),
+    ("SELECT a FROM @ INTO OUTFILE '/tmp/x'", "writes a file", "@"),
+    ("SELECT 'it''s' FROM @ # from hidden_one", "", "@,hidden_one"),
+    ("SELECT 'C:\\dir', $1, a$b FROM @ WHERE c = 'from x'", "", "@"),
+    ("SELECT freq'x' FROM @ u JOIN z USING (id) JOIN y USING (id, k)", "", "@,y,z"),
+    ("SELECT a FROM @ TABLESAMPLE (10 PERCENT) WHERE b", "", "@"),
+    ("SELECT * FROM url('http://h/p', CSV) JOIN s3('a') AS z ON 1, unnest(a) b, db.fn(1) c, @", "", "@,db.fn(),s3(),url()"),
+    ("MERGE INTO @ USING u ON k = u.k WHEN MATCHED THEN UPDATE SET b = 1", "DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)", "@,u"),
+    ("DELETE FROM @ t USING u, v WHERE t.a = u.a", "DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)", "@,u,v"),
+    ("INSERT INTO @ (a, b) SELECT a, b FROM w", "DML/DDL keyword detected (INSERT/UPDATE/DELETE/DROP/...)", "@,w"),
+]
+
+# Row limits of many forms. With each: what a maximum of 1000 rows makes of it, and the note.
+LIMIT_TEXTS = [
+    ("SELECT a FROM @ LIMIT ALL", "SELECT a FROM @ LIMIT 1000", "clamped LIMIT ALL -> 1000"),
+    ("SELECT a FROM @ LIMIT 50000 BY b", "SELECT a FROM @ LIMIT 50000 BY b LIMIT 1000", "injected LIMIT"),
+    ("SELECT a FROM @ limit 2 by b limit 50000", "SELECT a FROM @ limit 2 by b LIMIT 1000", "clamped LIMIT 50000 -> 1000"),
+    ("SELECT a FROM @ LIMIT 20*1000", None, "refused: a limit in a form that is not known"),
+    ("SELECT a FROM @ LIMIT ?", None, "refused: a limit in a form that is not known"),
+    ("SELECT a FROM @ LIMIT 5 LIMIT 50000", None, "refused: a limit in a form that is not known"),
+    ("SELECT a FROM @ FETCH FIRST ROW ONLY", None, "refused: a limit in a form that is not known"),
+    ("SELECT TOP 50000 a FROM @", "SELECT TOP 1000 a FROM @", "clamped LIMIT 50000 -> 1000"),
+    ("select distinct top 7 a FROM @", "select distinct top 7 a FROM @", "LIMIT 7 ok"),
+    ("SELECT TOP (50000) a FROM @", None, "refused: a limit in a form that is not known"),
+    ("SELECT TOP 10 PERCENT a FROM @", None, "refused: a limit in a form that is not known"),
+    ("SELECT TOP 7 a FROM @ LIMIT 3", None, "refused: a limit in a form that is not known"),
+    ("SELECT a FROM @ LIMIT 9999999999999999999999999999999999999999", "SELECT a FROM @ LIMIT 1000",
+     "clamped LIMIT 9999999999999999999999999999999999999999 -> 1000"),
+    ("SELECT a FROM (SELECT b FROM @ LIMIT 50000) t", "SELECT a FROM (SELECT b FROM @ LIMIT 50000) t LIMIT 1000", "injected LIMIT"),
+    ("SELECT top.a AS limit_a FROM @ top", "SELECT top.a AS limit_a FROM @ top LIMIT 1000", "injected LIMIT"),
+    ("SELECT a FROM @ # note", None, "refused: engines read this text differently"),
+    ("SELECT a FROM @ /* open", None, "refused: a quote or comment is left open"),
+]
+
+
+def _listed(texts, which, engine="spark"):
+    """The given entry of the text that a row's number picks, with the row's name filled in."""
+    def literal(v):
+        if v is None:
+            return "NULL"
+        if engine == "spark":
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "'" + v.replace("'", "''") + "'"
+
+    cases = " ".join(f"WHEN {i} THEN {literal(t[which])}" for i, t in enumerate(texts))
+    return f"replace(CASE id % {len(texts)} {cases} END, '@', name)"
+
+
+def _of_assets(spark, root, texts):
+    return d.assets(spark, root).select(F.col("id").alias("query_id"), F.expr(_listed(texts, 0)).alias("sql"))
+
+
+@_q("x18_engine_readings", oracle(
+    f"SELECT query_id, reason = '' AS allowed, reason, list_aggregate(list_sort(string_split(refs, ',')), 'string_agg', ',') AS refs FROM (SELECT id AS query_id,"
+    f" {_listed(READ_TEXTS, 1, 'duck')} AS reason, {_listed(READ_TEXTS, 2, 'duck')} AS refs FROM assets)", "assets"))
+def x18_engine_readings(spark, root):
+    v = sqltext.safety_verdict(F.col("sql"))
+    return _of_assets(spark, root, READ_TEXTS).select(
+        "query_id", v["allowed"].alias("allowed"), v["reason"].alias("reason"),
+        F.array_join(F.array_sort(sqltext.table_references(F.col("sql"))), ",").alias("refs"))
+
+
+@_q("x19_limit_forms", oracle(
+    f"SELECT id AS query_id, {_listed(LIMIT_TEXTS, 1, 'duck')} AS sql, {_listed(LIMIT_TEXTS, 2, 'duck')} AS note FROM assets", "assets"))
+def x19_limit_forms(spark, root):
+    v = sqltext.clamp_limit(F.col("sql"))
+    return _of_assets(spark, root, LIMIT_TEXTS).select("query_id", v["sql"].alias("sql"), v["note"].alias("note"))
+
+
 @_q("x21_pii_columns", oracle(
     "SELECT l.query_id, count(c.id) = 0 AS allowed, coalesce(max(CASE WHEN c.id IS NOT NULL THEN concat(l.cname, '(', c.pii_class, ')') END), '') AS pii_columns, count(c.id) AS n_columns"
     " FROM sql_log l LEFT JOIN cols c ON c.name = l.cname AND c.pii_class <> 'none' AND l.query_id % 10 IN (0, 5, 8) GROUP BY 1", "sql_log", "cols"))
