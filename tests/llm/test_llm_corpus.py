@@ -132,6 +132,48 @@ def test_repeats_of_documents(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_any_id(spark):
+    # The hash of the first id is 0 modulo every size of the filter.
+    texts = repeat_texts()[4:12]
+    ids = [25_317_696, 0, -1, 1 << 62, -(1 << 63), 32_768, 32_767, 1]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs_of(spark, texts, ids))).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *w) for i, w in zip(ids, repeats_brute(texts)))
+
+
+@pytest.mark.parametrize("rows, bits", [(0, 1 << 15), (2_000, 1 << 15), (2_048, 1 << 16), (10 ** 6, 1 << 24), (10 ** 12, 1 << 31)])
+def test_filter_follows_the_rows(rows, bits):
+    assert suffix_dedup._filter_bits(rows) == bits
+
+
+def test_shared_passages(spark, monkeypatch):
+    import random
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    long = fresh(90)
+    texts = [fresh(200) + long[20:71] + fresh(30), fresh(5) + long[20:71], long[:51], long[39:], fresh(60) + long[40:71] + fresh(60), long, fresh(400), [], fresh(50)]
+    texts = ["\t".join(t) + "  \n" for t in texts] + [None, " ".join(fresh(3)) * 40]
+    twice = " ".join(fresh(60))
+    texts += [twice + " x " + twice]  # its own repeat only
+
+    def runs(t, n):
+        w = (t or "").split()
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+    def sharing(n):
+        seen = Counter(r for t in texts for r in runs(t, n))
+        return {i for i, t in enumerate(texts) if any(seen[r] > 1 for r in runs(t, n))}
+
+    docs = docs_of(spark, texts, list(range(len(texts))))
+    got = {r.doc_id for r in suffix_dedup.shared_passages(docs).collect()}
+    assert sharing(suffix_dedup.PASSAGE) <= got <= sharing(suffix_dedup.PIECE) and {0, 1, 2, 5} <= got and 4 not in got
+    told = suffix_dedup.digest(suffix_dedup.remove_repeats(docs), suffix_dedup.shared_passages(docs))
+    assert {r.doc_id for r in told.where("shares_passage").collect()} == got and told.count() == len(texts)
+    assert suffix_dedup.shared_passages(docs.limit(0)).count() == 0
+    whole = [suffix_dedup.passage_marks(t) for t in texts]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+    assert [suffix_dedup.passage_marks(t) for t in texts] == whole
+
+
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     data = "".join(t or "" for t in repeat_texts()).encode()
     whole = suffix_dedup.anchors(data)

@@ -39,7 +39,8 @@ def op3_license_scans(spark, root):
 
 @query
 def op4_suffix_array_dedup(spark, root):
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, root, "documents")))
+    docs = table(spark, root, "documents")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs), suffix_dedup.shared_passages(docs))
 
 
 @query

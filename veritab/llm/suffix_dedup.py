@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veritab.llm.common import ROWS, many_per_row
+from veritab.llm.common import ROWS, many_per_row, per_row
 from veritab.session import materialize, materialize_counted
 
 T, K = 400, 64
@@ -36,8 +36,11 @@ GROUP_ROWS = 20_000
 BUCKET_ROWS = 8_000
 #: Windows whose anchors are sought at a time.
 BLOCK = 1 << 18
-#: Bits of the filter that keeps untouched texts out of shuffles: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that keeps untouched texts out of shuffles, for each touched document, and the most of all: 256 MB.
+#: Beyond that more untouched texts get through; results stay the same.
+FILTER_SHARE, FILTER_MOST = 16, 1 << 31
+#: Words of a passage that is reported when documents share it, and of the pieces it is found by.
+PASSAGE, PIECE = 51, 32
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(41).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,14 +200,28 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, f"cid binary, doc_id {kind}, pos array<long>, kh array<long>, sh array<long>"))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits set at the hashes of the doc_ids; its size is fixed."""
-    bit = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("b")).distinct()
-    rows = bit.groupBy(F.call_function("bitmap_bucket_number", "b").alias("bucket")).agg(
-        F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", "b")).alias("map")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in rows:
-        at = (r.bucket - 1) * 4096
+#: Bits of one row of a bitmap as Spark makes them.
+_BLOCK_BITS = 32_768
+
+
+def _filter_bits(rows: int) -> int:
+    """A power of two that gives each of the rows ``FILTER_SHARE`` bits, one block at least."""
+    return min(FILTER_MOST, max(_BLOCK_BITS, 1 << (FILTER_SHARE * rows).bit_length()))
+
+
+def _place(bits: int):
+    """Bit of a document; from 0."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bits set at the hashes of the doc_ids."""
+    block, inside = F.shiftright("b", 15), F.pmod(F.col("b"), F.lit(_BLOCK_BITS))
+    rows = ids.select(_place(bits).alias("b")).distinct().groupBy(block.alias("block")).agg(
+        F.call_function("bitmap_construct_agg", inside).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        at = r.block * (_BLOCK_BITS // 8)
         out[at:at + len(r.map)] = np.frombuffer(bytes(r.map), np.uint8)
     return out
 
@@ -218,17 +235,13 @@ def _packed_texts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         bits = sent.value
         for batch in batches:
             b = batch.column(1).to_numpy(zero_copy_only=False)
-            # bitmap_bit_position counts from 0 within a bucket of 32768 bits, bucket numbers from 1
             batch = batch.filter(pa.array((bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)))
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 z = [zlib.compress(t.encode(), 1) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
-    # Bucket and position of bitmap functions are taken relative to value 1; undo that to index plainly.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    index = ((F.call_function("bitmap_bucket_number", place) - 1) * 32768 + F.call_function("bitmap_bit_position", place))
-    return docs.where(F.octet_length("text") >= T).select("doc_id", index.alias("b"), "text").mapInArrow(
+    return docs.where(F.octet_length("text") >= T).select("doc_id", _place(8 * len(bitmap)).alias("b"), "text").mapInArrow(
         run, f"doc_id {kind}, z binary")
 
 
@@ -328,8 +341,9 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, bucket_rows: i
     # Contexts that share an anchor with different ones are cut out of the texts.
     wanted = repeated.where("contexts > 1").groupBy("doc_id", "cid").agg(
         F.collect_list(F.struct("pos", "kh", (F.col("places") == 1).alias("single"))).alias("at"))
-    touched = repeated.where("contexts > 1").select("doc_id").union(whole.select("doc_id"))
-    texts = _packed_texts(docs, _bitmap(touched))
+    touched, rows = materialize_counted(
+        repeated.where("contexts > 1").select("doc_id").union(whole.select("doc_id")).distinct(), "touched")
+    texts = _packed_texts(docs, _bitmap(touched, _filter_bits(rows)))
 
     def cut(z, cid, at):
         data = zlib.decompress(z)
@@ -376,9 +390,85 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, bucket_rows: i
                       F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
 
 
-def digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``remove_repeats`` returns."""
+# Passages by words ---------------------------------------------------------------------
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A hash for each word, a run of bytes without white space."""
+    b = np.frombuffer(data, np.uint8)
+    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    starts, lengths = turn[::2], turn[1::2] - turn[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power = np.full(int(lengths.max()), _BASE, np.uint64)
+    power[0] = 1
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    return _mix(np.add.reduceat(_BYTES[b[inside]] * np.cumprod(power)[place], first))
+
+
+def _of_runs(values: np.ndarray, n: int, join) -> np.ndarray:
+    """One value for each run of ``n`` values; ``join(left, right, size)`` puts runs together, the right one of ``size``."""
+    out, size, part, width = None, 0, values, 1
+    if len(values) < n:
+        return values[:0]
+    while n:
+        if n & 1:
+            if out is None:
+                out = part
+            else:
+                right = part[size:]
+                out = join(out[:len(right)], right, width)
+            size += width
+        n >>= 1
+        if n:
+            part = join(part[:len(part) - width], part[width:], width)
+            width *= 2
+    return out
+
+
+def passage_marks(text: str | None, words: int = PASSAGE, piece: int = PIECE) -> list[int]:
+    """Marks of a text: the least hash of the pieces in each run of ``words`` words.
+
+    Texts that share such a run share its mark; texts that share no ``piece`` words share none.
+    """
+    data, marks = (text or "").encode(), set()
+    carried, at = np.zeros(0, np.uint64), 0
+    while at < len(data):
+        end = min(len(data), at + 8 * BLOCK)
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        hashes = np.concatenate([carried, _word_hashes(data[at:end])])
+        pieces = _of_runs(hashes, piece, lambda left, right, size: left * np.uint64(pow(_BASE, size, 2**64)) + right)
+        least = _of_runs(_mix(pieces), words - piece + 1, lambda left, right, size: np.minimum(left, right))
+        marks.update(np.unique(least.view(np.int64)).tolist())
+        carried, at = hashes[max(0, len(hashes) - words + 1):], end
+    return sorted(marks)
+
+
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """Distinct doc_ids of rows that share a passage of ``PASSAGE`` words or more with another row.
+
+    None of them is missed; rows that share fewer than ``PIECE`` words in a row are left out, those between may be in. A mark is
+    joined by rows, however many documents hold it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString().replace("bigint", "long")
+    marks = per_row(docs, lambda i, t: (i, passage_marks(t)), f"doc_id {kind}, marks array<long>", "doc_id", "text")
+    rows = materialize(marks.select("doc_id", F.explode("marks").alias("mark")), "passage-marks")
+    shared = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    return rows.join(shared, "mark").select("doc_id").distinct()
+
+
+def digest(removed: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``remove_repeats`` returns; with the ids of ``shared_passages``
+    also whether the document is among them."""
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return removed.select(
+    told = removed.select(
         "doc_id", "n_bytes", total.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.when(F.col("kept").isNull(), F.col("sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"))
+    if shared is None:
+        return told
+    shared = shared.select(F.col("doc_id").alias("of"), F.lit(True).alias("hit"))
+    return told.join(shared, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
+        *told.columns, F.coalesce("hit", F.lit(False)).alias("shares_passage"))
