@@ -472,3 +472,39 @@ def test_long_glossary_texts(spark):
     assets = spark.createDataFrame([(i, "s.d.c.t", text) for i in range(20)], "id long, fqn string, description string")
     terms = spark.createDataFrame([("g", "gross margin", ["gm", "m"]), ("h", "net", None)], "id string, name string, synonyms array<string>")
     assert rows(lineage.glossary_matches(assets, terms), "table_id", "term_id", "confidence") == [(i, "g", 0.7) for i in range(20)]
+
+
+def test_rules_fail_by_themselves(spark):
+    from datetime import datetime
+    name, other = "a.b.c.orders", "a.b.d.orders"
+    df = spark.createDataFrame([(1, {"k": "v"}), (2, None)], "x int, m map<string,string>")
+    rules = [quality.Rule("map", name, "distinct", {"column": "m"}), quality.Rule("ok", name, "volume", {"min": "2", "max": 2.0}),
+             quality.Rule("bad", name, "volume", {"min": {}}), quality.Rule("empty", name, "null_ratio", {"column": "x", "threshold": ""}),
+             quality.Rule("with", name, "custom", {"sql": "WITH orders2 AS (SELECT * FROM orders) SELECT * FROM orders2 WHERE x > 1; -- end"}),
+             quality.Rule("own", name, "custom", {"sql": "SELECT * FROM extra_rows"}),
+             quality.Rule("slow", name, "custom", {"sql": "SELECT count(*) AS n FROM range(0, 1000000000000, 1, 1) WHERE hash(id) = 7"})]
+    out = quality.run_rules(spark, {name: df}, rules, datetime(2024, 1, 1), views={"extra_rows": df.limit(0)}, seconds=8)
+    got = {r.rule_id: (r.passed, r.observed, r.message) for r in out.collect()}
+    assert got["map"][:2] == (True, 1.0) and got["ok"][:2] == (True, 2.0) and got["bad"] == (False, None, "bad min: {}")
+    assert got["empty"][:2] == (True, 0.0) and got["with"][:2] == (False, 1.0) and got["own"][:2] == (True, 0.0)
+    assert got["slow"] == (False, None, "sql: stopped after 8 s")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("veritab_")]
+    # A last part that two tables share names neither.
+    out = quality.run_rules(spark, {name: df, other: df}, [quality.Rule("two", name, "custom", {"sql": "SELECT * FROM orders"})], datetime(2024, 1, 1))
+    assert "TABLE_OR_VIEW_NOT_FOUND" in out.first().message
+
+
+def test_custom_rules_run_side_by_side(spark, monkeypatch):
+    import threading
+    from datetime import datetime
+    meeting = threading.Barrier(4, timeout=60)
+    counted = quality._counted
+
+    def together(*args):
+        meeting.wait()  # passes only when four queries are under way
+        return counted(*args)
+
+    monkeypatch.setattr(quality, "_counted", together)
+    rules = [quality.Rule(f"r{i}", "a.b.c.t", "custom", {"sql": f"SELECT * FROM t WHERE x = {i}"}) for i in range(8)]
+    out = quality.run_rules(spark, {"a.b.c.t": spark.range(5).toDF("x")}, rules, datetime(2024, 1, 1), at_once=4)
+    assert {r.rule_id: r.observed for r in out.collect()} == {f"r{i}": float(i < 5) for i in range(8)}

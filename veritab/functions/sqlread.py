@@ -65,10 +65,12 @@ class Reading:
 
 
 STANDARD = Reading()
+#: As Spark reads a text.
+SPARK = Reading(escapes="'\"")
 READINGS = [
     STANDARD,
+    SPARK,
     Reading(escapes="'"),
-    Reading(escapes="'\""),
     Reading(escapes="'\"", hash_comments=True, spaced_dashes=True),
     Reading(escapes="'\"", hash_comments=True, triple=True),
     Reading(escapes="'\"`", hash_comments=True, dollars=True),
@@ -135,6 +137,6 @@ def over_views(sql: Column, found) -> Column:
     return F.array_distinct(F.flatten(F.transform(views(sql), lambda v: found(v["text"]))))
 
 
-def strip_comments(sql: Column) -> Column:
+def strip_comments(sql: Column, reading: Reading = STANDARD) -> Column:
     """The text with a space for each comment; marks inside literals and quoted names are no comments."""
-    return F.array_join(F.transform(pieces(sql), lambda p: F.when(is_comment(p), F.lit(" ")).otherwise(p)), "")
+    return F.array_join(F.transform(pieces(sql, reading), lambda p: F.when(is_comment(p, reading), F.lit(" ")).otherwise(p)), "")

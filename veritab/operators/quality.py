@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import threading
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritab.functions.sqlread import SPARK, strip_comments
 from veritab.functions.sqltext import safety_verdict
 
 _SAFE_NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -103,6 +109,35 @@ class Rule:
     enabled: bool = True
 
 
+class BadValue(Exception):
+    """A value of a definition that is not of its type."""
+
+
+def _read_number(definition: dict, key: str, default=None, whole: bool = False):
+    """A finite number, also one in a text; null and '' are the default. Whole numbers lose their fraction."""
+    value = definition.get(key)
+    if value is None or value == "":
+        return default
+    found = value
+    if isinstance(value, str):
+        try:
+            found = int(value) if re.fullmatch(r"\s*[+-]?\d{1,400}\s*", value) else float(value)
+        except ValueError:
+            found = None
+    if isinstance(found, bool) or not isinstance(found, (int, float)) or not math.isfinite(found):
+        raise BadValue(f"bad {key}: {value}")
+    found = int(found) if whole else found
+    # Beyond a long, a double is near enough to compare counts with.
+    return float(found) if isinstance(found, int) and abs(found) >= 1 << 63 else found
+
+
+def _read_text(definition: dict, key: str) -> str | None:
+    value = definition.get(key)
+    if value is not None and not isinstance(value, str):
+        raise BadValue(f"bad {key}: {value}")
+    return value
+
+
 def _number(value) -> Column:
     return F.lit(None).cast("double") if value is None else F.lit(float(value))
 
@@ -114,7 +149,7 @@ def _constant(message: str, threshold=None):
 def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column]):
     """(passed, observed, threshold, message) columns over the metric columns.
 
-    Adds what it needs to ``metrics``; equal metrics are computed once.
+    Adds what it needs to ``metrics``; equal metrics are computed once. Raises ``BadValue``.
     """
     d = rule.definition
 
@@ -126,8 +161,8 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
         return bool(column) and bool(_SAFE_NAME.match(column)) and column in df.columns
 
     if rule.rule_type == "freshness":
-        column = d.get("column") or "created_at"
-        limit = int(d.get("threshold_minutes") or 60)
+        column = _read_text(d, "column") or "created_at"
+        limit = _read_number(d, "threshold_minutes", 60, whole=True) or 60
         if not usable(column):
             return _constant(f"bad col: {column}")
         kind = df.schema[column].dataType.simpleString()
@@ -143,7 +178,7 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
             F.when(last.isNull(), "no rows").otherwise(text),
         )
     if rule.rule_type == "volume":
-        low, high = d.get("min"), d.get("max")
+        low, high = _read_number(d, "min"), _read_number(d, "max")
         n = metric("rows", F.count(F.lit(1)))
         passed = F.lit(True)
         if low is not None:
@@ -153,8 +188,7 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
         text = F.concat(F.lit("row_count="), n.cast("string"), F.lit(f" expected {low}~{high}"))
         return passed, n.cast("double"), _number(low if low is not None else high), text
     if rule.rule_type == "null_ratio":
-        column, given = d.get("column"), d.get("threshold")
-        limit = 0.5 if given is None else float(given)
+        column, limit = _read_text(d, "column"), float(_read_number(d, "threshold", 0.5))
         if not usable(column):
             return _constant("bad col", limit)
         n = metric("rows", F.count(F.lit(1)))
@@ -163,11 +197,13 @@ def _check(rule: Rule, df: DataFrame, as_of: datetime, metrics: dict[str, Column
         text = F.concat(F.lit("null_ratio="), F.format_number(ratio, 3), F.lit(f" limit {limit}"))
         return ratio <= limit, F.round(ratio, 4), _number(limit), text
     if rule.rule_type == "distinct":
-        column = d.get("column")
-        limit = int(d.get("min") or 1)
+        column = _read_text(d, "column")
+        limit = _read_number(d, "min", 1, whole=True) or 1
         if not usable(column):
             return _constant("bad col", limit)
-        n = metric(f"distinct:{column}", F.count_distinct(F.col(column)))
+        # Maps can't be compared, their texts can.
+        value = F.to_json(column) if "map<" in df.schema[column].dataType.simpleString() else F.col(column)
+        n = metric(f"distinct:{column}", F.count_distinct(value))
         text = F.concat(F.lit("distinct="), n.cast("string"), F.lit(f" min {limit}"))
         return n >= limit, n.cast("double"), _number(limit), text
     return _constant(f"unknown rule_type: {rule.rule_type}")
@@ -185,28 +221,78 @@ def _result(rule: Rule, status: str, passed, observed, threshold, message) -> Co
     )
 
 
-def _custom_results(spark: SparkSession, rules: list[Rule]) -> list[Column]:
+#: Custom queries that run at a time, and seconds that each may take.
+AT_ONCE, SECONDS = 8, 3_600
+
+
+def _counted(spark: SparkSession, text: str, views: dict[str, str], seconds: float) -> int:
+    """Rows of one query, whose jobs have a tag of their own and are cancelled when its time is up."""
+    named = [n for n in views if n.lower() in text.lower()]
+    heads = ", ".join(f"`{n}` AS (SELECT * FROM `{views[n]}`)" for n in named)
+    full = (f"WITH {heads} " if heads else "") + f"SELECT count(*) AS n FROM (\n{text}\n)"
+    context, tag, late = spark.sparkContext, f"veritab-rule-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        # A query may plan its next job after one was cancelled.
+        while not late.wait(0.5):
+            context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    started = time.monotonic()
+    timer.start()
+    try:
+        return spark.sql(full).first()["n"]
+    except Exception:
+        if time.monotonic() - started >= seconds:
+            raise TimeoutError(f"stopped after {seconds:g} s") from None
+        raise
+    finally:
+        timer.cancel()
+        late.set()
+        context.removeJobTag(tag)
+
+
+def _custom_results(spark: SparkSession, rules: list[Rule], frames: dict[str, DataFrame], at_once: int, seconds: float) -> list[Column]:
     """Results of user queries; one passes if it returns no rows.
 
-    All texts are screened by one job. Then each query that may run is counted on its own, as it has its
-    own sources and its errors must stop no other rule; only its count comes back.
+    All texts are screened by one job. Then each query that may run is counted on its own, ``at_once`` at a time, as it has its
+    own sources and its errors must stop no other rule; only its count comes back. Tables are known to a query by
+    the given names, for as long as it runs.
     """
-    texts = [(i, r.definition.get("sql") or None) for i, r in enumerate(rules)]
-    screened = spark.createDataFrame(texts, "i int, sql string").select("i", safety_verdict(F.col("sql"))["reason"].alias("reason"))
-    reasons = {r.i: r.reason for r in screened.collect()}
+    texts: list = []
+    for rule in rules:
+        try:
+            texts.append((_read_text(rule.definition, "sql") or None, None))
+        except BadValue as bad:
+            texts.append((None, str(bad)))
+    screened = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, sql string").select(
+        "i", safety_verdict(F.col("sql"))["reason"].alias("reason"), strip_comments(F.col("sql"), SPARK).alias("bare")).collect()
+    reasons, bare = {r.i: r.reason for r in screened}, {r.i: re.sub(r"[;\s]+$", "", r.bare or "") for r in screened}
+    run = [i for i, (t, _) in enumerate(texts) if t and not reasons[i]]
+    views = {name: f"veritab_{uuid.uuid4().hex}" for name in frames} if run else {}
+
+    def one(i: int) -> tuple:
+        try:
+            n = _counted(spark, bare[i], views, seconds)
+        except (PySparkException, Py4JJavaError, TimeoutError) as error:
+            return _constant(f"sql: {str(error).splitlines()[0]}", 0)
+        return F.lit(n == 0), _number(n), _number(0), F.lit(f"custom check returned {n} rows")
+
+    try:
+        for name, view in views.items():
+            frames[name].createOrReplaceTempView(view)
+        with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+            ran = dict(zip(run, pool.map(one, run)))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
     out = []
     for i, rule in enumerate(rules):
-        if not texts[i][1]:
-            out.append(_result(rule, "checked", *_constant("missing sql", 0)))
-        elif reasons[i]:
-            out.append(_result(rule, "checked", *_constant(f"sql: {reasons[i]}", 0)))
-        else:
-            try:
-                n = spark.sql(texts[i][1]).count()
-            except (PySparkException, Py4JJavaError) as error:
-                out.append(_result(rule, "checked", *_constant(f"sql: {str(error).splitlines()[0]}", 0)))
-            else:
-                out.append(_result(rule, "checked", F.lit(n == 0), _number(n), _number(0), F.lit(f"custom check returned {n} rows")))
+        text, bad = texts[i]
+        checks = ran.get(i) or _constant(bad or ("missing sql" if not text else f"sql: {reasons[i]}"), 0)
+        out.append(_result(rule, "checked", *checks))
     return out
 
 
@@ -230,12 +316,29 @@ def _definition(text: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rule], as_of: datetime) -> DataFrame:
+def _aggregate(df: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+    """Results of the given rules over one scan of their table."""
+    metrics: dict[str, Column] = {}
+    checks = []
+    for rule in rules:
+        try:
+            own = dict(metrics)
+            checks.append((rule, _check(rule, df, as_of, own)))
+            metrics = own
+        except BadValue as bad:
+            checks.append((rule, _constant(str(bad))))
+    metrics.setdefault("rows", F.count(F.lit(1)))
+    one = df.agg(*[e.alias(n) for n, e in metrics.items()])
+    return one.select(F.inline(F.array(*[_result(r, "checked", *c) for r, c in checks])))
+
+
+def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rule], as_of: datetime,
+              views: dict[str, DataFrame] | None = None, at_once: int = AT_ONCE, seconds: float = SECONDS) -> DataFrame:
     """Result rows of all enabled rules.
 
-    The rules of one table share a single aggregate over one scan of it; custom
-    queries run on their own. A rule that cannot run gives a failed or skipped row
-    and stops no other.
+    The rules of one table share a single aggregate over one scan of it; custom queries run on their own, some
+    at a time and each with its own time limit, waiting for a free core included. They know the frames of ``views`` by their names, and the tables by the last part of theirs where
+    it is theirs alone. A rule that cannot run, or whose definition holds a value of another type, gives a failed or skipped row and stops no other.
     """
     by_table: dict[str, list[Rule]] = {}
     parts: list[DataFrame] = []
@@ -254,13 +357,23 @@ def run_rules(spark: SparkSession, tables: dict[str, DataFrame], rules: list[Rul
         else:
             by_table.setdefault(rule.table_fqn, []).append(rule)
     for fqn, group in by_table.items():
-        metrics: dict[str, Column] = {}
-        checks = [(r, _check(r, tables[fqn], as_of, metrics)) for r in group]
-        metrics.setdefault("rows", F.count(F.lit(1)))
-        one = tables[fqn].agg(*[e.alias(n) for n, e in metrics.items()])
-        parts.append(one.select(F.inline(F.array(*[_result(r, "checked", *c) for r, c in checks]))))
+        try:
+            parts.append(_aggregate(tables[fqn], group, as_of))
+        except AnalysisException:
+            # Some column cannot be measured as asked: find the rules that ask for it.
+            fine = []
+            for rule in group:
+                try:
+                    _aggregate(tables[fqn], [rule], as_of)
+                    fine.append(rule)
+                except AnalysisException as error:
+                    notes.append(_result(rule, "checked", *_constant(str(error).splitlines()[0])))
+            if fine:
+                parts.append(_aggregate(tables[fqn], fine, as_of))
     if custom:
-        notes += _custom_results(spark, custom)
+        short = [fqn.split(".")[-1] for fqn in tables]
+        frames = {n: tables[fqn] for n, fqn in zip(short, tables) if short.count(n) == 1 and _SAFE_NAME.match(n)}
+        notes += _custom_results(spark, custom, frames | (views or {}), at_once, seconds)
     if notes:
         parts.append(spark.range(1).select(F.inline(F.array(*notes))))
     if not parts:

@@ -66,7 +66,7 @@ def _rule_sql(rule_id, fqn, passed, observed, threshold, message, table, status=
 
 def _run(spark, root, rules):
     tables = {O: load(spark, root, "orders"), L: load(spark, root, "lineitem")}
-    return quality.run_rules(spark, tables, rules, RULES_AS_OF)
+    return quality.run_rules(spark, tables, rules, RULES_AS_OF, views={"governed_orders": tables[O]})
 
 
 FRESH = [
@@ -170,7 +170,6 @@ def q5_distinct(spark, root):
 
 @_q("q6_custom_sql", U.join(CUSTOM_SQL))
 def q6_custom_sql(spark, root):
-    load(spark, root, "orders").createOrReplaceTempView("governed_orders")
     return _run(spark, root, CUSTOM)
 
 
@@ -199,15 +198,54 @@ _STORED = [
     " 'stored_unknown', 'stored_drop']), 'checked', false, NULL UNION ALL SELECT 'stored_absent', 'skipped', NULL, NULL")
 def q7_stored_rules(spark, root):
     orders = load(spark, root, "orders")
-    orders.createOrReplaceTempView("governed_orders")
     stored = spark.createDataFrame([(*r, True) for r in _STORED] + [("stored_off", O, "volume", "{}", False)],
                                    "id string, table_fqn string, rule_type string, definition string, enabled boolean")
-    results = quality.run_rules(spark, {O: orders}, quality.rules_of(stored), AS_OF)
+    results = quality.run_rules(spark, {O: orders}, quality.rules_of(stored), AS_OF, views={"governed_orders": orders})
     path = scratch_path(spark, "rule-results")
     sinks.append_rows(results, path)
     return spark.read.parquet(path).select("rule_id", "status", "passed", "observed")
 
 
+# Definitions with values of another type than their rule wants, with the message of each; and many custom queries that
+# name their table by the last part of its name.
+_ILL_TYPED = [
+    ("ill_ratio", "null_ratio", '{"column": "o_custkey", "threshold": "abc"}', "bad threshold: abc"),
+    ("ill_ratio_list", "null_ratio", '{"column": "o_custkey", "threshold": [1]}', "bad threshold: [1]"),
+    ("ill_ratio_flag", "null_ratio", '{"column": "o_custkey", "threshold": true}', "bad threshold: True"),
+    ("ill_ratio_nan", "null_ratio", '{"column": "o_custkey", "threshold": NaN}', "bad threshold: nan"),
+    ("ill_min", "volume", '{"min": "x"}', "bad min: x"),
+    ("ill_max", "volume", '{"min": 1, "max": {"n": 2}}', "bad max: {'n': 2}"),
+    ("ill_minutes", "freshness", '{"column": "o_orderdate", "threshold_minutes": "soon"}', "bad threshold_minutes: soon"),
+    ("ill_column", "freshness", '{"column": ["y"]}', "bad column: ['y']"),
+    ("ill_column_number", "distinct", '{"column": 7}', "bad column: 7"),
+    ("ill_distinct", "distinct", '{"column": "o_custkey", "min": "many"}', "bad min: many"),
+    ("ill_sql", "custom", '{"sql": ["SELECT 1"]}', "bad sql: ['SELECT 1']"),
+    ("ill_readings", "custom", '{"sql": "SELECT 1 # \'\\n; DROP TABLE orders # \'"}', "sql: multiple statements detected (2)"),
+]
+_TYPED = [
+    ("typed_min", "volume", '{"min": " 1 ", "max": "1e18"}'), ("typed_huge", "volume", '{"max": 100000000000000000000000}'),
+    ("typed_ratio", "null_ratio", '{"column": "o_custkey", "threshold": "0.25"}'),
+]
+MANY = 20
+
+
+@_q("q7_ill_typed_rules",
+    "SELECT rule_id, false AS passed, CAST(NULL AS DOUBLE) AS observed, message FROM (VALUES "
+    + ", ".join("('{}', '{}')".format(r[0], r[3].replace("'", "''")) for r in _ILL_TYPED) + ") ill(rule_id, message)"
+    " UNION ALL SELECT 'typed_min', true, CAST(count(*) AS DOUBLE), concat('row_count=', count(*), ' expected 1~1e+18') FROM orders"
+    " UNION ALL SELECT 'typed_huge', true, CAST(count(*) AS DOUBLE), concat('row_count=', count(*), ' expected None~1e+23') FROM orders"
+    " UNION ALL SELECT 'typed_ratio', true, 0, 'null_ratio=0.000 limit 0.25'"
+    f" UNION ALL SELECT concat('many_', i), n = 0, n, concat('custom check returned ', CAST(n AS BIGINT), ' rows') FROM (SELECT i, CAST(count(o_orderkey) AS"
+    f" DOUBLE) AS n FROM range({MANY}) r(i) LEFT JOIN orders ON o_custkey % {MANY + 1} = i AND o_totalprice > 200000 GROUP BY i)")
+def q7_ill_typed_rules(spark, root):
+    rows = [(r[0], O, r[1], r[2], True) for r in _ILL_TYPED + _TYPED]
+    rows += [(f"many_{i}", O, "custom", f'{{"sql": "SELECT * FROM orders WHERE o_custkey % {MANY + 1} = {i} AND o_totalprice > 200000 -- part {i}"}}', True)
+             for i in range(MANY)]
+    stored = spark.createDataFrame(rows, "id string, table_fqn string, rule_type string, definition string, enabled boolean")
+    results = quality.run_rules(spark, {O: load(spark, root, "orders")}, quality.rules_of(stored), AS_OF)
+    return results.select("rule_id", "passed", "observed", "message")
+
+
 @_q("q7_rule_summary",
     "SELECT count(*) AS rules_checked, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE status = 'checked'"
     " AND NOT coalesce(passed, false)) AS failed FROM (" + U.join(VOLUME_SQL + NULLS_SQL + OTHER_SQL) + ")")
@@ -217,7 +255,6 @@ def q7_rule_summary(spark, root):
 
 @_q("v2_user_predicate", CUSTOM_SQL[0].replace("custom_hit", "big_orders"))
 def v2_user_predicate(spark, root):
-    load(spark, root, "orders").createOrReplaceTempView("governed_orders")
     return _run(spark, root, [Rule("big_orders", O, "custom", CUSTOM[0].definition)])
 
 
