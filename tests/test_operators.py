@@ -412,6 +412,54 @@ def test_descriptor_stream_over_batches(spark, tmp_path):
     assert rows(descriptors.changes(spark.createDataFrame(data, schema)), "id", "sha", "seq") == sorted(want)
 
 
+def test_late_versions_are_put_in_place(spark, tmp_path):
+    rnd = random.Random(8)
+    start = datetime(2024, 1, 1)
+    schema = "id string, seq long, mtime timestamp, sha string"
+    data = [(rnd.choice(["hot", "hot", "hot", "a", "b"]), i, start + timedelta(hours=rnd.randrange(60), minutes=i % 3), rnd.choice("xyzw")) for i in range(120)]
+    data += [("four", i, start + timedelta(days=i), s) for i, s in enumerate("xyzw")]
+    late = data[:-4]
+    rnd.shuffle(late)
+    parts = [late[n::9] + [data[-4 + i] for i in which] for n, which in zip(range(9), [(0, 3), (1, 2), *[()] * 7])]
+    parts[5] += parts[2] + [(None, 1, start, "x"), ("a", 999, None, "x"), ("a", 998, start, None)]
+    out, known = str(tmp_path / "out"), []
+    for n, part in enumerate(parts):
+        batch = spark.createDataFrame(part, schema)
+        descriptors._absorb(descriptors._whole(batch), n, out, "hour")
+        if n in (1, 4):  # the same batch once more, as after a lost driver
+            descriptors._absorb(descriptors._whole(batch), n, out, "hour")
+        known += part
+        if n in (1, 8):
+            want = rows(descriptors.changes(spark.createDataFrame(known, schema).dropDuplicates(["id", "seq"])), "id", "sha", "seq", "prev_sha", "mtime")
+            assert rows(descriptors.told(spark, out), "id", "sha", "seq", "prev_sha", "mtime") == want
+            if n == 1:
+                assert [r[:2] + r[3:4] for r in want if r[0] == "four"] == [("four", "w", "z"), ("four", "y", "x"), ("four", "z", "y")]
+
+
+def test_feedback_batches_touch_their_skills(spark, tmp_path):
+    from veritab.operators import feedback as ops
+    from veritab.streaming import feedback
+    rnd = random.Random(2)
+    schema = "seq long, skill string, case_key string, pred string, new_payload string, accepted boolean, reason string"
+    data = [(i, rnd.choice(["a", "b", "c", None]), f"k{rnd.randrange(12)}", f"p{i}", rnd.choice([None, "", f"n{i}"]), rnd.random() < 0.5, "r") for i in range(200)]
+    path = str(tmp_path / "shots")
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate([data[:120], data[120:199], data[199:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        feedback.update_shots(stream, path, str(tmp_path / "cp")).awaitTermination()
+    found = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = found(ops.few_shots(spark.createDataFrame(data, schema)))
+    assert found(feedback.shots(spark, path)) == want
+    last = [r.epoch for r in spark.read.parquet(f"{path}/shots").select("epoch").distinct().orderBy("epoch").collect()][-1]
+    assert {r.skill for r in spark.read.parquet(f"{path}/shots/epoch={last}").collect()} <= {data[-1][1]}
+    assert {(r.skill, r.case_key) for r in spark.read.parquet(f"{path}/cases/epoch={last}").collect()} == {data[-1][1:3]}
+    # The last batch once more.
+    again = ops.by_case(spark.createDataFrame([r for r in data if r[1:3] == data[-1][1:3]], schema))
+    feedback._merge(again, last, path, 5, 2)
+    assert found(feedback.shots(spark, path)) == want
+
+
 def test_run_events_accept_and_reject(spark, tmp_path):
     (tmp_path / "in").mkdir()
     good = {"eventType": "complete", "eventTime": "2024-01-01T00:00:00Z", "job": {"namespace": "n", "name": "j"}, "run": {"runId": "r"}}

@@ -196,16 +196,13 @@ def p5_combine(spark, root):
 BATCHES = 4
 
 
-def _event_stream(spark, root):
-    """The events as a stream of a few files in time order, one for each micro-batch."""
+def _event_stream(spark, root, *order, batches=BATCHES):
+    """The events as a stream of files, in time order or by the given columns, a few files for each micro-batch."""
     events = load(spark, root, "events")
     path = scratch_path(spark, "event-files")
-    ends = events.select(F.unix_micros("ts").alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
-    step = (ends.hi - ends.lo) // BATCHES + 1
-    for i in range(BATCHES):
-        part = F.unix_micros("ts").between(ends.lo + i * step, ends.lo + (i + 1) * step - 1)
-        events.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events.repartitionByRange(files, *(order or ["ts"])).write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 def _run_stream(spark, root):
@@ -258,21 +255,30 @@ def t3_descriptor_changes(spark, root):
     return descriptors.changes(d.versions_of(load(spark, root, "events"))).select("id", "sha", "prev_sha", "seq")
 
 
-@_q("t3_descriptor_stream", oracle(CHANGED, "versions"))
-def t3_descriptor_stream(spark, root):
+def _watched(spark, root, *order, batches=BATCHES):
     path = scratch_path(spark, "changes")
-    stream = d.versions_of(_event_stream(spark, root))
+    stream = d.versions_of(_event_stream(spark, root, *order, batches=batches))
     descriptors.watch(stream, path, scratch_path(spark, "changes-checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("id", "sha", "prev_sha", "seq")
+    return descriptors.told(spark, path).select("id", "sha", "prev_sha", "seq")
+
+
+@_q("t3_descriptor_stream", oracle(CHANGED, "versions"))
+def t3_descriptor_stream(spark, root):
+    return _watched(spark, root)
+
+
+# The same versions out of order: most are late, and what was told has to be corrected.
+@_q("t3_descriptor_late", oracle(CHANGED, "versions"))
+def t3_descriptor_late(spark, root):
+    return _watched(spark, root, F.xxhash64("event_id"), batches=10)
 
 
 @_q("t4_feedback_stream", oracle(SHOTS.format(k=5), "fb"))
 def t4_feedback_stream(spark, root):
     path = scratch_path(spark, "feedback")
     stream = d.feedback_of(_event_stream(spark, root))
-    query = feedback_stream.update_shots(stream, f"{path}/shots", f"{path}/checkpoint")
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/shots/{query.lastProgress['batchId']}").drop("note")
+    feedback_stream.update_shots(stream, path, f"{path}/checkpoint").awaitTermination()
+    return feedback_stream.shots(spark, path).drop("note")
 
 
 @_q("t4_feedback_rows", oracle("SELECT seq, skill, case_key, accepted FROM fb", "fb"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veritab.operators.adjacent import adjacent_value
 
 _ORDER = ["mtime", "seq"]
+_VERSION = "id string, mtime timestamp, seq long, sha string"
+
+
+def _whole(versions: DataFrame) -> DataFrame:
+    """Versions with an id, a time and a sha; others are passed over."""
+    return versions.where("id is not null and mtime is not null and sha is not null")
 
 
 def changes(versions: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -21,7 +23,7 @@ def changes(versions: DataFrame, bucket: str = "hour") -> DataFrame:
     The first version of an id gives no row, and an (id, sha) is reported once,
     at its first change. An id with very many versions is cut into time buckets.
     """
-    full = adjacent_value(versions, "id", F.date_trunc(bucket, "mtime"), _ORDER, "sha", "prev")
+    full = adjacent_value(_whole(versions), "id", F.date_trunc(bucket, "mtime"), _ORDER, "sha", "prev")
     changed = full.filter(F.col("prev").isNotNull() & (F.col("prev") != F.col("sha")))
     return (
         changed.groupBy("id", "sha")
@@ -30,41 +32,80 @@ def changes(versions: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
-def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one id in one batch; the state holds its newest version and the shas told so far."""
-    at, sha, told = (state.get[0], state.get[2], set(state.get[3])) if state.exists else (None, None, set())
-    seq = state.get[1] if state.exists else None
-    rows = pd.concat(list(parts)).sort_values(["time", "seq"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        if at is not None and (r.time, r.seq) <= (at, seq):
-            continue  # older than what is known, or seen before
-        if sha is not None and r.sha != sha and r.sha not in told:
-            told.add(r.sha)
-            out.append((key[0], r.sha, r.time, r.seq, sha))
-        at, seq, sha = int(r.time), int(r.seq), r.sha
-    if at is not None:
-        state.update((at, seq, sha, sorted(told)))
-    yield pd.DataFrame(out, columns=["id", "sha", "time", "seq", "prev_sha"])
-
-
-def watch(versions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Stream form of ``changes``: appends new changes to ``path``, exactly once.
-
-    The newest version and the shas told are state of each id and belong to the query's checkpoint, so a
-    batch works on its own rows only. A version that is not newer than its id's newest is passed over, as
-    is one without an id, a sha or a time.
+def _before(spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame:
+    """Rows that earlier batches wrote to a folder with one part per batch; a batch that runs again doesn't see its own."""
+    rows = spark.read.schema(schema).parquet(path) if epoch else spark.createDataFrame([], schema)
+    return rows.where(F.col("epoch") < epoch)
+
+
+def _absorb(batch: DataFrame, epoch: int, path: str, bucket: str) -> None:
+    """One batch: its versions and the versions beside them decide what is told anew.
+
+    State is two tables below ``path/_state``, with one part per batch: the versions by day, and the first and last version of
+    each id and day. Read are the days that the batch touches, of its ids, and for these ids the first and last
+    versions of other days. Each part is written over when a batch runs again.
     """
-    rows = versions.where("id is not null and sha is not null and mtime is not null").select(
-        "id", "seq", F.unix_micros("mtime").alias("time"), "sha")
-    found = rows.groupBy("id").applyInPandasWithState(
-        _step, "id string, sha string, time long, seq long, prev_sha string",
-        "time long, seq long, sha string, told array<string>", "append", GroupStateTimeout.NoTimeout)
+    spark, state = batch.sparkSession, f"{path}/_state"
+    old = _before(spark, f"{state}/versions", f"{_VERSION}, epoch int, day date", epoch)
+    new = batch.groupBy("id", *_ORDER).agg(F.min("sha").alias("sha")).withColumn("day", F.to_date("mtime"))
+    days = [r.day for r in new.select("day").distinct().collect()]
+    old = old.where(F.col("day").isin(days))
+    part = f"{state}/versions/epoch={epoch}"
+    new.join(old, ["id", *_ORDER], "left_anti").write.mode("overwrite").partitionBy("day").parquet(part)
+    fresh = spark.read.schema(f"{_VERSION}, day date").parquet(part)
+
+    edge = "id string, day date, first struct<mtime: timestamp, seq: long, sha: string>, last struct<mtime: timestamp, seq: long, sha: string>"
+    row = F.struct("mtime", "seq", "sha")
+    fresh.groupBy("id", "day").agg(F.min(row).alias("first"), F.max(row).alias("last")).write.mode("overwrite").parquet(f"{state}/edges/epoch={epoch}")
+    touched = fresh.select("id", "day").distinct()
+    ends = _before(spark, f"{state}/edges", f"{edge}, epoch int", epoch).join(touched.select("id").distinct(), "id", "left_semi").join(
+        touched, ["id", "day"], "left_anti").groupBy("id", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ends = ends.select("id", F.explode(F.array_distinct(F.array("first", "last"))).alias("v")).select("id", "v.*")
+
+    beside = old.join(touched, ["id", "day"], "left_semi").select("id", *_ORDER, "sha").unionByName(ends)
+    rows = beside.withColumn("fresh", F.lit(False)).unionByName(fresh.drop("day").withColumn("fresh", F.lit(True)))
+    # What lies between the end of one day and the next version here is not known, unless one of them is fresh.
+    linked = adjacent_value(rows.withColumn("told", F.struct("sha", "fresh")), "id", F.date_trunc(bucket, "mtime"), _ORDER, "told", "prev")
+    found = linked.where((F.col("fresh") | F.col("prev.fresh")) & (F.col("prev.sha") != F.col("sha"))).select(
+        "id", "sha", F.struct("mtime", "seq", F.lit(0).alias("known"), F.col("prev.sha").alias("prev_sha")).alias("v"))
+
+    # A change told before stays, unless there is an earlier one or its version has another one before it now.
+    earlier = _before(spark, path, "id string, sha string, mtime timestamp, seq long, prev_sha string, epoch int", epoch)
+    known = _newest(earlier.join(found.select("id", "sha").distinct(), ["id", "sha"], "left_semi")).select(
+        "id", "sha", F.struct("mtime", "seq", F.lit(1).alias("known"), "prev_sha").alias("v"))
+    told = found.unionByName(known).groupBy("id", "sha").agg(
+        F.min("v").alias("v"), F.max(F.when(F.col("v.known") == 1, F.struct("v.mtime", "v.seq", "v.prev_sha"))).alias("was"))
+    now = F.struct("v.mtime", "v.seq", "v.prev_sha")
+    told.where(~now.eqNullSafe(F.col("was"))).select("id", "sha", "v.mtime", "v.seq", "v.prev_sha").write.mode("overwrite").parquet(
+        f"{path}/epoch={epoch}")
+
+
+def _newest(told: DataFrame) -> DataFrame:
+    return told.groupBy("id", "sha").agg(F.max_by(F.struct("mtime", "seq", "prev_sha"), "epoch").alias("v")).select(
+        "id", "sha", "v.mtime", "v.seq", "v.prev_sha")
+
+
+def watch(versions: DataFrame, path: str, checkpoint: str, bucket: str = "hour") -> StreamingQuery:
+    """Stream form of ``changes``: what each batch tells goes to ``path``, with the number of the batch as ``epoch``.
+
+    Versions may come in any order. A late one is put between its neighbours: if that makes a change earlier, or gives it another
+    version before it, the change is told again, and the row of the highest epoch holds (``told``). Batches in order tell each change once.
+    No id is gathered in one place: its versions are cut into time buckets as in ``changes``. A version seen
+    before is passed over, as is one without an id, a sha or a time.
+    """
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        _absorb(batch, epoch, path, bucket)
+
+    rows = _whole(versions).select(F.col("id").cast("string").alias("id"), "mtime", F.col("seq").cast("long").alias("seq"), "sha")
     return (
-        found.withColumn("mtime", F.timestamp_micros("time")).drop("time").writeStream.format("parquet")
-        .option("path", path)
+        rows.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def told(spark: SparkSession, path: str) -> DataFrame:
+    """The changes as they stand: per (id, sha) the row that was told last."""
+    return _newest(spark.read.parquet(path))
