@@ -28,9 +28,8 @@ FEATURES = ("strong", "strong_count", "strong_kinds", "weight", "mild", "second_
 #: Folds by crc32 of the id as text, modulo 4.
 LEXICON_FOLD, TREE_FOLD, CALIBRATION_FOLD, HELD_OUT = 0, 1, 3, 2
 
-#: Labelled rows used of each fold, and words kept in the lexicon, at most.
+#: Labelled rows used of each fold, at most.
 FOLD_ROWS = 20_000
-LEXICON_WORDS = 2_000
 
 #: Words known to insult whatever the labelled rows hold, and words for the second person.
 SEEDS = frozenset("idiot moron loser stupid scum worthless pathetic disgusting trash clown".split())
@@ -97,18 +96,23 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def learn_lexicon(docs: DataFrame, labelled: DataFrame) -> dict[str, float]:
-    """Words of toxic rows with their log-odds, at most ``LEXICON_WORDS``, and the seeds.
+    """Words of toxic rows with their log-odds, and the seeds.
 
     A word counts once per row and once per group of near copies. It is taken if the log-likelihood ratio
-    between toxic and other rows leaves little room for chance.
+    between toxic and other rows leaves little room for chance; all such words are, their number is bounded by that
+    of the labelled rows. A word with other characters in it counts as what it reads without them.
     """
 
+    def read(w: str) -> str:
+        plain = w if w.isalpha() else w.translate(_FOLD)
+        return plain if plain.isalpha() else w
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = [w.lower() for w in tokens_of(text or "")]
-                kept = sorted({w for w in words if 3 <= len(w) <= 40 and w.isalpha()})
+                kept = sorted({read(w) for w in words if any(map(str.isalpha, w))})
                 out.append((sketch(words), toxic, kept))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _, _ in out], pa.int64()), pa.array([t for _, t, _ in out], pa.int32()),
@@ -130,7 +134,7 @@ def learn_lexicon(docs: DataFrame, labelled: DataFrame) -> dict[str, float]:
     found = (rows.select("toxic", F.explode("words").alias("word"))
              .groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 3")
              .select("word", ratio.alias("ratio"), odds.alias("odds")).where("odds > 1.5 and ratio > 15")
-             .orderBy(F.desc("ratio"), "word").limit(LEXICON_WORDS).collect())
+             .collect())
     return lexicon | {r.word: r.odds for r in found}
 
 
