@@ -266,6 +266,71 @@ def test_doubtful_elements_beside_the_text():
     assert f(f"<div>{ARTICLE}</div><div hidden>{ARTICLE}{ARTICLE}</div>") == want
 
 
+def test_pages_without_landmark_come_back_whole():
+    import random
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    menu = lambda: "<div>" + " ".join(f"<a href=/{i}>{words(rng.randint(1, 3))}</a>" for i in range(rng.randint(3, 9))) + "</div>"
+    for i in range(400):
+        blocks = [words(rng.randint(6, 90)) for _ in range(rng.randint(2, 10))]
+        if i % 4 == 1:
+            blocks.insert(rng.randrange(1, len(blocks)), "Hm.")
+        marks = [f"<div><p>{b}</p></div>" if i % 3 else f"<div>{b}</div>" if i % 2 else f"<h2>{b}</h2>" if len(b) < 40 else f"<div><div><p>{b}</p></div></div>"
+                 for b in blocks]
+        # A link within a sentence is no menu.
+        marks[0] = marks[0].replace(blocks[0], f"{blocks[0]} <a href=x>more</a>")
+        want = "\n\n".join([f"{blocks[0]} more", *blocks[1:]])
+        head, foot = (f"<nav>{menu()}</nav>" + menu(), menu() + "<footer>all rights</footer>") if i % 5 else ("", "")
+        assert html_text.main_text(f"<html><body>{head}{''.join(marks)}{foot}</body></html>") == want, i
+    assert html_text.main_text(f"<p>{words(60)}</p><h2>Part</h2><p>Hm.</p><p>tail</p>").endswith("Part\n\nHm.\n\ntail")
+    assert html_text.main_text("<a href=1>only</a> <a href=2>links</a>") == "only links"
+
+
+def test_pages_of_many_open_elements_take_linear_time():
+    import time
+
+    def spent(n, mark):
+        page = {"unmatched": "<i>" * n + "</u>" * n, "crossing": "<b>" + "<div>" * n + "</b>" * n, "rows": "<th>" + "<i>" * n + "<td>x" * n,
+                "paragraphs": "<p>" + "<i>" * n + "<p>y" * n}[mark] + "text"
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    for mark in ("unmatched", "crossing", "rows", "paragraphs"):
+        assert spent(40_000, mark) < 20 * max(spent(4_000, mark), 0.02), mark
+
+
+def test_end_tags_close_what_a_scan_would_close():
+    """The same elements are open after each tag as by looking through all open ones."""
+    import random
+    rng = random.Random(6)
+
+    class Slow(html_text.Lines):
+        def closable(self, tag):
+            for name, *_ in reversed(self.open):
+                if name == tag:
+                    return True
+                if name in html_text.BLOCKS or name in html_text.OUTSIDE:
+                    return False
+            return False
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
+            blocks = any(t in html_text.BLOCKS for t, *_ in self.open[at:]) if at >= 0 else False
+            left = [t for t, *_ in (self.open[:at] if at >= 0 and (tag in html_text.BLOCKS or tag in html_text.OUTSIDE or not blocks) else self.open)]
+            super().handle_endtag(tag)
+            assert [t for t, *_ in self.open] == left
+
+    tags = ["div", "p", "b", "a", "td", "th", "tr", "li", "nav", "article", "i", "script", "dd", "dt"]
+    for _ in range(300):
+        page = "".join(rng.choice(["<{}>", "</{}>", "<{}>x", "y</{}>"]).format(rng.choice(tags[:-3] if rng.random() < 0.9 else tags)) for _ in range(40))
+        fast, slow = html_text.Lines(), Slow()
+        for parser in (fast, slow):
+            parser.feed(page)
+            parser.close()
+        assert fast.lines == slow.lines and fast.open == slow.open
+
+
 # --- personal data
 
 def spans_brute(text):

@@ -3,8 +3,8 @@
 The standard library's parser streams a page's events into lines, one for each block of text. Every line has
 a ratio of its characters to the tags in it; the ratios are smoothed with a Gaussian and split into two
 clusters by a threshold. The lines of the upper cluster mark the content region, which is then taken whole: the
-article or main element that holds most of the marked text, or else the stretch from the first marked line to the last
-and what else lies in the same containers. Elements that only their name, a form or an attribute tells to be no content are
+article or main element that holds most of the marked text, or else the stretch from the first marked line to the last,
+what else lies in the same containers, and the lines before and behind up to one that is mostly links. Elements that only their name, a form or an attribute tells to be no content are
 dropped after the whole page is read, and kept if they hold its landmark or most of its text.
 """
 
@@ -45,14 +45,19 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, landmark, container, doubt) of each block, with the numbers of the article or main element,
-    of the container and of the doubtful element around it; 0: none. ``doubts`` has of each doubtful element the one around it
+    """Collects (text, tags, landmark, container, doubt, linked) of each block, with the numbers of the article or main element,
+    of the container and of the doubtful element around it, 0: none, and the characters in links. ``doubts`` has of each doubtful element the one around it
     and why it is one: form, name, readers or hidden."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.open: list[tuple[str, bool, int, int, int]] = []  # tag, can it be content, landmark, container, doubt
+        self.places: dict[str, list[int]] = {}  # where each tag is open
+        # Open blocks, and open blocks and elements of no content, up to each place; so that no tag has to look through all that is open.
+        self.blocks: list[int] = [0]
+        self.walls: list[int] = [0]
+        self.linked = 0
         self.doubts: list[tuple[int, str]] = [(0, "")]
         self.text: list[str] = []
         self.tags = 0
@@ -64,9 +69,10 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.inside()[1:]))
+            self.lines.append((text, self.tags, *self.inside()[1:], self.linked))
             self.tags = 0
         self.text.clear()
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for other in CLOSES.get(tag, ()):
@@ -94,16 +100,14 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, content, landmark, container, doubt))
+        self.blocks.append(self.blocks[-1] + (tag in BLOCKS))
+        self.walls.append(self.walls[-1] + (tag in BLOCKS or tag in OUTSIDE))
 
     def closable(self, tag: str) -> bool:
         """Is ``tag`` open with only inline elements inside it?"""
-        for name, *_ in reversed(self.open):
-            if name == tag:
-                return True
-            if name in BLOCKS or name in OUTSIDE:
-                return False
-        return False
+        return bool(self.places.get(tag)) and self.walls[-1] == self.walls[self.places[tag][-1] + 1]
 
     @staticmethod
     def doubtful(tag: str, attrs: list) -> str:
@@ -131,22 +135,26 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
+        at = self.places[tag][-1] if self.places.get(tag) else -1
         self.tags += 1
-        if tag in BLOCKS or at >= 0 and (any(t in BLOCKS for t, *_ in self.open[at:])
-                                         or self.open[at][1] != (at == 0 or self.open[at - 1][1])
+        blocks = self.blocks[-1] - self.blocks[at] if at >= 0 else 0
+        if tag in BLOCKS or at >= 0 and (blocks or self.open[at][1] != (at == 0 or self.open[at - 1][1])
                                          or self.open[at][4] != (at and self.open[at - 1][4])):
             self.end_line()
-        if at >= 0 and (tag in BLOCKS or tag in OUTSIDE or not any(t in BLOCKS for t, *_ in self.open[at:])):
-            del self.open[at:]
+        if at >= 0 and (tag in BLOCKS or tag in OUTSIDE or not blocks):
+            for name, *_ in self.open[at:]:
+                self.places[name].pop()
+            del self.open[at:], self.blocks[at + 1:], self.walls[at + 1:]
 
     def handle_data(self, data: str) -> None:
         if self.inside()[0]:
             self.text.append(data)
+            if self.places.get("a"):
+                self.linked += len("".join(data.split()))
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
-    """Lines that may be content; the last column is the number of doubtful elements around each."""
+def lines_of(html: str) -> list[tuple[str, int, int, int, int, int]]:
+    """Lines that may be content; in place of the doubtful element around each stands the number of them."""
     parser = Lines()
     try:
         parser.feed(html)
@@ -160,15 +168,15 @@ def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
         return parser.lines
     depth, dropped = judged(parser.lines, parser.doubts)
     out, tags = [], 0
-    for text, own, landmark, container, doubt in parser.lines:
+    for text, own, landmark, container, doubt, linked in parser.lines:
         tags += own  # those of dropped lines count for the next one
         if not dropped[doubt]:
-            out.append((text, tags, landmark, container, depth[doubt]))
+            out.append((text, tags, landmark, container, depth[doubt], linked))
             tags = 0
     return out
 
 
-def judged(lines: list[tuple[str, int, int, int, int]], doubts: list[tuple[int, str]]) -> tuple[list[int], list[bool]]:
+def judged(lines: list[tuple[str, int, int, int, int, int]], doubts: list[tuple[int, str]]) -> tuple[list[int], list[bool]]:
     """How deep each doubtful element lies in others, itself included, and whether it is dropped.
 
     One is kept that holds the page's landmark: of those in the fewest doubtful elements the one with most text, if that is
@@ -181,7 +189,7 @@ def judged(lines: list[tuple[str, int, int, int, int]], doubts: list[tuple[int,
         depth[d] = depth[doubts[d][0]] + 1
     marks: dict[int, list[int]] = {}  # landmark: depth, characters, doubtful element around it
     plain = 0
-    for text, _, landmark, _, doubt in lines:
+    for text, _, landmark, _, doubt, _ in lines:
         size[doubt] += len(text)
         plain += len(text) * (not doubt)
         if landmark:
@@ -249,8 +257,16 @@ def main_text(html: str | None) -> str:
     if best:
         chosen = np.flatnonzero(landmark == best)
     else:
-        at = np.flatnonzero(marked)
-        chosen = np.union1d(np.arange(at[0], at[-1] + 1), np.flatnonzero(np.isin(container, container[at])))
+        # Links alone mark nothing, unless there is nothing else.
+        links = np.array([2 * line[5] > len("".join(line[0].split())) for line in lines])
+        at = np.flatnonzero(marked & ~links) if (marked & ~links).any() else np.flatnonzero(marked)
+        first, last = int(at[0]), int(at[-1])
+        # A region has no inner border at a short line, and none outside but a line of links.
+        while first > 0 and not links[first - 1]:
+            first -= 1
+        while last + 1 < len(lines) and not links[last + 1]:
+            last += 1
+        chosen = np.union1d(np.arange(first, last + 1), np.flatnonzero(np.isin(container, container[at]) & (container > 0)))
     return "\n\n".join(lines[i][0] for i in chosen)
 
 
