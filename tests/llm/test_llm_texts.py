@@ -60,6 +60,48 @@ def test_forest_tells_bad_from_good(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_forest_on_rows_it_was_not_fitted_on(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.assess(documents(spark), labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 0"))
+    got = got.join(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1"), "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
+    assert len(bad) > 5 and sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_junk_of_other_kinds_is_rejected(spark):
+    """Repeated lines, numbers and one-letter words, which the given tables don't hold, told by labels."""
+    import random
+    rng = random.Random(3)
+    plain = [r.text for r in documents(spark).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("quality = 1").collect()]
+    junk = [lambda: "\n".join(f"{rng.randrange(10 ** 6)} {rng.random():.4f}" for _ in range(60)), lambda: " ".join(rng.choice("abcdefgh") for _ in range(90)),
+            lambda: "\n".join(rng.choice(["same line again", "another line of it", "third"]) + f" w{rng.randrange(9)}" for _ in range(60))]
+    texts = plain + [rng.choice(junk)() for _ in range(200)]
+    labels = [int(i < len(plain)) for i in range(len(texts))]
+    docs = docs_of(spark, texts)
+    known = labels_of(spark, [(i, q, 0, "a") for i, q in enumerate(labels) if i % 2])
+    got = {r.doc_id: r for r in quality.assess(docs, known).collect() if not r.doc_id % 2 and not r.base_failed}
+    good, bad = [r.kept for i, r in got.items() if labels[i]], [r.kept for i, r in got.items() if not labels[i]]
+    assert len(bad) > 20 and sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_path_lengths_equal_single_walks():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4)) ** 3
+    forest = quality.grow(x[:200], trees=9, rows=64)
+
+    def walk(row, at):
+        n = 0
+        while forest.feature[at] >= 0:
+            at, n = forest.left[at] + int(row[forest.feature[at]] >= forest.split[at]), n + 1
+        return n, forest.depth[at]
+
+    steps = [[walk(row, root) for root in forest.roots] for row in x]
+    assert all(n <= depth <= n + quality._expected(64) for row in steps for n, depth in row)
+    want = [2 ** (-sum(d for _, d in row) / 9 / quality._expected(64)) for row in steps]
+    assert np.allclose(forest.scores(x), want)
+
+
 def test_quality_odd_rows(spark):
     docs, labels = docs_of(spark, ODD), labels_of(spark, [(1, 0, 0, "a"), (None, 1, 1, "a"), (2, None, None, "a")])
     got = {r.doc_id: r for r in quality.assess(docs, labels).collect()}
