@@ -1,17 +1,23 @@
 """Personal data: pattern rules and a skip-chain conditional random field.
 
-The rules find emails, addresses, card and phone numbers. The field labels every token that holds a
-digit or an ``@``; all other tokens are outside by definition. Neighbouring tokens share chain
+The rules find emails, addresses, card and phone numbers. The field labels every token that can be one of them or a
+secret: all that hold a digit or an ``@``, whatever stands behind a name for a secret, long tokens, tokens of mixed
+case, and all repetitions of what stands behind such a name. Neighbouring tokens share chain
 potentials, and a token shares skip potentials with its next repetition and with the next token of
 the same shape and beginning, however far away in the document. Sum-product message passing on this loopy
-graph gives each token its marginals; runs of tokens with one label are spans of that kind.
+graph gives each token its marginals; tokens with a label are spans of that kind. A kind that a rule decides
+is possible only for what the rule takes. The messages of a document pass until they settle, whatever other documents do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +40,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
-#: Seeds of the kind that has no rule: access keys, and values after a name for a secret.
-_SEED = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|"
-                   r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']*[0-9][^\s\"']*)")
+#: Tokens of 24 characters, or of 12 with a capital behind a small letter.
+_ODD = re.compile(r"(?<!\S)(?:(?=\S*[a-z][A-Z])\S{12,}|\S{24,})")
+_RUN = re.compile(r"\S+")
+#: Names for a secret, with what may stand between one and its value.
+_NAME = (r"(?:pass(?:word|wd|phrase|code)|passwort|contraseña|mot de passe|pwd|secret|token|credentials?|bearer|"
+         r"(?:api|access|private|secret|client|auth)[_ -]?key)")
+_AFTER = re.compile(rf"(?i)(?<![a-z]){_NAME}[\"'\]]{{0,2}}(?:[ \t]{{0,3}}(?:[=:]=?|=>|->)[ \t]{{0,3}}|(?<=bearer)[ \t]{{1,3}}|[ \t]is[ \t])[\"'`]?(?=[^\s\"'`])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 Span = tuple[str, int, int]
 
@@ -91,33 +102,65 @@ class Node:
     end: int
     text: str
     near: bool  # the token before it is a node as well
+    named: bool = False  # stands behind a name for a secret
 
     def shape(self) -> str:
         """Classes of characters, runs shortened to their class and a rough length."""
         out = []
-        for m in re.finditer(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+", self.text[:80]):
+        for m in re.finditer(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+", self.text):
             c = m[0][0]
             if c.isascii() and c.isalnum():
                 out.append("9Aa"[0 if c.isdigit() else 1 if c.isupper() else 2] + str(min(3, len(m[0]).bit_length())))
             else:
                 out.append(m[0][:2])
-        return "".join(out[:12])
+        # A long pattern is told by its beginning and a checksum of all of it.
+        return "".join(out if len(out) <= 12 else [*out[:12], f"~{zlib.crc32(''.join(out).encode())}"])
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """A token without the quotes and marks around it."""
+    while a < b and text[a] in "\"'`([{<":
+        a += 1
+    while b > a and text[b - 1] in "\"'`)]}>,.;:!?":
+        b -= 1
+    return a, b
 
 
 def nodes_of(text: str) -> list[Node]:
+    """The tokens that the field labels, in order; of ``name=value`` the value only."""
+    start = {m.end(): m.start() for m in _TOKEN.finditer(text)}  # by end, as tokens end at white space
+    start.update((m.end(), m.start()) for m in _ODD.finditer(text))
+    named: set[int] = set()
+    if "=" in text or ":" in text or _HINT.search(text):
+        for m in _AFTER.finditer(text):
+            value = _RUN.match(text, m.end())
+            if value and (value.end() not in named or start[value.end()] < m.end()):
+                start[value.end()] = m.end()
+                named.add(value.end())
+        values = {text[slice(*_bare(text, start[e], e))].casefold() for e in named} - {""}
+        if values:
+            for m in _RUN.finditer(text):
+                if m.end() not in start and text[slice(*_bare(text, *m.span()))].casefold() in values:
+                    start[m.end()] = m.start()
     nodes: list[Node] = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in "\"'([{<":
-            a += 1
-        while b > a and text[b - 1] in "\"')]}>,.;:!?":
-            b -= 1
+    for end in sorted(start):
+        a, b = _bare(text, start[end], end)
         if a < b:
-            near = bool(nodes) and m.start() - nodes[-1].end <= 3
-            nodes.append(Node(a, b, text[a:b], near))
+            near = bool(nodes) and start[end] - nodes[-1].end <= 3
+            nodes.append(Node(a, b, text[a:b], near, end in named))
     return nodes
 
 
+_HINT = re.compile(r"(?i)bearer|\bis\b")
+
+
+def _form(t: str) -> str:
+    """What a token is made of, and how long it is, roughly."""
+    classes = "".join(c for c, found in (("a", any(map(str.islower, t))), ("A", any(map(str.isupper, t))), ("9", any(map(str.isdigit, t))),
+                                         ("-", not t.isalnum())) if found)
+    return f"{classes}{min(4, len(t) // 6)}"
+
+
 def features(text: str, node: Node) -> list[str]:
     t = node.text
     digits = sum(map(str.isdigit, t))
@@ -125,6 +168,9 @@ def features(text: str, node: Node) -> list[str]:
     word = re.search(r"([\w-]+)\W*$", before)
     named = t.split("=", 1)[0].split(":", 1)[0].lower() if "=" in t or ":" in t else ""
     out = ["bias", "shape=" + node.shape(), f"digits={min(digits, 20)}", f"length={min(len(t).bit_length(), 8)}"]
+    out += ["secret_name", "secret_name:" + _form(t)] if node.named else []
+    out += ["form=" + _form(t)]
+    out += ["key"] if _KEY.fullmatch(t) else []
     out += ["at"] if "@" in t else []
     out += ["plus"] if t[0] == "+" else []
     out += ["hex"] if len(t) >= 16 and re.fullmatch(r"[0-9a-f]+", t) else []
@@ -152,15 +198,92 @@ def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _labels(text: str, nodes: list[Node]) -> list[int]:
-    """Training labels: rule spans and seeds."""
-    spans = [(a, b, LABELS.index(k)) for k, a, b in base_spans(text)]
-    for m in _SEED.finditer(text):
-        a, b = m.span(1) if m[1] else m.span()
-        spans.append((a, b, LABELS.index("secret")))
-    out = []
+class Cover:
+    """Which stretches of a text spans touch; by halving, however many there are."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        spans = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return at > 0 and self.ends[at - 1] > a
+
+
+def seeds_of(text: str, nodes: list[Node]) -> list[Span]:
+    """Secrets that need no field: access keys, and what stands behind a name for a secret and is no common word."""
+    found = [("secret", *m.span()) for m in _KEY.finditer(text)]
     for n in nodes:
-        out.append(next((k for a, b, k in spans if a < n.end and n.start < b), 0))
+        t = n.text
+        plain = t.isalpha() and (t.islower() or t.istitle() or t.isupper())
+        if n.named and (len(t) >= 12 or len(t) >= 6 and not plain):
+            found.append(("secret", n.start, n.end))
+    return found
+
+
+def _labels(text: str, nodes: list[Node], told: list[Span] | None = None) -> list[int]:
+    """Training labels: rule spans, then the secrets that are told, or else the seeds."""
+    base = base_spans(text)
+    covers = [(LABELS.index(k), Cover([s for s in base if s[0] == k])) for k in KINDS[:4]]
+    covers.append((LABELS.index("secret"), Cover(seeds_of(text, nodes) if told is None else told)))
+    return [next((k for k, cover in covers if cover.touches(n.start, n.end)), 0) for n in nodes]
+
+
+def possible(text: str, nodes: list[Node], base: list[Span]) -> np.ndarray:
+    """Labels that each node can have: a kind with a rule only where a rule span is, or the rule takes the token."""
+    cover = Cover(base)
+    out = np.ones((len(nodes), len(LABELS)), bool)
+    for i, n in enumerate(nodes):
+        if not cover.touches(n.start, n.end):
+            taken = {k for k, a, b in base_spans(n.text) if (a, b) == (0, len(n.text))}
+            out[i, 1:5] = [k in taken for k in KINDS[:4]]
+    return out
+
+
+def made_documents(n: int = 600, seed: int = 7) -> list[tuple[str, list[Span]]]:
+    """Texts with made secrets of many forms, and look-alikes that are none, for the training rows."""
+    rng = random.Random(seed)
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    word = lambda: some(lower, rng.randint(2, 9))
+    number = lambda k: rng.choice(digit[1:]) + some(digit, k - 1)
+    forms = [
+        lambda: some(lower, rng.randint(4, 9)) + some(digit, rng.randint(1, 4)) + some(lower, rng.randint(0, 4)), lambda: some(lower, rng.randint(12, 24)),
+        lambda: some("0123456789abcdef", rng.choice([12, 16, 32, 40, 64])), lambda: "sk" + rng.choice(["", "_", "-"]) + some(lower + digit, rng.randint(12, 32)),
+        lambda: "AKIA" + some(upper + digit, 16), lambda: "ghp_" + some(lower + upper + digit, 36), lambda: some(lower + upper + digit + "+/", 40),
+        lambda: "eyJ" + some(lower + upper + digit, 20) + "." + some(lower + upper + digit + "_-", 30),
+        lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: some(lower + upper + digit + "!#$%&*+?^~", rng.randint(9, 18)),
+        lambda: word().title() + some("!$#", 1) + some(digit, 3), lambda: "-".join(word() + word() for _ in range(4))]
+    names = ["password", "Password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "token", "access_token", "api_key", "apikey", "API-KEY",
+             "private_key", "credential", "passphrase", "auth_key"]
+    joins = ["=", ": ", " = ", ":", " : ", "=\"", ": '", "\": \""]
+    alike = [
+        lambda: f"version: {number(1)}.{number(2)}.{number(1)}", lambda: f"section {number(1)}.{number(1)}.{number(2)}", lambda: f"no. {number(6)}",
+        lambda: f"{number(4)}-0{number(1)}-1{rng.choice(digit)}", lambda: f"1{rng.choice('0123')}:{rng.choice('12345')}{rng.choice(digit)}", lambda: f"${number(2)}.99",
+        lambda: f"https://{word()}.example/{word()}/{number(4)}?{word()}={word()}", lambda: f"{word()}{word().title()}{word().title()}()",
+        lambda: some(lower, rng.randint(18, 30)), lambda: f"ISBN 978{number(10)}", lambda: f"{number(2)},000", lambda: f"call {number(3)}-{number(4)}",
+        lambda: f"{rng.choice(names)}: {word()[:6]}", lambda: f"the {rng.choice(['password', 'token', 'secret'])} {word()}", lambda: f"key: {word()}",
+        lambda: f"id {some(upper, 2)}-{number(5)}", lambda: f"{word().upper()}_{word().upper()}_{number(2)}", lambda: f"{word()}.{word()}.{number(2)}"]
+    out = []
+    for _ in range(n):
+        text, spans, kept = "", [], []
+        for _ in range(rng.randint(3, 8)):
+            text += " ".join(word() for _ in range(rng.randint(2, 10))) + rng.choice([" ", ". ", "\n"])
+            if rng.random() < 0.5:
+                text += rng.choice(alike)() + rng.choice([" ", ", ", "\n"])
+                continue
+            value = rng.choice(kept) if kept and rng.random() < 0.4 else rng.choice(forms)()
+            if value not in kept and not value.startswith(("AKIA", "ghp_", "eyJ")):
+                join = rng.choice(joins)
+                text += rng.choice(names) + join
+                close = join[-1] if join[-1] in "\"'" else ""
+            else:
+                close = ""
+            spans.append(("secret", len(text), len(text) + len(value)))
+            kept.append(value)
+            text += value + close + rng.choice([" ", "\n", ". "])
+        out.append((text, spans))
     return out
 
 
@@ -180,38 +303,57 @@ class Field:
                 out[i] = self.unary[at].sum(axis=0)
         return out
 
-    def marginals(self, unary: np.ndarray, edges: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Beliefs after loopy sum-product message passing; documents share no edge, so many go at once."""
-        if len(edges):
-            a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            table = np.concatenate([self.pair[edges[:, 2]], self.pair[edges[:, 2]].transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-            sent = np.zeros((len(a), len(LABELS)))
-            for _ in range(rounds):
-                total = unary.copy()
-                np.add.at(total, b, sent)
-                out = total[a] - sent[back]  # all that a knows but from b
-                new = np.logaddexp.reduce(out[:, :, None] + table, axis=1)
-                new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-                change = np.abs(new - sent).max()
-                sent = damping * sent + (1 - damping) * new
-                if change < 1e-4:
-                    break
-            unary = unary.copy()
-            np.add.at(unary, b, sent)
-        return np.exp(unary - np.logaddexp.reduce(unary, axis=1, keepdims=True))
-
-
-def train(documents: list[str], steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Weights by gradient ascent on the pseudo-likelihood: each token given its neighbours' labels."""
+    def marginals(self, unary: np.ndarray, edges: np.ndarray, first: list[int] | None = None, rounds: int | None = None,
+                  damping: float = 0.3) -> np.ndarray:
+        """Beliefs after loopy sum-product message passing.
+
+        ``first`` has the first node of each document, and the number of nodes at its end. Documents share no edge; each goes on until its
+        own messages settle, for ``rounds`` rounds at most, by default as many as it has nodes and a few more.
+        """
+        if not len(edges):
+            return np.exp(unary - np.logaddexp.reduce(unary, axis=1, keepdims=True))
+        bounds = np.array(first if first is not None else [0, len(unary)])
+        a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        table = np.concatenate([self.pair[edges[:, 2]], self.pair[edges[:, 2]].transpose(0, 2, 1)])
+        back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
+        doc = np.searchsorted(bounds, a, side="right") - 1
+        limit = 12 + np.diff(bounds) if rounds is None else np.full(len(bounds) - 1, rounds)
+        order = np.argsort(b, kind="stable")
+        into, cut = np.unique(b[order], return_index=True)
+        sent = np.zeros((len(a), len(LABELS)))
+
+        def received() -> np.ndarray:
+            total = unary.copy()
+            total[into] += np.add.reduceat(sent[order], cut, axis=0)
+            return total
+
+        live, turn = np.arange(len(a)), 0
+        while len(live):
+            turn += 1
+            out = received()[a[live]] - sent[back[live]]  # all that a knows but from b
+            new = np.logaddexp.reduce(out[:, :, None] + table[live], axis=1)
+            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            change = np.zeros(len(bounds))
+            np.maximum.at(change, doc[live], np.abs(new - sent[live]).max(axis=1))
+            sent[live] = damping * sent[live] + (1 - damping) * new
+            live = live[(change[doc[live]] >= 1e-4) & (turn < limit[doc[live]])]
+        total = received()
+        return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
+
+
+def train(documents: list[str], steps: int = 200, rate: float = 0.5, decay: float = 1e-4, made: int = 600) -> Field:
+    """Weights by gradient ascent on the pseudo-likelihood: each token given its neighbours' labels.
+
+    Made documents join the given ones.
+    """
     lists: list[list[str]] = []
     y: list[int] = []
     edges: list[tuple[int, int, int]] = []
-    for text in documents:
+    for text, told in [(t, None) for t in documents] + made_documents(made):
         nodes = nodes_of(text)
         edges += [(a + len(y), b + len(y), k) for a, b, k in edges_of(nodes)]
         lists += [features(text, n) for n in nodes]
-        y += _labels(text, nodes)
+        y += _labels(text, nodes, told)
     counts: dict[str, int] = {}
     for f in lists:
         for name in f:
@@ -252,44 +394,36 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     """A field trained on at most ``rows`` documents, chosen by the hash of their id."""
     ids = bounded_sample(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", rows)
     # The sample is bounded by its parameter, whatever the size of the table.
-    texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text rlike '[0-9@]'")
+    texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text rlike '[0-9@=:]'")
              .groupBy("doc_id").agg(F.min("text").alias("text")).select("text").collect())
     return train(sorted(r.text for r in texts))
 
 
-def _added(text: str, nodes: list[Node], label: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans of the field that no rule span touches; neighbours of one kind are one span."""
-    out: list[Span] = []
-    i = 0
-    while i < len(nodes):
-        j = i + 1
-        if label[i]:
-            kind = LABELS[label[i]]
-            while j < len(nodes) and label[j] == label[i] and nodes[j].near and kind in ("phone", "card"):
-                j += 1
-            a, b = nodes[i].start, nodes[j - 1].end
-            if not any(x < b and a < y for _, x, y in base):
-                out.append((kind, a, b))
-        i = j
-    return out
+def _added(nodes: list[Node], label: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans of the field that no rule span touches."""
+    cover = Cover(base)
+    return [(LABELS[k], n.start, n.end) for n, k in zip(nodes, label) if k and not cover.touches(n.start, n.end)]
 
 
 def find(field: Field, texts: list[str | None], sure: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
     """Rule spans and all spans of each text."""
-    base, nodes, lists, edges, first = [], [], [], [], [0]
+    base, nodes, lists, edges, first, can = [], [], [], [], [0], []
     for text in texts:
         text = text or ""
         own = nodes_of(text)
         base.append(base_spans(text))
         edges += [(a + first[-1], b + first[-1], k) for a, b, k in edges_of(own)]
         lists += [features(text, n) for n in own]
+        can.append(possible(text, own, base[-1]))
         nodes.append(own)
         first.append(first[-1] + len(own))
-    belief = field.marginals(field.potentials(lists), np.array(edges, int).reshape(-1, 3))
+    if not first[-1]:
+        return [(b, b) for b in base]
+    potentials = np.where(np.concatenate(can), field.potentials(lists), -1e3)
+    belief = field.marginals(potentials, np.array(edges, int).reshape(-1, 3), first)
     best = belief.argmax(axis=1)
     best[belief.max(axis=1) < sure] = 0
-    return [(b, in_order(b + _added(t or "", n, best[lo:hi], b)))
-            for t, b, n, lo, hi in zip(texts, base, nodes, first, first[1:])]
+    return [(b, in_order(b + _added(n, best[lo:hi], b))) for b, n, lo, hi in zip(base, nodes, first, first[1:])]
 
 
 def mask(text: str | None, spans: list[Span]) -> str | None:
@@ -321,21 +455,22 @@ def _each(docs: DataFrame, field: Field, columns: list[str], schema, emit) -> Da
 
 
 def scan(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Counts of rule spans, their digest, and ``spans`` of rules and field, for each row of ``docs``.
+    """Counts of rule spans, their digest, ``spans`` of rules and field and their number, for each row of ``docs``.
 
     Offsets are code points, ends exclusive; spans come by start, then kind (email, ip, card, phone,
     secret). Null and empty texts have no spans: counts 0, the digest of an empty string, empty
     ``spans``. Rows are judged one by one, so repeated rows get equal results; an empty table gives no
     rows. Columns other than doc_id and text are not read.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
     def emit(part, texts, found):
         kinds = [[s[0] for s in base] for base, _ in found]
         return pa.RecordBatch.from_arrays(
             [part.column(0), *(pa.array([k.count(x) for k in kinds], pa.int64()) for x in KINDS[:4]),
              pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string()),
-             pa.array([written(spans) for _, spans in found], pa.string())], schema=arrow_schema(schema))
+             pa.array([written(spans) for _, spans in found], pa.string()),
+             pa.array([len(spans) for _, spans in found], pa.int64())], schema=arrow_schema(schema))
 
     return _each(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs, rows), ["doc_id", "text"], schema, emit)
 
