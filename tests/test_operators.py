@@ -556,3 +556,31 @@ def test_custom_rules_run_side_by_side(spark, monkeypatch):
     rules = [quality.Rule(f"r{i}", "a.b.c.t", "custom", {"sql": f"SELECT * FROM t WHERE x = {i}"}) for i in range(8)]
     out = quality.run_rules(spark, {"a.b.c.t": spark.range(5).toDF("x")}, rules, datetime(2024, 1, 1), at_once=4)
     assert {r.rule_id: r.observed for r in out.collect()} == {f"r{i}": float(i < 5) for i in range(8)}
+
+
+def test_refresh_works_on_changed_pairs_only(spark):
+    from veritab.operators import lineage
+    assets = spark.createDataFrame([(i, f"w.d.c.t{i}") for i in range(6)], "id long, fqn string")
+    cols = [(f"{t}:{c}", t, c, "int") for t in range(6) for c in "ab"]
+    column = "id string, table_id long, name string, data_type string"
+    edge = "upstream_id long, downstream_id long, job_id string, component string, pipeline_stage string, sql string"
+    sql = "select t0.a as a, t0.b as b from t0"
+    links = [(0, 1, "j", None, None, sql), (0, 2, "j", None, None, sql), (3, 4, None, None, None, None), (4, 5, None, None, None, None), (0, 5, "k", None, None, sql)]
+    old = spark.createDataFrame(links, edge), assets, spark.createDataFrame(cols, column)
+    marks, inferred = lineage.edge_marks(*old), lineage.infer_column_edges(*old)
+    again = lineage.refresh_column_edges(*old, marks, inferred)
+    assert again["changed"].count() == 0 and rows(again["column_edges"].drop("component", "pipeline_stage")) == rows(inferred.drop("component", "pipeline_stage"))
+    # Table 4 has one more column, an edge is gone, another has other text.
+    new = (spark.createDataFrame([*links[:1], (0, 2, "j", None, None, "select t0.a as b from t0"), *links[2:4]], edge), assets,
+           spark.createDataFrame([*cols, ("4:z", 4, "z", "int"), ("3:z", 3, "z", "int")], column))
+    got = lineage.refresh_column_edges(*new, marks, inferred)
+    assert rows(got["changed"]) == [(0, 2), (3, 4), (4, 5)]
+    found = lambda df: rows(df, "upstream_column_id", "downstream_column_id", "transform_type", "job_id", "confidence", "source")
+    assert found(got["column_edges"]) == found(lineage.infer_column_edges(*new))
+    assert rows(got["marks"]) == rows(lineage.edge_marks(*new))
+
+
+def test_a_statement_of_many_edges_is_parsed_once(spark):
+    from veritab.operators import lineage
+    edges = spark.range(50).selectExpr("id as upstream_id", "id + 1 as downstream_id", "case when id % 2 = 0 then 'select t.a as x from t' else 'select 1' end as sql")
+    assert rows(lineage.statement_refs(edges), "downstream_col", "upstream_table", "upstream_col") == [("x", "t", "a")]

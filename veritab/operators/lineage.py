@@ -22,15 +22,17 @@ def name_match_edges(edges: DataFrame, columns: DataFrame, min_confidence: float
     pairs = edges.filter(F.col("sql").isNull()).select(
         "upstream_id", "downstream_id", F.col("job_id").alias("edge_job"), "component", "pipeline_stage"
     )
-    # Edges meet the columns of a table as one array, so only equal names become rows.
-    listed = columns.groupBy("table_id").agg(F.collect_list(F.struct("name", "id", "data_type")).alias("cols"))
+    # Edges meet the columns of a table as one map, so only equal names become rows; maps are put together by hashing.
+    named = columns.where("name is not null").groupBy("table_id", "name").agg(F.collect_list(F.struct("id", "data_type")).alias("ids"))
+    listed = named.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "ids"))).alias("cols"))
     up = listed.select(F.col("table_id").alias("upstream_id"), F.col("cols").alias("up_cols"))
     down = listed.select(F.col("table_id").alias("downstream_id"), F.col("cols").alias("down_cols"))
-    named = lambda side: F.filter(side, lambda c: c["name"] == F.col("column_name"))
+    both = F.map_zip_with("up_cols", "down_cols", lambda name, u, v: F.struct(u.alias("u"), v.alias("v")))
+    common = F.map_filter(both, lambda name, c: c["u"].isNotNull() & c["v"].isNotNull())
     joined = (
         pairs.join(up, "upstream_id").join(down, "downstream_id")
-        .withColumn("column_name", F.explode(F.array_intersect("up_cols.name", "down_cols.name")))
-        .withColumn("u", F.explode(named("up_cols"))).withColumn("v", F.explode(named("down_cols")))
+        .select(*pairs.columns, F.explode(common).alias("column_name", "c"))
+        .withColumn("u", F.explode("c.u")).withColumn("v", F.explode("c.v"))
         .withColumns({"upstream_column_id": F.col("u.id"), "up_type": F.col("u.data_type"), "downstream_column_id": F.col("v.id")})
     )
     out = joined.select(
@@ -70,21 +72,27 @@ def first_by_short_name(assets: DataFrame) -> DataFrame:
     )
 
 
+def statement_refs(edges: DataFrame) -> DataFrame:
+    """Column references of the statements of table edges, each statement parsed once: ``statement`` (SHA-256 of its text),
+    downstream_col, transform_expression, transform_type, upstream_table, upstream_col."""
+    texts = edges.filter(F.col("sql").isNotNull()).groupBy(F.sha2("sql", 256).alias("statement")).agg(F.first("sql").alias("sql"))
+    return sqltext.select_column_refs(texts).drop("sql").distinct()
+
+
 def sql_column_edges(edges: DataFrame, assets: DataFrame, columns: DataFrame) -> DataFrame:
     """Column edges of table edges that carry SQL; confidence 0.95.
 
     A source column counts when its table is the edge's upstream table and both
     columns exist in the catalog.
     """
-    ids = assets.select("id", "fqn")
+    short = assets.select(F.col("id").alias("upstream_id"), F.element_at(F.split("fqn", r"\."), -1).alias("upstream_table"))
     withsql = (
         edges.filter(F.col("sql").isNotNull())
-        .select("upstream_id", "downstream_id", F.col("job_id").alias("edge_job"), "component", "pipeline_stage", "sql")
-        .join(ids.select(F.col("id").alias("upstream_id"), F.col("fqn").alias("upstream_fqn")), "upstream_id")
-        .join(ids.select(F.col("id").alias("downstream_id"), F.col("fqn").alias("downstream_fqn")), "downstream_id")
+        .select("upstream_id", "downstream_id", F.col("job_id").alias("edge_job"), "component", "pipeline_stage", F.sha2("sql", 256).alias("statement"))
+        .join(short, "upstream_id")
+        .join(assets.select(F.col("id").alias("downstream_id")), "downstream_id")
     )
-    refs = sqltext.select_column_refs(withsql)
-    mine = refs.filter(F.col("upstream_table") == F.element_at(F.split("upstream_fqn", r"\."), -1)).drop("sql")
+    mine = withsql.join(statement_refs(edges), ["statement", "upstream_table"]).drop("statement")
     up = columns.select(
         F.col("table_id").alias("upstream_id"), F.col("name").alias("upstream_col"),
         F.col("id").alias("upstream_column_id"), F.col("data_type").alias("up_type"),
@@ -135,6 +143,41 @@ def infer_column_edges(edges: DataFrame, assets: DataFrame, columns: DataFrame,
     return from_sql.unionByName(matched)
 
 
+_PAIR = ["upstream_id", "downstream_id"]
+
+
+def edge_marks(edges: DataFrame, assets: DataFrame, columns: DataFrame) -> DataFrame:
+    """One row per table pair: <upstream_id, downstream_id, mark>.
+
+    The mark is a hash of all that its column edges depend on: the pair's edges with their statements, and name and
+    columns of both tables. Hashes are added up, so that order means nothing and every step is a partial aggregate.
+    """
+    def total(*values):
+        return F.sum(F.xxhash64(*values).cast("decimal(38,0)"))
+
+    own = columns.groupBy(F.col("table_id").alias("id")).agg(total("id", "name", "data_type").alias("cols"))
+    tables = assets.join(own, "id", "left").select("id", F.xxhash64("fqn", "cols").alias("of_table"))
+    pairs = edges.groupBy(*_PAIR).agg(total("job_id", "component", "pipeline_stage", F.sha2("sql", 256)).alias("of_edges"))
+    for side in _PAIR:
+        pairs = pairs.join(tables.select(F.col("id").alias(side), F.col("of_table").alias(f"of_{side}")), side, "left")
+    return pairs.select(*_PAIR, F.xxhash64("of_edges", *[f"of_{side}" for side in _PAIR]).alias("mark"))
+
+
+def refresh_column_edges(edges: DataFrame, assets: DataFrame, columns: DataFrame, marks: DataFrame, inferred: DataFrame) -> dict[str, DataFrame]:
+    """Column edges after a change, from those and the marks of the run before.
+
+    Only table pairs that are new or whose mark differs are inferred again, and only their statements are parsed. What was inferred for the
+    others stays; what belonged to changed or removed pairs goes. ``inferred`` has the columns of ``infer_column_edges``.
+    Returns the marks and column edges as they are now, and the pairs that were worked on.
+    """
+    now = materialize(edge_marks(edges, assets, columns), "edge-marks")
+    same = now.join(marks, [*_PAIR, "mark"], "left_semi").select(*_PAIR)
+    changed = materialize(now.join(marks, [*_PAIR, "mark"], "left_anti").select(*_PAIR), "changed-pairs")
+    fresh = infer_column_edges(edges.join(changed, _PAIR, "left_semi"), assets, columns)
+    kept = inferred.join(same, _PAIR, "left_semi")
+    return {"marks": now, "column_edges": kept.unionByName(fresh.select(*inferred.columns)), "changed": changed}
+
+
 def name_groups(assets: DataFrame) -> DataFrame:
     """Tables grouped by (token set, layer): member count and first id.
 

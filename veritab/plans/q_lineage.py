@@ -176,6 +176,22 @@ def g8_infer_column_edges(spark, root):
     return out.select("upstream_column_id", "downstream_column_id", "transform_type", "job_id", "confidence", "source")
 
 
+def _refreshed(spark, root):
+    """A run over a catalog in which tables of one name lack a column and some edges their statement, then the changes."""
+    edges, assets, columns = d.sql_edges(spark, root), d.assets(spark, root), d.columns(spark, root)
+    before = columns.where("table_id % 17 <> 3 or hash(id) % 2 = 0")
+    old = edges.where("upstream_id % 19 <> 5")
+    marks = lineage.edge_marks(old, assets, before)
+    inferred = materialize(lineage.infer_column_edges(old, assets, before), "inferred-before")
+    return lineage.refresh_column_edges(edges, assets, columns, marks, inferred)
+
+
+@_q("g8_refreshed_edges", oracle(_INFERRED, "edges", "cols"))
+def g8_refreshed_edges(spark, root):
+    return _refreshed(spark, root)["column_edges"].select(
+        "upstream_column_id", "downstream_column_id", "transform_type", "job_id", "confidence", "source")
+
+
 @_q("g7_bulk_inference", oracle(f"SELECT source, count(*) AS column_edges_created FROM ({_INFERRED}) GROUP BY 1", "edges", "cols"))
 def g7_bulk_inference(spark, root):
     return assembly.bulk_column_inference(
