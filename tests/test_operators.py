@@ -584,3 +584,35 @@ def test_a_statement_of_many_edges_is_parsed_once(spark):
     from veritab.operators import lineage
     edges = spark.range(50).selectExpr("id as upstream_id", "id + 1 as downstream_id", "case when id % 2 = 0 then 'select t.a as x from t' else 'select 1' end as sql")
     assert rows(lineage.statement_refs(edges), "downstream_col", "upstream_table", "upstream_col") == [("x", "t", "a")]
+
+
+def test_components_of_a_chain_take_few_rounds(spark):
+    rnd = random.Random(9)
+    names = list(range(1000))
+    rnd.shuffle(names)
+    pairs = list(zip(names, names[1:])) + [(2000 + i, 2001 + i % 3) for i in range(5)] + [(5000, 6000 + i) for i in range(400)] + [(7000, 7000)]
+    pairs += [(rnd.randrange(8000, 8100), rnd.randrange(8000, 8100)) for _ in range(70)]
+    labels, rounds = graph.component_labels(edge_table(spark, pairs))
+    least = {}
+    for a, b in pairs:
+        if a != b:
+            x, y = least.setdefault(a, {a}), least.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                least.update((n, x) for n in y)
+    assert rows(labels, "id", "label") == sorted((n, min(group)) for n, group in least.items())
+    assert rounds <= 16
+
+
+def test_hops_read_the_folders_of_their_frontier(spark):
+    pairs = [(i, i + 1) for i in range(300)] + [(10_000, 20_000 + i) for i in range(500)]
+    index = graph.Adjacency.of(graph._both_ways(edge_table(spark, pairs)))
+    frontier, seen = graph.materialize_observed(spark.createDataFrame([(7,), (8,)], "id long"), "front", **graph.Adjacency.seen("id"))
+    near = index.near(frontier, seen)
+    assert rows(near) == [(6,), (7,), (8,), (9,)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "GreaterThanOrEqual(a,7)" in plan and "LessThanOrEqual(a,8)" in plan
+    # Nothing reached is no folder at all.
+    empty, none = graph.materialize_observed(frontier.limit(0), "front", **graph.Adjacency.seen("id"))
+    assert none["n"] == 0 and index.near(empty, none).count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.adjacent import one_row
-from veritab.session import materialize, materialize_counted
+from veritab.session import materialize, materialize_counted, materialize_observed, scratch_path
 
 UP, DOWN, CENTER = "up", "down", "center"
 
@@ -164,32 +164,99 @@ def first_edges(walk: Walk, n: int = 50) -> DataFrame:
     return up.unionByName(down)
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Distinct links <a, b> of edges taken both ways; a table's link to itself leads nowhere."""
+    pair = edges.select(F.col("upstream_id").alias("a"), F.col("downstream_id").alias("b")).where("a <> b")
+    return pair.union(pair.select("b", "a")).distinct()
+
+
+#: Folders of an index; a level tells its folders as the bits of a number.
+BUCKETS = 60
+
+
+@dataclass
+class Adjacency:
+    """Links <a, b> by the hash of ``a``, sorted by it: a hop reads the folders of its frontier, and in these the
+    row groups that its ids can be in. The links of one table may fill several files."""
+
+    links: DataFrame
+
+    @staticmethod
+    def bucket(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+    @staticmethod
+    def of(links: DataFrame) -> "Adjacency":
+        path = scratch_path(links.sparkSession, "adjacency")
+        rows = links.select("a", "b", Adjacency.bucket("a").alias("bucket"))
+        # A rebalance keeps the links of one folder together and splits folders that are far larger than others.
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "a").write.partitionBy("bucket").parquet(path)
+        kind = links.schema["a"].dataType.simpleString()
+        return Adjacency(links.sparkSession.read.schema(f"a {kind}, b {kind}, bucket int").parquet(path))
+
+    @staticmethod
+    def seen(column: str) -> dict:
+        """What ``near`` has to know of a frontier, as aggregates of its ids."""
+        folder = F.call_function("shiftleft", F.lit(1).cast("long"), Adjacency.bucket(column))
+        return {"n": F.count(F.lit(1)), "folders": F.bit_or(folder), "least": F.min(column), "most": F.max(column)}
+
+    def near(self, frontier: DataFrame, seen: dict) -> DataFrame:
+        """Distinct neighbours <id> of a frontier <id>."""
+        folders = [i for i in range(BUCKETS) if (seen["folders"] or 0) >> i & 1]
+        links = self.links.where(F.col("bucket").isin(folders) & F.col("a").between(seen["least"], seen["most"]))
+        return links.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+
+
 def hop_distance(edges: DataFrame, center) -> DataFrame:
     """Undirected hops from a table to every table that can be reached: <id, distance>.
 
     A neighbour of a table n hops away is n - 1, n or n + 1 hops away, so only the last two levels
-    tell what is new, and a hop costs no more for the hops before it.
+    tell what is new, and a hop costs no more for the hops before it. It reads the links of its frontier only.
     """
-    both = edges.select(F.col("upstream_id").alias("a"), F.col("downstream_id").alias("b")).union(
-        edges.select("downstream_id", "upstream_id")
-    )
-    links = materialize(both.distinct(), "links")
+    index = Adjacency.of(_both_ways(edges))
     start = _start(edges, center).select("id", F.col("level").alias("distance"))
-    levels = [start]
+    first, seen = materialize_observed(start, "hops-0", **Adjacency.seen("id"))
+    levels = [first]
     while True:
-        frontier = levels[-1].select(F.col("id").alias("a"))
         fresh = (
-            links.join(frontier, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+            index.near(levels[-1], seen)
             .join(_union(levels[-2:]).select("id"), "id", "left_anti")
             .select("id", F.lit(len(levels)).alias("distance"))
         )
-        new, count = materialize_counted(fresh, f"hops-{len(levels)}")
-        if not count:
+        new, seen = materialize_observed(fresh, f"hops-{len(levels)}", **Adjacency.seen("id"))
+        if not seen["n"]:
             return _union(levels)
         levels.append(new)
 
 
+def component_labels(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Least id of every table's component when edges go both ways: <id, label>; and the number of rounds.
+
+    Each round a table, and what it points to, point to the least that its neighbours' targets point to, and every pointer is
+    followed one step: distances halve, so that a chain of n tables takes about log n rounds. All steps are
+    minima of partial aggregates; a hub's links are joined by rows.
+    """
+    links = materialize(_both_ways(edges), "links")
+    labels = materialize(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels-0")
+    rounds = 0
+    while True:
+        rounds += 1
+        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        jumped = materialize(labels.join(ahead, "label").select("id", "label", "next"), f"jumps-{rounds}")
+        found = (links.join(jumped.select(F.col("id").alias("b"), "next"), "b").groupBy(F.col("a").alias("id")).agg(F.min("next").alias("found")))
+        both = jumped.join(found, "id").select("id", "label", F.least("next", "found").alias("to"))
+        offers = both.select("id", "to").union(both.select(F.col("label").alias("id"), "to"))
+        told = offers.groupBy("id").agg(F.min("to").alias("to")).join(labels, "id").select("id", F.least("to", "label").alias("label"), (F.col("to") < F.col("label")).alias("moved"))
+        told, seen = materialize_observed(told, f"labels-{rounds}", moved=F.count_if("moved"))
+        labels = told.select("id", "label")
+        if not seen["moved"]:
+            return labels, rounds
+
+
 def reaches(edges: DataFrame, assets: DataFrame, center) -> DataFrame:
     """Per table: can it reach the center when edges go both ways? The center itself does not count."""
-    near = hop_distance(edges, center).filter(F.col("distance") > 0)
-    return assets.select("id").join(near, "id", "left").select("id", F.col("distance").isNotNull().alias("reaches"))
+    labels, _ = component_labels(edges)
+    kind = edges.schema["upstream_id"].dataType
+    own = labels.where(F.col("id") == F.lit(center).cast(kind)).select("label")
+    near = labels.join(own, "label", "left_semi").where(F.col("id") != F.lit(center).cast(kind)).select("id", F.lit(True).alias("hit"))
+    return assets.select("id").join(near, "id", "left").select("id", F.col("hit").isNotNull().alias("reaches"))

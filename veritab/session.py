@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -65,7 +65,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``materialize``, and the number of rows, counted while they are written."""
+    out, seen = materialize_observed(df, name, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows, worked out while they are written."""
     path = scratch_path(df.sparkSession, name)
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), written.get["n"]
+    df.observe(written, *[m.alias(k) for k, m in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), written.get
