@@ -616,3 +616,16 @@ def test_hops_read_the_folders_of_their_frontier(spark):
     # Nothing reached is no folder at all.
     empty, none = graph.materialize_observed(frontier.limit(0), "front", **graph.Adjacency.seen("id"))
     assert none["n"] == 0 and index.near(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("letters", [4_000_000, 40])
+def test_contained_phrases(spark, letters):
+    from veritab.operators import lineage
+    rnd = random.Random(4)
+    phrases = ["a", "ab", "abc", "bca", "é ü", "net revenue", "revenue", "x\ny", None, "", "zz"] + ["".join(rnd.choice("abcé ") for _ in range(rnd.randint(1, 5))) for _ in range(40)]
+    texts = [None, "", "net revenue of é ü", "x\ny"] + ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(0, 60))) for _ in range(60)] + ["ab" * 20_000]
+    out = lineage.contained_phrases(spark.createDataFrame(list(enumerate(texts)), "id long, text string"),
+                                    spark.createDataFrame([(p,) for p in phrases], "phrase string"), letters)
+    assert rows(out) == sorted({(i, p) for i, t in enumerate(texts) for p in phrases if p and t and p in t})
+    none = spark.createDataFrame([(None,)], "phrase string")
+    assert lineage.contained_phrases(spark.createDataFrame([(1, "x")], "id long, text string"), none).count() == 0

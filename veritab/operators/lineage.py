@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,17 +311,58 @@ def similar_tables(assets: DataFrame, focus: DataFrame, min_similarity: float =
     ).distinct()
 
 
-# Letters of a phrase that are its key: the most of these that it has.
-_KEY_LETTERS = (6, 3, 2, 1)
+#: Letters of the phrases that one automaton is built from; more phrases take more automata and passes.
+PHRASE_LETTERS = 4_000_000
+
 
+def contained_phrases(texts: DataFrame, phrases: DataFrame, letters: int = PHRASE_LETTERS) -> DataFrame:
+    """Which of the phrases each text contains: the first column of ``texts`` and ``phrase``, once each.
 
-def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float = 0.55, best: int = 3) -> DataFrame:
+    An automaton with failure links over all phrases runs over each text in one pass, where the text lies; no text
+    is shuffled. It is built once per worker, from phrases whose letters are counted first. Beyond ``letters`` the phrases are dealt by
+    their order to several automata, each of which passes over the texts. Null and empty phrases are in no text.
+    """
+    spark, (key, text) = texts.sparkSession, texts.columns
+    known = materialize(phrases.select("phrase").where("phrase <> ''").distinct(), "phrases")
+    groups = max(1, -(-(known.agg(F.sum(F.length("phrase"))).first()[0] or 0) // letters))
+    # Dealt by hash: groups of about the same number of letters.
+    dealt = known.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, phrase string"
+    out = None
+    for group in range(groups):
+        words = sorted(r.phrase for r in dealt.where(F.col("group") == group).select("phrase").collect())
+        if not words:
+            continue
+        part = texts.where(F.col(text).isNotNull()).mapInArrow(_finder(spark.sparkContext.broadcast(words)), schema)
+        out = part if out is None else out.unionByName(part)
+    return texts.select(key).limit(0).withColumn("phrase", F.lit("")) if out is None else out
+
+
+def _finder(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in sent.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part, at, found = batch.slice(start, 512), [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    hits = {word for _, word in automaton.iter(text)}
+                    at += [i] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())],
+                                                 [part.schema.field(0).name, "phrase"])
+
+    return run
+
+
+def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float = 0.55, best: int = 3, letters: int = PHRASE_LETTERS) -> DataFrame:
     """Terms contained in a table's name and description, best three per table.
 
-    Scores: term name 0.7, synonym 0.65, whole token 0.6. Containment is an
-    equi-join on the first letters of a phrase: a phrase can only be contained in a text
-    that contains them, and the join is followed by the exact test. Only (table, letters) pairs
-    that some phrase starts with go on; a text meets its candidates once, as one row.
+    Scores: term name 0.7, synonym 0.65, whole token 0.6.
     """
     text = F.concat_ws(" ", F.lower("fqn"), F.lower(F.coalesce("description", F.lit(""))))
     base = assets.select(F.col("id").alias("table_id"), text.alias("text"))
@@ -331,18 +375,10 @@ def glossary_matches(assets: DataFrame, terms: DataFrame, min_confidence: float
         )
         .filter(F.col("phrase") != "")
     )
-    letters = F.greatest(*[F.when(F.length("phrase") >= n, n).otherwise(0) for n in _KEY_LETTERS])
-    keyed = phrases.withColumn("key", F.substring("phrase", F.lit(1), letters))
-
-    # All overlapping runs of n letters, one pattern each.
-    runs = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in _KEY_LETTERS]
-    found = base.select("table_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
-    candidates = found.join(keyed, "key").groupBy("table_id").agg(
-        F.collect_list(F.struct(F.col("id").alias("term_id"), "term", "phrase", "score")).alias("candidates"))
     # A whole-token hit (0.6) is also a contained hit, so it never decides the score.
-    hits = base.join(candidates, "table_id").select(
-        "table_id", F.explode(F.filter("candidates", lambda c: F.contains(F.col("text"), c["phrase"]))).alias("c"))
-    scored = hits.groupBy("table_id", "c.term_id", "c.term").agg(F.max("c.score").alias("confidence"))
+    hits = contained_phrases(base, phrases, letters).join(
+        phrases.select(F.col("id").alias("term_id"), "term", "phrase", "score"), "phrase")
+    scored = hits.groupBy("table_id", "term_id", "term").agg(F.max("score").alias("confidence"))
     w = Window.partitionBy("table_id").orderBy(F.desc("confidence"), "term", "term_id")
     return (
         scored.withColumn("rank", F.row_number().over(w))
