@@ -311,6 +311,28 @@ def test_packing_odd_rows(spark):
     assert len(got) == len({r.bin for r in got}) == 20
 
 
+@pytest.mark.parametrize("capacity", [7, 8, 64])
+def test_pieces_are_texts(spark, capacity):
+    import random
+    rng = random.Random(capacity)
+    texts = ["é" * 600, "a" * 129, "日本語" * 40, "🙂" * 33, "", None, "a🙂b" * 50] + ["".join(rng.choice("aé日🙂") for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    got = {}
+    for r in packing.pack(docs_of(spark, texts), capacity=capacity).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.size))
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        parts = [data[a:a + n] for _, a, n in sorted(got[i])]
+        assert b"".join(parts) == data and all(len(x) <= capacity for x in parts)
+        assert "".join(x.decode() for x in parts) == (t or "") and (len(parts) == 1 or all(parts))
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("k1", "some text", "s"), (None, "other", "s")], "doc_id string, text string, source string")
+    assert sorted(r.doc_id or "" for r in packing.pack(docs).collect()) == ["", "k1"]
+    short = docs_of(spark, ["x", "y"]).withColumn("doc_id", F.col("doc_id").cast("short"))
+    assert dict(packing.pack(short).dtypes)["doc_id"] == "smallint" and sorted(r.doc_id for r in packing.pack(short).collect()) == [0, 1]
+
+
 def test_tightest_bin():
     import random
     rng = random.Random(2)

@@ -73,25 +73,52 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
 
 
-def pieces(docs: DataFrame, size: Column, cluster: Column, source: Column, capacity: int = CAPACITY) -> DataFrame:
+def character_starts(text: Column, capacity: int) -> Column:
+    """Byte offsets at which a text is cut into pieces of at most ``capacity`` bytes, the first 0; none lies within a character.
+
+    A text with characters of several bytes is cut a little earlier, so that a cut can move back to the start of
+    its character, three bytes at most.
+    """
+    if capacity < 7:
+        raise ValueError("a piece must be longer than a cut moves back, and hold a character of four bytes: 7 bytes at least")
+    data, size = text.cast("binary"), F.octet_length(text).cast("long")
+    width = F.when(size == F.length(text), F.lit(capacity)).otherwise(F.lit(capacity - 3)).cast("long")
+
+    def inside(at: Column) -> Column:
+        """Is the byte one that goes on a character?"""
+        byte = F.hex(F.substring(data, (at + 1).cast("int"), F.lit(1)))
+        return (byte >= "80") & (byte < "C0")
+
+    def start(i: Column) -> Column:
+        at = i * width
+        return F.when(at == 0, at).when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+
+    last = F.greatest(F.lit(0).cast("long"), F.floor((size - 1) / width))
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), start)
+
+
+def pieces(docs: DataFrame, size: Column, cluster: Column, source: Column, capacity: int = CAPACITY, starts: Column | None = None) -> DataFrame:
     """Documents cut into pieces of at most ``capacity``: doc_id, row, piece, start, size, source, cluster.
 
-    A document of size 0 is one piece of size 0. ``row`` tells rows apart, repeated ones too; write the
-    result down before using it twice.
+    They are cut at ``starts``, by default at multiples of the capacity. A document of size 0 is one piece of size 0. ``row`` tells rows apart,
+    repeated ones too; write the result down before using it twice.
     """
+    last = F.greatest(F.lit(0).cast("long"), F.floor((size.cast("long") - 1) / capacity))
+    if starts is None:
+        starts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * capacity)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), size.cast("long").alias("whole"),
-                       source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
-    last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / capacity))
-    return rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
-        "doc_id", "row", "piece", (F.col("piece") * capacity).alias("start"),
-        F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("piece") * capacity).alias("size"), "source", "cluster")
+                       source.cast("string").alias("source"), cluster.cast("long").alias("cluster"), starts.alias("starts"))
+    cut = rows.select("doc_id", "row", "whole", "source", "cluster", F.explode(F.arrays_zip(
+        F.sequence(F.lit(0).cast("long"), F.size("starts").cast("long") - 1).alias("piece"), F.col("starts").alias("start"),
+        F.slice(F.concat("starts", F.array("whole")), F.lit(2), F.size("starts")).alias("stop"))).alias("p"))
+    return cut.select("doc_id", "row", "p.piece", "p.start", (F.col("p.stop") - F.col("p.start")).alias("size"), "source", "cluster")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, size: Column | None = None,
          cluster: Column | None = None, source: Column | None = None) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, size, bin, offset, bin_size.
 
-    ``size`` counts UTF-8 bytes unless given; ``cluster`` is the hash of the normalised text and
+    ``size`` counts UTF-8 bytes unless given, and then texts are cut between characters; ``cluster`` is the hash of the normalised text and
     ``source`` the column of that name. Pieces are dealt at random over shards of about
     ``shard_rows`` and packed there, largest first, so hot sources and large groups of copies
     spread evenly and no task holds a whole group. Within a bin no two pieces are of one source or cluster;
@@ -102,7 +129,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = pieces(docs, F.octet_length(text) if size is None else size,
                  F.when(F.length(F.trim(text)) > 0, cluster_of(text)) if cluster is None else cluster,
-                 F.col("source") if source is None else source, capacity)
+                 F.col("source") if source is None else source, capacity, character_starts(text, capacity) if size is None else None)
     cut, count = materialize_counted(cut, "pieces")
     shards = max(1, -(-count // shard_rows))
 
@@ -117,8 +144,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit(7)), F.lit(shards)))
-    if kind in ("bigint", "int"):  # pandas has no null among integers
-        dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    # As text on the way: pandas has no null among integers.
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     out = dealt.groupBy("shard").applyInPandas(
         run, "doc_id string, piece long, start long, size long, bin long, offset long, bin_size long")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
