@@ -402,5 +402,5 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert "veritab.llm" in sys.modules

@@ -337,3 +337,22 @@ def test_collisions_estimate_generalised_jaccard(spark):
 
 def test_queries_are_registered():
     assert {"op11_vector_code_compression", "op12_conversation_repair", "op13_document_fingerprints"} <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_gives_the_same_rows(spark, name):
+    import compare
+    _, n, verdict = compare.compare(spark, compare.duck(SMALL), SMALL, name, queries.QUERIES[name], queries.ORACLES[name])
+    assert n > 0 and verdict == "ok", verdict
+
+
+def test_digests_of_several_steps_agree(spark):
+    """The texts of the repaired turns give the hash that the query tells."""
+    data = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    rows = conv.damaged(data)
+    turns = conv.repaired(rows, conv.audits(conv.faults(rows))).collect()
+    texts = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.place)):
+        texts.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
+    for r in conv.repair(data).collect():
+        assert r.repaired_sha256 == hashlib.sha256("\n".join(texts.get(r.conv_id, [])).encode()).hexdigest()
