@@ -280,7 +280,7 @@ def prints_of(spark, rows):
 def test_fingerprints(spark, bucket_rows):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(150).collect()]
     rows = docs + [(7, "same id"), (7, "another text of the same id"), (None, "no id"), (None, None), (3, docs[3][1])]
-    rows += [(9000, f"crowd {i}") for i in range(60)]
+    rows += [(9000, f"{i} crowd") for i in range(60)]
     rows += [(10_000, ""), (10_001, None), (10_002, "\t \n"), (10_003, "é" * 9), (10_004, "word " * 30_000), (1 << 62, "last"), (-5, "first one")]
     got = prints.fingerprints(prints_of(spark, rows), bucket_rows=bucket_rows)
     assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
