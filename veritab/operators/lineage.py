@@ -79,6 +79,8 @@ def statement_refs(edges: DataFrame) -> DataFrame:
     """Column references of the statements of table edges, each statement parsed once: ``statement`` (SHA-256 of its text),
     downstream_col, transform_expression, transform_type, upstream_table, upstream_col."""
     texts = edges.filter(F.col("sql").isNotNull()).groupBy(F.sha2("sql", 256).alias("statement")).agg(F.first("sql").alias("sql"))
+    # Few bytes, but costly to parse: kept from being merged into few tasks.
+    texts = texts.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "statement")
     return sqltext.select_column_refs(texts).drop("sql").distinct()
 
 
