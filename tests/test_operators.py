@@ -629,3 +629,16 @@ def test_contained_phrases(spark, letters):
     assert rows(out) == sorted({(i, p) for i, t in enumerate(texts) for p in phrases if p and t and p in t})
     none = spark.createDataFrame([(None,)], "phrase string")
     assert lineage.contained_phrases(spark.createDataFrame([(1, "x")], "id long, text string"), none).count() == 0
+
+
+def test_no_side_of_dataset_names_is_broadcast(spark):
+    from veritab.sources import exports
+
+    datasets = spark.createDataFrame([(1, "db", None, "t"), (1, "db", "s", "t"), (None, "db", "s", "u")], "id long, database string, schema_name string, table_name string")
+    assets = spark.createDataFrame([(7, "clickhouse-prod.db.s.t"), (8, "ch-shop_dw.shop.default.t"), (None, None)], "id long, fqn string")
+    out = exports.resolve_datasets(datasets, assets)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and rows(out, "dataset_id", "fqn", "table_id") == [(1, "ch-shop_dw.shop.default.t", 8)]
+    charts = spark.createDataFrame([(5, 1), (6, 9), (7, None)], "id long, dataset_id long")
+    edges = exports.bi_edges(charts, datasets, out, "bi")
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString() and edges.count() == 2

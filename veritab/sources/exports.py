@@ -82,8 +82,9 @@ def resolve_datasets(datasets: DataFrame, assets: DataFrame) -> DataFrame:
             ),
         )
     )
+    # Names are built here from short columns, so that estimates from files are far too low to broadcast a side by.
     exploded = datasets.select(F.col("id").alias("dataset_id"), F.posexplode(candidates).alias("rank", "fqn"))
-    hits = exploded.join(assets.select("fqn", F.col("id").alias("table_id")), "fqn")
+    hits = exploded.join(assets.select("fqn", F.col("id").alias("table_id")).hint("merge"), "fqn")
     return (
         hits.groupBy("dataset_id")
         .agg(F.min(F.struct("rank", "fqn", "table_id")).alias("best"))
@@ -93,7 +94,7 @@ def resolve_datasets(datasets: DataFrame, assets: DataFrame) -> DataFrame:
 
 def bi_edges(charts: DataFrame, datasets: DataFrame, resolved: DataFrame, service: str) -> DataFrame:
     """Chart -> dataset and dataset -> table edges, confidence 0.95."""
-    known = datasets.select(F.col("id").alias("dataset_id"))
+    known = datasets.select(F.col("id").alias("dataset_id")).hint("merge")
     chart_edges = charts.join(known, "dataset_id").select(
         F.concat(F.lit(f"{service}.chart."), F.col("id").cast("string")).alias("upstream_fqn"),
         F.concat(F.lit(f"{service}.ds."), F.col("dataset_id").cast("string")).alias("downstream_fqn"),
