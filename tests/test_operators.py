@@ -642,3 +642,15 @@ def test_no_side_of_dataset_names_is_broadcast(spark):
     charts = spark.createDataFrame([(5, 1), (6, 9), (7, None)], "id long, dataset_id long")
     edges = exports.bi_edges(charts, datasets, out, "bi")
     assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString() and edges.count() == 2
+
+
+def test_texts_of_few_bytes_are_spread(spark):
+    from veritab.session import spread
+    from veritab.sources import models
+
+    ids = spread(spark.range(800).coalesce(1)).selectExpr("id", "spark_partition_id() as p")
+    assert ids.select("p").distinct().count() == 8 and ids.select("id").distinct().count() == 800
+    files = spark.createDataFrame([("models/a/m.sql", "select 1 from {{ ref('x') }}"), ("models/b.sql", "select 1")], "path string, content string")
+    out = models.analyse_models(files, "demo")
+    # Texts are read once: no filter over them stands below.
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString() and [r.path for r in out.collect()] == ["models/a/m.sql"]

@@ -8,6 +8,7 @@ from veritab.functions import describe, documents, names, pii, sqltext
 from veritab.plans import derived as d
 from veritab.plans.derived import LAYERS, load, oracle, pick
 from veritab.plans.registry import QUERIES
+from veritab.session import spread
 from veritab.sources import sinks
 
 
@@ -285,7 +286,7 @@ def _hard(which, engine="spark"):
     "assets"))
 def x18_hard_texts(spark, root):
     assets = d.assets(spark, root)
-    texts = assets.selectExpr("id as query_id", "name", "fqn").select("query_id", F.expr(_hard(0)).alias("sql"))
+    texts = spread(assets.selectExpr("id as query_id", "name", "fqn")).select("query_id", F.expr(_hard(0)).alias("sql"))
     missing = sqltext.unregistered_tables(texts, assets).select("query_id", F.array_join("missing", ",").alias("missing"))
     allowed = sqltext.safety_verdict(F.col("sql"))["allowed"]
     limited = F.when(allowed, sqltext.clamp_limit(F.col("sql"))["sql"])
@@ -354,7 +355,7 @@ def _listed(texts, which, engine="spark"):
 
 
 def _of_assets(spark, root, texts):
-    return d.assets(spark, root).select(F.col("id").alias("query_id"), F.expr(_listed(texts, 0)).alias("sql"))
+    return spread(d.assets(spark, root).select("id", "name")).select(F.col("id").alias("query_id"), F.expr(_listed(texts, 0)).alias("sql"))
 
 
 @_q("x18_engine_readings", oracle(
