@@ -654,3 +654,14 @@ def test_texts_of_few_bytes_are_spread(spark):
     out = models.analyse_models(files, "demo")
     # Texts are read once: no filter over them stands below.
     assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString() and [r.path for r in out.collect()] == ["models/a/m.sql"]
+
+
+def test_equal_names_travel_as_hashes(spark):
+    pairs = spark.createDataFrame([(1, 2, "j"), (1, 2, "k"), (2, 1, None), (1, 3, "j"), (None, 1, "j")], "upstream_id long, downstream_id long, job_id string")
+    columns = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 2, "x"), ("d", 2, None), ("e", 1, None), ("f", 2, "y"), ("g", None, "x")],
+                                    "id string, table_id long, name string")
+    out = lineage.equal_names(pairs, columns, {"id": "u"}, {"id": "v"})
+    assert sorted((r.upstream_id, r.downstream_id, r.job_id or "", r.column_name, r.u, r.v) for r in out.collect()) == [
+        (1, 2, "j", "x", "a", "c"), (1, 2, "j", "x", "b", "c"), (1, 2, "k", "x", "a", "c"), (1, 2, "k", "x", "b", "c"),
+        (2, 1, "", "x", "c", "a"), (2, 1, "", "x", "c", "b")]
+    assert "map_zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
