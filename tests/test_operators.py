@@ -665,3 +665,17 @@ def test_equal_names_travel_as_hashes(spark):
         (1, 2, "j", "x", "a", "c"), (1, 2, "j", "x", "b", "c"), (1, 2, "k", "x", "a", "c"), (1, 2, "k", "x", "b", "c"),
         (2, 1, "", "x", "c", "a"), (2, 1, "", "x", "c", "b")]
     assert "map_zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_glossary_shuffles_only_the_best(spark):
+    """Texts with many terms, a table in two texts, equal scores, and phrases dealt to several automata."""
+    names = [f"w{i:02d}" for i in range(40)]
+    terms = spark.createDataFrame([(n, n, ["syn" + n]) for n in names] + [("z", "zz", ["w00"])], "id string, name string, synonyms array<string>")
+    assets = spark.createDataFrame([(1, " ".join(names[5:]), None), (1, "synw03 w39", ""), (2, "synw07 synw01", "w00"), (3, None, None)],
+                                   "id long, fqn string, description string")
+    want = [(1, "w03", 0.7), (1, "w05", 0.7), (1, "w06", 0.7), (2, "w00", 0.7), (2, "w01", 0.7), (2, "w07", 0.7)]
+    for letters in (10, 4_000_000):
+        assert rows(lineage.glossary_matches(assets, terms, letters=letters), "table_id", "term", "confidence") == want
+    base = assets.selectExpr("id as table_id", "lower(fqn) as text")
+    known = spark.createDataFrame([(n, n, n, 0.7) for n in names], "phrase string, id string, term string, score double")
+    assert lineage.contained_phrases(base, known, best=3).count() <= 3 * 4
