@@ -540,3 +540,17 @@ def test_texts_full_of_data_take_linear_time(field):
         return time.perf_counter() - start
 
     assert spent(4_000) < 25 * max(spent(400), 0.05)
+
+
+def test_threshold_over_all_labelled_rows(spark):
+    """The cut of counted scores is that of the rows themselves, and no number of labelled rows is too many."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (2, 40, 25_000):
+        good = rng.random(n) < 0.8
+        good[:2] = True, False
+        scores = np.round(np.where(good, rng.normal(0.4, 0.05, n), rng.normal(0.55, 0.08, n)), 4)
+        frame = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "anomaly double, good boolean")
+        assert quality.best_cut(frame) == quality.threshold(scores, good)
+    assert quality.best_cut(frame.where("good")) == float("inf")
+    assert not hasattr(quality, "LABELLED_ROWS")

@@ -16,16 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veritab.llm.common import ROWS, arrow_schema, bounded_sample
+from veritab.llm.common import ROWS, arrow_schema, per_row
 from veritab.llm.simhash_dedup import SPACE, words_of
+from veritab.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols", "exclaimed", "capitals", "bars", "echoed", "long_words", "word_length", "dup_lines", "repeat_words", "digits",
             "non_letters", "lines")
 
-#: Labelled rows the forest and its threshold are fitted on, at most.
-LABELLED_ROWS = 20_000
+#: Trees of the forest, and the rows that each is grown on: of few rows, anomalous ones are isolated best.
+TREES, TREE_ROWS = 128, 256
 
 
 def base_counts(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
@@ -103,7 +104,7 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = 128, rows: int = 256, seed: int = 11) -> Forest:
+def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> Forest:
     """A forest over random subsamples; height is limited to the logarithm of the subsample.
 
     Splits are drawn from the whole range 0..1 of a ratio, narrowed by the splits above, not from the
@@ -165,39 +166,75 @@ class Model:
     cut: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Forest and threshold from at most ``rows`` labelled rows, chosen by hash.
+def _measured(docs: DataFrame) -> DataFrame:
+    """Counts, ``base_failed`` and statistics of every row: <doc_id, five counts, base_failed, x>, written out once."""
+    out = f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, x array<double>"
+
+    def measure(doc_id, text):
+        words = words_of(text or "")
+        counts = base_counts(text or "", words)
+        return doc_id, *counts, failed(counts[0], counts[4]), statistics(text or "", words, counts)
+
+    return materialize(per_row(docs.withColumn("doc_id", F.col("doc_id").cast("long")), measure, out, "doc_id", "text"), "quality-statistics")
+
+
+def _with_scores(measured: DataFrame, forest: Forest, columns: str) -> DataFrame:
+    """``columns`` of measured rows, whose last input is x, and their scores as ``anomaly``."""
+    sent = measured.sparkSession.sparkContext.broadcast(forest)
+    target = arrow_schema(f"{columns}, anomaly double")
+    names = target.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(batch.num_columns - 1).to_pylist(), float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(sent.value.scores(x))], schema=target)
+
+    return measured.select(*names, "x").mapInArrow(run, f"{columns}, anomaly double")
+
+
+def best_cut(scored: DataFrame, clean_share: float = 0.995) -> float:
+    """``threshold`` of all rows <anomaly, good>: scores are counted by their millionths, so the driver gets a million counts at most.
+
+    Cuts lie between the scores of two such classes.
+    """
+    seen = scored.groupBy(F.floor(F.col("anomaly") * 1_000_000).alias("at")).agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), F.min("anomaly").alias("least"), F.max("anomaly").alias("most"),
+        F.max(F.when(F.col("good"), F.col("anomaly"))).alias("good_most")).orderBy("at").toPandas()
+    good, bad = seen["good"].to_numpy().cumsum(), seen["bad"].to_numpy().cumsum()
+    if not len(seen) or not good[-1] or not bad[-1]:
+        return math.inf
+    # The class that holds the quantile of the good rows, as the next higher row gives it.
+    holds = int(np.searchsorted(good, math.ceil(clean_share * (good[-1] - 1)) + 1))
+    cuts = np.append((seen["least"].to_numpy()[1:] + seen["most"].to_numpy()[:-1]) / 2, seen["most"].iloc[-1] + 1e-9)
+    likely = np.arange(len(cuts)) >= holds
+    gain = good / good[-1] + 1 - bad / bad[-1]
+    return float(cuts[likely][np.argmax(gain[likely])])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Forest and threshold from all labelled rows.
 
     The forest is grown on the rows labelled good, so that path lengths tell how far a document
     is from ordinary ones however many of the labelled rows are bad. Rows that fail the base rules
     take no part. Rows with a null label or id are left out.
     """
-    chosen = bounded_sample(
-        labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")),
-        "doc_id", rows)
-    # The sample is bounded by its parameter, whatever the size of the tables.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text or "")
-                counts = base_counts(text or "", words)
-                if not failed(counts[0], counts[4]):
-                    out.append((quality, statistics(text or "", words, counts)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q for q, _ in out], pa.int32()), pa.array([s for _, s in out], pa.list_(pa.float64()))],
-                ["quality", "x"])
-
-    found = sample.select("text", F.col("quality").cast("int")).mapInArrow(run, "quality int, x array<double>").collect()
-    x = np.array(sorted((r.quality, r.x) for r in found), dtype=object)
+    return _fit(_measured(docs), labels)
+
+
+def _fit(measured: DataFrame, labels: DataFrame) -> Model:
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        (F.max("quality") >= 1).alias("good"))
+    rows = materialize(measured.where("not base_failed").select("doc_id", "x").join(known, "doc_id").select("good", "x"), "quality-labelled")
+    few = rows.where("good")
+    if few.isEmpty():
+        few = rows
+    # A tree is grown on its own few rows, so all trees together use so many of the good rows at most; they are drawn from all of them.
+    drawn = few.orderBy(F.xxhash64("x"), "x").limit(TREES * TREE_ROWS).collect()
+    x = np.array(sorted(r.x for r in drawn), float).reshape(-1, len(FEATURES))
+    forest = grow(x, TREES, TREE_ROWS)
     if not len(x):
-        return Model(grow(np.zeros((0, len(FEATURES)))), math.inf)
-    good = np.array([q >= 1 for q in x[:, 0]])
-    values = np.array(x[:, 1].tolist(), float)
-    forest = grow(values[good] if good.any() else values)
-    return Model(forest, threshold(forest.scores(values), good))
+        return Model(forest, math.inf)
+    return Model(forest, best_cut(_with_scores(rows, forest, "good boolean")))
 
 
 def _scored(docs: DataFrame, model: Model, schema: str, columns: list[str], emit) -> DataFrame:
@@ -219,30 +256,24 @@ def _scored(docs: DataFrame, model: Model, schema: str, columns: list[str], emit
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def assess(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``anomaly`` (0..1) and ``kept`` for each row of ``docs``.
 
     A null or blank text has no words, fails the base rules and has the score of its zero statistics.
     Rows are judged one by one: repeated rows get equal results, an empty table gives none, and
     columns other than doc_id and text are not read. Without labelled rows of both kinds only the
-    base rules reject.
+    base rules reject. Texts are read once: fitting and scoring share their statistics.
     """
-    out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " \
-          "base_failed boolean, anomaly double, kept boolean"
-
-    def emit(part, counts, base, scores, kept):
-        columns = [part.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(5)),
-                   pa.array(base), pa.array(scores), pa.array(kept)]
-        return pa.RecordBatch.from_arrays(columns, schema=arrow_schema(out))
-
-    return _scored(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, labels, rows), out,
-                   ["doc_id", "text"], emit)
+    measured = _measured(docs)
+    model = _fit(measured, labels)
+    scored = _with_scores(measured, model.forest, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < model.cut))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with all their columns; no shuffle."""
     names = docs.columns
-    model = fit(docs, labels, rows)
+    model = fit(docs, labels)
     at = names.index("text")
     order = [*names[:at], *names[at + 1:], "text"]
 
