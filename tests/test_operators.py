@@ -679,3 +679,15 @@ def test_texts_of_few_bytes_are_spread(spark):
     out = models.analyse_models(files, "demo")
     # Texts are read once: no filter over them stands below.
     assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString() and [r.path for r in out.collect()] == ["models/a/m.sql"]
+
+
+def test_similar_tables_without_a_shuffle_of_edges(spark):
+    """Each edge once, whether both tables are in the focus or a table is listed twice; distinct only for tables of several names."""
+    focus = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    base = [(1, "a.b.c.stg_red_bolt"), (2, "a.b.c.fct_red_bolt"), (3, "a.b.c.dim_red_bolt"), (3, "a.b.c.dim_red_bolt"), (None, "a.b.c.dim_red_bolt"), (4, "a.b.c.x_nut_cap")]
+    once = lineage.similar_tables(spark.createDataFrame(base, "id long, fqn string"), focus)
+    want = [(1, 2, 0.9), (1, 3, 0.9), (2, 3, 0.9)]
+    assert rows(once, "upstream_id", "downstream_id", "confidence") == want
+    assert "Aggregate [upstream_id" not in once._jdf.queryExecution().optimizedPlan().toString()
+    twice = lineage.similar_tables(spark.createDataFrame(base + [(3, "a.b.c.dwd_red_bolt")], "id long, fqn string"), focus)
+    assert rows(twice, "upstream_id", "downstream_id", "confidence") == want
