@@ -436,6 +436,25 @@ def test_late_versions_are_put_in_place(spark, tmp_path):
                 assert [r[:2] + r[3:4] for r in want if r[0] == "four"] == [("four", "w", "z"), ("four", "y", "x"), ("four", "z", "y")]
 
 
+def test_late_versions_meet_the_days_beside_theirs_only(spark, tmp_path, monkeypatch):
+    schema = "id string, seq long, mtime timestamp, sha string"
+    day = lambda n, sha, seq=0: ("a", seq, datetime(2024, 1, 1) + timedelta(days=n), sha)
+    first = [day(n, f"s{n}") for n in range(20)] + [day(n, f"t{n}", 1) for n in range(20) if n != 9]
+    late, out, met = [day(10, "late", 2), day(15, "more", 2), day(17, "once", 2)], str(tmp_path / "out"), []
+    linked = descriptors.adjacent_value
+    monkeypatch.setattr(descriptors, "adjacent_value", lambda df, *args: met.append(df.count()) or linked(df, *args))
+    for n, part in enumerate([first, late, late]):
+        descriptors._absorb(spark.createDataFrame(part, schema), n, out, "hour")
+    # Three days of two versions, the three late ones, and the versions next to these days: 9, 11, 14, both of 16, 18.
+    assert met[:2] == [len(first), 6 + 3 + 6]
+    monkeypatch.undo()
+    want = descriptors.changes(spark.createDataFrame(first + late, schema))
+    assert rows(descriptors.told(spark, out), "id", "sha", "seq", "prev_sha", "mtime") == rows(want, "id", "sha", "seq", "prev_sha", "mtime")
+    day_files = list((tmp_path / "out" / "_state" / "versions" / "epoch=0").glob("day=*/*.parquet"))
+    assert len(day_files) == 20
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_feedback_batches_touch_their_skills(spark, tmp_path):
     from veritab.operators import feedback as ops
     from veritab.streaming import feedback

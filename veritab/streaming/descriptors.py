@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,32 +45,52 @@ def _absorb(batch: DataFrame, epoch: int, path: str, bucket: str) -> None:
     """One batch: its versions and the versions beside them decide what is told anew.
 
     State is two tables below ``path/_state``, with one part per batch: the versions by day, and the first and last version of
-    each id and day. Read are the days that the batch touches, of its ids, and for these ids the first and last
-    versions of other days. Each part is written over when a batch runs again.
+    each id and day. Read are the days that the batch touches, of its ids, and for these ids the nearest
+    versions of the days beside these. Each part is written over when a batch runs again.
+
+    What is used more than once is kept for the time of the batch, so that each table is read and sorted once.
     """
-    spark, state = batch.sparkSession, f"{path}/_state"
+    spark, state, kept = batch.sparkSession, f"{path}/_state", []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return kept[-1]
+
+    try:
+        _absorb_kept(spark, batch, epoch, path, state, bucket, keep)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def _absorb_kept(spark: SparkSession, batch: DataFrame, epoch: int, path: str, state: str, bucket: str, keep: Callable[[DataFrame], DataFrame]) -> None:
     old = _before(spark, f"{state}/versions", f"{_VERSION}, epoch int, day date", epoch)
-    new = batch.groupBy("id", *_ORDER).agg(F.min("sha").alias("sha")).withColumn("day", F.to_date("mtime"))
+    new = keep(batch.groupBy("id", *_ORDER).agg(F.min("sha").alias("sha")).withColumn("day", F.to_date("mtime")))
     days = [r.day for r in new.select("day").distinct().collect()]
-    old = old.where(F.col("day").isin(days))
+    touched = new.select("id", "day").distinct()
+    beside = keep(old.where(F.col("day").isin(days)).join(touched, ["id", "day"], "left_semi").select("id", *_ORDER, "sha"))
     part = f"{state}/versions/epoch={epoch}"
-    new.join(old, ["id", *_ORDER], "left_anti").write.mode("overwrite").partitionBy("day").parquet(part)
+    # A few files for each day, not one for each task and day.
+    new.join(beside, ["id", *_ORDER], "left_anti").hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(part)
     fresh = spark.read.schema(f"{_VERSION}, day date").parquet(part)
 
     edge = "id string, day date, first struct<mtime: timestamp, seq: long, sha: string>, last struct<mtime: timestamp, seq: long, sha: string>"
     row = F.struct("mtime", "seq", "sha")
     fresh.groupBy("id", "day").agg(F.min(row).alias("first"), F.max(row).alias("last")).write.mode("overwrite").parquet(f"{state}/edges/epoch={epoch}")
-    touched = fresh.select("id", "day").distinct()
-    ends = _before(spark, f"{state}/edges", f"{edge}, epoch int", epoch).join(touched.select("id").distinct(), "id", "left_semi").join(
-        touched, ["id", "day"], "left_anti").groupBy("id", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    ends = ends.select("id", F.explode(F.array_distinct(F.array("first", "last"))).alias("v")).select("id", "v.*")
-
-    beside = old.join(touched, ["id", "day"], "left_semi").select("id", *_ORDER, "sha").unionByName(ends)
-    rows = beside.withColumn("fresh", F.lit(False)).unionByName(fresh.drop("day").withColumn("fresh", F.lit(True)))
+    by_day = _before(spark, f"{state}/edges", f"{edge}, epoch int", epoch).withColumn("here", F.lit(False)).unionByName(
+        touched.withColumn("here", F.lit(True)), allowMissingColumns=True
+    ).groupBy("id", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("here").alias("here"))
+    # Of a day that is not touched, only what comes next to a touched one.
+    along = Window.partitionBy("id").orderBy("day")
+    nearest = F.array(F.when(F.lead("here").over(along), F.col("last")), F.when(F.lag("here").over(along), F.col("first")))
+    ends = by_day.select("id", "here", nearest.alias("near")).where("not here").select(
+        "id", F.explode(F.array_distinct(F.array_compact("near"))).alias("v")).select("id", "v.*")
+
+    rows = keep(beside.unionByName(ends).withColumn("fresh", F.lit(False)).unionByName(fresh.drop("day").withColumn("fresh", F.lit(True))))
     # What lies between the end of one day and the next version here is not known, unless one of them is fresh.
     linked = adjacent_value(rows.withColumn("told", F.struct("sha", "fresh")), "id", F.date_trunc(bucket, "mtime"), _ORDER, "told", "prev")
-    found = linked.where((F.col("fresh") | F.col("prev.fresh")) & (F.col("prev.sha") != F.col("sha"))).select(
-        "id", "sha", F.struct("mtime", "seq", F.lit(0).alias("known"), F.col("prev.sha").alias("prev_sha")).alias("v"))
+    found = keep(linked.where((F.col("fresh") | F.col("prev.fresh")) & (F.col("prev.sha") != F.col("sha"))).select(
+        "id", "sha", F.struct("mtime", "seq", F.lit(0).alias("known"), F.col("prev.sha").alias("prev_sha")).alias("v")))
 
     # A change told before stays, unless there is an earlier one or its version has another one before it now.
     earlier = _before(spark, path, "id string, sha string, mtime timestamp, seq long, prev_sha string, epoch int", epoch)
