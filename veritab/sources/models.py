@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritab.functions import sqltext
 from veritab.session import materialize
 
 # Resource types taken from a manifest.
 RESOURCE_TYPES = ["model", "seed", "snapshot", "source"]
+# Bytes of texts that are parsed together.
+TOGETHER = 65_536
 
 _COLUMNS = "map<string, struct<data_type: string, description: string>>"
 MANIFEST_SCHEMA = (
@@ -27,9 +36,43 @@ def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=multi_line)
 
 
+def _mark(name):
+    return f'{{"_mark":"{name}"}}'
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of some ``TOGETHER`` bytes as one list, with a mark that no text can know before, between and after them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts, name = batch.column(0).fill_null("null"), uuid.uuid4().hex
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(texts)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), texts), f",{_mark(name)},")
+        whole = pc.binary_join_element_wise(f'{{"d":[{_mark(name)}', joined, f"{_mark(name)}]}}", ",")
+        yield pa.RecordBatch.from_arrays([whole, pa.array([name] * len(whole), pa.string()), pa.array(np.diff(cuts), pa.int32())], ["value", "name", "n"])
+
+
 def parse_manifests(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Manifest documents of a text column."""
-    return texts.select(F.from_json(column, MANIFEST_SCHEMA).alias("m")).select("m.*")
+    """Manifest documents of a text column.
+
+    For each text with a name not met before the parser copies all names it keeps, so texts are parsed many at a time, as one list. If the
+    list has any error, or other elements than one between each two marks, its texts are parsed one by one.
+    """
+    one = T.StructType(texts.sparkSession.createDataFrame([], MANIFEST_SCHEMA).schema.fields + [T.StructField("_mark", T.StringType())])
+    listed = T.StructType([T.StructField("d", T.ArrayType(one)), T.StructField("_bad", T.StringType())])
+    found = (
+        texts.select(F.col(column).cast("string")).mapInArrow(_together, "value string, name string, n int")
+        .select("*", F.from_json("value", listed, {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
+    )
+    d, n, own = F.col("m.d"), F.col("n"), len(_mark("0" * 32)) + 1
+    marks = F.filter(d, lambda e, i: (i % 2 == 0) & (e["_mark"] == F.col("name")))
+    fine = F.col("m._bad").isNull() & (F.size(d) == 2 * n + 1) & (F.size(marks) == n + 1)
+    body = F.substr("value", F.lit(len('{"d":[') + own + 1), F.length("value") - F.lit(len('{"d":[') + 2 * own + len("]}")))
+    between = F.concat(F.lit(r'\Q,{"_mark":"'), "name", F.lit(r'"},\E'))
+    singly = F.transform(F.split(body, between, -1), lambda text: F.from_json(text, one))
+    rows = F.when(fine, F.filter(d, lambda e, i: i % 2 == 1)).otherwise(singly)
+    return found.select(F.inline(rows)).drop("_mark")
 
 
 def _empty_to_null(c):
